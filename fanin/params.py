@@ -25,6 +25,7 @@ TIME_RANGE_ERROR = "time_range must be one of: '', 'd', 'w', 'm', 'y'"
 RESULTS_PER_PAGE = 20
 MAX_PAGES = 10
 SOURCE_B_MAX = 100
+SOURCE_B_ENGINES = ("duckduckgo",)   # engines label given to every source B row
 
 TRACKING_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "ref_src")
 

@@ -165,10 +165,12 @@ def _order(names: list[str]) -> list[str]:
     return seen
 
 
-def duckdb_with(*names: str) -> str:
-    """``WITH a AS (...), b AS (...)`` for the named views and their inputs."""
+def duckdb_with(*names: str, ctes: list[tuple[str, str]] | None = None) -> str:
+    """``WITH a AS (...), b AS (...)`` for the named views, their inputs, then ``ctes``."""
     parts = []
     for n in _order(list(names)):
         body = _REF.sub(lambda m: m.group(1), view_sql(n, "duckdb")).strip()
         parts.append(f"{n} AS (\n{body}\n)")
+    for n, body in ctes or []:
+        parts.append(f"{n} AS (\n{body.strip()}\n)")
     return "WITH " + ",\n".join(parts) + "\n"
