@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fanin.plans import q_search  # noqa: F401
+from fanin.plans import q_capture, q_search  # noqa: F401
 from fanin.plans.registry import ORACLES, QUERIES
 
 

@@ -173,4 +173,4 @@ def duckdb_with(*names: str, ctes: list[tuple[str, str]] | None = None) -> str:
         parts.append(f"{n} AS (\n{body}\n)")
     for n, body in ctes or []:
         parts.append(f"{n} AS (\n{body.strip()}\n)")
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH " + ",\n".join(parts) + "\n") if parts else ""
