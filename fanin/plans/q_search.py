@@ -292,18 +292,19 @@ def serp_fused(spark, sf, n: int = SERP_N, params: FusionParams = PARAMS) -> Dat
 
 
 def serp_sql(n: int, final: str, params: FusionParams = PARAMS) -> str:
-    return fx.duckdb_with("serp_big", ctes=_fusion_ctes_p("serp_big", str(n), params)) + final
+    return fx.duckdb_with("serp_big", ctes=serp_ctes(str(n), params)) + final
 
 
-def _fusion_ctes_p(src: str, n: str, params: FusionParams) -> list[tuple[str, str]]:
+def serp_ctes(n: str, params: FusionParams = PARAMS, sfx: str = "") -> list[tuple[str, str]]:
+    """Fusion of serp_big as CTEs named prio{sfx} ... fused{sfx}."""
     prio = " ".join(f"WHEN '{s}' THEN {i}" for s, i in params.priority_pairs())
     listed = ", ".join(f"'{s}'" for s in params.sources)
     return [
-        ("prio", f"SELECT *, CAST(CASE source {prio} END AS INT) AS priority FROM {src} WHERE source IN ({listed})"),
-        ("canon", X.canonical_rel("SELECT * FROM prio", "href")),
-        ("dedup", "SELECT * FROM canon QUALIFY row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY raw_rank, priority) = 1"),
-        ("ranked", "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw_rank, priority) AS BIGINT) AS rank FROM dedup"),
-        ("fused", f"SELECT r.* FROM ranked r WHERE rank <= {n}"),
+        (f"prio{sfx}", f"SELECT *, CAST(CASE source {prio} END AS INT) AS priority FROM serp_big WHERE source IN ({listed})"),
+        (f"canon{sfx}", X.canonical_rel(f"SELECT * FROM prio{sfx}", "href")),
+        (f"dedup{sfx}", f"SELECT * FROM canon{sfx} QUALIFY row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY raw_rank, priority) = 1"),
+        (f"ranked{sfx}", f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw_rank, priority) AS BIGINT) AS rank FROM dedup{sfx}"),
+        (f"fused{sfx}", f"SELECT r.* FROM ranked{sfx} r WHERE rank <= {n}"),
     ]
 
 
