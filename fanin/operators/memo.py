@@ -106,3 +106,29 @@ def stats(memo: DataFrame, as_of_us: int, size_of: Column | None = None) -> Data
         F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("size_bytes"),
         F.coalesce(F.max(age), F.lit(0.0)).alias("oldest_age_s"),
         F.coalesce(F.min(age), F.lit(0.0)).alias("newest_age_s"))
+
+
+def ttl_replay(log: DataFrame, ttl_s: int, key: str = "req_key", ts: str = "ts_us", rid: str = "event_id",
+               chunk_us: int | None = None) -> DataFrame:
+    """Row 41: over a request log, which requests would have been memo hits.
+
+    Per key in ``(ts, id)`` order: a miss stamps the entry; a request is a hit
+    while ``ts - stamp <= ttl``; hits do not re-stamp.  So the misses are the
+    chain first request -> first request with ``ts > stamp + ttl`` -> ...,
+    found with an as-of lookup and pointer doubling (no per-key list, no
+    sequential loop); every other request is a hit.
+    """
+    from fanin.operators.ordered import LONG_MAX, next_after, orbit
+
+    if ttl_s < 0:   # every request is older than the entry it would read
+        return log.withColumn("hit", F.lit(False))
+    ttl_us = ttl_s * US
+    chunk = chunk_us or max(ttl_us, 60 * US)
+    rows = log.select(key, F.col(ts).alias("ts"), F.col(rid).alias("rid"))
+    probes = log.select(key, F.col(rid).alias("pid"), (F.col(ts) + F.lit(ttl_us)).alias("t"),
+                        F.lit(LONG_MAX).cast("bigint").alias("r"))
+    succ = next_after(rows, probes, key, chunk).select(F.col("pid").alias("id"), "nxt")
+    starts = rows.groupBy(key).agg(F.min(F.struct("ts", "rid")).alias("_f")).select(F.col("_f.rid").alias("id"))
+    misses = orbit(succ, starts).withColumn("_miss", F.lit(True))
+    out = log.join(misses, log[rid] == misses["id"], "left").drop("id")
+    return out.withColumn("hit", F.col("_miss").isNull()).drop("_miss")
