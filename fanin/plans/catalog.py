@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fanin.plans import q_capture, q_health, q_memo, q_report, q_search  # noqa: F401
+from fanin.plans import q_capture, q_health, q_memo, q_report, q_search, q_stream  # noqa: F401
 from fanin.plans.registry import ORACLES, QUERIES
 
 
