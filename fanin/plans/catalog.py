@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from fanin.plans import q_capture, q_health, q_memo, q_report, q_search, q_stream  # noqa: F401
+from fanin.plans import q_capture, q_corpus, q_health, q_memo, q_report, q_search, q_stream  # noqa: F401
 from fanin.plans.registry import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
     """Fused top-N per query joined to the resolved pages (rows 13-16, 22, 46)."""
-    return QUERIES["search_urls"](spark, sf_dir)
+    return QUERIES["report_rows"](spark, sf_dir)
 
 
 def queries():
