@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fanin.functions.text import col_, pystrip
@@ -121,3 +121,80 @@ def result_domain(url: Column | str) -> Column:
     """Lower-cased netloc with every 'www.' removed; the URL itself where it cannot be split."""
     p = url_parts(url)
     return F.when(p.valid, F.replace(F.lower(p.netloc), F.lit("www."), F.lit(""))).otherwise(col_(url))
+
+
+# ---- staged forms ------------------------------------------------------------
+# The Column forms above nest each part inside the next, and conditional
+# branches keep Spark from sharing the repeats.  The frame forms below project
+# every part once; Catalyst keeps the projections apart because the regex
+# results are used more than once.
+
+def _staged_parts(df: DataFrame, url: Column, p: str) -> DataFrame:
+    d = df.select("*", F.regexp_replace(F.regexp_replace(url, LEADING_C0_RE, ""), UNSAFE_RE, "").alias(f"{p}t"))
+    t = F.col(f"{p}t")
+    d = d.select("*", F.lower(F.regexp_extract(t, "(" + SCHEME_RE[:-1] + "):", 1)).alias(f"{p}scheme"),
+                 F.regexp_replace(t, SCHEME_RE, "").alias(f"{p}rest"))
+    rest = F.col(f"{p}rest")
+    has_netloc = rest.startswith("//")
+    d = d.select("*", F.when(has_netloc, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit("")).alias(f"{p}netloc"),
+                 F.regexp_extract(F.when(has_netloc, F.regexp_replace(rest, r"^//[^/?#]*", "")).otherwise(rest),
+                                  r"^([^#]*)", 1).alias(f"{p}pq"))
+    pq, netloc = F.col(f"{p}pq"), F.col(f"{p}netloc")
+    host = F.regexp_extract(netloc, r"\[([^\]]*)", 1)
+    bracket_ok = F.when(host.startswith("v"), host.rlike(IPVFUTURE_RE)).otherwise(host.rlike(IPV6_RE))
+    has_open, has_close = netloc.contains("["), netloc.contains("]")
+    return d.select("*", F.regexp_extract(pq, r"^([^?]*)", 1).alias(f"{p}path"),
+                    F.when(pq.contains("?"), F.regexp_replace(pq, r"^[^?]*\?", "")).otherwise(F.lit("")).alias(f"{p}query"),
+                    F.when(has_open & has_close, bracket_ok).otherwise(has_open == has_close).alias(f"{p}valid"))
+
+
+_PART_COLS = ("t", "scheme", "rest", "netloc", "pq", "path", "query", "valid")
+
+
+def with_canonical_url(df: DataFrame, url: str = "href", out: str = "canonical_url") -> DataFrame:
+    """``df`` plus ``out`` = ``canonical_url(url)``, each part computed once per row."""
+    p = "_cu_"
+    s = df.select("*", pystrip(url).alias(f"{p}s"))
+    d = _staged_parts(s, F.col(f"{p}s"), p)
+    path = F.regexp_replace(F.col(f"{p}path"), r"/+\z", "")
+    d = d.select("*", F.when(path == "", F.lit("/")).otherwise(path).alias(f"{p}p2"),
+                 _drop_tracking(F.col(f"{p}query")).alias(f"{p}q2"))
+    path, scheme, netloc, q = F.col(f"{p}p2"), F.col(f"{p}scheme"), F.col(f"{p}netloc"), F.col(f"{p}q2")
+    uses_netloc = F.array(*[F.lit(x) for x in USES_NETLOC])
+    body = (F.when(netloc != "", F.concat(F.lit("//"), F.lower(netloc), path))
+            .when(path.startswith("//"), F.concat(F.lit("//"), path))
+            .when((scheme != "") & F.array_contains(uses_netloc, scheme) & path.startswith("/"), F.concat(F.lit("//"), path))
+            .otherwise(path))
+    with_scheme = F.when(scheme != "", F.concat(scheme, F.lit(":"), body)).otherwise(body)
+    rebuilt = F.when(q != "", F.concat(with_scheme, F.lit("?"), q)).otherwise(with_scheme)
+    final = F.when(F.col(f"{p}valid"), rebuilt).otherwise(F.lower(F.col(f"{p}s")))
+    helpers = [f"{p}{c}" for c in _PART_COLS] + [f"{p}s", f"{p}p2", f"{p}q2"]
+    return d.select("*", final.alias(out)).drop(*helpers)
+
+
+def with_result_domain(df: DataFrame, url: str = "url", out: str = "domain") -> DataFrame:
+    """``df`` plus ``out`` = ``result_domain(url)``, each part computed once per row."""
+    p = "_dm_"
+    d = _staged_parts(df, F.col(url), p)
+    dom = F.when(F.col(f"{p}valid"), F.replace(F.lower(F.col(f"{p}netloc")), F.lit("www."), F.lit(""))) \
+        .otherwise(F.col(url))
+    return d.select("*", dom.alias(out)).drop(*[f"{p}{c}" for c in _PART_COLS])
+
+
+def with_url_path(df: DataFrame, url: str = "url", out: str = "url_path") -> DataFrame:
+    """``df`` plus ``out`` = the URL's path ('' where the URL cannot be split)."""
+    p = "_up_"
+    d = _staged_parts(df, F.col(url), p)
+    return d.select("*", F.when(F.col(f"{p}valid"), F.col(f"{p}path")).otherwise(F.lit("")).alias(out)) \
+        .drop(*[f"{p}{c}" for c in _PART_COLS])
+
+
+def pdf_title_from_path(path: Column, url: Column) -> Column:
+    name = F.regexp_extract(path, r"([^/]*)\z", 1)
+    base = F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name)
+    return F.when(name == "", url).otherwise(F.translate(base, "_-", "  "))
+
+
+def pdf_path(path: Column) -> Column:
+    low = F.lower(path)
+    return low.endswith(".pdf") | low.contains(";.pdf")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fanin.functions.html import extract_text
 from fanin.functions.text import pystrip
-from fanin.functions.urls import result_domain
+from fanin.functions.urls import with_result_domain
 
 
 def blocks(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -28,7 +28,8 @@ def blocks(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def host_boilerplate(pages: DataFrame, k: int = 3) -> DataFrame:
     """``page_id, host, main_text, n_blocks, n_kept`` for every page of ``(page_id, url, html)``."""
-    p = pages.select("page_id", result_domain("url").alias("host"), extract_text("html").alias("text"))
+    p = with_result_domain(pages.select("page_id", "url", "html"), "url", "host").select(
+        "page_id", "host", extract_text("html").alias("text"))
     b = blocks(p)
     seen = b.select("host", "h1", "h2", "page_id").distinct()
     boiler = (seen.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("_pages"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fanin.functions import html as H
 from fanin.functions.text import pystrip
-from fanin.functions.urls import looks_like_pdf_url, pdf_title
+from fanin.functions.urls import pdf_path, pdf_title_from_path, with_url_path
 from fanin.operators.extract import content_length, truncate
 from fanin.params import DEFAULT_MAX_CONTENT_LENGTH, FETCH_MIN_CONTENT
 from fanin.sources.tables import conform_captures
@@ -42,9 +42,9 @@ def route(captures: DataFrame) -> DataFrame:
     sniffed = (F.lower(F.coalesce(F.col("content_type"), F.lit(""))).contains("pdf")
                | F.coalesce(F.substring("body", 1, 4) == F.lit(PDF_MAGIC), F.lit(False))
                | F.coalesce(F.col("html").startswith("%PDF"), F.lit(False)))
-    staged = c.withColumn("_by_url", looks_like_pdf_url("url"))
-    r = F.when(F.col("_by_url"), F.lit("pdf_url")).when(sniffed, F.lit("pdf_sniffed")).otherwise(F.lit("html"))
-    return staged.withColumn("route", r).drop("_by_url")
+    staged = with_url_path(c, "url", "_path")
+    r = F.when(pdf_path(F.col("_path")), F.lit("pdf_url")).when(sniffed, F.lit("pdf_sniffed")).otherwise(F.lit("html"))
+    return staged.withColumn("route", r).drop("_path")
 
 
 def _features(captures: DataFrame, p: ResolveParams) -> DataFrame:
@@ -98,8 +98,9 @@ def _decide(g: DataFrame, p: ResolveParams) -> DataFrame:
     """
     S, B = F.col("S"), F.col("B")
     s_status = S["status"]
-    g1 = g.select("url", "S", "B", _pdf_text(F.col("P")).alias("text"),
-                  looks_like_pdf_url("url").alias("by_url"), pdf_title("url").alias("ptitle"))
+    g0 = with_url_path(g.select("url", "S", "B", _pdf_text(F.col("P")).alias("text")), "url", "_path")
+    g1 = g0.select("url", "S", "B", "text", pdf_path(F.col("_path")).alias("by_url"),
+                   pdf_title_from_path(F.col("_path"), F.col("url")).alias("ptitle"))
     g2 = g1.select(
         "*",
         S.isNotNull().alias("has_s"),

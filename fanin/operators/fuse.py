@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanin.functions.urls import canonical_url
+from fanin.functions.urls import with_canonical_url
 from fanin.params import MAX_NUM_RESULTS, FusionParams
 
 
@@ -33,8 +33,8 @@ def source_priority(df: DataFrame, params: FusionParams = FusionParams()) -> Dat
 
 
 def with_canonical(df: DataFrame, url: str = "href") -> DataFrame:
-    """Row 13 applied to a frame."""
-    return df.withColumn("canonical_url", canonical_url(url))
+    """Row 13 applied to a frame (staged: the URL is split once per row)."""
+    return with_canonical_url(df, url, "canonical_url")
 
 
 def fuse_dedupe(df: DataFrame) -> DataFrame:

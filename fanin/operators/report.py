@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanin.functions.urls import result_domain
+from fanin.functions.urls import with_result_domain
 
 REPORT_FIELDS = ("rank", "title", "url", "snippet", "source", "published_us", "status", "fetch_method",
                  "cached", "content_length", "content", "error")
@@ -51,8 +51,8 @@ def report_nested(rows: DataFrame, used: DataFrame | None = None, with_content:
 
 
 def with_domain(df: DataFrame, url: str = "url") -> DataFrame:
-    """Row 48."""
-    return df.withColumn("domain", result_domain(url))
+    """Row 48 (staged: the URL is split once per row)."""
+    return with_result_domain(df, url, "domain")
 
 
 def scrape_scorecard(rows: DataFrame, query_status: DataFrame) -> DataFrame:
@@ -85,18 +85,20 @@ def error_breakdown(rows: DataFrame) -> DataFrame:
 def coverage(fused: DataFrame, min_per_query: int = 20, min_total: int = 180, min_domains: int = 100) -> DataFrame:
     """Row 51: results per query, total, distinct domains, pass flag.
 
-    Per-query counts are a partial aggregate; they are unioned with the
-    per-row domains (computed on the map side) into one global aggregate.
-    Distinct domains are exact.
+    One pass over the fused rows: a partial aggregate to ``(query_id, domain,
+    n)``, then grouping sets ``(query_id)`` and ``(domain)`` over that small
+    table, then one global row.  Distinct domains are exact.
     """
-    per_q = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_n", F.lit(None).cast("string").alias("_d"))
-    doms = fused.select(F.lit(None).cast("bigint").alias("_n"), result_domain("href").alias("_d"))
-    out = per_q.unionByName(doms).agg(
-        F.count("_n").alias("queries_total"),
-        F.count_if(F.col("_n") >= min_per_query).alias("queries_ok"),
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("results_total"),
-        F.count_distinct("_d").alias("unique_domains"))
+    qd = (with_result_domain(fused.select("query_id", "href"), "href", "_d")
+          .groupBy("query_id", "_d").agg(F.count(F.lit(1)).alias("_n")))
+    sets = qd.groupingSets([["query_id"], ["_d"]], "query_id", "_d").agg(
+        F.sum("_n").alias("_n"), F.grouping("query_id").alias("_gq"))
+    is_q = F.col("_gq") == 0
+    out = sets.agg(
+        F.count_if(is_q).alias("queries_total"),
+        F.count_if(is_q & (F.col("_n") >= min_per_query)).alias("queries_ok"),
+        F.coalesce(F.sum(F.when(is_q, F.col("_n"))), F.lit(0)).cast("bigint").alias("results_total"),
+        F.count_if(~is_q).alias("unique_domains"))
     return out.withColumn("passed", (F.col("results_total") >= min_total) & (F.col("unique_domains") >= min_domains))
 
 

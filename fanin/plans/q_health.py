@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fanin.functions.times import epoch_micros
-from fanin.functions.urls import result_domain
+from fanin.functions.urls import with_result_domain
 from fanin.operators import health as HE
 from fanin.operators import memo as ME
 from fanin.params import BreakerParams
@@ -57,8 +57,8 @@ SELECT host, event_id, ts_us AS arrival_us, start_us, start_us - ts_us AS wait_u
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS start_us
   FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts_us, event_id) - 1 AS n FROM h) x) y""")
 def q_polite_schedule(spark, sf):
-    calls = fetch_attempts(Ctx(spark, sf)).select(result_domain("url").alias("host"), "event_id",
-                                                  F.col("ts_us").alias("arrival_us"))
+    calls = with_result_domain(fetch_attempts(Ctx(spark, sf)), "url", "host").select(
+        "host", "event_id", F.col("ts_us").alias("arrival_us"))
     return HE.polite_schedule(calls, "host", "arrival_us", "event_id", POLITE_US).select(
         "host", "event_id", "arrival_us", "start_us", "wait_us")
 
