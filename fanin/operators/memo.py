@@ -9,7 +9,7 @@ Expiry is ``as_of - ts > ttl`` with ``as_of`` a job parameter; age exactly
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 US = 1_000_000
@@ -73,14 +73,22 @@ def upsert(memo: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(win.alias("_w")).select("key", "_w.*")
 
 
-def prune(memo: DataFrame, max_entries: int) -> DataFrame:
+def prune(memo: DataFrame, max_entries: int, groups: int = 64) -> DataFrame:
     """Row 38: keep the newest ``max_entries`` (ties by key).
 
-    The top-n runs on the narrow ``(key, ts_us)`` projection
-    (``TakeOrderedAndProject``: n rows per partition, then a merge); the
-    payload is kept through a semi join.
+    A two-level top-n on the narrow ``(key, ts_us)`` projection: keys are
+    hashed into ``groups``; a per-group ``row_number() <= n`` (planned as a
+    partial ``WindowGroupLimit`` ahead of the shuffle) leaves at most
+    ``groups * n`` candidates, and the final top-n merges only those -- never
+    ``n`` rows from every input partition in one task.  The payload is kept
+    through a semi join.
     """
-    keep = memo.select("key", "ts_us").orderBy(F.col("ts_us").desc_nulls_last(), "key").limit(max_entries)
+    order = [F.col("ts_us").desc_nulls_last(), F.col("key")]
+    g = F.pmod(F.xxhash64("key"), F.lit(groups))
+    w = Window.partitionBy("_g").orderBy(*order)
+    cand = (memo.select("key", "ts_us", g.alias("_g")).withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") <= max_entries))
+    keep = cand.orderBy(*order).limit(max_entries)
     return memo.join(keep.select("key"), "key", "left_semi")
 
 
