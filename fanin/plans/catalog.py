@@ -7,8 +7,8 @@ from fanin.plans.registry import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    """Fused top-N per query joined to the resolved pages (rows 13-16, 22, 46)."""
-    return QUERIES["report_rows"](spark, sf_dir)
+    """The research call: fused top-N per query, memo split, misses resolved, report rows (13-16, 35, 22, 46)."""
+    return QUERIES["research_report"](spark, sf_dir)
 
 
 def queries():

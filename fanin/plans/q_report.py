@@ -111,3 +111,55 @@ FROM fused a FULL OUTER JOIN fused_r b ON a.query_id = b.query_id AND a.rank = b
 WHERE a.href IS DISTINCT FROM b.href"""))
 def q_result_set_diff(spark, sf):
     return RE.result_set_diff(serp_fused(spark, sf, n=20), serp_fused(spark, sf, n=20, params=REVERSED))
+
+
+# ---- the whole research call: search, memo before work, resolve misses, report ----
+
+def research(c: Ctx):
+    """Fused results -> fetch keys -> memo split; only misses are resolved from the captures;
+    hits come from the memo; report rows carry ``cached``."""
+    from fanin.operators import capture as CA
+    from fanin.operators import memo as ME
+    from fanin.plans.q_capture import P
+    from fanin.plans.q_memo import AS_OF, FMT, MAX_LEN, TTL, memo_keyed
+
+    fused = searched(c)
+    wanted = fused.select(F.col("href").alias("url")).distinct().withColumn(
+        "key", ME.fetch_key(F.col("url"), F.lit(FMT), F.lit(MAX_LEN)))
+    split = ME.split(wanted, memo_keyed(c), AS_OF, TTL)
+    misses = split.filter(~F.col("cached")).select("url")
+    caps = c.v("captures").join(misses, "url", "left_semi")
+    pdfs = c.v("pdf_capture_pages").join(misses, "url", "left_semi")
+    fetched = CA.resolve(caps, pdfs, P).select(*CA_OUT).withColumn("cached", F.lit(False))
+    hits = split.filter("cached").select(
+        "url", F.col("memo_status").alias("status"), F.col("memo_content").alias("content"),
+        F.least(F.length("memo_content"), F.lit(MAX_LEN)).cast("bigint").alias("content_length"),
+        F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("error"),
+        F.lit(True).alias("cached"))
+    pages = fetched.unionByName(hits.select(*CA_OUT, "cached"))
+    return RE.report_rows(fused, pages)
+
+
+CA_OUT = ["url", "status", "content", "content_length", "method", "error"]
+
+
+def _research_sql() -> str:
+    from fanin.plans.q_memo import AS_OF, FMT, MAX_LEN, MK, TTL
+    key = f"sha256(concat_ws('|', 'fetch', href, '{FMT}', '{MAX_LEN}'))"
+    expired = f"({AS_OF} - coalesce(ts_us, 0) > {TTL * 1_000_000})"
+    ctes = search_ctes("fused") + resolve_ctes() + [MK, ("wanted", f"SELECT DISTINCT href AS url, {key} AS key FROM fused"),
+        ("hit", f"""SELECT w.url, m.status, m.content FROM wanted w JOIN (SELECT * FROM mk WHERE NOT {expired}) m ON m.key = w.key"""),
+        ("pages", f"""SELECT url, status, content, content_length, method, error, false AS cached FROM resolved
+WHERE url IN (SELECT url FROM wanted) AND url NOT IN (SELECT url FROM hit)
+UNION ALL SELECT url, status, content, CAST(least(length(content), {MAX_LEN}) AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), true FROM hit""")]
+    return fx.duckdb_with(*SEARCH_VIEWS, "captures", "pdf_capture_pages", "memo", ctes=ctes) + """
+SELECT f.query_id, f.rank, coalesce(f.title, '') AS title, coalesce(f.href, '') AS url, coalesce(f.body, '') AS snippet,
+  coalesce(f.source, '') AS source, f.published_us, CAST(coalesce(p.status, 0) AS INT) AS status, p.method AS fetch_method,
+  coalesce(p.cached, false) AS cached, CAST(coalesce(p.content_length, 0) AS BIGINT) AS content_length,
+  coalesce(p.content, '') AS content, p.error
+FROM fused f LEFT JOIN pages p ON p.url = f.href"""
+
+
+@register("research_report", _research_sql())
+def q_research_report(spark, sf):
+    return research(Ctx(spark, sf))
