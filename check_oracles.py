@@ -32,6 +32,16 @@ def _norm(v):
     return v
 
 
+TYPE_MAP = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN",
+            "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT", "binary": "BLOB", "date": "DATE"}
+
+
+def type_diffs(df, rel):
+    spark_t = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_t = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (spark_t[c], duck_t.get(c)) for c in spark_t if spark_t[c] != duck_t.get(c)}
+
+
 def rows_of(records, cols):
     return Counter(tuple(_norm(r[c]) for c in cols) for r in records)
 
@@ -61,10 +71,11 @@ def main(argv):
             dcols = sorted(rel.columns)
             drows = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
             ok_cols = cols == dcols
-            ok = ok_cols and rows_of(srows, cols) == rows_of(drows, cols)
+            types = type_diffs(df, rel) if ok_cols else {}
+            ok = ok_cols and not types and rows_of(srows, cols) == rows_of(drows, cols)
             bad += not ok
             print(f"{name:28s} {'OK ' if ok else 'BAD'} spark={len(srows)} duck={len(drows)} "
-                  f"cols={'ok' if ok_cols else (cols, dcols)} spark={t1 - t0:.2f}s duck={time.time() - t1:.2f}s")
+                  f"cols={'ok' if ok_cols else (cols, dcols)} types={types or 'ok'} spark={t1 - t0:.2f}s duck={time.time() - t1:.2f}s")
             if not ok and ok_cols:
                 a, b = rows_of(srows, cols), rows_of(drows, cols)
                 print("   spark-only:", list((a - b).items())[:3])

@@ -101,7 +101,7 @@ def norm_b_sql() -> str:
          f"{_sc('body')} AS body, published_us FROM raw_b")
     r = (f"SELECT x.*, row_number() OVER (PARTITION BY x.query_id ORDER BY pos) AS rn, q.num_results "
          f"FROM ({x}) x JOIN search_requests q USING (query_id) WHERE href <> ''")
-    return (f"SELECT query_id, 'b' AS source, CAST(rn - 1 AS INT) AS raw_rank, href, title, body, 1.0 AS score, "
+    return (f"SELECT query_id, 'b' AS source, CAST(rn - 1 AS INT) AS raw_rank, href, title, body, CAST(1.0 AS DOUBLE) AS score, "
             f"published_us FROM ({r}) r WHERE rn <= least(num_results, 100)")
 
 
