@@ -12,27 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanin.operators.ordered import LONG_MIN, chunked_index, next_after, orbit
+from fanin.operators.ordered import (DEFAULT_TARGET_ROWS, LONG_MIN, attach_chunk, chunk_table, chunked_index,
+                                     next_after, orbit)
 from fanin.params import FETCH_RETRIES, RETRY_BACKOFF_S, BreakerParams
 from fanin.session import ensure_checkpoint_dir
 
 US = 1_000_000
-HOUR_US = 3600 * US
 
 
-def _ordered(df: DataFrame, key: str, ts: str, rid: str) -> DataFrame:
-    return df.withColumnRenamed(key, "_key").withColumnRenamed(ts, "_ts").withColumnRenamed(rid, "_id")
+def _chunks(df: DataFrame, key: str, ts: str, chunk_us: int | None, target_rows: int):
+    """A fixed width when given, else per-key slices of about ``target_rows`` rows."""
+    return chunk_us if chunk_us is not None else chunk_table(df, key, ts, target_rows)
 
 
 def failure_streaks(attempts: DataFrame, key: str = "source", ts: str = "ts_us", rid: str = "event_id",
-                    ok: str = "ok", chunk_us: int = HOUR_US) -> DataFrame:
+                    ok: str = "ok", chunk_us: int | None = None,
+                    target_rows: int = DEFAULT_TARGET_ROWS, chunks=None) -> DataFrame:
     """Row 43: ``streak`` = consecutive failures ending at each attempt (0 on a success).
 
     streak = index - index of the last success at or before the row.  The
     last-success index is a running max inside each (key, chunk) and a carry
     from the per-chunk table, so no window spans a whole key.
     """
-    d = chunked_index(attempts, key, ts, rid, chunk_us)
+    ch = chunks if chunks is not None else _chunks(attempts, key, ts, chunk_us, target_rows)
+    d = chunked_index(attempts, key, ts, rid, ch)
     run = (Window.partitionBy(key, "_c").orderBy(ts, rid)
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_ls", F.max(F.when(F.col(ok), F.col("_l"))).over(run))
@@ -47,7 +50,8 @@ def failure_streaks(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
 
 
 def polite_schedule(calls: DataFrame, key: str = "host", arrival: str = "arrival_us", rid: str = "event_id",
-                    interval_us: int = 500_000, chunk_us: int = HOUR_US) -> DataFrame:
+                    interval_us: int = 500_000, chunk_us: int | None = None,
+                    target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Row 25: start times with consecutive calls of a key at least ``interval`` apart.
 
     ``t_i = max(a_i, t_{i-1} + d)`` has the closed form
@@ -55,7 +59,7 @@ def polite_schedule(calls: DataFrame, key: str = "host", arrival: str = "arrival
     with the local index and carried across chunks from the chunk table.
     """
     d_ = interval_us
-    x = chunked_index(calls, key, arrival, rid, chunk_us)
+    x = chunked_index(calls, key, arrival, rid, _chunks(calls, key, arrival, chunk_us, target_rows))
     x = x.withColumn("_v", F.col(arrival) - F.col("_l") * F.lit(d_))
     run = (Window.partitionBy(key, "_c").orderBy(arrival, rid)
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -72,7 +76,8 @@ def polite_schedule(calls: DataFrame, key: str = "host", arrival: str = "arrival
 
 def retry_frontier(attempts: DataFrame, key: str = "url", ts: str = "ts_us", rid: str = "event_id",
                    ok: str = "ok", error: str = "error", max_attempts: int = FETCH_RETRIES + 1,
-                   backoff_s: float = RETRY_BACKOFF_S, chunk_us: int = HOUR_US) -> DataFrame:
+                   backoff_s: float = RETRY_BACKOFF_S, chunk_us: int | None = None,
+                   target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Row 24: per key, the state after its last attempt.
 
     'done' (last attempt ok), 'retry' (fewer than ``max_attempts`` failures in a
@@ -80,7 +85,7 @@ def retry_frontier(attempts: DataFrame, key: str = "url", ts: str = "ts_us", rid
     (carrying the last error).  The last row per key is a ``max_by`` partial
     aggregate over the streaks.
     """
-    s = failure_streaks(attempts, key, ts, rid, ok, chunk_us)
+    s = failure_streaks(attempts, key, ts, rid, ok, chunk_us, target_rows)
     last = s.groupBy(key).agg(F.max_by(F.struct(F.col(ok).alias("ok"), F.col("streak").alias("streak"),
                                                 F.col(error).alias("error"), F.col(ts).alias("ts")),
                                        F.struct(F.col(ts), F.col(rid))).alias("_x"))
@@ -93,7 +98,8 @@ def retry_frontier(attempts: DataFrame, key: str = "url", ts: str = "ts_us", rid
 
 
 def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us", rid: str = "event_id",
-                   ok: str = "ok", params: BreakerParams = BreakerParams(), chunk_us: int = HOUR_US) -> DataFrame:
+                   ok: str = "ok", params: BreakerParams = BreakerParams(), chunk_us: int | None = None,
+                   target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Row 44: each attempt -> ``allowed``; ``opened`` marks attempts that open the breaker.
 
     Opens at ``threshold`` consecutive failures until ``ts + cooldown``;
@@ -110,7 +116,11 @@ def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     ``open_until`` of the openings before it (a running max).
     """
     cd_us = int(params.cooldown_s * US)
-    s = failure_streaks(attempts, key, ts, rid, ok, chunk_us).withColumn(
+    if chunk_us is not None:
+        ch = chunk_us
+    else:   # one per-key table for every scan below; probes reach past a key's last row
+        ch = chunk_table(attempts, key, ts, target_rows)
+    s = failure_streaks(attempts, key, ts, rid, ok, chunks=ch).withColumn(
         "_flag", ~F.col(ok) & (F.col("streak") == params.threshold))
     ensure_checkpoint_dir(s.sparkSession)
     s = s.checkpoint(eager=True)   # read five times below; also cuts lineage
@@ -118,17 +128,16 @@ def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     flagged = s.filter("_flag").select(key, F.col(ts).alias("ts"), F.col(rid).alias("rid"))
     after_open = next_after(rows, s.filter(~F.col(ok)).select(
         key, F.col(rid).alias("pid"), (F.col(ts) + F.lit(cd_us)).alias("t"), F.lit(LONG_MIN).cast("bigint").alias("r")),
-        key, chunk_us)
+        key, ch)
     after_reset = next_after(flagged, s.filter(F.col(ok)).select(
-        key, F.col(rid).alias("pid"), F.col(ts).alias("t"), F.col(rid).alias("r")), key, chunk_us)
+        key, F.col(rid).alias("pid"), F.col(ts).alias("t"), F.col(rid).alias("r")), key, ch)
     succ = after_open.unionByName(after_reset).select(F.col("pid").alias("id"), "nxt")
     starts = flagged.groupBy(key).agg(F.min(F.struct("ts", "rid")).alias("_f")).select(F.col("_f.rid").alias("id"))
     nodes = orbit(succ, starts)
     opened = s.join(nodes.withColumn("_node", F.lit(True)), s[rid] == nodes["id"], "left").drop("id")
     opened = opened.withColumn("opened", F.coalesce(F.col("_node"), F.lit(False)) & ~F.col(ok)).drop("_node")
     # latest open_until strictly before each attempt: running max per chunk plus carry
-    c = opened.withColumn("_c", F.floor(F.col(ts) / F.lit(chunk_us)).cast("bigint")) \
-        .withColumn("_ou", F.when(F.col("opened"), F.col(ts) + F.lit(cd_us)))
+    c = attach_chunk(opened, key, F.col(ts), ch).withColumn("_ou", F.when(F.col("opened"), F.col(ts) + F.lit(cd_us)))
     prev = (Window.partitionBy(key, "_c").orderBy(ts, rid).rowsBetween(Window.unboundedPreceding, -1))
     c = c.withColumn("_m", F.max("_ou").over(prev))
     per_chunk = c.groupBy(key, "_c").agg(F.max("_ou").alias("_cm"))

@@ -117,7 +117,7 @@ def stats(memo: DataFrame, as_of_us: int, size_of: Column | None = None) -> Data
 
 
 def ttl_replay(log: DataFrame, ttl_s: int, key: str = "req_key", ts: str = "ts_us", rid: str = "event_id",
-               chunk_us: int | None = None) -> DataFrame:
+               chunk_us: int | None = None, target_rows: int | None = None) -> DataFrame:
     """Row 41: over a request log, which requests would have been memo hits.
 
     Per key in ``(ts, id)`` order: a miss stamps the entry; a request is a hit
@@ -126,13 +126,13 @@ def ttl_replay(log: DataFrame, ttl_s: int, key: str = "req_key", ts: str = "ts_u
     found with an as-of lookup and pointer doubling (no per-key list, no
     sequential loop); every other request is a hit.
     """
-    from fanin.operators.ordered import LONG_MAX, next_after, orbit
+    from fanin.operators.ordered import DEFAULT_TARGET_ROWS, LONG_MAX, chunk_table, next_after, orbit
 
     if ttl_s < 0:   # every request is older than the entry it would read
         return log.withColumn("hit", F.lit(False))
     ttl_us = ttl_s * US
-    chunk = chunk_us or max(ttl_us, 60 * US)
     rows = log.select(key, F.col(ts).alias("ts"), F.col(rid).alias("rid"))
+    chunk = chunk_us if chunk_us is not None else chunk_table(rows, key, "ts", target_rows or DEFAULT_TARGET_ROWS)
     probes = log.select(key, F.col(rid).alias("pid"), (F.col(ts) + F.lit(ttl_us)).alias("t"),
                         F.lit(LONG_MAX).cast("bigint").alias("r"))
     succ = next_after(rows, probes, key, chunk).select(F.col("pid").alias("id"), "nxt")

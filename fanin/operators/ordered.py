@@ -4,9 +4,12 @@ Histories are ordered per key by ``(ts, id)``.  A key may hold a large share
 of all rows, so nothing here gathers a key's history into one task or one
 list:
 
+* ``chunk_table`` / ``attach_chunk`` -- each key's time line cut into slices
+  of about ``target_rows`` rows (a hot key gets many slices, a cold key one),
+  or a fixed width.
 * ``chunked_index`` -- per-row position within the key, from windows over
-  ``(key, time chunk)`` plus a running sum over the small per-chunk count
-  table (the carry).
+  ``(key, chunk)`` plus a running sum over the small per-chunk count table
+  (the carry).
 * ``next_after`` -- as-of lookup: for each probe, the first row strictly
   after a position ``(t, r)``; a descending running ``min`` inside each chunk,
   and the first row of the later chunks from the chunk table.
@@ -26,14 +29,36 @@ LONG_MIN = -(2 ** 63)
 LONG_MAX = 2 ** 63 - 1
 
 
-def chunk_of(ts: Column, chunk_us: int) -> Column:
-    return F.floor(ts / F.lit(chunk_us)).cast("bigint")
+Chunks = "int | DataFrame"   # a fixed width in micros, or a per-key table (key, _t0, _w)
 
+DEFAULT_TARGET_ROWS = 1_000_000
 
-def chunked_index(df: DataFrame, key: str, ts: str, rid: str, chunk_us: int) -> DataFrame:
+
+def chunk_table(rows: DataFrame, key: str, ts: str, target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+    """Per-key chunking: ``(key, _t0, _w)`` so that a key's chunks hold about ``target_rows`` rows.
+
+    ``_w = ceil(span / ceil(n / target))``: a key with fewer than ``target_rows``
+    rows is one chunk; a hot key is cut into ``n / target`` time slices.  One
+    partial aggregate; the table has one row per key.
+    """
+    st = rows.groupBy(key).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"), F.count(F.lit(1)).alias("_n"))
+    pieces = F.ceil(F.col("_n") / F.lit(float(target_rows)))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0") + F.lit(1)) / pieces)).cast("bigint")
+    return st.select(key, "_t0", width.alias("_w"))
+
+
+def attach_chunk(df: DataFrame, key: str, t: Column, chunks) -> DataFrame:
+    """Add ``_c``, the chunk of time ``t`` (fixed width, or the key's own width from ``chunk_table``)."""
+    if isinstance(chunks, int):
+        return df.withColumn("_c", F.floor(t / F.lit(chunks)).cast("bigint"))
+    j = df.join(chunks, key)
+    return j.withColumn("_c", F.floor((t - F.col("_t0")) / F.col("_w")).cast("bigint")).drop("_t0", "_w")
+
+
+def chunked_index(df: DataFrame, key: str, ts: str, rid: str, chunks) -> DataFrame:
     """Add ``_c`` (chunk), ``_l`` (0-based index in key and chunk), ``_off`` (rows of the key in
     earlier chunks); the global index is ``_off + _l``."""
-    c = df.withColumn("_c", chunk_of(F.col(ts), chunk_us))
+    c = attach_chunk(df, key, F.col(ts), chunks)
     local = c.withColumn("_l", (F.row_number().over(Window.partitionBy(key, "_c").orderBy(ts, rid)) - 1).cast("bigint"))
     counts = c.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +66,7 @@ def chunked_index(df: DataFrame, key: str, ts: str, rid: str, chunk_us: int) ->
     return local.join(offs, [key, "_c"])
 
 
-def next_after(rows: DataFrame, probes: DataFrame, key: str, chunk_us: int) -> DataFrame:
+def next_after(rows: DataFrame, probes: DataFrame, key: str, chunks) -> DataFrame:
     """For each probe ``(key, pid, t, r)``: ``nxt`` = id of the first row ``(key, ts, rid)`` with
     ``(ts, rid) > (t, r)``, or NULL.
 
@@ -50,7 +75,7 @@ def next_after(rows: DataFrame, probes: DataFrame, key: str, chunk_us: int) -> D
     real = rows.select(key, F.col("ts").alias("_t"), F.col("rid").alias("_r"), F.lit(0).alias("_k"),
                        F.lit(None).cast("bigint").alias("pid"))
     prb = probes.select(key, F.col("t").alias("_t"), F.col("r").alias("_r"), F.lit(1).alias("_k"), "pid")
-    both = real.unionByName(prb).withColumn("_c", chunk_of(F.col("_t"), chunk_us))
+    both = attach_chunk(real.unionByName(prb), key, F.col("_t"), chunks)
     desc = (Window.partitionBy(key, "_c").orderBy(F.col("_t").desc(), F.col("_r").desc(), F.col("_k").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pos = F.struct(F.col("_t").alias("t"), F.col("_r").alias("r"))

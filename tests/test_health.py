@@ -35,25 +35,28 @@ def test_breaker_reference_case(spark):
     assert got == {1: (True, False), 2: (True, True), 3: (False, False), 4: (True, False), 5: (True, False)}
 
 
-@pytest.mark.parametrize("chunk_us", [7_000, 10**9])
-def test_breaker_random_matches_fold(spark, chunk_us):
+CHUNKINGS = [dict(chunk_us=7_000), dict(chunk_us=10**9), dict(target_rows=9), dict()]
+
+
+@pytest.mark.parametrize("chunking", CHUNKINGS)
+def test_breaker_random_matches_fold(spark, chunking):
     rng = random.Random(11)
     rows = _random_log(rng, ["a", "b", "c"], 600, 2_000_000, p_ok=0.45, hot="a")
     df = spark.createDataFrame(rows, ATT)
     p = BreakerParams(threshold=2, cooldown_s=0.05)
-    got = {r.event_id: r.allowed for r in HE.breaker_replay(df, params=p, chunk_us=chunk_us).collect()}
+    got = {r.event_id: r.allowed for r in HE.breaker_replay(df, params=p, **chunking).collect()}
     for k, seq in _by_key(rows).items():
         exp = ref_breaker([(r[2], r[3]) for r in seq], 2, 50_000)
         assert [got[r[0]] for r in seq] == exp, k
 
 
-@pytest.mark.parametrize("chunk_us", [5_000, 10**9])
-def test_ttl_replay_random_matches_fold(spark, chunk_us):
+@pytest.mark.parametrize("chunking", [dict(chunk_us=5_000_000), dict(target_rows=7), dict()])
+def test_ttl_replay_random_matches_fold(spark, chunking):
     rng = random.Random(5)
     rows = _random_log(rng, ["x", "y"], 500, 1_000_000, hot="x")
     df = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "event_id long, req_key string, ts_us long")
     got = {r.event_id: r.hit for r in ME.ttl_replay(df.withColumn("ts_us", df.ts_us * 1000), ttl_s=30,
-                                                      chunk_us=chunk_us * 1000).collect()}
+                                                      **chunking).collect()}
     for k, seq in _by_key(rows).items():
         exp = ref_ttl([r[2] * 1000 for r in seq], 30 * 10**6)
         assert [got[r[0]] for r in seq] == exp, k
@@ -64,14 +67,14 @@ def test_ttl_negative_means_always_miss(spark):
     assert not any(r.hit for r in ME.ttl_replay(df, ttl_s=-1).collect())
 
 
-@pytest.mark.parametrize("chunk_us", [3_000, 10**9])
-def test_polite_schedule_and_streaks_random(spark, chunk_us):
+@pytest.mark.parametrize("chunking", [dict(chunk_us=3_000), dict(target_rows=11), dict()])
+def test_polite_schedule_and_streaks_random(spark, chunking):
     rng = random.Random(9)
     rows = _random_log(rng, ["h1", "h2"], 400, 300_000, hot="h1")
     calls = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "event_id long, host string, arrival_us long")
-    got = {r.event_id: r.start_us for r in HE.polite_schedule(calls, interval_us=1_000, chunk_us=chunk_us).collect()}
+    got = {r.event_id: r.start_us for r in HE.polite_schedule(calls, interval_us=1_000, **chunking).collect()}
     att = spark.createDataFrame(rows, ATT)
-    streak = {r.event_id: r.streak for r in HE.failure_streaks(att, chunk_us=chunk_us).collect()}
+    streak = {r.event_id: r.streak for r in HE.failure_streaks(att, **chunking).collect()}
     for k, seq in _by_key(rows).items():
         assert [got[r[0]] for r in seq] == ref_polite([r[2] for r in seq], 1_000), k
         run, exp = 0, []
