@@ -20,7 +20,7 @@ list:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fanin.session import ensure_checkpoint_dir
@@ -99,15 +99,21 @@ def orbit(succ: DataFrame, starts: DataFrame, max_levels: int = 64) -> DataFrame
     """
     spark = succ.sparkSession
     ensure_checkpoint_dir(spark)
-    levels = [succ.select("id", F.col("nxt").alias("j")).checkpoint(eager=True)]
-    while len(levels) < max_levels:
-        cur = levels[-1]
-        if cur.filter(F.col("j").isNotNull()).isEmpty():
-            break
-        a, b = cur.alias("a"), cur.alias("b")
+
+    def materialise(df: DataFrame) -> tuple[DataFrame, int]:
+        # one job per level: the checkpoint write also counts the jumps left
+        obs = Observation()
+        out = df.observe(obs, F.count("j").alias("jumps")).checkpoint(eager=True)
+        return out, obs.get["jumps"]
+
+    level, jumps = materialise(succ.select("id", F.col("nxt").alias("j")))
+    levels = [level]
+    while jumps and len(levels) < max_levels:
+        a, b = level.alias("a"), level.alias("b")
         nxt = (a.join(b, F.col("a.j") == F.col("b.id"), "left")
                .select(F.col("a.id").alias("id"), F.col("b.j").alias("j")))
-        levels.append(nxt.checkpoint(eager=True))
+        level, jumps = materialise(nxt)
+        levels.append(level)
     reached = starts.select("id")
     for lvl in reversed(levels[:-1] if len(levels) > 1 else levels):
         jumped = reached.join(lvl, "id").filter(F.col("j").isNotNull()).select(F.col("j").alias("id"))
