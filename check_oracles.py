@@ -49,7 +49,9 @@ def rows_of(records, cols):
 def main(argv):
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
-    spark = build_session()
+    import os
+    tz = os.environ.get("CHECK_TZ")   # run under another session time zone to prove zone independence
+    spark = build_session(extra={"spark.sql.session.timeZone": tz} if tz else None)
     con = duckdb.connect()
     for t in BASE_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
