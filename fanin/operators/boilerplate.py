@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fanin.functions.html import extract_text
 from fanin.functions.text import pystrip
 from fanin.functions.urls import with_result_domain
+from fanin.session import spread
 
 
 def blocks(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -28,7 +29,7 @@ def blocks(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def host_boilerplate(pages: DataFrame, k: int = 3) -> DataFrame:
     """``page_id, host, main_text, n_blocks, n_kept`` for every page of ``(page_id, url, html)``."""
-    p = with_result_domain(pages.select("page_id", "url", "html"), "url", "host").select(
+    p = with_result_domain(spread(pages.select("page_id", "url", "html")), "url", "host").select(
         "page_id", "host", extract_text("html").alias("text"))
     b = blocks(p)
     seen = b.select("host", "h1", "h2", "page_id").distinct()

@@ -19,6 +19,7 @@ from fanin.functions.text import pystrip
 from fanin.functions.urls import pdf_path, pdf_title_from_path, with_url_path
 from fanin.operators.extract import content_length, truncate
 from fanin.params import DEFAULT_MAX_CONTENT_LENGTH, FETCH_MIN_CONTENT
+from fanin.session import spread
 from fanin.sources.tables import conform_captures
 
 PDF_MAGIC = b"%PDF"
@@ -53,7 +54,7 @@ def _features(captures: DataFrame, p: ResolveParams) -> DataFrame:
     The extraction is projected once, then measured and cut in the next
     projection.
     """
-    r = route(captures)
+    r = route(spread(captures))
     ok = F.col("status") == 200
     staged = r.select(
         "url", "tier", "status", "error", (F.col("route") == "pdf_sniffed").alias("sniffed"),

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanin.session import spread
+
 TOKEN_RE = r"[\p{L}\p{N}]+"
 
 
@@ -27,13 +29,15 @@ def postings(docs: DataFrame, doc_id: str, text: Column, max_df: tuple[int, int]
     Term frequencies are a partial aggregate on ``(term, doc)``; document
     frequencies another on ``term``; the corpus size is a scalar subquery.
     """
-    per = (docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term"))
+    per = (spread(docs).select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term"))
            .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     df = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     num, den = max_df
     keep = df.filter(F.col("df") * F.lit(den) <= n_docs * F.lit(num)).select("term")
-    return per.join(keep, "term", "left_semi")
+    # an inner join with the (distinct) kept terms: unlike a semi join it is not pushed
+    # below the aggregate, so both uses of ``per`` share one shuffle (exchange reuse)
+    return per.join(keep, "term")
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:

@@ -11,6 +11,7 @@ from fanin.operators import extract as EX
 from fanin.plans import sqlx as X
 from fanin.plans.q_search import Ctx
 from fanin.plans.registry import register
+from fanin.session import spread
 from fanin.sources import fixtures as fx
 
 P = CA.ResolveParams()
@@ -114,18 +115,18 @@ def q_title_cascade(spark, sf):
 
 @register("extract_text", fx.duckdb_with("pg") + f"SELECT page_id, {X.extract_text('html')} AS text FROM pg")
 def q_extract_text(spark, sf):
-    return Ctx(spark, sf).v("pg").select("page_id", H.extract_text("html").alias("text"))
+    return spread(Ctx(spark, sf).v("pg")).select("page_id", H.extract_text("html").alias("text"))
 
 
 @register("extract_markdown", fx.duckdb_with("pg") + f"SELECT page_id, {X.extract_markdown('html')} AS markdown FROM pg")
 def q_extract_markdown(spark, sf):
-    return Ctx(spark, sf).v("pg").select("page_id", H.extract_markdown("html").alias("markdown"))
+    return spread(Ctx(spark, sf).v("pg")).select("page_id", H.extract_markdown("html").alias("markdown"))
 
 
 @register("markdown_to_text", fx.duckdb_with("pg") +
           f"SELECT page_id, {X.markdown_to_text(X.extract_markdown('html'))} AS text FROM pg")
 def q_markdown_to_text(spark, sf):
-    return Ctx(spark, sf).v("pg").select("page_id", H.markdown_to_text(H.extract_markdown("html")).alias("text"))
+    return spread(Ctx(spark, sf).v("pg")).select("page_id", H.markdown_to_text(H.extract_markdown("html")).alias("text"))
 
 
 @register("page_metadata", fx.duckdb_with("captures") + f"""
@@ -133,7 +134,7 @@ SELECT url, tier, {X.meta_title('html')} AS title, {X.meta_field('html', 'author
        {X.meta_field('html', 'description')} AS description, {X.meta_field('html', 'sitename')} AS sitename,
        {X.meta_language('html')} AS language FROM captures""")
 def q_page_metadata(spark, sf):
-    return Ctx(spark, sf).v("captures").select("url", "tier", H.page_metadata("html").alias("m")).select(
+    return spread(Ctx(spark, sf).v("captures")).select("url", "tier", H.page_metadata("html").alias("m")).select(
         "url", "tier", "m.*")
 
 

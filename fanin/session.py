@@ -57,3 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def spread(df):
+    """Round-robin a frame over the cluster's cores before CPU-heavy row work, but only
+    when it has fewer partitions than cores (a small single-file input); a large
+    input is left as it is, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
