@@ -244,11 +244,11 @@ def q_canonical_url(spark, sf):
     return FU.with_canonical(urls, "url")
 
 
-@register("source_priority", fx.duckdb_with("source_outcomes") +
+@register("source_priority", fx.duckdb_with("serp_outcomes") +
           "SELECT query_id, source, outcome, CAST(CASE source WHEN 'a' THEN 0 WHEN 'b' THEN 1 END AS INT) AS priority "
-          "FROM source_outcomes WHERE source IN ('a', 'b')")
+          "FROM serp_outcomes WHERE source IN ('a', 'b')")
 def q_source_priority(spark, sf):
-    return FU.source_priority(Ctx(spark, sf).v("source_outcomes"), PARAMS)
+    return FU.source_priority(Ctx(spark, sf).v("serp_outcomes"), PARAMS)
 
 
 @register("fuse_dedupe", search_sql("dedup", "SELECT query_id, source, raw_rank, href, canonical_url, priority FROM dedup"))
@@ -264,25 +264,13 @@ def q_search_urls(spark, sf):
     return searched(Ctx(spark, sf)).select("query_id", "rank", "source", "raw_rank", "href", "title", "body")
 
 
-@register("sources_used", fx.duckdb_with("source_outcomes") + """
+@register("sources_used", fx.duckdb_with("serp_outcomes") + """
 SELECT query_id,
        coalesce(string_agg(source, ',' ORDER BY array_position(['a', 'b', 'unlisted'], source)) FILTER (WHERE outcome = 'ok'), '') AS sources_used,
        coalesce(string_agg(source, ',' ORDER BY array_position(['a', 'b', 'unlisted'], source)) FILTER (WHERE outcome <> 'ok'), '') AS sources_failed
-FROM source_outcomes GROUP BY query_id""")
+FROM serp_outcomes GROUP BY query_id""")
 def q_sources_used(spark, sf):
-    return FU.sources_used(Ctx(spark, sf).v("source_outcomes"), REQUESTED)
-
-
-@register("all_failed", search_sql("fused", """
-SELECT q.query_id, CASE WHEN f.query_id IS NOT NULL THEN 'ok' WHEN b.failed IS NOT NULL THEN 'error' ELSE 'empty' END AS status,
-       CASE WHEN f.query_id IS NULL AND b.failed IS NOT NULL THEN 'all search sources failed: ' || b.failed END AS error
-FROM (SELECT DISTINCT query_id FROM source_outcomes) q
-LEFT JOIN (SELECT DISTINCT query_id FROM fused) f ON f.query_id = q.query_id
-LEFT JOIN (SELECT query_id, string_agg(DISTINCT source, ', ' ORDER BY source) AS failed FROM source_outcomes
-           WHERE outcome <> 'ok' GROUP BY query_id) b ON b.query_id = q.query_id"""))
-def q_all_failed(spark, sf):
-    c = Ctx(spark, sf)
-    return FU.all_failed(searched(c), c.v("source_outcomes"))
+    return FU.sources_used(Ctx(spark, sf).v("serp_outcomes"), REQUESTED)
 
 
 # ---- fusion at bench scale over serp_big -----------------------------------
@@ -311,3 +299,24 @@ def serp_ctes(n: str, params: FusionParams = PARAMS, sfx: str = "") -> list[tupl
 @register("fuse_interleave_topk", serp_sql(SERP_N, "SELECT query_id, rank, source, raw_rank, href FROM fused"))
 def q_fuse_interleave_topk(spark, sf):
     return serp_fused(spark, sf).select("query_id", "rank", "source", "raw_rank", "href")
+
+
+def _all_failed_sql() -> str:
+    ctes = [("oksrc", "SELECT s.* FROM serp_big s WHERE EXISTS (SELECT 1 FROM serp_outcomes o WHERE o.query_id = s.query_id "
+                      "AND o.source = s.source AND o.outcome = 'ok')")]
+    ctes += [(n, q.replace("FROM serp_big", "FROM oksrc")) for n, q in serp_ctes(str(SERP_N))]
+    return fx.duckdb_with("serp_big", "serp_outcomes", ctes=ctes) + """
+SELECT q.query_id, CASE WHEN f.query_id IS NOT NULL THEN 'ok' WHEN b.failed IS NOT NULL THEN 'error' ELSE 'empty' END AS status,
+       CASE WHEN f.query_id IS NULL AND b.failed IS NOT NULL THEN 'all search sources failed: ' || b.failed END AS error
+FROM (SELECT DISTINCT query_id FROM serp_outcomes) q
+LEFT JOIN (SELECT DISTINCT query_id FROM fused) f ON f.query_id = q.query_id
+LEFT JOIN (SELECT query_id, string_agg(DISTINCT source, ', ' ORDER BY source) AS failed FROM serp_outcomes
+           WHERE outcome <> 'ok' GROUP BY query_id) b ON b.query_id = q.query_id"""
+
+
+@register("all_failed", _all_failed_sql())
+def q_all_failed(spark, sf):
+    c = Ctx(spark, sf)
+    outcomes = c.v("serp_outcomes")
+    fused = FU.fuse(c.v("serp_big"), n=SERP_N, outcomes=outcomes, params=PARAMS)
+    return FU.all_failed(fused, outcomes)

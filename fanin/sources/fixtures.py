@@ -105,6 +105,13 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents}) t""",
 SELECT p.url, d.page_no, d.text
 FROM {pdf_pages} d JOIN {pg} p ON p.page_id = d.doc_id
 WHERE p.page_id % 13 = 0 AND p.page_id % 2 = 0""",
+    # Outcome of each source call for every serp_big query (about 1 in 8 calls fails or is skipped).
+    "serp_outcomes": """
+SELECT query_id, source,
+       CASE substr(md5(concat(query_id, source)), 1, 1) WHEN '0' THEN 'error' WHEN '1' THEN 'skipped' ELSE 'ok' END AS outcome
+FROM (SELECT query_id, 'a' AS source FROM (SELECT DISTINCT concat('q', CAST(l_partkey AS STRING)) AS query_id FROM {lineitem}) q
+      UNION ALL SELECT query_id, 'b' FROM (SELECT DISTINCT concat('q', CAST(l_partkey AS STRING)) AS query_id FROM {lineitem}) q
+      UNION ALL SELECT query_id, 'unlisted' FROM (SELECT DISTINCT concat('q', CAST(l_partkey AS STRING)) AS query_id FROM {lineitem}) q) s""",
     # Attempt log per URL for the retry frontier.
     "fetch_attempts": """
 SELECT event_id, concat('https://h', CAST(user_id % 7 AS STRING), '.example.com/p/', CAST(user_id AS STRING)) AS url,
