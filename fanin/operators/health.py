@@ -126,8 +126,10 @@ def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     s = s.checkpoint(eager=True)   # read five times below; also cuts lineage
     rows = s.select(key, F.col(ts).alias("ts"), F.col(rid).alias("rid"))
     flagged = s.filter("_flag").select(key, F.col(ts).alias("ts"), F.col(rid).alias("rid"))
+    # first attempt at or after ts + cooldown; with no cool-down, strictly after the opening itself
+    open_r = F.lit(LONG_MIN).cast("bigint") if cd_us > 0 else F.col(rid)
     after_open = next_after(rows, s.filter(~F.col(ok)).select(
-        key, F.col(rid).alias("pid"), (F.col(ts) + F.lit(cd_us)).alias("t"), F.lit(LONG_MIN).cast("bigint").alias("r")),
+        key, F.col(rid).alias("pid"), (F.col(ts) + F.lit(cd_us)).alias("t"), open_r.alias("r")),
         key, ch)
     after_reset = next_after(flagged, s.filter(F.col(ok)).select(
         key, F.col(rid).alias("pid"), F.col(ts).alias("t"), F.col(rid).alias("r")), key, ch)

@@ -62,6 +62,17 @@ def test_ttl_replay_random_matches_fold(spark, chunking):
         assert [got[r[0]] for r in seq] == exp, k
 
 
+def test_breaker_without_cooldown_and_threshold_one(spark):
+    rng = random.Random(2)
+    rows = _random_log(rng, ["a", "b"], 200, 50_000, p_ok=0.5)
+    rows += [(1000 + i, "a", 777_000, False) for i in range(3)]      # ties in time
+    df = spark.createDataFrame(rows, ATT)
+    for th, cd in ((1, 0.0), (2, 0.0), (1, 0.002)):
+        got = {r.event_id: r.allowed for r in HE.breaker_replay(df, params=BreakerParams(th, cd)).collect()}
+        for k, seq in _by_key(rows).items():
+            assert [got[r[0]] for r in seq] == ref_breaker([(r[2], r[3]) for r in seq], th, int(cd * 1_000_000)), (th, cd, k)
+
+
 def test_ttl_negative_means_always_miss(spark):
     df = spark.createDataFrame([(1, "k", 0), (2, "k", 0)], "event_id long, req_key string, ts_us long")
     assert not any(r.hit for r in ME.ttl_replay(df, ttl_s=-1).collect())
