@@ -118,8 +118,9 @@ def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     cd_us = int(params.cooldown_s * US)
     if chunk_us is not None:
         ch = chunk_us
-    else:   # one per-key table for every scan below; probes reach past a key's last row
-        ch = chunk_table(attempts, key, ts, target_rows)
+    else:   # one per-key table (a row per key) for every scan below, written once
+        ensure_checkpoint_dir(attempts.sparkSession)
+        ch = chunk_table(attempts, key, ts, target_rows).checkpoint(eager=True)
     s = failure_streaks(attempts, key, ts, rid, ok, chunks=ch).withColumn(
         "_flag", ~F.col(ok) & (F.col("streak") == params.threshold))
     ensure_checkpoint_dir(s.sparkSession)

@@ -9,7 +9,7 @@ from fanin.operators import report as RE
 from fanin.params import FusionParams
 from fanin.plans import sqlx as X
 from fanin.plans.q_capture import resolve_ctes, resolved
-from fanin.plans.q_search import PARAMS, REQUESTED, SEARCH_VIEWS, Ctx, search_ctes, searched, serp_ctes, serp_fused
+from fanin.plans.q_search import REQUESTED, SEARCH_VIEWS, Ctx, search_ctes, searched, serp_ctes, serp_fused
 from fanin.plans.registry import register
 from fanin.sources import fixtures as fx
 
