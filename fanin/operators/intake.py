@@ -107,15 +107,18 @@ def time_range_cutoffs(as_of_us: int) -> dict[str, int]:
             "m": months_back(as_of_us, 1), "y": months_back(as_of_us, 12)}
 
 
-def time_range_filter(results: DataFrame, requests: DataFrame, as_of_us: int,
-                      published: str = "published_us") -> DataFrame:
+def time_range_filter(results: DataFrame, requests: DataFrame | None, as_of_us: int,
+                      published: str = "published_us", time_range: str | None = None) -> DataFrame:
     """Row 12: keep results published within the query's range before ``as_of``.
 
-    '' keeps everything (undated too); a set range drops undated rows.  The
-    cut-offs are constants, so the comparison reaches the scan when the range
-    is fixed.
+    '' keeps everything (undated too); a set range drops undated rows.  With
+    one ``time_range`` for the whole call the test is a comparison with a
+    constant, which Parquet predicate pushdown takes to the scan; with
+    per-query ranges (``requests.time_range``) it follows a join on query_id.
     """
     cut = time_range_cutoffs(as_of_us)
+    if time_range is not None:
+        return results if time_range == "" else results.filter(F.col(published) >= F.lit(cut[time_range]))
     pub = F.col(published)
     tr = F.col("_tr")
     keep = F.when(tr == "", F.lit(True))

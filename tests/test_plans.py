@@ -29,3 +29,14 @@ def test_scan_reads_only_needed_columns(spark):
 def test_fusion_topk_is_partial_before_shuffle(spark):
     plan = _plan(queries()["fuse_interleave_topk"](spark, SF))
     assert plan.count("WindowGroupLimit") >= 1
+
+
+def test_fixed_time_range_reaches_the_scan(spark, tmp_path):
+    from fanin.operators.intake import time_range_filter
+    path = str(tmp_path / "res")
+    spark.createDataFrame([("q", 1, 10), ("q", 2, 20)], "query_id string, pos int, published_us long") \
+        .write.parquet(path)
+    df = time_range_filter(spark.read.parquet(path), None, as_of_us=86_400_000_000 + 15, time_range="d")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(published_us), GreaterThanOrEqual(published_us,15)]" in plan
+    assert [r.pos for r in df.collect()] == [2]
