@@ -123,7 +123,11 @@ def research(c: Ctx):
     from fanin.plans.q_capture import P
     from fanin.plans.q_memo import AS_OF, FMT, MAX_LEN, TTL, memo_keyed
 
-    fused = searched(c)
+    from fanin.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(c.spark)
+    # the fused lists (at most 200 rows per query) feed both the memo lookup and the
+    # report join: written once instead of computing the search twice
+    fused = searched(c).checkpoint(eager=True)
     wanted = fused.select(F.col("href").alias("url")).distinct().withColumn(
         "key", ME.fetch_key(F.col("url"), F.lit(FMT), F.lit(MAX_LEN)))
     split = ME.split(wanted, memo_keyed(c), AS_OF, TTL)
