@@ -63,5 +63,7 @@ def spread(df):
     """Round-robin a frame over the cluster's cores before CPU-heavy row work, but only
     when it has fewer partitions than cores (a small single-file input); a large
     input is left as it is, so no shuffle is added at scale."""
+    if df.isStreaming:       # a stream's partitions come from its source and trigger
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
