@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fanin.operators import capture as CA
+from fanin.operators import fuse as FU
 from fanin.operators import memo as ME
 from fanin.plans.q_capture import resolve_ctes, resolved
-from fanin.plans.q_search import PARAMS, Ctx
+from fanin.plans.q_search import PARAMS, SERP_N, Ctx, serp_ctes
+from fanin.session import scratch_path
+from fanin.sources.sinks import write_snapshot
 from fanin.plans.registry import register
 from fanin.sources import fixtures as fx
 
@@ -72,16 +75,40 @@ def q_memo_admit(spark, sf):
     return admitted(Ctx(spark, sf)).select("url", "key", "status", "content_length")
 
 
+@register("memo_admit_search", fx.duckdb_with("serp_big", "serp_outcomes", ctes=[
+    ("oksrc", "SELECT s.* FROM serp_big s WHERE EXISTS (SELECT 1 FROM serp_outcomes o WHERE o.query_id = s.query_id "
+              "AND o.source = s.source AND o.outcome = 'ok')")] + [(n, q.replace("FROM serp_big", "FROM oksrc")) for n, q in serp_ctes(str(SERP_N))]) + f"""
+SELECT q.query_id, sha256(concat_ws('|', 'search', q.query_id, '{SERP_N}', '', '{",".join(PARAMS.sources)}')) AS key,
+       CAST(coalesce(f.n, 0) AS BIGINT) AS n_results
+FROM (SELECT DISTINCT query_id FROM serp_outcomes) q
+LEFT JOIN (SELECT query_id, count(*) AS n FROM fused GROUP BY query_id) f ON f.query_id = q.query_id
+WHERE f.query_id IS NOT NULL OR q.query_id NOT IN (SELECT query_id FROM serp_outcomes WHERE outcome <> 'ok')""")
+def q_memo_admit_search(spark, sf):
+    """Row 36, searches: every result set that did not error is remembered, empty or partial ones too."""
+    c = Ctx(spark, sf)
+    outcomes = c.v("serp_outcomes")
+    fused = FU.fuse(c.v("serp_big"), n=SERP_N, outcomes=outcomes, params=PARAMS)
+    admitted = ME.admit_searches(FU.all_failed(fused, outcomes))
+    counts = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"))
+    return (admitted.join(counts, "query_id", "left")
+            .select("query_id", ME.search_key("query_id", F.lit(SERP_N), F.lit(""), PARAMS.sources).alias("key"),
+                    F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results")))
+
+
 @register("memo_upsert", with_resolve(ADM) + f"""
 SELECT key, ts_us, status, CAST(length(content) AS BIGINT) AS content_length FROM (
   SELECT key, ts_us, status, content, 0 AS gen FROM mk
   UNION ALL SELECT key, {AS_OF} AS ts_us, status, content, 1 AS gen FROM admitted) u
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY coalesce(ts_us, 0) DESC, gen DESC) = 1""")
 def q_memo_upsert(spark, sf):
+    """Row 37: last write per key wins; the next memo snapshot goes to a new folder and is read back."""
     c = Ctx(spark, sf)
     new = admitted(c).select("key", "url", F.lit(AS_OF).cast("bigint").alias("ts_us"), "status", "content")
     up = ME.upsert(memo_keyed(c), new)
-    return up.select("key", "ts_us", "status", F.length("content").cast("bigint").alias("content_length"))
+    path = scratch_path(spark, "memo-snapshot")
+    write_snapshot(up, path)
+    snap = spark.read.schema(up.schema).parquet(path)
+    return snap.select("key", "ts_us", "status", F.length("content").cast("bigint").alias("content_length"))
 
 
 @register("memo_prune", fx.duckdb_with("memo", ctes=[MK]) +
