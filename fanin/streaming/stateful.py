@@ -1,7 +1,9 @@
 """Streaming forms of the TTL replay and the circuit breaker.
 
-Both are per-key folds over event time with a small state per key
-(``applyInPandasWithState``).  Inside a micro-batch a key's rows are sorted
+Both are per-key folds over event time with a small state per key:
+``transformWithStateInPandas`` (value state; the TTL entry is dropped by an
+event-time timer at ``stamp + ttl``), or ``applyInPandasWithState`` with
+``api="apply"``.  Inside a micro-batch a key's rows are sorted
 by ``(ts, id)`` before the fold; across batches the fold continues from the
 stored state.  For input that arrives in event-time order this equals the
 batch replays in ``fanin.operators.memo.ttl_replay`` and
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fanin.params import BreakerParams
@@ -33,9 +36,99 @@ BREAKER_OUT = "event_id long, source string, ts_us long, allowed boolean, opened
 BREAKER_STATE = "fails long, open_until_us long"
 
 
-def ttl_dedupe_stream(log: DataFrame, ttl_s: int, watermark: str = "1 day") -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _ttl_fold(pdf: pd.DataFrame, stamp: int | None, ttl_us: int) -> tuple[list[bool], int | None]:
+    hits = []
+    for t in pdf["ts_us"].to_numpy():
+        if stamp is not None and not (t - stamp > ttl_us):
+            hits.append(True)
+        else:
+            stamp = int(t)
+            hits.append(False)
+    return hits, stamp
+
+
+def _breaker_fold(pdf: pd.DataFrame, fails: int, until: int | None, th: int, cd_us: int):
+    allowed, opened = [], []
+    for t, ok in zip(pdf["ts_us"].to_numpy(), pdf["ok"].to_numpy()):
+        if until is not None and t < until:
+            allowed.append(False)
+            opened.append(False)
+            continue
+        allowed.append(True)
+        if ok:
+            fails, until = 0, None
+            opened.append(False)
+        else:
+            fails += 1
+            if fails >= th:
+                until = int(t) + cd_us
+            opened.append(bool(fails >= th))
+    return allowed, opened, fails, until
+
+
+class TtlProcessor(StatefulProcessor):
+    """Value state: the stamp of the last miss; a timer at ``stamp + ttl`` clears it."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stamp = handle.getValueState("stamp", TTL_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stamp = self.stamp.get()[0] if self.stamp.exists() else None
+        pdf = pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="stable")
+        hits, stamp = _ttl_fold(pdf, stamp, self.ttl_us)
+        self.stamp.update((stamp,))
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((stamp + self.ttl_us) // 1000 + 1)
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "req_key": key[0],
+                            "ts_us": pdf["ts_us"].to_numpy(), "hit": hits})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.stamp.clear()      # no on-time request can hit this entry any more
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class BreakerProcessor(StatefulProcessor):
+    """Value state: consecutive failures and open-until; cleared when closed with nothing counted."""
+
+    def __init__(self, threshold: int, cooldown_us: int):
+        self.th, self.cd_us = threshold, cooldown_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("breaker", BREAKER_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fails, until = self.state.get() if self.state.exists() else (0, None)
+        pdf = pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="stable")
+        allowed, opened, fails, until = _breaker_fold(pdf, fails, until, self.th, self.cd_us)
+        if fails == 0 and until is None:
+            self.state.clear()
+        else:
+            self.state.update((int(fails), until))
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "source": key[0], "ts_us": pdf["ts_us"].to_numpy(),
+                            "allowed": allowed, "opened": opened})
+
+    def close(self) -> None:
+        pass
+
+
+def ttl_dedupe_stream(log: DataFrame, ttl_s: int, watermark: str = "1 day", api: str = "transform") -> DataFrame:
     """Row 42: streaming ``(event_id, req_key, ts_us, ts)`` -> the same rows with ``hit``."""
     ttl_us = ttl_s * US
+    if api == "transform":
+        return (log.withWatermark("ts", watermark).groupBy("req_key")
+                .transformWithStateInPandas(TtlProcessor(ttl_us), TTL_OUT, "Append", "EventTime"))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,13 +136,7 @@ def ttl_dedupe_stream(log: DataFrame, ttl_s: int, watermark: str = "1 day") -> D
             return
         stamp = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches)).sort_values(["ts_us", "event_id"], kind="stable")
-        hits = []
-        for t in pdf["ts_us"].to_numpy():
-            if stamp is not None and not (t - stamp > ttl_us):
-                hits.append(True)
-            else:
-                stamp = int(t)
-                hits.append(False)
+        hits, stamp = _ttl_fold(pdf, stamp, ttl_us)
         expiry_ms = (stamp + ttl_us) // 1000 + 1
         if expiry_ms > state.getCurrentWatermarkMs():
             state.update((stamp,))
@@ -63,9 +150,13 @@ def ttl_dedupe_stream(log: DataFrame, ttl_s: int, watermark: str = "1 day") -> D
             .applyInPandasWithState(fold, TTL_OUT, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
-def breaker_stream(attempts: DataFrame, params: BreakerParams = BreakerParams(), watermark: str = "1 day") -> DataFrame:
+def breaker_stream(attempts: DataFrame, params: BreakerParams = BreakerParams(), watermark: str = "1 day",
+                   api: str = "transform") -> DataFrame:
     """Row 45: streaming ``(event_id, source, ts_us, ok, ts)`` -> ``allowed`` / ``opened`` per attempt."""
     th, cd_us = params.threshold, int(params.cooldown_s * US)
+    if api == "transform":
+        return (attempts.withWatermark("ts", watermark).groupBy("source")
+                .transformWithStateInPandas(BreakerProcessor(th, cd_us), BREAKER_OUT, "Append", "EventTime"))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -73,21 +164,7 @@ def breaker_stream(attempts: DataFrame, params: BreakerParams = BreakerParams(),
             return
         fails, until = state.get if state.exists else (0, None)
         pdf = pd.concat(list(batches)).sort_values(["ts_us", "event_id"], kind="stable")
-        allowed, opened = [], []
-        for t, ok in zip(pdf["ts_us"].to_numpy(), pdf["ok"].to_numpy()):
-            if until is not None and t < until:
-                allowed.append(False)
-                opened.append(False)
-                continue
-            allowed.append(True)
-            if ok:
-                fails, until = 0, None
-                opened.append(False)
-            else:
-                fails += 1
-                if fails >= th:
-                    until = int(t) + cd_us
-                opened.append(bool(fails >= th))
+        allowed, opened, fails, until = _breaker_fold(pdf, fails, until, th, cd_us)
         if fails == 0 and until is None:
             state.remove()          # closed and nothing counted: same as no state
         else:
@@ -101,11 +178,23 @@ def breaker_stream(attempts: DataFrame, params: BreakerParams = BreakerParams(),
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything available now into a Parquet table in the shared
-    checkpoint folder (fresh sink and checkpoint per run) and read it back."""
+    checkpoint folder (fresh sink and checkpoint per run) and read it back.
+
+    ``transformWithState`` needs the RocksDB state store; when the session names
+    no provider, it is set for this query's start only (a query keeps the
+    provider it started with) and the setting is restored afterwards.
+    """
     base = scratch_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
+    before = spark.conf.get(PROVIDER_CONF, None)
+    if before is None:
+        spark.conf.set(PROVIDER_CONF, ROCKSDB)
+    try:
+        q = (stream.writeStream.format("parquet").outputMode("append")
+             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start())
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER_CONF)
     q.awaitTermination()
     schema = stream.schema
     return spark.read.schema(schema).parquet(f"{base}/out")

@@ -12,7 +12,11 @@ from fanin.streaming import stateful as ST
 SF = "/root/testdata/sf0.001"
 
 
-def test_multi_batch_parity_with_batch_replays(spark):
+import pytest
+
+
+@pytest.mark.parametrize("api", ["transform", "apply"])
+def test_multi_batch_parity_with_batch_replays(spark, api):
     ev = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id")
     src = tempfile.mkdtemp(prefix="fanin-stream-src-")
     # several files in event-time order, written one after another (the file source
@@ -33,7 +37,7 @@ def test_multi_batch_parity_with_batch_replays(spark):
     src = flat
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     log = ST.with_ts(stream.select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type").alias("req_key"), "ts"))
-    got = ST.run_to_table(spark, ST.ttl_dedupe_stream(log, 21600), "t-ttl")
+    got = ST.run_to_table(spark, ST.ttl_dedupe_stream(log, 21600, api=api), "t-ttl")
     batch_log = ST.with_ts(ev.select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type").alias("req_key"), "ts"))
     exp = ME.ttl_replay(batch_log.select("event_id", "req_key", "ts_us"), 21600)
     assert got.select("event_id", "hit").exceptAll(exp.select("event_id", "hit")).count() == 0
@@ -42,7 +46,7 @@ def test_multi_batch_parity_with_batch_replays(spark):
     att_stream = ST.with_ts(stream.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"),
                                           "ts", (F.col("event_type") != "error").alias("ok")))
     p = BreakerParams(threshold=2, cooldown_s=86400)
-    got_b = ST.run_to_table(spark, ST.breaker_stream(att_stream, p), "t-br")
+    got_b = ST.run_to_table(spark, ST.breaker_stream(att_stream, p, api=api), "t-br")
     att = ST.with_ts(ev.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), "ts",
                                (F.col("event_type") != "error").alias("ok")))
     exp_b = HE.breaker_replay(att.select("event_id", "source", "ts_us", "ok"), params=p)
