@@ -76,8 +76,11 @@ def fuse(results: DataFrame, n: int | Column | None = None, requests: DataFrame
         df = drop_failed_sources(df, outcomes)
     df = fuse_dedupe(with_canonical(source_priority(df, params)))
     if requests is not None:
-        df = df.join(requests.select("query_id", F.col("num_results").alias("_n")), "query_id")
-        return fuse_interleave_topk(df, F.col("_n")).drop("_n")
+        # top-200 first (partial limit before the shuffle), then each query's own n:
+        # the join with the requests sees at most 200 rows per query
+        top = fuse_interleave_topk(df, MAX_NUM_RESULTS)
+        return (top.join(requests.select("query_id", F.col("num_results").alias("_n")), "query_id")
+                .filter(F.col("rank") <= F.col("_n")).drop("_n"))
     return fuse_interleave_topk(df, MAX_NUM_RESULTS if n is None else n)
 
 

@@ -18,15 +18,15 @@ RESULT_COLUMNS = ("query_id", "source", "raw_rank", "href", "title", "body", "en
 def _rank_and_cap(df: DataFrame, order: str, requests: DataFrame, cap: Column | None = None) -> DataFrame:
     """0-based rank per query by ``order``; keep the first n (n per query).
 
-    The constant pre-filter lets Catalyst plan a ``WindowGroupLimit``, a
-    partial top-k before the shuffle, so a query with a huge raw list only
-    sends ``MAX_NUM_RESULTS`` rows per map partition.
+    The constant cut comes first, so Catalyst plans a ``WindowGroupLimit`` (a
+    partial top-k before the shuffle: a query with a huge raw list sends at
+    most ``MAX_NUM_RESULTS`` rows per map partition); the join with the
+    requests for each query's own n then sees at most that many rows.
     """
     n = F.col("num_results") if cap is None else cap
     w = Window.partitionBy("query_id").orderBy(order)
-    return (df.join(requests.select("query_id", "num_results"), "query_id")
-            .withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= MAX_NUM_RESULTS)
+    top = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= MAX_NUM_RESULTS)
+    return (top.join(requests.select("query_id", "num_results"), "query_id")
             .filter(F.col("_rn") <= n)
             .withColumn("raw_rank", (F.col("_rn") - 1).cast("int"))
             .drop("_rn", "num_results"))
