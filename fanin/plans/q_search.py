@@ -129,18 +129,20 @@ def search_ctes(upto: str) -> list[tuple[str, str]]:
     return ctes[: names.index(upto) + 1]
 
 
-def fusion_ctes(src: str, n: str) -> list[tuple[str, str]]:
-    """Priority, canonical URL, dedupe, interleave.  ``n``: 'n_req' (per query) or a number."""
-    prio = " ".join(f"WHEN '{s}' THEN {i}" for s, i in PARAMS.priority_pairs())
-    listed = ", ".join(f"'{s}'" for s in PARAMS.sources)
+def fusion_ctes(src: str, n: str, params: FusionParams = PARAMS, sfx: str = "") -> list[tuple[str, str]]:
+    """Priority, canonical URL, dedupe, interleave as CTEs named prio{sfx} ... fused{sfx}.
+
+    ``n``: 'n_req' (each query's num_results) or a number."""
+    prio = " ".join(f"WHEN '{s}' THEN {i}" for s, i in params.priority_pairs())
+    listed = ", ".join(f"'{s}'" for s in params.sources)
     limit = ("JOIN search_requests q USING (query_id) WHERE rank <= q.num_results" if n == "n_req"
              else f"WHERE rank <= {n}")
     return [
-        ("prio", f"SELECT *, CAST(CASE source {prio} END AS INT) AS priority FROM {src} WHERE source IN ({listed})"),
-        ("canon", X.canonical_rel("SELECT * FROM prio", "href")),
-        ("dedup", "SELECT * FROM canon QUALIFY row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY raw_rank, priority) = 1"),
-        ("ranked", "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw_rank, priority) AS BIGINT) AS rank FROM dedup"),
-        ("fused", f"SELECT r.* FROM ranked r {limit}"),
+        (f"prio{sfx}", f"SELECT *, CAST(CASE source {prio} END AS INT) AS priority FROM {src} WHERE source IN ({listed})"),
+        (f"canon{sfx}", X.canonical_rel(f"SELECT * FROM prio{sfx}", "href")),
+        (f"dedup{sfx}", f"SELECT * FROM canon{sfx} QUALIFY row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY raw_rank, priority) = 1"),
+        (f"ranked{sfx}", f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw_rank, priority) AS BIGINT) AS rank FROM dedup{sfx}"),
+        (f"fused{sfx}", f"SELECT r.* FROM ranked{sfx} r {limit}"),
     ]
 
 
@@ -285,15 +287,7 @@ def serp_sql(n: int, final: str, params: FusionParams = PARAMS) -> str:
 
 def serp_ctes(n: str, params: FusionParams = PARAMS, sfx: str = "") -> list[tuple[str, str]]:
     """Fusion of serp_big as CTEs named prio{sfx} ... fused{sfx}."""
-    prio = " ".join(f"WHEN '{s}' THEN {i}" for s, i in params.priority_pairs())
-    listed = ", ".join(f"'{s}'" for s in params.sources)
-    return [
-        (f"prio{sfx}", f"SELECT *, CAST(CASE source {prio} END AS INT) AS priority FROM serp_big WHERE source IN ({listed})"),
-        (f"canon{sfx}", X.canonical_rel(f"SELECT * FROM prio{sfx}", "href")),
-        (f"dedup{sfx}", f"SELECT * FROM canon{sfx} QUALIFY row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY raw_rank, priority) = 1"),
-        (f"ranked{sfx}", f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw_rank, priority) AS BIGINT) AS rank FROM dedup{sfx}"),
-        (f"fused{sfx}", f"SELECT r.* FROM ranked{sfx} r WHERE rank <= {n}"),
-    ]
+    return fusion_ctes("serp_big", n, params, sfx)
 
 
 @register("fuse_interleave_topk", serp_sql(SERP_N, "SELECT query_id, rank, source, raw_rank, href FROM fused"))
