@@ -36,6 +36,10 @@ def _steps(markdown: bool) -> list[tuple[str, str]]:
 
 
 TIDY_STEPS = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")]
+# Java's engine backtracks: a run of blanks not followed by a newline would be
+# rescanned from every position in it (quadratic).  The same patterns, allowed
+# to start only where a run starts, are linear; RE2 (the oracle) is linear as is.
+JAVA_FORM = {r"[ \t]+\n": r"(?<![ \t])[ \t]+\n", r"\n{3,}": r"(?<!\n)\n{3,}"}
 # Markdown marks at line starts, dropped in text mode (may eat the newline).
 MD_NOISE_RE2 = r"(?m)^[#>*_`~\-]{1,6}" + WS_CLASS + "*"
 MD_NOISE_JAVA = "(?d)" + MD_NOISE_RE2
@@ -51,7 +55,7 @@ def markdown_steps() -> list[tuple[str, str]]:
 
 def _apply(c: Column, steps: list[tuple[str, str]]) -> Column:
     for pat, rep in steps:
-        c = F.regexp_replace(c, pat, rep)
+        c = F.regexp_replace(c, JAVA_FORM.get(pat, pat), rep)
     return c
 
 

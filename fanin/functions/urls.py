@@ -85,7 +85,7 @@ def canonical_url(url: Column | str) -> Column:
     """
     s = pystrip(url)
     p = url_parts(s)
-    path = F.regexp_replace(p.path, r"/+\z", "")
+    path = F.regexp_replace(p.path, r"(?<!/)/+\z", "")
     path = F.when(path == "", F.lit("/")).otherwise(path)
     netloc_form = F.concat(F.lit("//"), F.lower(p.netloc), path)
     uses_netloc = F.array(*[F.lit(x) for x in USES_NETLOC])
@@ -156,7 +156,7 @@ def with_canonical_url(df: DataFrame, url: str = "href", out: str = "canonical_u
     p = "_cu_"
     s = df.select("*", pystrip(url).alias(f"{p}s"))
     d = _staged_parts(s, F.col(f"{p}s"), p)
-    path = F.regexp_replace(F.col(f"{p}path"), r"/+\z", "")
+    path = F.regexp_replace(F.col(f"{p}path"), r"(?<!/)/+\z", "")
     d = d.select("*", F.when(path == "", F.lit("/")).otherwise(path).alias(f"{p}p2"),
                  _drop_tracking(F.col(f"{p}query")).alias(f"{p}q2"))
     path, scheme, netloc, q = F.col(f"{p}p2"), F.col(f"{p}scheme"), F.col(f"{p}netloc"), F.col(f"{p}q2")

@@ -60,3 +60,8 @@ def test_assemble_pages_drops_blank_pages(spark):
                                   "doc_id long, page_no int, text string")
     out = {r.doc_id: r.text for r in EX.assemble_pages(pages).collect()}
     assert out == {1: "first\n\nthird"}
+
+
+def test_long_blank_runs(spark):
+    html = "<p>a" + " " * 50000 + "b" + " " * 30000 + "\n\n\n\n" + "c</p>"
+    assert _one(spark, html, H.extract_text) == "a" + " " * 50000 + "b\n\nc"
