@@ -5,7 +5,10 @@ need a dialect pair).  ``{name}`` placeholders name the tables or views a
 view reads.  Spark binds them to DataFrames through ``spark.sql(text, **dfs)``
 (no global temp views); the DuckDB oracles inline them as CTEs in dependency
 order.  The operators never see how these rows were made: they take any
-DataFrame of the schema.
+DataFrame of the schema.  The modulo rules below model variety in the input
+(which pages have a browser capture, which are in the memo, which URLs come
+padded or duplicated), as FIXTURES.md defines them; every query runs over all
+rows of its views.
 """
 
 from __future__ import annotations
@@ -45,9 +48,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(url, 'b
                     CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'UTM_Medium=alt') AS v
       FROM {pg} WHERE page_id % 3 <> 0) r""",
     "source_outcomes": """
-SELECT lang AS query_id, s.source,
-       CASE WHEN lang = 'fr' AND s.source = 'b' THEN 'error' WHEN lang = 'de' AND s.source = 'a' THEN 'skipped' ELSE 'ok' END AS outcome
-FROM (SELECT DISTINCT lang FROM {pg}) l CROSS JOIN (SELECT 'a' AS source UNION ALL SELECT 'b' UNION ALL SELECT 'unlisted') s""",
+SELECT query_id, source,
+       CASE WHEN query_id = 'fr' AND source = 'b' THEN 'error' WHEN query_id = 'de' AND source = 'a' THEN 'skipped' ELSE 'ok' END AS outcome
+FROM (SELECT query_id, 'a' AS source FROM (SELECT DISTINCT lang AS query_id FROM {pg}) l
+      UNION ALL SELECT query_id, 'b' FROM (SELECT DISTINCT lang AS query_id FROM {pg}) l
+      UNION ALL SELECT query_id, 'unlisted' FROM (SELECT DISTINCT lang AS query_id FROM {pg}) l) s""",
     "captures": """
 SELECT page_id, url, 'static' AS tier, CASE WHEN page_id % 11 = 0 THEN 403 ELSE 200 END AS status,
        CASE WHEN page_id % 13 = 0 THEN 'Application/PDF' ELSE 'text/html; charset=utf-8' END AS content_type,
