@@ -18,7 +18,9 @@ P = CA.ResolveParams()
 
 
 def resolved(c: Ctx):
-    return CA.resolve(c.v("captures"), c.v("pdf_capture_pages"), P)
+    """The bulk scrape call (``fanin.api.scrape``) over the fixture captures."""
+    from fanin import api
+    return api.scrape(c.v("captures"), c.v("pdf_capture_pages"), P)
 
 
 # ---- DuckDB: the same resolution as CTEs --------------------------------------

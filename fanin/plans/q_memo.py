@@ -131,4 +131,5 @@ SELECT count(*) AS entries, CAST(coalesce(sum(strlen(coalesce(content, ''))), 0)
        coalesce(max(CAST({AS_OF} - ts_us AS DOUBLE) / CAST(1000000 AS DOUBLE)), 0.0) AS oldest_age_s,
        coalesce(min(CAST({AS_OF} - ts_us AS DOUBLE) / CAST(1000000 AS DOUBLE)), 0.0) AS newest_age_s FROM mk""")
 def q_memo_stats(spark, sf):
-    return ME.stats(memo_keyed(Ctx(spark, sf)), AS_OF)
+    from fanin import api
+    return api.engine_status(memo_keyed(Ctx(spark, sf)), AS_OF)

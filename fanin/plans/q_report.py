@@ -116,35 +116,13 @@ def q_result_set_diff(spark, sf):
 # ---- the whole research call: search, memo before work, resolve misses, report ----
 
 def research(c: Ctx):
-    """Fused results -> fetch keys -> memo split; only misses are resolved from the captures;
-    hits come from the memo; report rows carry ``cached``."""
-    from fanin.operators import capture as CA
-    from fanin.operators import memo as ME
+    """The bulk research call (``fanin.api.web_research``): fused results, memo split, only
+    misses resolved from the captures, hits from the memo, report rows with ``cached``."""
+    from fanin import api
     from fanin.plans.q_capture import P
-    from fanin.plans.q_memo import AS_OF, FMT, MAX_LEN, TTL, memo_keyed
-
-    from fanin.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(c.spark)
-    # the fused lists (at most 200 rows per query) feed both the memo lookup and the
-    # report join: written once instead of computing the search twice
-    fused = searched(c).checkpoint(eager=True)
-    wanted = fused.select(F.col("href").alias("url")).distinct().withColumn(
-        "key", ME.fetch_key(F.col("url"), F.lit(FMT), F.lit(MAX_LEN)))
-    split = ME.split(wanted, memo_keyed(c), AS_OF, TTL)
-    misses = split.filter(~F.col("cached")).select("url")
-    caps = c.v("captures").join(misses, "url", "left_semi")
-    pdfs = c.v("pdf_capture_pages").join(misses, "url", "left_semi")
-    fetched = CA.resolve(caps, pdfs, P).select(*CA_OUT).withColumn("cached", F.lit(False))
-    hits = split.filter("cached").select(
-        "url", F.col("memo_status").alias("status"), F.col("memo_content").alias("content"),
-        F.least(F.length("memo_content"), F.lit(MAX_LEN)).cast("bigint").alias("content_length"),
-        F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("error"),
-        F.lit(True).alias("cached"))
-    pages = fetched.unionByName(hits.select(*CA_OUT, "cached"))
-    return RE.report_rows(fused, pages)
-
-
-CA_OUT = ["url", "status", "content", "content_length", "method", "error"]
+    from fanin.plans.q_memo import AS_OF, TTL, memo_keyed
+    return api.web_research(searched(c), c.v("captures"), memo_keyed(c), AS_OF,
+                            pdf_pages=c.v("pdf_capture_pages"), ttl_s=TTL, params=P)
 
 
 def _research_sql() -> str:

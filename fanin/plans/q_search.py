@@ -64,7 +64,10 @@ def filtered(c: Ctx) -> DataFrame:
 
 
 def searched(c: Ctx) -> DataFrame:
-    return FU.fuse(filtered(c), requests=c.v("search_requests"), outcomes=c.v("source_outcomes"), params=PARAMS)
+    """The bulk search call (``fanin.api.search_urls``) over the fixture sources."""
+    from fanin import api
+    return api.search_urls(pages_a(c), c.v("raw_b"), c.v("search_requests"), fx.SEARCH_AS_OF_US,
+                           outcomes=c.v("source_outcomes"), params=PARAMS, per_page=PER_PAGE)
 
 
 RESULT_OUT = ["query_id", "source", "raw_rank", "href", "title", "body", "score", "published_us"]
