@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fanin.functions.html import extract_text
 from fanin.functions.text import pystrip
 from fanin.functions.urls import with_result_domain
-from fanin.session import spread
+from fanin.session import ensure_checkpoint_dir, spread
 
 
 def blocks(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -31,6 +31,10 @@ def host_boilerplate(pages: DataFrame, k: int = 3) -> DataFrame:
     """``page_id, host, main_text, n_blocks, n_kept`` for every page of ``(page_id, url, html)``."""
     p = with_result_domain(spread(pages.select("page_id", "url", "html")), "url", "host").select(
         "page_id", "host", extract_text("html").alias("text"))
+    # the blocks feed two shuffles (the per-host statistics and the final join); the
+    # extracted text is written once so the regex chain runs once per page
+    ensure_checkpoint_dir(p.sparkSession)
+    p = p.checkpoint(eager=True)
     b = blocks(p)
     seen = b.select("host", "h1", "h2", "page_id").distinct()
     boiler = (seen.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("_pages"))
