@@ -18,6 +18,14 @@ def write_report_json(reports: DataFrame, path: str, partition_by: tuple[str, ..
     w.json(path)
 
 
+def write_report_rows(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Row 3, flat form: report rows as Parquet (columnar, for analysis), a new folder per run."""
+    w = rows.write.mode("errorifexists")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
 def read_report_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

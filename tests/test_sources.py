@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from fanin.operators import capture as CA
 from fanin.plans.q_search import Ctx, pages_a
 from fanin.sources import tables as TB
-from fanin.sources.sinks import read_report_json, write_report_json
+from fanin.sources.sinks import read_report_json, write_report_json, write_report_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,13 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0 and {"query_id", "rank", "url", "status", "cached", "content_length"} <= set(df.columns)
     assert set(E.queries()) == set(E.oracle_sql())
+
+
+def test_flat_report_rows_parquet(spark):
+    from fanin.plans.q_report import rows
+    r = rows(Ctx(spark, SF)).withColumn("run_date", F.lit("2024-01-10"))
+    path = os.path.join(tempfile.mkdtemp(prefix="fanin-flat-"), "r")
+    write_report_rows(r, path, ("run_date",))
+    back = spark.read.parquet(path)
+    cols = [c for c in r.columns if c != "run_date"]
+    assert back.select(*cols).exceptAll(r.select(*cols)).count() == 0 and back.count() == r.count()
