@@ -59,11 +59,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df):
+def spread(df, min_share: int = 4):
     """Round-robin a frame over the cluster's cores before CPU-heavy row work, but only
-    when it has fewer partitions than cores (a small single-file input); a large
-    input is left as it is, so no shuffle is added at scale."""
+    when it has fewer partitions than a ``1/min_share`` of the cores (a small, single-file
+    input).  An input of any real size already has that many partitions and is left as
+    it is, so no shuffle of wide rows is added at scale."""
     if df.isStreaming:       # a stream's partitions come from its source and trigger
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * min_share <= cores else df
