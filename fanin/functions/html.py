@@ -36,10 +36,28 @@ def _steps(markdown: bool) -> list[tuple[str, str]]:
 
 
 TIDY_STEPS = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")]
-# Java's engine backtracks: a run of blanks not followed by a newline would be
-# rescanned from every position in it (quadratic).  The same patterns, allowed
-# to start only where a run starts, are linear; RE2 (the oracle) is linear as is.
-JAVA_FORM = {r"[ \t]+\n": r"(?<![ \t])[ \t]+\n", r"\n{3,}": r"(?<!\n)\n{3,}"}
+
+
+def _java_forms() -> dict[str, tuple[str, str]]:
+    """Linear forms of the steps for Java's backtracking engine (RE2, the oracle's, is linear as is).
+
+    * A run of blanks not followed by a newline would be rescanned from every
+      position in it: the pattern may only start where a run starts.
+    * A removal whose opener has no closer (or no '>') scans to the end of the
+      text, and so would every later opener: an alternative takes that unclosed
+      tail in one match and puts it back (``$1``), so the text is scanned once.
+    Same output as the plain patterns.
+    """
+    forms = {r"[ \t]+\n": (r"(?<![ \t])[ \t]+\n", "\n"), r"\n{3,}": (r"(?<!\n)\n{3,}", "\n\n")}
+    forms[r"(?s)<!--.*?-->"] = (r"(?s)<!--.*?-->|(<!--.*+)", "$1")
+    for tag in ("head",) + STRIPPED_TAGS:
+        # closed region | opener without a closer | opener without its '>' (both to the end)
+        forms[_region(tag)] = (_region(tag) + rf"|(<{tag}{ATTRS}>.*+)|(?i)(<{tag}(?:{SP}|/)[^>]*+\z)", "$1$2")
+    forms[r"<[^>]*>"] = (r"<[^>]*>|(<[^>]*+)", "$1")
+    return forms
+
+
+JAVA_FORM = _java_forms()
 # Markdown marks at line starts, dropped in text mode (may eat the newline).
 MD_NOISE_RE2 = r"(?m)^[#>*_`~\-]{1,6}" + WS_CLASS + "*"
 MD_NOISE_JAVA = "(?d)" + MD_NOISE_RE2
@@ -55,7 +73,8 @@ def markdown_steps() -> list[tuple[str, str]]:
 
 def _apply(c: Column, steps: list[tuple[str, str]]) -> Column:
     for pat, rep in steps:
-        c = F.regexp_replace(c, JAVA_FORM.get(pat, pat), rep)
+        java_pat, java_rep = JAVA_FORM.get(pat, (pat, rep))
+        c = F.regexp_replace(c, java_pat, java_rep)
     return c
 
 

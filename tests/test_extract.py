@@ -65,3 +65,27 @@ def test_assemble_pages_drops_blank_pages(spark):
 def test_long_blank_runs(spark):
     html = "<p>a" + " " * 50000 + "b" + " " * 30000 + "\n\n\n\n" + "c</p>"
     assert _one(spark, html, H.extract_text) == "a" + " " * 50000 + "b\n\nc"
+
+
+def test_linear_java_forms_agree_with_plain_patterns(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<script>", "</script>", "<form a='1'>", "<form ", "</form>", "<!--", "-->", "<nav>",
+             "</nav>", "<head>", "</head>", " < ", " > ", "x", "  \n", "<br>", "<div>", "</div>", "\t"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    df = spark.createDataFrame([(c,) for c in cases], "h string")
+    got = [r.x for r in df.select(H._apply(F.col("h"), H._steps(False) + H.TIDY_STEPS).alias("x")).collect()]
+    for c, g in zip(cases, got):
+        e = c
+        for pat, rep in H._steps(False) + H.TIDY_STEPS:
+            e = re.sub(pat, rep, e)
+        assert g == e, repr(c)
+
+
+def test_unclosed_tags_are_linear(spark):
+    n = 20000
+    big = "<p>" + "a < b " * n + "<script>" + "x" * n + "<form " * n
+    out = spark.createDataFrame([(big,)], "h string").select(F.length(H.extract_text("h")).alias("n")).first().n
+    assert out > 0
