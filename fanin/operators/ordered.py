@@ -99,6 +99,12 @@ def orbit(succ: DataFrame, starts: DataFrame, max_levels: int = 64) -> DataFrame
     """
     spark = succ.sparkSession
     ensure_checkpoint_dir(spark)
+    # Only starts and nodes that are some node's successor can lie on a chain; the
+    # doubling runs over that set alone (closed under succ), which is far smaller than
+    # all rows wherever many rows share a successor.
+    domain = (succ.filter(F.col("nxt").isNotNull()).select(F.col("nxt").alias("id"))
+              .unionByName(starts.select("id")).distinct())
+    succ = succ.join(domain, "id", "left_semi")
 
     def materialise(df: DataFrame) -> tuple[DataFrame, int]:
         # one job per level: the checkpoint write also counts the jumps left
