@@ -99,26 +99,32 @@ def orbit(succ: DataFrame, starts: DataFrame, max_levels: int = 64) -> DataFrame
     """
     spark = succ.sparkSession
     ensure_checkpoint_dir(spark)
-    # Only starts and nodes that are some node's successor can lie on a chain; the
-    # doubling runs over that set alone (closed under succ), which is far smaller than
-    # all rows wherever many rows share a successor.
-    domain = (succ.filter(F.col("nxt").isNotNull()).select(F.col("nxt").alias("id"))
-              .unionByName(starts.select("id")).distinct())
-    succ = succ.join(domain, "id", "left_semi")
-
-    def materialise(df: DataFrame) -> tuple[DataFrame, int]:
+
+    def materialise(df: DataFrame, first: bool = False) -> tuple[DataFrame, dict]:
         # one job per level: the checkpoint write also counts the jumps left
         obs = Observation()
-        out = df.observe(obs, F.count("j").alias("jumps")).checkpoint(eager=True)
-        return out, obs.get["jumps"]
-
-    level, jumps = materialise(succ.select("id", F.col("nxt").alias("j")))
+        metrics = [F.count("j").alias("jumps")]
+        if first:
+            metrics += [F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("j").alias("targets")]
+        out = df.observe(obs, *metrics).checkpoint(eager=True)
+        return out, obs.get
+
+    level, m = materialise(succ.select("id", F.col("nxt").alias("j")), first=True)
+    if m["targets"] * 2 < m["rows"]:
+        # Only starts and nodes that are some node's successor can lie on a chain.  When
+        # those are few (many rows share a successor, as in dense keys) the doubling runs
+        # over that set alone, which is closed under succ.
+        domain = (level.filter(F.col("j").isNotNull()).select(F.col("j").alias("id"))
+                  .unionByName(starts.select("id")).distinct())
+        level, m = materialise(level.join(domain, "id", "left_semi"))
+    jumps = m["jumps"]
     levels = [level]
     while jumps and len(levels) < max_levels:
         a, b = level.alias("a"), level.alias("b")
         nxt = (a.join(b, F.col("a.j") == F.col("b.id"), "left")
                .select(F.col("a.id").alias("id"), F.col("b.j").alias("j")))
-        level, jumps = materialise(nxt)
+        level, m = materialise(nxt)
+        jumps = m["jumps"]
         levels.append(level)
     reached = starts.select("id")
     for lvl in reversed(levels[:-1] if len(levels) > 1 else levels):

@@ -104,3 +104,15 @@ def test_retry_frontier(spark):
     assert (got["u1"].state, got["u1"].failures, got["u1"].next_due_us, got["u1"].last_error) == ("retry", 2, 3_000_010, "http 502")
     assert (got["u2"].state, got["u2"].last_error, got["u2"].next_due_us) == ("exhausted", "timeout", None)
     assert (got["u3"].state, got["u3"].last_error) == ("done", None)
+
+
+def test_orbit_dense_and_sparse_graphs(spark):
+    from fanin.operators.ordered import orbit
+    # dense: ids 0..299, every id jumps to the next multiple of 10 (few distinct targets)
+    dense = spark.createDataFrame([(i, (i // 10 + 1) * 10 if i < 290 else None) for i in range(300)], "id long, nxt long")
+    got = sorted(r.id for r in orbit(dense, spark.createDataFrame([(3,)], "id long")).collect())
+    assert got == [3] + list(range(10, 300, 10))
+    # sparse: a plain chain 0 -> 1 -> ... -> 99, started in the middle
+    chain = spark.createDataFrame([(i, i + 1 if i < 99 else None) for i in range(100)], "id long, nxt long")
+    got = sorted(r.id for r in orbit(chain, spark.createDataFrame([(40,)], "id long")).collect())
+    assert got == list(range(40, 100))
