@@ -55,17 +55,19 @@ def with_domain(df: DataFrame, url: str = "url") -> DataFrame:
     return with_result_domain(df, url, "domain")
 
 
-def scrape_scorecard(rows: DataFrame, query_status: DataFrame) -> DataFrame:
-    """Row 49: queries ok/total, pages ok/total, success % to one decimal.
+def scrape_scorecard(rows: DataFrame, query_status: DataFrame, run: str | None = None) -> DataFrame:
+    """Row 49: per run, queries ok/total, pages ok/total, success % to one decimal.
 
-    Both inputs are tagged and unioned so one global aggregate (partial per
-    partition) yields the single row.
+    Both inputs are tagged and unioned so one aggregate (partial per
+    partition) yields the row of each run; without ``run`` there is one run.
     """
-    q = query_status.select(F.lit(True).alias("_q"), (F.col("status") != "error").alias("_ok"))
-    pg = rows.select(F.lit(False).alias("_q"), ((F.col("status") == 200) & (F.col("content") != "")).alias("_ok"))
-    out = q.unionByName(pg).agg(
-        F.count_if(F.col("_q") & F.col("_ok")).alias("queries_ok"), F.count_if(F.col("_q")).alias("queries_total"),
-        F.count_if(~F.col("_q") & F.col("_ok")).alias("pages_ok"), F.count_if(~F.col("_q")).alias("pages_total"))
+    keys = [run] if run else []
+    q = query_status.select(*keys, F.lit(True).alias("_q"), (F.col("status") != "error").alias("_ok"))
+    pg = rows.select(*keys, F.lit(False).alias("_q"), ((F.col("status") == 200) & (F.col("content") != "")).alias("_ok"))
+    both = q.unionByName(pg)
+    aggs = [F.count_if(F.col("_q") & F.col("_ok")).alias("queries_ok"), F.count_if(F.col("_q")).alias("queries_total"),
+            F.count_if(~F.col("_q") & F.col("_ok")).alias("pages_ok"), F.count_if(~F.col("_q")).alias("pages_total")]
+    out = both.groupBy(*keys).agg(*aggs) if keys else both.agg(*aggs)
     pct = F.when(F.col("pages_total") > 0, F.round(F.lit(100.0) * F.col("pages_ok") / F.col("pages_total"), 1)) \
         .otherwise(F.lit(0.0))
     return out.withColumn("success_pct", pct)

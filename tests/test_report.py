@@ -27,3 +27,11 @@ def test_scaling_and_diff(spark):
     assert RE.scaling_check(small, big).first().scaled
     diff = RE.result_set_diff(small, big).collect()
     assert [(r.rank, r.href_a, r.href_b) for r in diff] == [(2, None, "y")]
+
+
+def test_scorecard_per_run(spark):
+    rows = spark.createDataFrame([("r1", 200, "x"), ("r1", 0, ""), ("r2", 200, "y")], "run string, status int, content string")
+    status = spark.createDataFrame([("r1", "ok"), ("r1", "error"), ("r2", "ok")], "run string, status string")
+    got = {r.run: (r.queries_ok, r.queries_total, r.pages_ok, r.pages_total, r.success_pct)
+           for r in RE.scrape_scorecard(rows, status, run="run").collect()}
+    assert got == {"r1": (1, 2, 1, 2, 50.0), "r2": (1, 1, 1, 1, 100.0)}
