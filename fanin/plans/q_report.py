@@ -73,8 +73,9 @@ FROM (SELECT count(*) FILTER (WHERE status <> 'error') AS queries_ok, count(*) A
                                       extra=[QSTATUS_CTE]))
 def q_scrape_scorecard(spark, sf):
     c = Ctx(spark, sf)
-    status = FU.all_failed(searched(c), c.v("source_outcomes"))
-    return RE.scrape_scorecard(rows(c), status)
+    fused = searched(c)        # one search plan for both inputs (shared exchanges)
+    status = FU.all_failed(fused, c.v("source_outcomes"))
+    return RE.scrape_scorecard(RE.report_rows(fused, resolved(c)), status)
 
 
 @register("error_breakdown", report_with(
