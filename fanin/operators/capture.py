@@ -55,7 +55,9 @@ def _features(captures: DataFrame, p: ResolveParams) -> DataFrame:
     projection.
     """
     r = route(spread(captures))
-    ok = F.col("status") == 200
+    # a static capture routed to PDF is never read as HTML (its text comes from the PDF
+    # pages), so the extraction is skipped for it
+    ok = (F.col("status") == 200) & ~((F.col("tier") == "static") & (F.col("route") != "html"))
     staged = r.select(
         "url", "tier", "status", "error", (F.col("route") == "pdf_sniffed").alias("sniffed"),
         F.when(ok, H.extract_content("html", p.fmt)).otherwise(F.lit("")).alias("_c"),
