@@ -17,9 +17,11 @@ a closed breaker with no failures left to count keeps no state at all).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -213,3 +215,8 @@ def with_ts(df: DataFrame) -> DataFrame:
     """Event-time column as TIMESTAMP (watermarks need it) next to epoch micros."""
     from fanin.functions.times import epoch_micros
     return df.withColumn("ts_us", epoch_micros("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# The folds and processors run in Python workers.  Pickled by value, they need only
+# pandas there, not this package on the workers' path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
