@@ -50,8 +50,14 @@ def main(argv):
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     import os
+    extra = {}
     tz = os.environ.get("CHECK_TZ")   # run under another session time zone to prove zone independence
-    spark = build_session(extra={"spark.sql.session.timeZone": tz} if tz else None)
+    if tz:
+        extra["spark.sql.session.timeZone"] = tz
+    for kv in filter(None, os.environ.get("CHECK_CONF", "").split(",")):   # k=v,k=v: other session settings
+        k, v = kv.split("=", 1)
+        extra[k] = v
+    spark = build_session(extra=extra or None)
     con = duckdb.connect()
     for t in BASE_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
