@@ -28,6 +28,13 @@ from fanin.sources.tables import flatten_pages
 PAGE_COLUMNS = ["url", "status", "content", "content_length", "method", "error"]
 
 
+def require(df: DataFrame, what: str, *cols: str) -> None:
+    """Fail early, with the input's name, when a needed column is missing (no Spark job)."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"{what} lacks column(s) {missing}; it has {df.columns}")
+
+
 def search_urls(pages_a: DataFrame, items_b: DataFrame, requests: DataFrame, as_of_us: int,
                 outcomes: DataFrame | None = None, params: FusionParams = FusionParams(),
                 per_page: int = RESULTS_PER_PAGE) -> DataFrame:
@@ -38,6 +45,11 @@ def search_urls(pages_a: DataFrame, items_b: DataFrame, requests: DataFrame, as_
     both are filtered by the query's time range, failed sources drop out,
     and the lists are fused to each query's ``num_results``.
     """
+    require(pages_a, "pages_a", "query_id", "source", "page_no", "items")
+    require(items_b, "items_b", "query_id", "pos", "href", "url", "title", "body")
+    require(requests, "requests", "query_id", "num_results", "time_range")
+    if outcomes is not None:
+        require(outcomes, "outcomes", "query_id", "source", "outcome")
     a_items = IN.page_early_stop(flatten_pages(pages_a), requests, per_page=per_page)
     results = NO.union_sources(NO.normalise_a(a_items, requests, params.sources[0]),
                                NO.normalise_b(items_b, requests, params.sources[1]))
@@ -48,6 +60,9 @@ def search_urls(pages_a: DataFrame, items_b: DataFrame, requests: DataFrame, as_
 def scrape(captures: DataFrame, pdf_pages: DataFrame | None = None,
            params: CA.ResolveParams = CA.ResolveParams()) -> DataFrame:
     """Rows 19-23: one resolved page per URL (status, title, content, content_length, method, error)."""
+    require(captures, "captures", "url", "tier", "status")
+    if pdf_pages is not None:
+        require(pdf_pages, "pdf_pages", "url", "page_no", "text")
     return CA.resolve(captures, pdf_pages, params)
 
 
@@ -61,6 +76,9 @@ def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_u
     report join); fresh memo entries are served with ``cached = true``; only
     the misses are resolved from the captures.
     """
+    require(fused, "fused", "query_id", "rank", "href", "title", "body", "source", "published_us")
+    require(captures, "captures", "url", "tier", "status")
+    require(memo, "memo", "key", "ts_us", "status", "content")
     ensure_checkpoint_dir(fused.sparkSession)
     fused = fused.checkpoint(eager=True)
     wanted = fused.select(F.col("href").alias("url")).distinct().withColumn(
@@ -80,4 +98,5 @@ def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_u
 
 def engine_status(memo: DataFrame, as_of_us: int) -> DataFrame:
     """Row 40: the memo part of the status call."""
+    require(memo, "memo", "ts_us", "content")
     return ME.stats(memo, as_of_us)

@@ -27,3 +27,10 @@ def test_second_research_call_is_served_from_the_memo(spark):
     second = api.web_research(fused, caps.limit(0), memo2, AS_OF + 10**6, params=p).first()
     assert second.cached is True and second.content == first.content and second.status == 200
     assert api.engine_status(memo2, AS_OF).first().entries == 1
+
+
+def test_missing_columns_are_named(spark):
+    import pytest
+    bad = spark.createDataFrame([("u",)], "url string")
+    with pytest.raises(ValueError, match="captures lacks column"):
+        api.scrape(bad)
