@@ -35,3 +35,12 @@ def test_scorecard_per_run(spark):
     got = {r.run: (r.queries_ok, r.queries_total, r.pages_ok, r.pages_total, r.success_pct)
            for r in RE.scrape_scorecard(rows, status, run="run").collect()}
     assert got == {"r1": (1, 2, 1, 2, 50.0), "r2": (1, 1, 1, 1, 100.0)}
+
+
+def test_coverage_exact_and_sketch_agree_on_small_data(spark):
+    fused = spark.createDataFrame([(f"q{i % 30}", f"https://www.h{i % 150}.com/p{i}") for i in range(900)],
+                                  "query_id string, href string")
+    a = RE.coverage(fused).first()
+    b = RE.coverage(fused, exact=False).first()
+    assert (a.queries_total, a.queries_ok, a.results_total) == (b.queries_total, b.queries_ok, b.results_total) == (30, 30, 900)
+    assert a.unique_domains == 150 and abs(b.unique_domains - 150) <= 5
