@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from fanin.operators import intake as IN
 from fanin.operators import memo as ME
 from fanin.operators import normalise as NO
 from fanin.operators import report as RE
-from fanin.params import FETCH_TTL_S, RESULTS_PER_PAGE, FusionParams
+from fanin.params import FETCH_TTL_S, MAX_CONTENT_LENGTH, RESULTS_PER_PAGE, FusionParams
 from fanin.session import ensure_checkpoint_dir
 from fanin.sources.tables import flatten_pages
 
@@ -68,32 +70,58 @@ def scrape(captures: DataFrame, pdf_pages: DataFrame | None = None,
 
 def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_us: int,
                  pdf_pages: DataFrame | None = None, ttl_s: int = FETCH_TTL_S,
-                 params: CA.ResolveParams = CA.ResolveParams()) -> DataFrame:
+                 params: CA.ResolveParams = CA.ResolveParams(), requests: DataFrame | None = None) -> DataFrame:
     """Rows 34-36, 22, 46: report rows for fused results.
 
     ``memo(key, ts_us, status, content)`` is keyed by ``fetch|url|fmt|max_len``.
     The fused lists are written once (they feed both the memo lookup and the
     report join); fresh memo entries are served with ``cached = true``; only
     the misses are resolved from the captures.
+
+    With ``requests(query_id, max_content_length)`` each query gets its own
+    length (as each call of the reference does): memo keys are per (URL,
+    length), every missed URL is resolved once at the largest length allowed
+    and cut per query afterwards.
     """
     require(fused, "fused", "query_id", "rank", "href", "title", "body", "source", "published_us")
     require(captures, "captures", "url", "tier", "status")
     require(memo, "memo", "key", "ts_us", "status", "content")
     ensure_checkpoint_dir(fused.sparkSession)
-    fused = fused.checkpoint(eager=True)
-    wanted = fused.select(F.col("href").alias("url")).distinct().withColumn(
-        "key", ME.fetch_key(F.col("url"), F.lit(params.fmt), F.lit(params.max_len)))
+    if requests is None:
+        fused = fused.checkpoint(eager=True).withColumn("_ml", F.lit(params.max_len))
+        resolve_len = params.max_len
+    else:
+        require(requests, "requests", "query_id", "max_content_length")
+        lengths = requests.select("query_id", F.col("max_content_length").cast("int").alias("_len"))
+        fused = (fused.join(lengths, "query_id", "left")
+                 .withColumn("_ml", F.coalesce("_len", F.lit(params.max_len))).drop("_len")
+                 .checkpoint(eager=True))
+        resolve_len = MAX_CONTENT_LENGTH
+    wanted = fused.select(F.col("href").alias("url"), "_ml").distinct().withColumn(
+        "key", ME.fetch_key(F.col("url"), F.lit(params.fmt), F.col("_ml")))
     split = ME.split(wanted, memo, as_of_us, ttl_s)
-    misses = split.filter(~F.col("cached")).select("url")
-    caps = captures.join(misses, "url", "left_semi")
-    pdfs = pdf_pages.join(misses, "url", "left_semi") if pdf_pages is not None else None
-    fetched = CA.resolve(caps, pdfs, params).select(*PAGE_COLUMNS).withColumn("cached", F.lit(False))
-    cut = F.length("memo_content") if params.max_len <= 0 else F.least(F.length("memo_content"), F.lit(params.max_len))
+    misses = split.filter(~F.col("cached")).select("url", "_ml")
+    miss_urls = misses.select("url").distinct()
+    caps = captures.join(miss_urls, "url", "left_semi")
+    pdfs = pdf_pages.join(miss_urls, "url", "left_semi") if pdf_pages is not None else None
+    resolved = CA.resolve(caps, pdfs, replace(params, max_len=resolve_len)).select(*PAGE_COLUMNS)
+    if requests is None:
+        fetched = resolved.withColumn("_ml", F.lit(params.max_len))
+    else:   # one resolution per URL, cut to each requested length
+        ml = F.col("_ml")
+        fetched = (resolved.join(misses, "url")
+                   .withColumn("content", F.when(ml <= 0, F.col("content")).otherwise(F.col("content").substr(F.lit(1), ml)))
+                   .withColumn("content_length", F.when(ml <= 0, F.col("content_length"))
+                               .otherwise(F.least(F.col("content_length"), ml.cast("bigint")))))
+    fetched = fetched.select(*PAGE_COLUMNS, "_ml", F.lit(False).alias("cached"))
+    cut = F.when(F.col("_ml") <= 0, F.length("memo_content")).otherwise(F.least(F.length("memo_content"), F.col("_ml")))
     hits = split.filter("cached").select(
         "url", F.col("memo_status").alias("status"), F.col("memo_content").alias("content"),
         cut.cast("bigint").alias("content_length"), F.lit(None).cast("string").alias("method"),
-        F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
-    return RE.report_rows(fused, fetched.unionByName(hits))
+        F.lit(None).cast("string").alias("error"), "_ml", F.lit(True).alias("cached"))
+    pages = fetched.unionByName(hits)
+    rows = RE.report_rows(fused, pages, on_length=True)
+    return rows
 
 
 def engine_status(memo: DataFrame, as_of_us: int) -> DataFrame:

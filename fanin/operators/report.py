@@ -11,17 +11,22 @@ REPORT_FIELDS = ("rank", "title", "url", "snippet", "source", "published_us", "s
                  "cached", "content_length", "content", "error")
 
 
-def report_rows(fused: DataFrame, pages: DataFrame) -> DataFrame:
+def report_rows(fused: DataFrame, pages: DataFrame, on_length: bool = False) -> DataFrame:
     """Row 46: fused results joined to resolved pages by URL, with the report's defaults.
 
     Missing page -> status 0, method NULL, cached false, length 0, content ''.
+    ``on_length``: pages are per (URL, content length ``_ml``) and so is the join.
     """
-    p = pages.select(F.col("url").alias("_url"), F.col("status").alias("_status"),
+    extra = [F.col("_ml").alias("_pml")] if on_length else []
+    p = pages.select(*extra, F.col("url").alias("_url"), F.col("status").alias("_status"),
                      F.col("method").alias("_method"),
                      (F.col("cached") if "cached" in pages.columns else F.lit(False)).alias("_cached"),
                      F.col("content_length").alias("_len"), F.col("content").alias("_content"),
                      F.col("error").alias("_error"))
-    j = fused.join(p, fused["href"] == p["_url"], "left")
+    cond = fused["href"] == p["_url"]
+    if on_length:
+        cond = cond & (fused["_ml"] == p["_pml"])
+    j = fused.join(p, cond, "left")
     return j.select(
         "query_id", F.col("rank").cast("bigint").alias("rank"),
         F.coalesce(F.col("title"), F.lit("")).alias("title"), F.coalesce(F.col("href"), F.lit("")).alias("url"),

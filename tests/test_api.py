@@ -34,3 +34,23 @@ def test_missing_columns_are_named(spark):
     bad = spark.createDataFrame([("u",)], "url string")
     with pytest.raises(ValueError, match="captures lacks column"):
         api.scrape(bad)
+
+
+def test_per_query_lengths_match_one_call_per_length(spark):
+    fused = spark.createDataFrame([("q1", 1, "https://e.com/a", "A", "", "a", None), ("q2", 1, "https://e.com/a", "A", "", "a", None),
+                                   ("q2", 2, "https://e.com/b", "B", "", "b", None), ("q3", 1, "https://e.com/b", "B", "", "b", None)],
+                                  FUSED)
+    caps = spark.createDataFrame([("https://e.com/a", "static", 200, "text/html", GOOD, None),
+                                  ("https://e.com/b", "static", 200, "text/html", "<p>" + "zz " * 900 + "</p>", None)], CAP)
+    memo = spark.createDataFrame([(ME_KEY_B700, AS_OF, 200, "from memo")], MEMO)
+    req = spark.createDataFrame([("q1", 500), ("q2", 700)], "query_id string, max_content_length int")
+    got = {(r.query_id, r.url): (r.content_length, r.content, r.cached)
+           for r in api.web_research(fused, caps, memo, AS_OF, requests=req, params=CA.ResolveParams(max_len=900)).collect()}
+    for q, n in (("q1", 500), ("q2", 700), ("q3", 900)):     # q3 has no request row: the call's length
+        one = api.web_research(fused.filter(F.col("query_id") == q), caps, memo, AS_OF, params=CA.ResolveParams(max_len=n))
+        for r in one.collect():
+            assert got[(q, r.url)] == (r.content_length, r.content, r.cached), (q, r.url)
+    assert got[("q2", "https://e.com/b")][2] is True and got[("q3", "https://e.com/b")][2] is False
+
+
+ME_KEY_B700 = __import__("hashlib").sha256(b"fetch|https://e.com/b|markdown|700").hexdigest()
