@@ -6,6 +6,7 @@
 ``scrape``          captures (+ PDF page texts) -> one resolved page per URL
 ``web_research``    fused rows + captures + memo -> report rows, memo hits
                     served from the memo and only misses resolved
+``deep_research``   raw requests -> validated, clamped, searched, reported
 ``engine_status``   memo -> entries, size, oldest / newest age
 ==================  ===========================================================
 """
@@ -124,6 +125,27 @@ def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_u
     return rows
 
 
+def deep_research(requests_raw: DataFrame, pages_a: DataFrame, items_b: DataFrame, captures: DataFrame,
+                  memo: DataFrame, as_of_us: int, outcomes: DataFrame | None = None,
+                  pdf_pages: DataFrame | None = None, fusion: FusionParams = FusionParams(),
+                  resolve_params: CA.ResolveParams = CA.ResolveParams(), per_page: int = RESULTS_PER_PAGE,
+                  ttl_s: int = FETCH_TTL_S) -> DataFrame:
+    """Rows 5-6 then the research call, from raw requests
+    ``(query_id, query, num_results, max_content_length, time_range)`` as text.
+
+    Requests are validated and clamped with the research defaults; rejected
+    ones produce no report rows (``fanin.operators.intake.validate`` gives
+    their reasons).  Each query's report uses its own ``num_results``,
+    ``time_range`` and ``max_content_length``.
+    """
+    require(requests_raw, "requests_raw", "query_id", "query", "num_results", "max_content_length", "time_range")
+    accepted = IN.clamp(IN.validate(requests_raw).filter("accepted"), "research")
+    fused = search_urls(pages_a, items_b, accepted.select("query_id", "num_results", "time_range"), as_of_us,
+                        outcomes=outcomes, params=fusion, per_page=per_page)
+    return web_research(fused, captures, memo, as_of_us, pdf_pages=pdf_pages, ttl_s=ttl_s,
+                        params=resolve_params, requests=accepted.select("query_id", "max_content_length"))
+
+
 def engine_status(memo: DataFrame, as_of_us: int) -> DataFrame:
     """Row 40: the memo part of the status call."""
     require(memo, "memo", "ts_us", "content")

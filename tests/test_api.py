@@ -54,3 +54,16 @@ def test_per_query_lengths_match_one_call_per_length(spark):
 
 
 ME_KEY_B700 = __import__("hashlib").sha256(b"fetch|https://e.com/b|markdown|700").hexdigest()
+
+
+def test_deep_research_from_raw_requests(spark):
+    from fanin import schemas
+    item = lambda u, t: (u, t, t, [], 1.0, None)
+    pages_a = spark.createDataFrame([("q1", "a", 1, [item("https://e.com/a", "A"), item("https://e.com/b", "B")]),
+                                     ("bad", "a", 1, [item("https://e.com/a", "A")])], schemas.RESULT_PAGES)
+    items_b = spark.createDataFrame([("q1", 0, "https://E.com/a/", None, "A2", "", None)], schemas.RAW_B)
+    caps = spark.createDataFrame([("https://e.com/a", "static", 200, "text/html", GOOD, None)], CAP)
+    raw = spark.createDataFrame([("q1", " hello ", "1", "600", " "), ("bad", "   ", "5", None, "")],
+                                "query_id string, query string, num_results string, max_content_length string, time_range string")
+    rows = api.deep_research(raw, pages_a, items_b, caps, spark.createDataFrame([], MEMO), AS_OF).collect()
+    assert [(r.query_id, r.rank, r.url, r.content_length) for r in rows] == [("q1", 1, "https://e.com/a", 600)]
