@@ -146,3 +146,48 @@ FROM fused f LEFT JOIN pages p ON p.url = f.href"""
 @register("research_report", _research_sql())
 def q_research_report(spark, sf):
     return research(Ctx(spark, sf))
+
+
+# ---- the research call from raw requests (intake, search, memo, per-query lengths) ----
+
+def _deep_research_sql() -> str:
+    from dataclasses import replace
+
+    from fanin.params import MAX_CONTENT_LENGTH
+    from fanin.plans.q_capture import P
+    from fanin.plans.q_memo import AS_OF, MK, TTL
+    from fanin.plans.q_search import _clamp_sql
+    expired = f"({AS_OF} - coalesce(ts_us, 0) > {TTL * 1_000_000})"
+    key = f"sha256(concat_ws('|', 'fetch', href, '{P.fmt}', CAST(ml AS VARCHAR)))"
+    ctes = search_ctes("fused", AS_OF) + resolve_ctes(replace(P, max_len=MAX_CONTENT_LENGTH)) + [
+        MK,
+        ("lens", f"SELECT query_id, {_clamp_sql('max_content_length', 500, 500000, 20000, 20000)} AS ml FROM research_requests"),
+        ("fq", "SELECT f.*, coalesce(l.ml, 20000) AS ml FROM fused f LEFT JOIN lens l USING (query_id)"),
+        ("wanted", f"SELECT DISTINCT href AS url, ml, {key} AS key FROM fq"),
+        ("hit", f"SELECT w.url, w.ml, m.status, m.content FROM wanted w JOIN (SELECT * FROM mk WHERE NOT {expired}) m ON m.key = w.key"),
+        ("miss", "SELECT w.url, w.ml FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.url = w.url AND h.ml = w.ml)"),
+        ("pages", """SELECT r.url, m.ml, r.status, substring(r.content, 1, m.ml) AS content,
+  CAST(least(r.content_length, m.ml) AS BIGINT) AS content_length, r.method, r.error, false AS cached
+FROM resolved r JOIN miss m ON m.url = r.url
+UNION ALL SELECT url, ml, status, content, CAST(least(length(content), ml) AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), true
+FROM hit"""),
+    ]
+    return fx.duckdb_with(*SEARCH_VIEWS, "captures", "pdf_capture_pages", "memo", "research_requests", ctes=ctes) + """
+SELECT f.query_id, f.rank, coalesce(f.title, '') AS title, coalesce(f.href, '') AS url, coalesce(f.body, '') AS snippet,
+  coalesce(f.source, '') AS source, f.published_us, CAST(coalesce(p.status, 0) AS INT) AS status, p.method AS fetch_method,
+  coalesce(p.cached, false) AS cached, CAST(coalesce(p.content_length, 0) AS BIGINT) AS content_length,
+  coalesce(p.content, '') AS content, p.error
+FROM fq f LEFT JOIN pages p ON p.url = f.href AND p.ml = f.ml"""
+
+
+@register("deep_research", _deep_research_sql())
+def q_deep_research(spark, sf):
+    """Raw requests -> validate, clamp -> search -> memo split -> misses resolved -> report rows."""
+    from fanin import api
+    from fanin.plans.q_capture import P
+    from fanin.plans.q_memo import AS_OF, TTL, memo_keyed
+    from fanin.plans.q_search import PER_PAGE, PARAMS, pages_a
+    c = Ctx(spark, sf)
+    return api.deep_research(c.v("research_requests"), pages_a(c), c.v("raw_b"), c.v("captures"), memo_keyed(c), AS_OF,
+                             outcomes=c.v("source_outcomes"), pdf_pages=c.v("pdf_capture_pages"), fusion=PARAMS,
+                             resolve_params=P, per_page=PER_PAGE, ttl_s=TTL)

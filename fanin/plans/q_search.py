@@ -77,8 +77,8 @@ RESULT_OUT = ["query_id", "source", "raw_rank", "href", "title", "body", "score"
 # DuckDB side: the same chain as CTEs
 # ---------------------------------------------------------------------------
 
-def _cutoff_case(pub: str, tr: str) -> str:
-    cut = IN.time_range_cutoffs(fx.SEARCH_AS_OF_US)
+def _cutoff_case(pub: str, tr: str, as_of_us: int = fx.SEARCH_AS_OF_US) -> str:
+    cut = IN.time_range_cutoffs(as_of_us)
     whens = " ".join(f"WHEN '{k}' THEN {pub} >= {v}" for k, v in cut.items())
     return f"coalesce(CASE {tr} WHEN '' THEN true {whens} ELSE false END, false)"
 
@@ -108,7 +108,7 @@ def norm_b_sql() -> str:
             f"published_us FROM ({r}) r WHERE rn <= least(num_results, 100)")
 
 
-def search_ctes(upto: str) -> list[tuple[str, str]]:
+def search_ctes(upto: str, as_of_us: int = fx.SEARCH_AS_OF_US) -> list[tuple[str, str]]:
     ctes = [
         ("a_items", "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY page_no, pos) AS BIGINT) AS raw_pos FROM raw_a"),
         ("budget", f"SELECT query_id, num_results, time_range, CAST(least(greatest(ceil(num_results / {PER_PAGE}.0), 1), 10) AS INT) AS pages FROM search_requests"),
@@ -123,7 +123,7 @@ def search_ctes(upto: str) -> list[tuple[str, str]]:
         ("norm_a", norm_a_sql("a_kept")),
         ("norm_b", norm_b_sql()),
         ("unioned", "SELECT * FROM norm_a UNION ALL SELECT * FROM norm_b"),
-        ("timef", f"SELECT u.* FROM unioned u JOIN search_requests r USING (query_id) WHERE {_cutoff_case('u.published_us', 'r.time_range')}"),
+        ("timef", f"SELECT u.* FROM unioned u JOIN search_requests r USING (query_id) WHERE {_cutoff_case('u.published_us', 'r.time_range', as_of_us)}"),
         ("oksrc", "SELECT u.* FROM timef u WHERE EXISTS (SELECT 1 FROM source_outcomes o WHERE o.query_id = u.query_id "
                   "AND o.source = u.source AND o.outcome = 'ok')"),
     ]

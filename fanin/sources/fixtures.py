@@ -84,6 +84,12 @@ SELECT query_id,
        CASE query_id WHEN 'en' THEN 40 WHEN 'fr' THEN 12 WHEN 'de' THEN 200 ELSE 30 END AS num_results,
        CASE query_id WHEN 'en' THEN 'w' WHEN 'de' THEN 'd' WHEN 'es' THEN 'm' ELSE '' END AS time_range
 FROM (SELECT DISTINCT lang AS query_id FROM {pg}) q""",
+    # The four search queries as raw research requests (numbers as text; one length invalid, one absent).
+    "research_requests": """
+SELECT query_id, concat(' ', query_id, ' ') AS query, CAST(num_results AS STRING) AS num_results,
+       CASE query_id WHEN 'en' THEN '600' WHEN 'de' THEN '100' WHEN 'es' THEN 'x' ELSE NULL END AS max_content_length,
+       time_range
+FROM {search_requests}""",
     # Raw tool requests, numbers as the text that arrived.
     "requests": """
 SELECT CAST(event_id AS STRING) AS query_id,
