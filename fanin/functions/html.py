@@ -125,9 +125,30 @@ META_FIELDS = {
 LANG_RE = rf"(?is)<html{SP}[^>]*lang=[\"']([^\"']*)[\"']"
 
 
+def _java_extract(pat: str, opener: str, closed_region: bool) -> str:
+    """Find-first form that stays linear on Java's engine.
+
+    An opener with no ``>`` before the end can never match, nor can any later
+    one: one match takes the rest of the text with an empty group 1, which
+    ``regexp_extract`` returns as '' -- the same as no match.  For a region
+    pattern (``<title ...>...</title>``) the same holds for an opener whose
+    closer is missing.  Tag patterns that can fail on their attributes get
+    only the first alternative.
+    """
+    alts = [pat]
+    if closed_region:
+        alts.append(rf"(?is){opener}[^>]*>.*+")
+    alts.append(rf"(?is){opener}[^>]*+\z")
+    return "|".join(alts)
+
+
+def _find(c: Column, pat: str) -> Column:
+    return F.regexp_extract(c, JAVA_EXTRACT.get(pat, pat), 1)
+
+
 def meta_title(html: Column | str) -> Column:
     """``<title>`` text, white space collapsed; NULL when empty."""
-    return nullif_empty(collapse_ws(F.regexp_extract(col_(html), TITLE_RE, 1)))
+    return nullif_empty(collapse_ws(_find(col_(html), TITLE_RE)))
 
 
 def page_metadata(html: Column | str) -> Column:
@@ -136,11 +157,17 @@ def page_metadata(html: Column | str) -> Column:
     fields = {"title": meta_title(h)}
     for name, (a, b) in META_FIELDS.items():
         fields[name] = nullif_empty(collapse_ws(F.coalesce(
-            nullif_empty(F.regexp_extract(h, a, 1)), F.regexp_extract(h, b, 1))))
-    fields["language"] = nullif_empty(pystrip(F.regexp_extract(h, LANG_RE, 1)))
+            nullif_empty(_find(h, a)), _find(h, b))))
+    fields["language"] = nullif_empty(pystrip(_find(h, LANG_RE)))
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
 def dom_title(html: Column | str) -> Column:
     """Title as a page parser reports it: the ``<title>`` text, entities decoded, stripped."""
-    return pystrip(unescape_entities(F.regexp_extract(col_(html), TITLE_RE, 1)))
+    return pystrip(unescape_entities(_find(col_(html), TITLE_RE)))
+
+
+JAVA_EXTRACT = {TITLE_RE: _java_extract(TITLE_RE, "<title", True), LANG_RE: _java_extract(LANG_RE, rf"<html{SP}", False)}
+for _a, _b in META_FIELDS.values():
+    JAVA_EXTRACT[_a] = _java_extract(_a, "<meta", False)
+    JAVA_EXTRACT[_b] = _java_extract(_b, "<meta", False)

@@ -89,3 +89,28 @@ def test_unclosed_tags_are_linear(spark):
     big = "<p>" + "a < b " * n + "<script>" + "x" * n + "<form " * n
     out = spark.createDataFrame([(big,)], "h string").select(F.length(H.extract_text("h")).alias("n")).first().n
     assert out > 0
+
+
+def test_linear_metadata_forms_agree_with_plain_patterns(spark):
+    import random
+    import re
+
+    rng = random.Random(8)
+    parts = ["<title>", "</title>", "<title ", "T", "<meta name='author' content='Ann'>", "<meta ", "<meta content=\"d\" name=\"description\">",
+             "<html lang='fr'>", "<html ", " x ", ">", "<p>"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(c,) for c in cases], "h string")
+    got = df.select(H.page_metadata("h").alias("m")).collect()
+    for c, r in zip(cases, got):
+        m = re.search(H.TITLE_RE, c)
+        title = " ".join(m.group(1).split()) if m else ""
+        assert (r.m.title or "") == title, repr(c)
+        m = re.search(H.LANG_RE, c)
+        assert (r.m.language or "") == (m.group(1).strip() if m else ""), repr(c)
+        a, b = H.META_FIELDS["author"]
+        ma, mb = re.search(a, c), re.search(b, c)
+        author = (ma.group(1) if ma and ma.group(1) else (mb.group(1) if mb else ""))
+        assert (r.m.author or "") == " ".join(author.split()), repr(c)
+    big = "<title " * 20000 + "<meta " * 20000
+    out = spark.createDataFrame([(big,)], "h string").select(H.page_metadata("h").alias("m")).first().m
+    assert out.title is None and out.author is None
