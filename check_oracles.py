@@ -92,7 +92,8 @@ def main(argv):
             bad += 1
             print(f"{name:28s} ERR {type(e).__name__}: {str(e)[:400]}")
     print("mismatches:", bad)
+    return bad
 
 
 if __name__ == "__main__":
-    main(sys.argv)
+    sys.exit(1 if main(sys.argv) else 0)
