@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fanin.session import ensure_checkpoint_dir
 
@@ -43,7 +48,7 @@ def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight:
     with the most rows (a fixed number, hence a bounded broadcast) are looked up without a shuffle;
     every other key holds at most one part in ``hot`` of the rows and is met by an ordinary join.
     Rows of hot keys pass that join under the value ``spread`` in place of their first key: it must be
-    of that key's type, differ from row to row, and equal no key.  ``keys`` must not be null.
+    of that key's type and differ from row to row (what it may match is not used).  ``keys`` must not be null.
     The weight column is dropped.
     """
     values = [c for c in per_key.columns if c not in keys and c != weight]
@@ -53,11 +58,53 @@ def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight:
     cond = [F.col(k) == F.col(f"_h_{k}") for k in keys]
     marked = rows.join(F.broadcast(top), cond, "left").drop(*[f"_h_{k}" for k in keys])
     marked = marked.withColumn("_k", F.when(F.col("_hot"), spread).otherwise(F.col(keys[0])))
-    rest = per_key.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(v).alias(f"_r_{v}") for v in values])
+    # the weight's filter keeps both uses of the aggregate alike, so that its shuffle is run once
+    rest = per_key.filter(F.col(weight) > 0).select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(v).alias(f"_r_{v}") for v in values])
     cond = [F.col("_k") == F.col(f"_r_{keys[0]}")] + [F.col(k) == F.col(f"_r_{k}") for k in keys[1:]]
     out = marked.join(rest, cond, "left")
     return out.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_h_{v}")).otherwise(F.col(f"_r_{v}")).alias(v)
                                        for v in values])
 
 
+BATCH_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts hold about ``most`` bytes; a longer text alone with its neighbours' rest."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def map_text(df: DataFrame, text_col: str, make: Callable, new: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """``df``'s columns ``keep`` (default: all) with the columns of the DDL ``new``, computed from a text column in
+    bounded slices.  ``make()`` is called once per task and gives a function from a list of texts (None for
+    null) to (index, columns): index names the slice's row of each output row, None meaning one each in order.
+    Kept columns pass as Arrow arrays, untouched; those named like a new one are replaced."""
+    new_type = StructType.fromDDL(new)
+    keep = [c for c in (df.columns if keep is None else keep) if c not in new_type.names]
+    out_type = StructType([*df.select(*[f"`{c}`" for c in keep]).schema.fields, *new_type.fields])
+    n = len(keep)
+
+    def run(batches):
+        f = make()
+        fields = list(to_arrow_schema(new_type))
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(i) for i in range(n)] + fields)
+            for part in slices(batch, batch.column(n)):
+                index, cols = f(part.column(n).to_pylist())
+                kept = [part.column(i) for i in range(n)]
+                if index is not None:
+                    at = pa.array(index, type=pa.int64())
+                    kept = [k.take(at) for k in kept]
+                made = [pa.array(c, type=x.type, from_pandas=False) for c, x in zip(cols, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=schema)
+
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    return rows.mapInArrow(run, out_type)
+
+
 ship(__name__)

@@ -9,7 +9,7 @@ sees lengths only, so the ids never travel with the shuffle.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,14 +17,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, ship
+from fanin.llm.common import documents, map_text, ship
 
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 200_000          # words whose ids a worker remembers; a full cache is emptied
-BATCH_BYTES = 4 << 20
 
 
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -51,14 +50,6 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-def text_batches(pdf: pd.DataFrame, text_col: str, most: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
-    """Slices of ``pdf`` of about ``most`` characters, a longer text alone."""
-    size = pdf[text_col].str.len().fillna(0).to_numpy(dtype=np.int64)
-    part = np.cumsum(size) // most
-    for _, rows in pdf.groupby(part, sort=False):
-        yield rows
-
-
 def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                      end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """(doc, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut every ``length`` ids.
@@ -66,20 +57,21 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     end = int(end_id).to_bytes(4, "little")
 
-    def run(batches):
+    def make():
         encode = word_encoder(path)
-        for pdf in batches:
-            for rows in text_batches(pdf, "text"):
-                out = []
-                for doc, ids in zip(rows["doc"], encode(rows["text"].fillna("").tolist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    out += [(doc, at, min(length, n - at), n, ids[4 * at:4 * (at + length)]) for at in range(0, n, length)]
-                yield pd.DataFrame(out, columns=["doc", "start", "length", "doc_tokens", "ids"])
-
-    kind = docs.select(F.col(id_col).alias("doc")).schema["doc"].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc {kind}, start long, length long, doc_tokens long, ids binary")
+
+        def run(texts):
+            index, out = [], []
+            for i, ids in enumerate(encode([t or "" for t in texts])):
+                ids += end
+                n = len(ids) // 4
+                out += [(at, min(length, n - at), n, ids[4 * at:4 * (at + length)]) for at in range(0, n, length)]
+                index += [i] * (-(-n // length))
+            return index, list(zip(*out, strict=True))
+        return run
+
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    return map_text(rows, "text", make, "start long, length long, doc_tokens long, ids binary", ["doc"])
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int]]:

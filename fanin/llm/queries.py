@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from fanin.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from fanin.llm.langid import op8_language_id
 from fanin.llm.mixing import OP6_SQL, op6_mix_sources
 from fanin.llm.packing import op10_packing
+from fanin.llm.quality import op9_quality_rules
+from fanin.llm.simhash import op5_simhash_near_dedup
 
 QUERIES = {
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 ORACLES = {"op6_mix_sources": OP6_SQL, "op7_exact_dedup": OP7_SQL}
