@@ -8,8 +8,10 @@ from fanin.llm.mixing import OP6_SQL, op6_mix_sources
 from fanin.llm.packing import op10_packing
 from fanin.llm.quality import op9_quality_rules
 from fanin.llm.simhash import op5_simhash_near_dedup
+from fanin.llm.urlrules import op2_url_filter
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
