@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from fanin.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from fanin.llm.htmltext import op3_html_extraction
 from fanin.llm.langid import op8_language_id
 from fanin.llm.mixing import OP6_SQL, op6_mix_sources
 from fanin.llm.packing import op10_packing
 from fanin.llm.quality import op9_quality_rules
 from fanin.llm.simhash import op5_simhash_near_dedup
+from fanin.llm.trainorder import op4_training_order
 from fanin.llm.urlrules import op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_training_order": op4_training_order,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
