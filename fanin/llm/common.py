@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -19,7 +19,7 @@ from fanin.session import ensure_checkpoint_dir
 
 #: A word: a run of anything but space and the five ASCII control spaces.
 WORD_RE = r"[^\x20\x09-\x0D]+"
-SPACE_RE = r"[\x20\x09-\x0D]+"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(module_name: str) -> None:
@@ -29,10 +29,16 @@ def ship(module_name: str) -> None:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to a fresh folder under the cluster's shared checkpoint folder and read it
-    back: cuts the lineage, survives lost executors, and fixes what is not deterministic."""
+    back: cuts the lineage, survives lost executors, and fixes what is not deterministic.  The shuffle files of
+    the write are dropped once it is done, as nothing reads them any more."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,7 +72,34 @@ def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight:
                                        for v in values])
 
 
+def grouped(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Column], hot: int = 1024, full: int = 10_000) -> DataFrame:
+    """Every row with aggregates over its key's rows, although one key may hold a third of all rows.
+
+    ``rows`` should be a written table; it is read a few times, but its wide columns are shuffled once.  Keys that
+    have at least ``full`` rows and are among the ``hot`` most frequent are aggregated with map-side combining into a
+    table of at most ``hot`` keys, which is broadcast; all others are met in windows, each of which holds at most
+    ``full`` rows or one part in ``hot`` of them.  ``keys`` must not be null."""
+    mark = F.xxhash64(*keys)
+    counts = rows.select(mark.alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.filter(F.col("_n") >= full).orderBy(F.desc("_n"), "_hash").limit(hot).select("_hash")
+    top = [r["_hash"] for r in top.collect()]
+    if not top:
+        return rows.select("*", *[a.over(Window.partitionBy(*keys)).alias(n) for n, a in aggs.items()])
+    is_hot = mark.isin(top)
+    cold = rows.filter(~is_hot).select("*", *[a.over(Window.partitionBy(*keys)).alias(n) for n, a in aggs.items()])
+    few = rows.filter(is_hot).groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    return cold.unionByName(rows.filter(is_hot).join(F.broadcast(few), list(keys)).select(*cold.columns))
+
+
 BATCH_BYTES = 4 << 20
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 * BATCH_BYTES), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches bounded by bytes, so that long texts need no more memory than short ones."""
+    for key, value in ARROW_LIMITS.items():
+        if int(spark.conf.get(key)) > int(value) or int(spark.conf.get(key)) <= 0:
+            spark.conf.set(key, value)
 
 
 def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -103,6 +136,7 @@ def map_text(df: DataFrame, text_col: str, make: Callable, new: str, keep: Seque
                 made = [pa.array(c, type=x.type, from_pandas=False) for c, x in zip(cols, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=schema)
 
+    small_batches(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     return rows.mapInArrow(run, out_type)
 

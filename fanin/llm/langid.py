@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, map_text, ship, slices
+from fanin.llm.common import documents, map_text, ship, slices, small_batches
 
 FEATURES = 1 << 14
 FOLDS = 5
@@ -98,6 +98,7 @@ def counts_by_language(docs: DataFrame, text_col: str = "text", lang_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(n[some])],
                                              names=["lang", "feature", "n"])
 
+    small_batches(docs.sparkSession)
     parts = rows.filter("lang is not null and text is not null").mapInArrow(run, "lang string, feature long, n long")
     return parts.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 

@@ -9,10 +9,12 @@ from fanin.llm.mixing import OP6_SQL, op6_mix_sources
 from fanin.llm.packing import op10_packing
 from fanin.llm.quality import op9_quality_rules
 from fanin.llm.simhash import op5_simhash_near_dedup
+from fanin.llm.substrings import op1_suffix_dedup
 from fanin.llm.trainorder import op4_training_order
 from fanin.llm.urlrules import op2_url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_html_extraction": op3_html_extraction,
     "op4_training_order": op4_training_order,
