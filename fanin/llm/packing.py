@@ -8,12 +8,16 @@ sees lengths only, so the ids never travel with the shuffle.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,29 +27,83 @@ LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 200_000          # words whose ids a worker remembers; a full cache is emptied
+CACHE_WORDS = 500_000     # words whose ids a task remembers, in each of two generations
+
+#: The pre-tokeniser's pattern and normalisation for which words are encoded one by one.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+split = regex.compile(WORD_PATTERN).findall
+LATIN_END = "\u0250"      # below it no character composes with a neighbour or changes its case by context
+#: Byte-level tokenisers show a byte beyond ASCII as the character of that number, or from 256 up if that is not printable.
+SHOWN = {b: 256 + 33 + i for i, b in enumerate([*range(127, 161), 173])}
+ODD_SPACE = re.compile(r"[\x1c-\x1f]")       # white space to Python only
+
+
+def _by_words(path: str) -> bool:
+    """Whether a tokenizer drops white space and splits at it before all else."""
+    with open(path, encoding="utf-8") as f:
+        conf = json.load(f)
+    normal = (conf.get("normalizer") or {}).get("normalizers")
+    steps = (conf.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return normal == WORD_NORMAL and steps[0].get("pattern") == {"Regex": WORD_PATTERN} and bool(steps[0].get("invert"))
 
 
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids (little-endian unsigned 32-bit bytes).  The tokenizer splits at
-    white space before anything else, so a text's ids are its words' ids in a row, and frequent words need
-    encoding once only."""
+    """A function from texts to their ids (little-endian unsigned 32-bit bytes), equal to the tokenizer's own.
+
+    Where the tokenizer splits at white space first, a text's ids are its words' ids in a row; frequent words are
+    encoded once, and a new word of printable Latin letters and signs by its pieces, which are remembered as well.  Other words, and
+    all texts under other tokenizers, go through the tokenizer whole."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    model = tok.model
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [array("I", tok.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+    if not _by_words(path):
+        return whole
+
+    pieces: dict[str, bytes] = {}
+
+    def plain(word: str) -> bytes:
+        low = word.lower()
+        out = []
+        for part in (low,) if low.isalpha() else split(low):
+            ids = pieces.get(part)
+            if ids is None:
+                shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
+                ids = pieces[part] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    class Known(dict):
+        older: dict = {}
+
+        def __missing__(self, word: str) -> bytes:
+            ids = self.older.get(word)
+            if ids is None:
+                if word.isprintable() and max(word) < LATIN_END and "<|" not in word:
+                    ids = plain(word)
+                else:
+                    ids = whole([word])[0]
+            self[word] = ids
+            return ids
+
+    known = Known()
 
     def encode(texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > CACHE_WORDS and known:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        nonlocal known
+        out = []
+        for t in texts:
+            out.append(whole([t])[0] if ODD_SPACE.search(t) else b"".join(map(known.__getitem__, t.split())))
+            if len(known) > CACHE_WORDS:
+                fresh = Known()
+                fresh.older, known = dict(known), fresh
+            if len(pieces) > CACHE_WORDS:
+                pieces.clear()
+        return out
 
     return encode
 
