@@ -86,15 +86,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed documents themselves, with the input's columns: a row per copy taken, the copy that is cut
     holding its first words joined by single spaces.  Documents without words hold no tokens and are not taken."""
-    keep = docs.select(*docs.columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    keep = keep.select("_row", F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
-    plan = plan_mix(keep, "_id", "_source", "_text", weights, max_epochs, seed)
-    cut = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD_RE), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    rows = docs.toDF(*[f"_d{i}" for i in range(len(docs.columns))])
+    i, s, t = (f"_d{docs.columns.index(c)}" for c in (id_col, source_col, text_col))
+    plan = plan_mix(rows, i, s, t, weights, max_epochs, seed)
+    cut = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(WORD_RE), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
     copies = F.concat(F.array_repeat(F.lit(False), F.col("epochs").cast("int")),
                       F.array_repeat(F.lit(True), F.when(F.col("part") > 0, 1).otherwise(0)))
-    rows = plan.filter("taken > 0").withColumn("_cut", F.explode(copies))
-    text = F.when(F.col("_cut") & (F.col("part") < F.col("size")), cut).otherwise(F.col("_text"))
-    return rows.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    taken = plan.filter("taken > 0").withColumn("_cut", F.explode(copies))
+    text = F.when(F.col("_cut") & (F.col("part") < F.col("size")), cut).otherwise(F.col(t))
+    return taken.select(*[(text if c == t else F.col(c)).alias(c) for c in rows.columns]).toDF(*docs.columns)
 
 
 def op6_mix_sources(spark, sf_dir):
