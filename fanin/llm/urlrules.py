@@ -55,7 +55,7 @@ def stated_verdict(rules: Sequence[tuple[str, str, str]] = RULES):
         fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
         value = F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict"))
         out = F.when(fits, value) if out is None else out.when(fits, value)
-    return out
+    return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
 def tokens():
