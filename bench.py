@@ -18,9 +18,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fanin.plans.catalog import queries  # noqa: E402
 from fanin.session import build_session  # noqa: E402
 
-# SURVEY §6: rows 4, 13, 16, 22, 26, 29, 41, 44, 51 -- plus the report and the whole research call.
+# SURVEY §6: rows 4, 13, 16, 22, 26, 29, 41, 51 -- plus the report and the whole research call.
 HEADLINE = ["retrieve_ranked", "canonical_url", "fuse_interleave_topk", "resolve_winner", "extract_text",
-            "host_boilerplate", "ttl_replay", "breaker_replay", "coverage", "report_rows", "research_report"]
+            "host_boilerplate", "ttl_replay", "coverage", "report_rows", "research_report"]
 
 
 def run(spark, fn, sf):

@@ -24,7 +24,7 @@ from fanin.operators import intake as IN
 from fanin.operators import memo as ME
 from fanin.operators import normalise as NO
 from fanin.operators import report as RE
-from fanin.params import FETCH_TTL_S, MAX_CONTENT_LENGTH, RESULTS_PER_PAGE, FusionParams
+from fanin.params import FETCH_TTL_S, FusionParams, PagingParams
 from fanin.session import ensure_checkpoint_dir
 from fanin.sources.tables import flatten_pages
 
@@ -40,23 +40,26 @@ def require(df: DataFrame, what: str, *cols: str) -> None:
 
 def search_urls(pages_a: DataFrame, items_b: DataFrame, requests: DataFrame, as_of_us: int,
                 outcomes: DataFrame | None = None, params: FusionParams = FusionParams(),
-                per_page: int = RESULTS_PER_PAGE) -> DataFrame:
+                paging: PagingParams = PagingParams()) -> DataFrame:
     """Rows 1, 7-16: ``requests(query_id, num_results, time_range)`` (already clamped).
 
-    Source A pages are flattened in order, cut to the page budget and at the
-    first empty batch, normalised (exact-URL dedupe); source B is normalised;
-    both are filtered by the query's time range, failed sources drop out,
-    and the lists are fused to each query's ``num_results``.
+    Source A pages are flattened in order; both sources' items are filtered by
+    the query's time range first, so that every later bound counts rows in
+    range only; then come the page limits (if ``paging`` sets any), the
+    normalisation with its exact-URL dedupe, and the fusion of the sources that
+    answered to each query's ``num_results``.
     """
     require(pages_a, "pages_a", "query_id", "source", "page_no", "items")
     require(items_b, "items_b", "query_id", "pos", "href", "url", "title", "body")
     require(requests, "requests", "query_id", "num_results", "time_range")
     if outcomes is not None:
         require(outcomes, "outcomes", "query_id", "source", "outcome")
-    a_items = IN.page_early_stop(flatten_pages(pages_a), requests, per_page=per_page)
-    results = NO.union_sources(NO.normalise_a(a_items, requests, params.sources[0]),
-                               NO.normalise_b(items_b, requests, params.sources[1]))
-    results = IN.time_range_filter(results, requests, as_of_us)
+    a_items = IN.time_range_filter(flatten_pages(pages_a), requests, as_of_us)
+    if paging.max_pages is not None:
+        a_items = IN.page_early_stop(a_items, requests, paging.per_page, paging.max_pages)
+    b_items = IN.time_range_filter(items_b, requests, as_of_us)
+    results = NO.union_sources(NO.normalise_a(a_items, requests, params.sources[0], params.max_results),
+                               NO.normalise_b(b_items, requests, params.sources[1], params.max_results, paging.source_b_max))
     return FU.fuse(results, requests=requests, outcomes=outcomes, params=params)
 
 
@@ -81,8 +84,11 @@ def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_u
 
     With ``requests(query_id, max_content_length)`` each query gets its own
     length (as each call of the reference does): memo keys are per (URL,
-    length), every missed URL is resolved once at the largest length allowed
-    and cut per query afterwards.
+    length), every missed URL is resolved once at the largest length asked for
+    it (0 or less: whole) and cut per query afterwards.
+
+    A hit returns all the memo holds: title, method, error and content length
+    as well, where the memo has those columns.
     """
     require(fused, "fused", "query_id", "rank", "href", "title", "body", "source", "published_us")
     require(captures, "captures", "url", "tier", "status")
@@ -90,36 +96,34 @@ def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_u
     ensure_checkpoint_dir(fused.sparkSession)
     if requests is None:
         fused = fused.checkpoint(eager=True).withColumn("_ml", F.lit(params.max_len))
-        resolve_len = params.max_len
     else:
         require(requests, "requests", "query_id", "max_content_length")
         lengths = requests.select("query_id", F.col("max_content_length").cast("int").alias("_len"))
         fused = (fused.join(lengths, "query_id", "left")
                  .withColumn("_ml", F.coalesce("_len", F.lit(params.max_len))).drop("_len")
                  .checkpoint(eager=True))
-        resolve_len = MAX_CONTENT_LENGTH
     wanted = fused.select(F.col("href").alias("url"), "_ml").distinct().withColumn(
         "key", ME.fetch_key(F.col("url"), F.lit(params.fmt), F.col("_ml")))
-    split = ME.split(wanted, memo, as_of_us, ttl_s)
+    payload = [c for c in ("status", "content", "content_length", "method", "error", "title") if c in memo.columns]
+    split = ME.split(wanted, memo, as_of_us, ttl_s, tuple(payload))
     misses = split.filter(~F.col("cached")).select("url", "_ml")
-    miss_urls = misses.select("url").distinct()
-    caps = captures.join(miss_urls, "url", "left_semi")
-    pdfs = pdf_pages.join(miss_urls, "url", "left_semi") if pdf_pages is not None else None
-    resolved = CA.resolve(caps, pdfs, replace(params, max_len=resolve_len)).select(*PAGE_COLUMNS)
-    if requests is None:
-        fetched = resolved.withColumn("_ml", F.lit(params.max_len))
-    else:   # one resolution per URL, cut to each requested length
-        ml = F.col("_ml")
-        fetched = (resolved.join(misses, "url")
-                   .withColumn("content", F.when(ml <= 0, F.col("content")).otherwise(F.col("content").substr(F.lit(1), ml)))
-                   .withColumn("content_length", F.when(ml <= 0, F.col("content_length"))
-                               .otherwise(F.least(F.col("content_length"), ml.cast("bigint")))))
+    most = misses.groupBy("url").agg(F.when(F.min("_ml") <= 0, F.lit(0)).otherwise(F.max("_ml")).alias("cut_len"))
+    caps = captures.join(most, "url")
+    pdfs = pdf_pages.join(most.select("url"), "url", "left_semi") if pdf_pages is not None else None
+    resolved = CA.resolve(caps, pdfs, replace(params, max_len=0)).select(*PAGE_COLUMNS)
+    ml = F.col("_ml")       # one resolution per URL, cut to each requested length
+    fetched = (resolved.join(misses, "url")
+               .withColumn("content", F.when(ml <= 0, F.col("content")).otherwise(F.col("content").substr(F.lit(1), ml)))
+               .withColumn("content_length", F.when(ml <= 0, F.col("content_length"))
+                           .otherwise(F.least(F.col("content_length"), ml.cast("bigint")))))
     fetched = fetched.select(*PAGE_COLUMNS, "_ml", F.lit(False).alias("cached"))
     cut = F.when(F.col("_ml") <= 0, F.length("memo_content")).otherwise(F.least(F.length("memo_content"), F.col("_ml")))
+    held = {c: F.col(f"memo_{c}") if c in payload else F.lit(None).cast("string") for c in ("method", "error")}
+    length = F.coalesce(F.col("memo_content_length"), cut) if "content_length" in payload else cut
     hits = split.filter("cached").select(
         "url", F.col("memo_status").alias("status"), F.col("memo_content").alias("content"),
-        cut.cast("bigint").alias("content_length"), F.lit(None).cast("string").alias("method"),
-        F.lit(None).cast("string").alias("error"), "_ml", F.lit(True).alias("cached"))
+        length.cast("bigint").alias("content_length"), held["method"].alias("method"),
+        held["error"].alias("error"), "_ml", F.lit(True).alias("cached"))
     pages = fetched.unionByName(hits)
     rows = RE.report_rows(fused, pages, on_length=True)
     return rows
@@ -128,7 +132,7 @@ def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_u
 def deep_research(requests_raw: DataFrame, pages_a: DataFrame, items_b: DataFrame, captures: DataFrame,
                   memo: DataFrame, as_of_us: int, outcomes: DataFrame | None = None,
                   pdf_pages: DataFrame | None = None, fusion: FusionParams = FusionParams(),
-                  resolve_params: CA.ResolveParams = CA.ResolveParams(), per_page: int = RESULTS_PER_PAGE,
+                  resolve_params: CA.ResolveParams = CA.ResolveParams(), paging: PagingParams = PagingParams(),
                   ttl_s: int = FETCH_TTL_S) -> DataFrame:
     """Rows 5-6 then the research call, from raw requests
     ``(query_id, query, num_results, max_content_length, time_range)`` as text.
@@ -141,7 +145,7 @@ def deep_research(requests_raw: DataFrame, pages_a: DataFrame, items_b: DataFram
     require(requests_raw, "requests_raw", "query_id", "query", "num_results", "max_content_length", "time_range")
     accepted = IN.clamp(IN.validate(requests_raw).filter("accepted"), "research")
     fused = search_urls(pages_a, items_b, accepted.select("query_id", "num_results", "time_range"), as_of_us,
-                        outcomes=outcomes, params=fusion, per_page=per_page)
+                        outcomes=outcomes, params=fusion, paging=paging)
     return web_research(fused, captures, memo, as_of_us, pdf_pages=pdf_pages, ttl_s=ttl_s,
                         params=resolve_params, requests=accepted.select("query_id", "max_content_length"))
 

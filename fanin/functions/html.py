@@ -30,6 +30,7 @@ def _steps(markdown: bool) -> list[tuple[str, str]]:
         steps += [(rf"(?i)<h{n}{ATTRS}>", "\n" + "#" * n + " ") for n in range(1, 7)]
         steps.append((rf"(?i)<li{ATTRS}>", "\n- "))
     steps.append((rf"(?i)<br{SP}*/?>", "\n"))
+    steps.append((rf"(?i)</t[dh]{SP}*>", " "))
     steps.append((r"(?i)</(?:" + "|".join(BLOCK_TAGS) + rf"){SP}*>", "\n"))
     steps.append((r"<[^>]*>", ""))
     return steps
@@ -110,11 +111,13 @@ def markdown_to_text(md: Column | str) -> Column:
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
-def _meta_re(attr: str, value: str) -> tuple[str, str]:
+def _meta_re(attr: str, value: str) -> tuple[str, ...]:
+    """One pattern per attribute order and kind of quote; a value ends at its own quote only."""
     q = "[\"']"
-    v = "([^\"']*)"
-    return (rf"(?is)<meta[^>]*{attr}={q}{value}{q}[^>]*content={q}{v}{q}",
-            rf"(?is)<meta[^>]*content={q}{v}{q}[^>]*{attr}={q}{value}{q}")
+    tag = rf"(?is)<meta[^>]*"
+    name = rf"{attr}={q}{value}{q}"
+    contents = ('content="([^"]*)"', "content='([^']*)'")
+    return tuple(rf"{tag}{name}[^>]*{c}" for c in contents) + tuple(rf"{tag}{c}[^>]*{name}" for c in contents)
 
 
 META_FIELDS = {
@@ -155,9 +158,8 @@ def page_metadata(html: Column | str) -> Column:
     """STRUCT(title, author, description, sitename, language); empty values are NULL."""
     h = col_(html)
     fields = {"title": meta_title(h)}
-    for name, (a, b) in META_FIELDS.items():
-        fields[name] = nullif_empty(collapse_ws(F.coalesce(
-            nullif_empty(_find(h, a)), _find(h, b))))
+    for name, patterns in META_FIELDS.items():
+        fields[name] = nullif_empty(collapse_ws(F.coalesce(*[nullif_empty(_find(h, p)) for p in patterns])))
     fields["language"] = nullif_empty(pystrip(_find(h, LANG_RE)))
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
@@ -168,6 +170,6 @@ def dom_title(html: Column | str) -> Column:
 
 
 JAVA_EXTRACT = {TITLE_RE: _java_extract(TITLE_RE, "<title", True), LANG_RE: _java_extract(LANG_RE, rf"<html{SP}", False)}
-for _a, _b in META_FIELDS.values():
-    JAVA_EXTRACT[_a] = _java_extract(_a, "<meta", False)
-    JAVA_EXTRACT[_b] = _java_extract(_b, "<meta", False)
+for _patterns in META_FIELDS.values():
+    for _p in _patterns:
+        JAVA_EXTRACT[_p] = _java_extract(_p, "<meta", False)

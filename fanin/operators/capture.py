@@ -19,7 +19,6 @@ from fanin.functions.text import pystrip
 from fanin.functions.urls import pdf_path, pdf_title_from_path, with_url_path
 from fanin.operators.extract import content_length, truncate
 from fanin.params import DEFAULT_MAX_CONTENT_LENGTH, FETCH_MIN_CONTENT
-from fanin.session import spread
 from fanin.sources.tables import conform_captures
 
 PDF_MAGIC = b"%PDF"
@@ -52,26 +51,32 @@ def _features(captures: DataFrame, p: ResolveParams) -> DataFrame:
     """Map side: one narrow row per capture; ``html`` and ``body`` stop here.
 
     The extraction is projected once, then measured and cut in the next
-    projection.
+    projection: to the capture's ``cut_len`` where it has one, else to ``max_len``
+    (0 or less: whole).  ``_pref`` orders a URL's captures of one tier.
     """
-    r = route(spread(captures))
+    cut = F.coalesce(F.col("cut_len"), F.lit(p.max_len))
+    r = route(captures)
     # a static capture routed to PDF is never read as HTML (its text comes from the PDF
     # pages), so the extraction is skipped for it
     ok = (F.col("status") == 200) & ~((F.col("tier") == "static") & (F.col("route") != "html"))
     staged = r.select(
         "url", "tier", "status", "error", (F.col("route") == "pdf_sniffed").alias("sniffed"),
         F.when(ok, H.extract_content("html", p.fmt)).otherwise(F.lit("")).alias("_c"),
-        F.when(ok, H.dom_title("html")).alias("dom_title"), F.when(ok, H.meta_title("html")).alias("meta_title"))
-    return staged.select(
-        "url", "tier",
-        F.struct("status", "error", "sniffed", F.length("_c").cast("bigint").alias("full_len"),
-                 truncate("_c", p.max_len).alias("content"), "dom_title", "meta_title").alias("f"))
+        F.when(ok, H.dom_title("html")).alias("dom_title"), F.when(ok, H.meta_title("html")).alias("meta_title"),
+        "captured_at", cut.alias("_cut"))
+    sized = staged.select("*", F.length("_c").cast("bigint").alias("full_len"))
+    f = F.struct("status", "error", "sniffed", "full_len", truncate("_c", F.col("_cut")).alias("content"), "dom_title", "meta_title")
+    return sized.select("url", "tier", f.alias("f"), (F.col("status") == 200).alias("_good"), "captured_at").select(
+        "url", "tier", "f", F.struct(F.coalesce("_good", F.lit(False)).alias("good"), "captured_at",
+                                     F.col("f.full_len").alias("full_len"), "f").alias("_pref"))
 
 
 def gather(captures: DataFrame, pdf_pages: DataFrame | None, p: ResolveParams) -> DataFrame:
     """One row per URL: static struct ``S``, browser struct ``B``, PDF page list ``P``.
 
-    A single shuffle on ``url``; each list holds one document's pages.
+    A single shuffle on ``url``; each list holds one document's pages.  Of several
+    captures of a tier, status 200 goes before any other, then the latest one
+    (``captured_at``), then the longest.
     """
     feats = _features(captures, p).withColumn("_kind", F.col("tier"))
     if pdf_pages is not None:
@@ -82,8 +87,8 @@ def gather(captures: DataFrame, pdf_pages: DataFrame | None, p: ResolveParams) -
     else:
         feats = feats.withColumn("pg", F.lit(None).cast("struct<page_no:int,text:string>"))
     return feats.groupBy("url").agg(
-        F.max(F.when(F.col("_kind") == "static", F.col("f"))).alias("S"),
-        F.max(F.when(F.col("_kind") == "browser", F.col("f"))).alias("B"),
+        F.max(F.when(F.col("_kind") == "static", F.col("_pref")))["f"].alias("S"),
+        F.max(F.when(F.col("_kind") == "browser", F.col("_pref")))["f"].alias("B"),
         F.array_sort(F.collect_list(F.when(F.col("_kind") == "pdf", F.col("pg")))).alias("P"))
 
 
@@ -124,7 +129,9 @@ def _decide(g: DataFrame, p: ResolveParams) -> DataFrame:
     is_pdf, has_text, by_url, sniffed = F.col("is_pdf"), F.col("has_text"), F.col("by_url"), F.col("sniffed")
     bw, hc, text = F.col("b_wins"), F.col("hc"), F.col("text")
     got = hc != ""
-    status = F.when(is_pdf, F.coalesce(s_status, F.lit(0))).when(bw, B["status"]).otherwise(F.coalesce(s_status, F.lit(0)))
+    # text is success, whatever the capture's own status was
+    status = (F.when(is_pdf & has_text, F.lit(200)).when(is_pdf, F.coalesce(s_status, F.lit(0))).when(bw, B["status"])
+              .otherwise(F.coalesce(s_status, F.lit(0))))
     title = (F.when(by_url, F.when(has_text, F.col("ptitle")).otherwise(F.lit("")))
              .when(sniffed, F.col("ptitle"))
              .when(bw & (F.col("s_title") == ""), F.coalesce(B["meta_title"], F.lit("")))

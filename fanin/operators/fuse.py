@@ -47,15 +47,15 @@ def fuse_dedupe(df: DataFrame) -> DataFrame:
     return df.withColumn("_d", F.row_number().over(w)).filter(F.col("_d") == 1).drop("_d")
 
 
-def fuse_interleave_topk(df: DataFrame, n: int | Column = MAX_NUM_RESULTS) -> DataFrame:
+def fuse_interleave_topk(df: DataFrame, n: int | Column = MAX_NUM_RESULTS, most: int = MAX_NUM_RESULTS) -> DataFrame:
     """Row 16: order survivors by (raw_rank, priority), number from 1, keep the first n.
 
-    ``n`` is a constant or a per-row column (e.g. the query's num_results);
-    the constant ``MAX_NUM_RESULTS`` cut comes first so the plan gets a
-    partial ``WindowGroupLimit`` ahead of the shuffle.
+    ``n`` is a constant or a per-row column (e.g. the query's num_results); in
+    the second case ``most`` is the caller's bound on it, cut first so that the
+    plan gets a partial ``WindowGroupLimit`` ahead of the shuffle.
     """
     w = Window.partitionBy("query_id").orderBy("raw_rank", "priority")
-    limit = min(n, MAX_NUM_RESULTS) if isinstance(n, int) else MAX_NUM_RESULTS
+    limit = n if isinstance(n, int) else most
     out = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     if not isinstance(n, int):
         out = out.filter(F.col("rank") <= n)
@@ -76,12 +76,11 @@ def fuse(results: DataFrame, n: int | Column | None = None, requests: DataFrame
         df = drop_failed_sources(df, outcomes)
     df = fuse_dedupe(with_canonical(source_priority(df, params)))
     if requests is not None:
-        # top-200 first (partial limit before the shuffle), then each query's own n:
-        # the join with the requests sees at most 200 rows per query
-        top = fuse_interleave_topk(df, MAX_NUM_RESULTS)
+        # the caller's bound first (partial limit before the shuffle), then each query's own n
+        top = fuse_interleave_topk(df, params.max_results)
         return (top.join(requests.select("query_id", F.col("num_results").alias("_n")), "query_id")
                 .filter(F.col("rank") <= F.col("_n")).drop("_n"))
-    return fuse_interleave_topk(df, MAX_NUM_RESULTS if n is None else n)
+    return fuse_interleave_topk(df, params.max_results if n is None else n, params.max_results)
 
 
 def sources_used(outcomes: DataFrame, requested: tuple[str, ...]) -> DataFrame:

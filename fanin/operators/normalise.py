@@ -10,29 +10,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanin.functions.text import pystrip, pystrip_null_safe
-from fanin.params import MAX_NUM_RESULTS, SOURCE_B_ENGINES, SOURCE_B_MAX
+from fanin.params import MAX_NUM_RESULTS, SOURCE_B_ENGINES
 
 RESULT_COLUMNS = ("query_id", "source", "raw_rank", "href", "title", "body", "engines", "score", "published_us")
 
 
-def _rank_and_cap(df: DataFrame, order: str, requests: DataFrame, cap: Column | None = None) -> DataFrame:
+def _rank_and_cap(df: DataFrame, order: str, requests: DataFrame, cap: Column | None = None,
+                  most: int = MAX_NUM_RESULTS) -> DataFrame:
     """0-based rank per query by ``order``; keep the first n (n per query).
 
-    The constant cut comes first, so Catalyst plans a ``WindowGroupLimit`` (a
-    partial top-k before the shuffle: a query with a huge raw list sends at
-    most ``MAX_NUM_RESULTS`` rows per map partition); the join with the
-    requests for each query's own n then sees at most that many rows.
+    ``most`` is the caller's bound on n (intake clamps to it).  That constant cut
+    comes first, so Catalyst plans a ``WindowGroupLimit``: a query with a huge raw
+    list sends at most ``most`` rows per map partition, and the join with the
+    requests for each query's own n sees at most that many rows.
     """
     n = F.col("num_results") if cap is None else cap
     w = Window.partitionBy("query_id").orderBy(order)
-    top = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= MAX_NUM_RESULTS)
+    top = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
     return (top.join(requests.select("query_id", "num_results"), "query_id")
             .filter(F.col("_rn") <= n)
             .withColumn("raw_rank", (F.col("_rn") - 1).cast("int"))
             .drop("_rn", "num_results"))
 
 
-def normalise_a(items: DataFrame, requests: DataFrame, source: str = "a") -> DataFrame:
+def normalise_a(items: DataFrame, requests: DataFrame, source: str = "a", most: int = MAX_NUM_RESULTS) -> DataFrame:
     """Row 9: source A items (``query_id, raw_pos, url, title, content[, engines][, score]``).
 
     Strip the url, drop blanks, keep the first row per exact stripped url,
@@ -50,15 +51,17 @@ def normalise_a(items: DataFrame, requests: DataFrame, source: str = "a") -> Dat
           .filter(F.col("href") != ""))
     first = Window.partitionBy("query_id", "href").orderBy("raw_pos")
     df = df.withColumn("_d", F.row_number().over(first)).filter(F.col("_d") == 1).drop("_d")
-    return (_rank_and_cap(df, "raw_pos", requests)
+    return (_rank_and_cap(df, "raw_pos", requests, most=most)
             .withColumn("source", F.lit(source)).select(*RESULT_COLUMNS))
 
 
-def normalise_b(items: DataFrame, requests: DataFrame, source: str = "b") -> DataFrame:
+def normalise_b(items: DataFrame, requests: DataFrame, source: str = "b", most: int = MAX_NUM_RESULTS,
+                source_max: int | None = None) -> DataFrame:
     """Row 10: source B items (``query_id, pos, href, url, title, body[, published_us]``).
 
     href, else url, stripped; blanks dropped; no dedupe; engines fixed; score
-    1.0; the first ``min(100, num_results)``.
+    1.0; the first ``num_results``, or ``min(source_max, num_results)`` if the
+    caller sets a bound (``SOURCE_B_MAX`` is what one download holds).
     """
     cols = set(items.columns)
     href = pystrip(F.coalesce(F.nullif(F.col("href"), F.lit("")), F.nullif(F.col("url"), F.lit("")), F.lit("")))
@@ -68,7 +71,8 @@ def normalise_b(items: DataFrame, requests: DataFrame, source: str = "b") -> Dat
                        F.array(*[F.lit(e) for e in SOURCE_B_ENGINES]).alias("engines"), F.lit(1.0).alias("score"),
                        pub.alias("published_us"))
           .filter(F.col("href") != ""))
-    return (_rank_and_cap(df, "pos", requests, F.least(F.col("num_results"), F.lit(SOURCE_B_MAX)))
+    n = F.col("num_results")
+    return (_rank_and_cap(df, "pos", requests, n if source_max is None else F.least(n, F.lit(source_max)), most)
             .withColumn("source", F.lit(source)).select(*RESULT_COLUMNS))
 
 

@@ -40,16 +40,23 @@ def report_rows(fused: DataFrame, pages: DataFrame, on_length: bool = False) ->
         F.col("_error").alias("error"))
 
 
-def report_nested(rows: DataFrame, used: DataFrame | None = None, with_content: bool = False) -> DataFrame:
+def report_nested(rows: DataFrame, used: DataFrame | None = None, with_content: bool = False,
+                  queries: DataFrame | None = None) -> DataFrame:
     """Row 47: one row per query: num_results and the rows ordered by rank.
 
-    The gathered list is one query's fused results, at most the fusion cap
-    (200); content is left out unless asked for.
+    With ``queries(query_id)`` a query without results has its row too: count 0
+    and an empty list.  The gathered list is one query's fused results, bounded
+    by the query's n; content is left out unless asked for.
     """
     fields = [f for f in REPORT_FIELDS if with_content or f != "content"]
     per_q = rows.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("num_results"),
         F.array_sort(F.collect_list(F.struct(*fields))).alias("sources"))
+    if queries is not None:
+        asked = queries.select("query_id").distinct()
+        none = F.array().cast(per_q.schema["sources"].dataType)
+        per_q = asked.join(per_q, "query_id", "left").select("query_id", F.coalesce("num_results", F.lit(0)).alias("num_results"),
+                                                             F.coalesce("sources", none).alias("sources"))
     if used is not None:
         per_q = per_q.join(used.select("query_id", "sources_used"), "query_id", "left")
     return per_q

@@ -3,9 +3,9 @@
 Stands in for the upstream search calls: one ranked list per (query,
 source), at most ``k`` rows.  Integer scoring, so results are exactly
 checkable: distinct matched terms desc, total term hits desc, page id asc.
-Terms found on more than ``max_df = num/den`` of the corpus's documents are
-stop words and are not indexed (a rule of the ranking, applied to every query
-alike; integer arithmetic so the cut is exact).
+Every term counts, however frequent.  Documents are dealt into blocks; a
+query's scores are summed and cut to ``k`` inside each block, so that only
+``k`` rows per query and block meet in the final cut.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanin.session import spread
-
 TOKEN_RE = r"[\p{L}\p{N}]+"
+BLOCKS = 64
 
 
 def tokens(text: Column | str) -> Column:
@@ -23,21 +22,11 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_RE), 0)
 
 
-def postings(docs: DataFrame, doc_id: str, text: Column, max_df: tuple[int, int] = (1, 5)) -> DataFrame:
-    """``(term, doc_id, tf)`` for the indexable terms of ``docs``.
-
-    Term frequencies are a partial aggregate on ``(term, doc)``; document
-    frequencies another on ``term``; the corpus size is a scalar subquery.
-    """
-    per = (spread(docs).select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term"))
-           .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    df = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    num, den = max_df
-    keep = df.filter(F.col("df") * F.lit(den) <= n_docs * F.lit(num)).select("term")
-    # an inner join with the (distinct) kept terms: unlike a semi join it is not pushed
-    # below the aggregate, so both uses of ``per`` share one shuffle (exchange reuse)
-    return per.join(keep, "term")
+def postings(docs: DataFrame, doc_id: str, text: Column, blocks: int = BLOCKS) -> DataFrame:
+    """``(block, term, doc_id, tf)``: partial counts on the map side, one shuffle."""
+    per = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term"))
+    return (per.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+            .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -47,14 +36,17 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 def retrieve_ranked(queries: DataFrame, post: DataFrame, k: int, source: str) -> DataFrame:
     """Top ``k`` docs per query: ``query_id, source, raw_rank (0-based), doc_id, n_terms, hits``.
 
-    The term join is an equi-join (AQE splits skewed terms); the per
-    (query, doc) scores are a partial aggregate; top-k per query gets a
-    ``WindowGroupLimit`` ahead of its shuffle.
+    The term join is an equi-join (AQE splits skewed terms); scores are partial
+    aggregates; the first cut runs per (query, block), so a frequent query
+    spreads over the blocks, and the last one sees ``k`` rows per block.
     """
     hits = (queries.join(post, "term")
-            .groupBy("query_id", "doc_id")
+            .groupBy("query_id", "block", "doc_id")
             .agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("hits")))
-    w = Window.partitionBy("query_id").orderBy(F.col("n_terms").desc(), F.col("hits").desc(), F.col("doc_id"))
+    best = (F.col("n_terms").desc(), F.col("hits").desc(), F.col("doc_id"))
+    local = Window.partitionBy("query_id", "block").orderBy(*best)
+    hits = hits.withColumn("_b", F.row_number().over(local)).filter(F.col("_b") <= k)
+    w = Window.partitionBy("query_id").orderBy(*best)
     return (hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
             .select("query_id", F.lit(source).alias("source"), (F.col("_rn") - 1).cast("int").alias("raw_rank"),
                     "doc_id", F.col("n_terms").cast("bigint").alias("n_terms"), F.col("hits").cast("bigint").alias("hits")))

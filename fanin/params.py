@@ -6,7 +6,7 @@ nothing reads the wall clock.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values (they must equal the reference's for equal results).
@@ -62,7 +62,7 @@ USES_NETLOC = ("ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file"
 
 @dataclass(frozen=True)
 class FusionParams:
-    """Source priority (order breaks ties inside a rank) and the per-query cap."""
+    """Source priority (order breaks ties inside a rank) and the caller's bound on any query's n."""
 
     sources: tuple[str, ...] = ("a", "b")
     max_results: int = MAX_NUM_RESULTS
@@ -72,10 +72,15 @@ class FusionParams:
 
 
 @dataclass(frozen=True)
-class MemoParams:
-    as_of_us: int
-    ttl_s: int = FETCH_TTL_S
-    max_entries: int = MAX_MEMO_ENTRIES
+class PagingParams:
+    """Which recorded pages take part: by default all.  ``DOWNLOAD_LIMITS`` are those of a live call."""
+
+    per_page: int = RESULTS_PER_PAGE
+    max_pages: int | None = None      # pages 1 .. min(max_pages, ceil(n / per_page)), ending at the first empty batch
+    source_b_max: int | None = None
+
+
+DOWNLOAD_LIMITS = PagingParams(RESULTS_PER_PAGE, MAX_PAGES, SOURCE_B_MAX)
 
 
 @dataclass(frozen=True)
@@ -83,10 +88,3 @@ class BreakerParams:
     threshold: int = BREAKER_THRESHOLD
     cooldown_s: float = BREAKER_COOLDOWN_S
 
-
-@dataclass(frozen=True)
-class ScanParams:
-    """Width of the time chunks used to split long per-key histories."""
-
-    chunk_us: int = 3600 * 1_000_000
-    extra: dict = field(default_factory=dict)

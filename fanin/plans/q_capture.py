@@ -11,7 +11,6 @@ from fanin.operators import extract as EX
 from fanin.plans import sqlx as X
 from fanin.plans.q_search import Ctx
 from fanin.plans.registry import register
-from fanin.session import spread
 from fanin.sources import fixtures as fx
 
 P = CA.ResolveParams()
@@ -38,7 +37,8 @@ def resolve_ctes(p: CA.ResolveParams = P) -> list[tuple[str, str]]:
   CASE WHEN status = 200 THEN {ext} ELSE '' END AS cfull,
   CASE WHEN status = 200 THEN {X.dom_title('html')} END AS dom_title,
   CASE WHEN status = 200 THEN {X.meta_title('html')} END AS meta_title
-FROM captures"""),
+FROM (SELECT * FROM captures QUALIFY row_number() OVER (PARTITION BY url, tier
+      ORDER BY coalesce(status = 200, false) DESC, captured_at DESC NULLS LAST) = 1) best"""),
         ("pdft", f"""SELECT url, string_agg(text, chr(10) || chr(10) ORDER BY page_no, text) AS text FROM pdf_capture_pages
 WHERE {X.strip("coalesce(text, '')")} <> '' GROUP BY url"""),
         ("urls", "SELECT url FROM captures UNION SELECT url FROM pdf_capture_pages"),
@@ -57,7 +57,7 @@ LEFT JOIN pdft p ON p.url = u.url"""),
         ("j5", """SELECT *, CASE WHEN b_wins THEN b_c WHEN s_status = 200 THEN s_c ELSE '' END AS hc,
   CASE WHEN b_wins THEN length(b_c) ELSE s_len END AS hfull FROM j4"""),
         ("resolved", f"""SELECT url,
-  CAST(CASE WHEN is_pdf THEN coalesce(s_status, 0) WHEN b_wins THEN b_status ELSE coalesce(s_status, 0) END AS INT) AS status,
+  CAST(CASE WHEN is_pdf AND has_text THEN 200 WHEN is_pdf THEN coalesce(s_status, 0) WHEN b_wins THEN b_status ELSE coalesce(s_status, 0) END AS INT) AS status,
   CASE WHEN by_url THEN (CASE WHEN has_text THEN ptitle ELSE '' END) WHEN sniffed THEN ptitle
        WHEN b_wins AND s_title = '' THEN coalesce(b_mt, '') ELSE s_title END AS title,
   CASE WHEN is_pdf THEN {sub('text')} ELSE {sub('hc')} END AS content,
@@ -117,18 +117,18 @@ def q_title_cascade(spark, sf):
 
 @register("extract_text", fx.duckdb_with("pg") + f"SELECT page_id, {X.extract_text('html')} AS text FROM pg")
 def q_extract_text(spark, sf):
-    return spread(Ctx(spark, sf).v("pg")).select("page_id", H.extract_text("html").alias("text"))
+    return Ctx(spark, sf).v("pg").select("page_id", H.extract_text("html").alias("text"))
 
 
 @register("extract_markdown", fx.duckdb_with("pg") + f"SELECT page_id, {X.extract_markdown('html')} AS markdown FROM pg")
 def q_extract_markdown(spark, sf):
-    return spread(Ctx(spark, sf).v("pg")).select("page_id", H.extract_markdown("html").alias("markdown"))
+    return Ctx(spark, sf).v("pg").select("page_id", H.extract_markdown("html").alias("markdown"))
 
 
 @register("markdown_to_text", fx.duckdb_with("pg") +
           f"SELECT page_id, {X.markdown_to_text(X.extract_markdown('html'))} AS text FROM pg")
 def q_markdown_to_text(spark, sf):
-    return spread(Ctx(spark, sf).v("pg")).select("page_id", H.markdown_to_text(H.extract_markdown("html")).alias("text"))
+    return Ctx(spark, sf).v("pg").select("page_id", H.markdown_to_text(H.extract_markdown("html")).alias("text"))
 
 
 @register("page_metadata", fx.duckdb_with("captures") + f"""
@@ -136,7 +136,7 @@ SELECT url, tier, {X.meta_title('html')} AS title, {X.meta_field('html', 'author
        {X.meta_field('html', 'description')} AS description, {X.meta_field('html', 'sitename')} AS sitename,
        {X.meta_language('html')} AS language FROM captures""")
 def q_page_metadata(spark, sf):
-    return spread(Ctx(spark, sf).v("captures")).select("url", "tier", H.page_metadata("html").alias("m")).select(
+    return Ctx(spark, sf).v("captures").select("url", "tier", H.page_metadata("html").alias("m")).select(
         "url", "tier", "m.*")
 
 

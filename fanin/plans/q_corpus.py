@@ -37,10 +37,8 @@ def _retrieve_sql() -> str:
         ctes += [
             (f"t_{src}", f"""SELECT term, doc_id, count(*) AS tf FROM (
   SELECT page_id AS doc_id, unnest({tok(text)}) AS term FROM pg) x GROUP BY term, doc_id"""),
-            (f"p_{src}", f"""SELECT * FROM t_{src} WHERE term IN (
-  SELECT term FROM t_{src} GROUP BY term HAVING count(*) * 5 <= (SELECT count(*) FROM pg) * 1)"""),
             (f"r_{src}", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_terms DESC, hits DESC, doc_id) AS rn FROM (
-  SELECT query_id, doc_id, count(*) AS n_terms, sum(tf) AS hits FROM qt JOIN p_{src} USING (term) GROUP BY query_id, doc_id) s"""),
+  SELECT query_id, doc_id, count(*) AS n_terms, sum(tf) AS hits FROM qt JOIN t_{src} USING (term) GROUP BY query_id, doc_id) s"""),
         ]
         parts.append(f"""SELECT query_id, '{src}' AS source, CAST(rn - 1 AS INT) AS raw_rank, doc_id AS page_id, pg.url AS href,
   CAST(n_terms AS BIGINT) AS n_terms, CAST(hits AS BIGINT) AS hits FROM r_{src} JOIN pg ON pg.page_id = r_{src}.doc_id WHERE rn <= {K}""")
@@ -86,7 +84,7 @@ def q_report_sink(spark, sf):
     """Write the nested reports as JSON (partitioned by run date), read them back."""
     c = Ctx(spark, sf)
     run_date = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=fx.SEARCH_AS_OF_US)).date().isoformat()
-    nested = RE.report_nested(rows(c), FU.sources_used(c.v("source_outcomes"), REQUESTED)).withColumn(
+    nested = RE.report_nested(rows(c), FU.sources_used(c.v("source_outcomes"), REQUESTED), queries=c.v("search_requests")).withColumn(
         "run_date", F.lit(run_date))
     path = scratch_path(spark, "reports")
     write_report_json(nested, path, ("run_date",))

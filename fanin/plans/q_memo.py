@@ -25,6 +25,13 @@ def memo_keyed(c: Ctx):
     return m.select(ME.fetch_key("url", "fmt", "max_len").alias("key"), "url", "ts_us", "status", "content")
 
 
+def memo_whole(c: Ctx):
+    """The memo with its whole payload, as the research calls read it."""
+    m = c.v("memo")
+    return m.select(ME.fetch_key("url", "fmt", "max_len").alias("key"), "ts_us", "status", "title", "content", "content_length",
+                    "method", "error")
+
+
 def fetch_requests(c: Ctx):
     return c.v("pg").select("url", ME.fetch_key(F.col("url"), F.lit(FMT), F.lit(MAX_LEN)).alias("key"))
 
@@ -36,7 +43,7 @@ def admitted(c: Ctx):
 
 
 # ---- DuckDB -----------------------------------------------------------------
-MK = ("mk", "SELECT sha256(concat_ws('|', 'fetch', url, fmt, CAST(max_len AS VARCHAR))) AS key, url, ts_us, status, content FROM memo")
+MK = ("mk", "SELECT sha256(concat_ws('|', 'fetch', url, fmt, CAST(max_len AS VARCHAR))) AS key, url, ts_us, status, content, content_length, method, error FROM memo")
 EXPIRED = f"({AS_OF} - coalesce(ts_us, 0) > {TTL * 1_000_000})"
 FKEY = f"sha256(concat_ws('|', 'fetch', url, '{FMT}', '{MAX_LEN}'))"
 ADM = ("admitted", f"SELECT url, {FKEY} AS key, status, content, content_length FROM resolved WHERE status = 200 AND content <> ''")

@@ -8,7 +8,7 @@ from fanin.operators import fuse as FU
 from fanin.operators import report as RE
 from fanin.params import FusionParams
 from fanin.plans import sqlx as X
-from fanin.plans.q_capture import resolve_ctes, resolved
+from fanin.plans.q_capture import resolve_ctes
 from fanin.plans.q_search import REQUESTED, SEARCH_VIEWS, Ctx, search_ctes, searched, serp_ctes, serp_fused
 from fanin.plans.registry import register
 from fanin.sources import fixtures as fx
@@ -16,8 +16,15 @@ from fanin.sources import fixtures as fx
 REVERSED = FusionParams(sources=("b", "a"))
 
 
-def rows(c: Ctx):
-    return RE.report_rows(searched(c), resolved(c))
+def rows(c: Ctx, fused=None):
+    """Report rows: only captures of URLs that some result names are extracted."""
+    from fanin import api
+    from fanin.plans.q_capture import P
+    fused = searched(c) if fused is None else fused
+    named = fused.select(F.col("href").alias("url")).distinct()
+    pages = api.scrape(c.v("captures").join(named, "url", "left_semi"),
+                       c.v("pdf_capture_pages").join(named, "url", "left_semi"), P)
+    return RE.report_rows(fused, pages)
 
 
 def report_with(final: str, extra=()) -> str:
@@ -44,13 +51,14 @@ def q_report_rows(spark, sf):
 
 
 @register("report_nested", report_with(f"""
-SELECT r.query_id, r.num_results, r.urls, coalesce(u.sources_used, '') AS sources_used
-FROM (SELECT query_id, count(*) AS num_results, string_agg(url, ' ' ORDER BY rank) AS urls FROM rrows GROUP BY query_id) r
+SELECT q.query_id, coalesce(r.num_results, 0) AS num_results, coalesce(r.urls, '') AS urls, coalesce(u.sources_used, '') AS sources_used
+FROM search_requests q LEFT JOIN
+(SELECT query_id, count(*) AS num_results, string_agg(url, ' ' ORDER BY rank) AS urls FROM rrows GROUP BY query_id) r ON r.query_id = q.query_id
 LEFT JOIN (SELECT query_id, string_agg(source, ',' ORDER BY array_position({list(REQUESTED)}, source)) AS sources_used
-           FROM source_outcomes WHERE outcome = 'ok' GROUP BY query_id) u ON u.query_id = r.query_id"""))
+           FROM source_outcomes WHERE outcome = 'ok' GROUP BY query_id) u ON u.query_id = q.query_id"""))
 def q_report_nested(spark, sf):
     c = Ctx(spark, sf)
-    nested = RE.report_nested(rows(c), FU.sources_used(c.v("source_outcomes"), REQUESTED))
+    nested = RE.report_nested(rows(c), FU.sources_used(c.v("source_outcomes"), REQUESTED), queries=c.v("search_requests"))
     return nested.select("query_id", "num_results", F.array_join(F.transform("sources", lambda x: x["url"]), " ").alias("urls"),
                          F.coalesce("sources_used", F.lit("")).alias("sources_used"))
 
@@ -75,7 +83,7 @@ def q_scrape_scorecard(spark, sf):
     c = Ctx(spark, sf)
     fused = searched(c)        # one search plan for both inputs (shared exchanges)
     status = FU.all_failed(fused, c.v("source_outcomes"))
-    return RE.scrape_scorecard(RE.report_rows(fused, resolved(c)), status)
+    return RE.scrape_scorecard(rows(c, fused), status)
 
 
 @register("error_breakdown", report_with(
@@ -103,7 +111,8 @@ SELECT query_id, count(*) FILTER (WHERE rank <= 20) AS n_small, count(*) AS n_bi
        count(*) > count(*) FILTER (WHERE rank <= 20) AS scaled
 FROM fused GROUP BY query_id"""))
 def q_scaling_check(spark, sf):
-    return RE.scaling_check(serp_fused(spark, sf, n=20), serp_fused(spark, sf, n=200))
+    big = serp_fused(spark, sf, n=200)        # its first 20 ranks are the small run
+    return RE.scaling_check(big.filter("rank <= 20"), big)
 
 
 @register("result_set_diff", _serp_with(*serp_ctes("20"), *serp_ctes("20", REVERSED, "_r"), final="""
@@ -121,8 +130,8 @@ def research(c: Ctx):
     misses resolved from the captures, hits from the memo, report rows with ``cached``."""
     from fanin import api
     from fanin.plans.q_capture import P
-    from fanin.plans.q_memo import AS_OF, TTL, memo_keyed
-    return api.web_research(searched(c), c.v("captures"), memo_keyed(c), AS_OF,
+    from fanin.plans.q_memo import AS_OF, TTL, memo_whole
+    return api.web_research(searched(c), c.v("captures"), memo_whole(c), AS_OF,
                             pdf_pages=c.v("pdf_capture_pages"), ttl_s=TTL, params=P)
 
 
@@ -131,10 +140,10 @@ def _research_sql() -> str:
     key = f"sha256(concat_ws('|', 'fetch', href, '{FMT}', '{MAX_LEN}'))"
     expired = f"({AS_OF} - coalesce(ts_us, 0) > {TTL * 1_000_000})"
     ctes = search_ctes("fused") + resolve_ctes() + [MK, ("wanted", f"SELECT DISTINCT href AS url, {key} AS key FROM fused"),
-        ("hit", f"""SELECT w.url, m.status, m.content FROM wanted w JOIN (SELECT * FROM mk WHERE NOT {expired}) m ON m.key = w.key"""),
+        ("hit", f"""SELECT w.url, m.status, m.content, m.content_length, m.method, m.error FROM wanted w JOIN (SELECT * FROM mk WHERE NOT {expired}) m ON m.key = w.key"""),
         ("pages", f"""SELECT url, status, content, content_length, method, error, false AS cached FROM resolved
 WHERE url IN (SELECT url FROM wanted) AND url NOT IN (SELECT url FROM hit)
-UNION ALL SELECT url, status, content, CAST(least(length(content), {MAX_LEN}) AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), true FROM hit""")]
+UNION ALL SELECT url, status, content, content_length, method, error, true FROM hit""")]
     return fx.duckdb_with(*SEARCH_VIEWS, "captures", "pdf_capture_pages", "memo", ctes=ctes) + """
 SELECT f.query_id, f.rank, coalesce(f.title, '') AS title, coalesce(f.href, '') AS url, coalesce(f.body, '') AS snippet,
   coalesce(f.source, '') AS source, f.published_us, CAST(coalesce(p.status, 0) AS INT) AS status, p.method AS fetch_method,
@@ -164,12 +173,12 @@ def _deep_research_sql() -> str:
         ("lens", f"SELECT query_id, {_clamp_sql('max_content_length', 500, 500000, 20000, 20000)} AS ml FROM research_requests"),
         ("fq", "SELECT f.*, coalesce(l.ml, 20000) AS ml FROM fused f LEFT JOIN lens l USING (query_id)"),
         ("wanted", f"SELECT DISTINCT href AS url, ml, {key} AS key FROM fq"),
-        ("hit", f"SELECT w.url, w.ml, m.status, m.content FROM wanted w JOIN (SELECT * FROM mk WHERE NOT {expired}) m ON m.key = w.key"),
+        ("hit", f"SELECT w.url, w.ml, m.status, m.content, m.content_length, m.method, m.error FROM wanted w JOIN (SELECT * FROM mk WHERE NOT {expired}) m ON m.key = w.key"),
         ("miss", "SELECT w.url, w.ml FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.url = w.url AND h.ml = w.ml)"),
         ("pages", """SELECT r.url, m.ml, r.status, substring(r.content, 1, m.ml) AS content,
   CAST(least(r.content_length, m.ml) AS BIGINT) AS content_length, r.method, r.error, false AS cached
 FROM resolved r JOIN miss m ON m.url = r.url
-UNION ALL SELECT url, ml, status, content, CAST(least(length(content), ml) AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), true
+UNION ALL SELECT url, ml, status, content, content_length, method, error, true
 FROM hit"""),
     ]
     return fx.duckdb_with(*SEARCH_VIEWS, "captures", "pdf_capture_pages", "memo", "research_requests", ctes=ctes) + """
@@ -185,9 +194,9 @@ def q_deep_research(spark, sf):
     """Raw requests -> validate, clamp -> search -> memo split -> misses resolved -> report rows."""
     from fanin import api
     from fanin.plans.q_capture import P
-    from fanin.plans.q_memo import AS_OF, TTL, memo_keyed
-    from fanin.plans.q_search import PER_PAGE, PARAMS, pages_a
+    from fanin.plans.q_memo import AS_OF, TTL, memo_whole
+    from fanin.plans.q_search import PAGING, PARAMS, pages_a
     c = Ctx(spark, sf)
-    return api.deep_research(c.v("research_requests"), pages_a(c), c.v("raw_b"), c.v("captures"), memo_keyed(c), AS_OF,
+    return api.deep_research(c.v("research_requests"), pages_a(c), c.v("raw_b"), c.v("captures"), memo_whole(c), AS_OF,
                              outcomes=c.v("source_outcomes"), pdf_pages=c.v("pdf_capture_pages"), fusion=PARAMS,
-                             resolve_params=P, per_page=PER_PAGE, ttl_s=TTL)
+                             resolve_params=P, paging=PAGING, ttl_s=TTL)

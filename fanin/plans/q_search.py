@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fanin.operators import fuse as FU
 from fanin.operators import intake as IN
 from fanin.operators import normalise as NO
-from fanin.params import FusionParams
+from fanin.params import MAX_PAGES, SOURCE_B_MAX, FusionParams, PagingParams
 from fanin.plans import sqlx as X
 from fanin.plans.registry import register
 from fanin.sources import fixtures as fx
@@ -17,6 +17,7 @@ from fanin.sources.tables import conform_captures, flatten_pages
 PER_PAGE = 5                      # raw_a holds 5 items per page
 REQUESTED = ("a", "b", "unlisted")  # the order the sources were asked in
 PARAMS = FusionParams(sources=("a", "b"))
+PAGING = PagingParams(PER_PAGE, MAX_PAGES, SOURCE_B_MAX)   # the limits of a live call, as rows 7, 8 and 10 have them
 SERP_N = 20
 
 
@@ -50,24 +51,24 @@ def items_a(c: Ctx) -> DataFrame:
     return flatten_pages(pages_a(c))
 
 
+def in_range(c: Ctx, items: DataFrame) -> DataFrame:
+    return IN.time_range_filter(items, c.v("search_requests"), fx.SEARCH_AS_OF_US)
+
+
 def kept_a(c: Ctx) -> DataFrame:
-    return IN.page_early_stop(items_a(c), c.v("search_requests"), per_page=PER_PAGE)
+    return IN.page_early_stop(in_range(c, items_a(c)), c.v("search_requests"), per_page=PER_PAGE)
 
 
 def normalised(c: Ctx) -> DataFrame:
     req = c.v("search_requests")
-    return NO.union_sources(NO.normalise_a(kept_a(c), req), NO.normalise_b(c.v("raw_b"), req))
-
-
-def filtered(c: Ctx) -> DataFrame:
-    return IN.time_range_filter(normalised(c), c.v("search_requests"), fx.SEARCH_AS_OF_US)
+    return NO.union_sources(NO.normalise_a(kept_a(c), req), NO.normalise_b(in_range(c, c.v("raw_b")), req, source_max=SOURCE_B_MAX))
 
 
 def searched(c: Ctx) -> DataFrame:
     """The bulk search call (``fanin.api.search_urls``) over the fixture sources."""
     from fanin import api
     return api.search_urls(pages_a(c), c.v("raw_b"), c.v("search_requests"), fx.SEARCH_AS_OF_US,
-                           outcomes=c.v("source_outcomes"), params=PARAMS, per_page=PER_PAGE)
+                           outcomes=c.v("source_outcomes"), params=PARAMS, paging=PAGING)
 
 
 RESULT_OUT = ["query_id", "source", "raw_rank", "href", "title", "body", "score", "published_us"]
@@ -101,7 +102,7 @@ def norm_a_sql(src: str) -> str:
 def norm_b_sql() -> str:
     href = X.strip("coalesce(nullif(href, ''), nullif(url, ''), '')")
     x = (f"SELECT query_id, pos, {href} AS href, {_sc('title')} AS title, "
-         f"{_sc('body')} AS body, published_us FROM raw_b")
+         f"{_sc('body')} AS body, published_us FROM b_items")
     r = (f"SELECT x.*, row_number() OVER (PARTITION BY x.query_id ORDER BY pos) AS rn, q.num_results "
          f"FROM ({x}) x JOIN search_requests q USING (query_id) WHERE href <> ''")
     return (f"SELECT query_id, 'b' AS source, CAST(rn - 1 AS INT) AS raw_rank, href, title, body, CAST(1.0 AS DOUBLE) AS score, "
@@ -111,20 +112,21 @@ def norm_b_sql() -> str:
 def search_ctes(upto: str, as_of_us: int = fx.SEARCH_AS_OF_US) -> list[tuple[str, str]]:
     ctes = [
         ("a_items", "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY page_no, pos) AS BIGINT) AS raw_pos FROM raw_a"),
+        ("a_range", f"SELECT u.* FROM a_items u JOIN search_requests r USING (query_id) WHERE {_cutoff_case('u.published_us', 'r.time_range', as_of_us)}"),
+        ("b_items", f"SELECT u.* FROM raw_b u JOIN search_requests r USING (query_id) WHERE {_cutoff_case('u.published_us', 'r.time_range', as_of_us)}"),
         ("budget", f"SELECT query_id, num_results, time_range, CAST(least(greatest(ceil(num_results / {PER_PAGE}.0), 1), 10) AS INT) AS pages FROM search_requests"),
         ("a_budget", "SELECT i.* FROM a_items i JOIN budget b USING (query_id) WHERE i.page_no <= b.pages"),
         ("allp", "SELECT query_id, CAST(unnest(range(1, pages + 1)) AS INT) AS page_no FROM budget"),
-        ("cnt", "SELECT query_id, page_no, count(*) AS n FROM raw_a GROUP BY query_id, page_no"),
+        ("cnt", "SELECT query_id, page_no, count(*) AS n FROM a_range GROUP BY query_id, page_no"),
         ("pb", "SELECT p.query_id, floor(p.page_no / 2) AS batch, sum(coalesce(c.n, 0)) AS n FROM allp p "
                "LEFT JOIN cnt c ON c.query_id = p.query_id AND c.page_no = p.page_no GROUP BY p.query_id, floor(p.page_no / 2)"),
         ("stopq", "SELECT query_id, min(batch) AS stop FROM pb WHERE batch >= 1 AND n = 0 GROUP BY query_id"),
-        ("a_kept", "SELECT i.* FROM a_items i JOIN budget b USING (query_id) LEFT JOIN stopq s USING (query_id) "
+        ("a_kept", "SELECT i.* FROM a_range i JOIN budget b USING (query_id) LEFT JOIN stopq s USING (query_id) "
                    "WHERE i.page_no <= b.pages AND floor(i.page_no / 2) <= coalesce(s.stop, 10)"),
         ("norm_a", norm_a_sql("a_kept")),
         ("norm_b", norm_b_sql()),
         ("unioned", "SELECT * FROM norm_a UNION ALL SELECT * FROM norm_b"),
-        ("timef", f"SELECT u.* FROM unioned u JOIN search_requests r USING (query_id) WHERE {_cutoff_case('u.published_us', 'r.time_range', as_of_us)}"),
-        ("oksrc", "SELECT u.* FROM timef u WHERE EXISTS (SELECT 1 FROM source_outcomes o WHERE o.query_id = u.query_id "
+        ("oksrc", "SELECT u.* FROM unioned u WHERE EXISTS (SELECT 1 FROM source_outcomes o WHERE o.query_id = u.query_id "
                   "AND o.source = u.source AND o.outcome = 'ok')"),
     ]
     ctes += fusion_ctes("oksrc", "n_req")
@@ -198,9 +200,9 @@ SELECT query_id, {_clamp_sql('num_results', 1, 200, 15, 15)} AS num_results,
 FROM requests""")
 def q_intake_clamp(spark, sf):
     req = Ctx(spark, sf).v("requests")
-    research = IN.clamp(req, "research").select("query_id", "num_results", "max_content_length")
-    search = IN.clamp(req, "search").select("query_id", F.col("num_results").alias("num_results_search"))
-    return research.join(search, "query_id")
+    both = IN.clamp(req.withColumn("_n", F.col("num_results")), "research")
+    search = IN.clamp_number(F.col("_n"), 1, IN.MAX_NUM_RESULTS, IN.DEFAULT_NUM_RESULTS, IN.DEFAULT_SEARCH_NUM_RESULTS)
+    return both.select("query_id", "num_results", "max_content_length", search.alias("num_results_search"))
 
 
 @register("page_budget", search_sql("a_budget", "SELECT query_id, page_no, pos, raw_pos, url FROM a_budget"))
@@ -224,7 +226,7 @@ def q_normalise_a(spark, sf):
 @register("normalise_b", search_sql("norm_b", "SELECT * FROM norm_b"))
 def q_normalise_b(spark, sf):
     c = Ctx(spark, sf)
-    return NO.normalise_b(c.v("raw_b"), c.v("search_requests")).select(*RESULT_OUT)
+    return NO.normalise_b(in_range(c, c.v("raw_b")), c.v("search_requests"), source_max=SOURCE_B_MAX).select(*RESULT_OUT)
 
 
 @register("union_sources", search_sql("unioned", "SELECT * FROM unioned"))
@@ -232,9 +234,15 @@ def q_union_sources(spark, sf):
     return normalised(Ctx(spark, sf)).select(*RESULT_OUT)
 
 
-@register("time_range_filter", search_sql("timef", "SELECT * FROM timef"))
+@register("time_range_filter", search_sql("b_items", """
+SELECT query_id, 'a' AS source, CAST(raw_pos AS INT) AS at, url, published_us FROM a_range
+UNION ALL SELECT query_id, 'b', pos, coalesce(href, url), published_us FROM b_items"""))
 def q_time_range_filter(spark, sf):
-    return filtered(Ctx(spark, sf)).select(*RESULT_OUT)
+    c = Ctx(spark, sf)
+    a = items_a(c).select("query_id", F.lit("a").alias("source"), F.col("raw_pos").cast("int").alias("at"), "url", "published_us")
+    b = c.v("raw_b").select("query_id", F.lit("b").alias("source"), F.col("pos").alias("at"), F.coalesce("href", "url").alias("url"),
+                            "published_us")
+    return in_range(c, a.unionByName(b))
 
 
 _URLS_SQL = ("SELECT url FROM pg UNION ALL SELECT url FROM raw_a UNION ALL SELECT coalesce(href, url) AS url FROM raw_b")
@@ -259,7 +267,7 @@ def q_source_priority(spark, sf):
 @register("fuse_dedupe", search_sql("dedup", "SELECT query_id, source, raw_rank, href, canonical_url, priority FROM dedup"))
 def q_fuse_dedupe(spark, sf):
     c = Ctx(spark, sf)
-    df = FU.drop_failed_sources(filtered(c), c.v("source_outcomes"))
+    df = FU.drop_failed_sources(normalised(c), c.v("source_outcomes"))
     return FU.fuse_dedupe(FU.with_canonical(FU.source_priority(df, PARAMS))).select(
         "query_id", "source", "raw_rank", "href", "canonical_url", "priority")
 

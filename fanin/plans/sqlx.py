@@ -172,8 +172,8 @@ def meta_title(html: str) -> str:
 
 
 def meta_field(html: str, name: str) -> str:
-    a, b = H.META_FIELDS[name]
-    return nullif_empty(collapse_ws(f"coalesce(nullif({rx(html, a)}, ''), {rx(html, b)})"))
+    found = ", ".join(f"nullif({rx(html, p)}, '')" for p in H.META_FIELDS[name])
+    return nullif_empty(collapse_ws(f"coalesce({found})"))
 
 
 def meta_language(html: str) -> str:

@@ -29,7 +29,8 @@ RESULTS = _st(("query_id", S, False), ("source", S, False), ("raw_rank", I, Fals
 SOURCE_OUTCOMES = _st(("query_id", S, False), ("source", S, False), ("outcome", S, False), ("error", S, True))
 
 CAPTURES = _st(("url", S, False), ("tier", S, False), ("status", I, True), ("content_type", S, True),
-               ("html", S, True), ("body", T.BinaryType(), True), ("error", S, True))
+               ("html", S, True), ("body", T.BinaryType(), True), ("error", S, True),
+               ("captured_at", L, True), ("cut_len", I, True))
 
 PDF_PAGES = _st(("url", S, False), ("page_no", I, False), ("text", S, True))
 

@@ -51,9 +51,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
-        # Unset: we are in a test or a local bench run.
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        # one process: its own temp folder is shared by all its tasks
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fanin-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return sc.getCheckpointDir()
 
 
@@ -62,13 +64,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
-
-def spread(df, min_share: int = 4):
-    """Round-robin a frame over the cluster's cores before CPU-heavy row work, but only
-    when it has fewer partitions than a ``1/min_share`` of the cores (a small, single-file
-    input).  An input of any real size already has that many partitions and is left as
-    it is, so no shuffle of wide rows is added at scale."""
-    if df.isStreaming:       # a stream's partitions come from its source and trigger
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * min_share <= cores else df

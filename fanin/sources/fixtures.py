@@ -34,7 +34,7 @@ FROM {pages}""",
 SELECT lang AS query_id, CAST(floor((rn - 1) / 5.0) AS INT) + 1 AS page_no, CAST((rn - 1) % 5 AS INT) AS pos,
        CASE WHEN page_id % 31 = 0 THEN '  ' WHEN page_id % 7 = 0 THEN concat(' ', url, ' ') ELSE url END AS url,
        CASE WHEN page_id % 17 = 0 THEN NULL ELSE title END AS title,
-       substring(title, 1, 40) AS content, CAST(page_id % 10 AS DOUBLE) AS score,
+       title AS content, CAST(page_id % 10 AS DOUBLE) AS score,
        CASE WHEN page_id % 6 = 0 THEN NULL ELSE 1704067200000000 + page_id * 3600000000 END AS published_us
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(url, 'a', k)), page_id) AS rn
       FROM (SELECT *, '0' AS k FROM {pg} UNION ALL SELECT *, '1' AS k FROM {pg} WHERE page_id % 9 = 0) u) r
@@ -42,7 +42,7 @@ WHERE NOT (lang = 'es' AND rn BETWEEN 16 AND 25)""",
     "raw_b": """
 SELECT lang AS query_id, CAST(rn - 1 AS INT) AS pos,
        CASE WHEN page_id % 10 = 0 THEN NULL ELSE v END AS href, CASE WHEN page_id % 10 = 0 THEN v ELSE NULL END AS url,
-       title, substring(title, 1, 30) AS body, 1704067200000000 + page_id * 3600000000 AS published_us
+       title, title AS body, 1704067200000000 + page_id * 3600000000 AS published_us
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(url, 'b')), page_id) AS rn,
              concat(regexp_replace(regexp_replace(url, '#.*$', ''), '^https:', 'HTTPS:'),
                     CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'UTM_Medium=alt') AS v
@@ -57,16 +57,25 @@ FROM (SELECT query_id, 'a' AS source FROM (SELECT DISTINCT lang AS query_id FROM
 SELECT page_id, url, 'static' AS tier, CASE WHEN page_id % 11 = 0 THEN 403 ELSE 200 END AS status,
        CASE WHEN page_id % 13 = 0 THEN 'Application/PDF' ELSE 'text/html; charset=utf-8' END AS content_type,
        CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 5 = 0 THEN '<html><body><div>app</div></body></html>' ELSE html END AS html,
-       CAST(NULL AS STRING) AS error
+       CAST(NULL AS STRING) AS error, 1704067200000000 + page_id AS captured_at
 FROM {pg}
 UNION ALL
+SELECT page_id, url, 'static', 404, 'text/html', '<html><body>gone</body></html>', 'http 404', 1704067200000000 + 2 * page_id + 7
+FROM {pg} WHERE page_id % 3 = 0
+UNION ALL
+SELECT page_id, url, 'static', 200, 'text/html', concat(html, '<p>', title, '</p>'), CAST(NULL AS STRING), 1704067200000000 + 2 * page_id + 9
+FROM {pg} WHERE page_id % 4 = 1
+UNION ALL
 SELECT page_id, url, 'browser', CASE WHEN page_id % 22 = 0 THEN 403 ELSE 200 END, 'text/html',
-       CASE WHEN page_id % 22 = 0 THEN '' ELSE html END, CASE WHEN page_id % 22 = 0 THEN 'blocked' ELSE NULL END
+       CASE WHEN page_id % 22 = 0 THEN '' ELSE html END, CASE WHEN page_id % 22 = 0 THEN 'blocked' ELSE NULL END, CAST(NULL AS BIGINT)
 FROM {pg} WHERE page_id % 5 = 0 OR page_id % 11 = 0""",
     "memo": """
 SELECT url, 'markdown' AS fmt, 20000 AS max_len, 1705276800000000 - page_id * 600000000 AS ts_us,
-       CASE WHEN page_id % 11 = 0 THEN 403 ELSE 200 END AS status, title AS content
-FROM {pg} WHERE page_id % 2 = 0""",
+       CASE WHEN page_id % 11 = 0 THEN 403 ELSE 200 END AS status, concat(title, html) AS content, title,
+       CAST(least(20000, length(concat(title, html))) AS BIGINT) AS content_length,
+       CASE WHEN page_id % 4 = 0 THEN 'browser' ELSE 'static' END AS method,
+       CASE WHEN page_id % 11 = 0 THEN 'http 403' ELSE NULL END AS error
+FROM {pg}""",
     "attempts": """
 SELECT event_id, concat('u', CAST(user_id AS STRING)) AS source, ts, event_type <> 'error' AS ok FROM {events}""",
     "request_log": """
