@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanin.operators.ordered import (DEFAULT_TARGET_ROWS, LONG_MIN, attach_chunk, chunk_table, chunked_index,
-                                     next_after, orbit)
+                                     next_after, orbit, safe_key)
 from fanin.params import FETCH_RETRIES, RETRY_BACKOFF_S, BreakerParams
 from fanin.session import ensure_checkpoint_dir
 
@@ -32,8 +32,11 @@ def failure_streaks(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
 
     streak = index - index of the last success at or before the row.  The
     last-success index is a running max inside each (key, chunk) and a carry
-    from the per-chunk table, so no window spans a whole key.
+    from the per-chunk table, so no window spans a whole key.  Attempts without
+    a key form one history.  ``chunks`` must be per ``_key`` (``safe_key``).
     """
+    columns = attempts.columns
+    attempts, key = attempts.withColumn("_key", safe_key(key)), "_key"
     ch = chunks if chunks is not None else _chunks(attempts, key, ts, chunk_us, target_rows)
     d = chunked_index(attempts, key, ts, rid, ch)
     run = (Window.partitionBy(key, "_c").orderBy(ts, rid)
@@ -46,7 +49,7 @@ def failure_streaks(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     idx = F.col("_off") + F.col("_l")
     last_ok = F.coalesce(F.col("_off") + F.col("_ls"), F.col("_carry"), F.lit(-1))
     return (d.withColumn("pos", idx.cast("bigint")).withColumn("streak", (idx - last_ok).cast("bigint"))
-            .drop("_c", "_l", "_off", "_ls", "_carry"))
+            .select(*columns, "pos", "streak"))
 
 
 def polite_schedule(calls: DataFrame, key: str = "host", arrival: str = "arrival_us", rid: str = "event_id",
@@ -76,19 +79,25 @@ def polite_schedule(calls: DataFrame, key: str = "host", arrival: str = "arrival
 
 def retry_frontier(attempts: DataFrame, key: str = "url", ts: str = "ts_us", rid: str = "event_id",
                    ok: str = "ok", error: str = "error", max_attempts: int = FETCH_RETRIES + 1,
-                   backoff_s: float = RETRY_BACKOFF_S, chunk_us: int | None = None,
-                   target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+                   backoff_s: float = RETRY_BACKOFF_S) -> DataFrame:
     """Row 24: per key, the state after its last attempt.
 
     'done' (last attempt ok), 'retry' (fewer than ``max_attempts`` failures in a
     row; next due ``last_ts + backoff * failures`` -- linear), or 'exhausted'
-    (carrying the last error).  The last row per key is a ``max_by`` partial
-    aggregate over the streaks.
+    (carrying the last error).  Two partial aggregates: the last success per
+    key, then the last attempt and the count of failures after that success.
+    Attempts without a key are one key's.
     """
-    s = failure_streaks(attempts, key, ts, rid, ok, chunk_us, target_rows)
-    last = s.groupBy(key).agg(F.max_by(F.struct(F.col(ok).alias("ok"), F.col("streak").alias("streak"),
-                                                F.col(error).alias("error"), F.col(ts).alias("ts")),
-                                       F.struct(F.col(ts), F.col(rid))).alias("_x"))
+    at = F.struct(F.col(ts).alias("ts"), F.col(rid).alias("rid"))
+    rows = attempts.withColumn("_key", safe_key(key))
+    good = rows.filter(F.col(ok)).groupBy("_key").agg(F.max(at).alias("_good"))
+    after = rows.join(good, "_key", "left")
+    failures = F.count_if(F.col("_good").isNull() | (at > F.col("_good")))
+    last = after.groupBy("_key").agg(
+        F.max_by(F.struct(F.col(key).alias("key"), F.col(ok).alias("ok"), F.col(error).alias("error"), F.col(ts).alias("ts")), at).alias("_l"),
+        failures.alias("streak"))
+    last = last.select(F.col("_l.key").alias(key), F.struct(F.col("_l.ok").alias("ok"), F.col("streak").alias("streak"),
+                                                            F.col("_l.error").alias("error"), F.col("_l.ts").alias("ts")).alias("_x"))
     state = (F.when(F.col("_x.ok"), F.lit("done"))
              .when(F.col("_x.streak") < max_attempts, F.lit("retry")).otherwise(F.lit("exhausted")))
     due = F.when(state == "retry", F.col("_x.ts") + (F.col("_x.streak") * F.lit(int(backoff_s * US))))
@@ -116,13 +125,15 @@ def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     ``open_until`` of the openings before it (a running max).
     """
     cd_us = int(params.cooldown_s * US)
+    columns, outer = attempts.columns, key
+    attempts, key = attempts.withColumn("_key", safe_key(outer)), "_key"
     if chunk_us is not None:
         ch = chunk_us
     else:   # one per-key table (a row per key) for every scan below, written once
         ensure_checkpoint_dir(attempts.sparkSession)
         ch = chunk_table(attempts, key, ts, target_rows).checkpoint(eager=True)
-    s = failure_streaks(attempts, key, ts, rid, ok, chunks=ch).withColumn(
-        "_flag", ~F.col(ok) & (F.col("streak") == params.threshold))
+    s = failure_streaks(attempts.drop("_key"), outer, ts, rid, ok, chunks=ch).withColumn(
+        "_flag", ~F.col(ok) & (F.col("streak") == params.threshold)).withColumn("_key", safe_key(outer))
     ensure_checkpoint_dir(s.sparkSession)
     s = s.checkpoint(eager=True)   # read five times below; also cuts lineage
     rows = s.select(key, F.col(ts).alias("ts"), F.col(rid).alias("rid"))
@@ -134,10 +145,10 @@ def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
         key, ch)
     after_reset = next_after(flagged, s.filter(F.col(ok)).select(
         key, F.col(rid).alias("pid"), F.col(ts).alias("t"), F.col(rid).alias("r")), key, ch)
-    succ = after_open.unionByName(after_reset).select(F.col("pid").alias("id"), "nxt")
-    starts = flagged.groupBy(key).agg(F.min(F.struct("ts", "rid")).alias("_f")).select(F.col("_f.rid").alias("id"))
-    nodes = orbit(succ, starts)
-    opened = s.join(nodes.withColumn("_node", F.lit(True)), s[rid] == nodes["id"], "left").drop("id")
+    succ = after_open.unionByName(after_reset).select(key, F.col("pid").alias("id"), "nxt")
+    starts = flagged.groupBy(key).agg(F.min(F.struct("ts", "rid")).alias("_f")).select(key, F.col("_f.rid").alias("id"))
+    nodes = orbit(succ, starts, key).withColumn("_node", F.lit(True)).withColumnRenamed("id", rid)
+    opened = s.join(nodes, [key, rid], "left")
     opened = opened.withColumn("opened", F.coalesce(F.col("_node"), F.lit(False)) & ~F.col(ok)).drop("_node")
     # latest open_until strictly before each attempt: running max per chunk plus carry
     c = attach_chunk(opened, key, F.col(ts), ch).withColumn("_ou", F.when(F.col("opened"), F.col(ts) + F.lit(cd_us)))
@@ -150,4 +161,4 @@ def breaker_replay(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     until = F.greatest(F.col("_m"), F.col("_carry"))
     allowed = until.isNull() | (F.col(ts) >= until)
     return (c.withColumn("allowed", allowed).withColumn("open_until_us", F.col("_ou"))
-            .drop("_c", "_ou", "_m", "_carry", "_flag"))
+            .select(*columns, "pos", "streak", "opened", "allowed", "open_until_us"))

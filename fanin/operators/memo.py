@@ -121,22 +121,29 @@ def ttl_replay(log: DataFrame, ttl_s: int, key: str = "req_key", ts: str = "ts_u
     """Row 41: over a request log, which requests would have been memo hits.
 
     Per key in ``(ts, id)`` order: a miss stamps the entry; a request is a hit
-    while ``ts - stamp <= ttl``; hits do not re-stamp.  So the misses are the
-    chain first request -> first request with ``ts > stamp + ttl`` -> ...,
-    found with an as-of lookup and pointer doubling (no per-key list, no
-    sequential loop); every other request is a hit.
+    while ``ts - stamp <= ttl``; hits do not re-stamp.  A request more than the
+    TTL after the one before it is always a miss, so a key's history falls into
+    independent segments there.  Inside a segment the misses are the chain
+    first request -> first request with ``ts > stamp + ttl`` -> ..., found with
+    an as-of lookup and pointer doubling over the segments at once (no per-key
+    list, no sequential loop); every other request is a hit.  Rows are told
+    apart by key and id together; rows without a key form one history.
     """
-    from fanin.operators.ordered import DEFAULT_TARGET_ROWS, LONG_MAX, chunk_table, next_after, orbit
+    from fanin.operators.ordered import (DEFAULT_TARGET_ROWS, LONG_MAX, chunk_table, next_after, orbit,
+                                         previous_ts, safe_key)
 
     if ttl_s < 0:   # every request is older than the entry it would read
         return log.withColumn("hit", F.lit(False))
     ttl_us = ttl_s * US
-    rows = log.select(key, F.col(ts).alias("ts"), F.col(rid).alias("rid"))
-    chunk = chunk_us if chunk_us is not None else chunk_table(rows, key, "ts", target_rows or DEFAULT_TARGET_ROWS)
-    probes = log.select(key, F.col(rid).alias("pid"), (F.col(ts) + F.lit(ttl_us)).alias("t"),
-                        F.lit(LONG_MAX).cast("bigint").alias("r"))
-    succ = next_after(rows, probes, key, chunk).select(F.col("pid").alias("id"), "nxt")
-    starts = rows.groupBy(key).agg(F.min(F.struct("ts", "rid")).alias("_f")).select(F.col("_f.rid").alias("id"))
-    misses = orbit(succ, starts).withColumn("_miss", F.lit(True))
-    out = log.join(misses, log[rid] == misses["id"], "left").drop("id")
-    return out.withColumn("hit", F.col("_miss").isNull()).drop("_miss")
+    log = log.withColumn("_key", safe_key(key))
+    rows = log.select("_key", F.col(ts).alias("ts"), F.col(rid).alias("rid"))
+    chunk = chunk_us if chunk_us is not None else chunk_table(rows, "_key", "ts", target_rows or DEFAULT_TARGET_ROWS)
+    gaps = previous_ts(rows, "_key", chunk)
+    starts = gaps.filter(F.col("prev").isNull() | (F.col("ts") - F.col("prev") > ttl_us)).select("_key", F.col("rid").alias("id"))
+    probes = rows.select("_key", F.col("rid").alias("pid"), (F.col("ts") + F.lit(ttl_us)).alias("t"),
+                         F.lit(LONG_MAX).cast("bigint").alias("r"))
+    succ = next_after(rows, probes, "_key", chunk).filter(F.col("nxt").isNotNull())
+    succ = succ.join(starts.withColumnRenamed("id", "nxt"), ["_key", "nxt"], "left_anti")    # chains end with their segment
+    misses = orbit(succ.select("_key", F.col("pid").alias("id"), "nxt"), starts, "_key").withColumn("_miss", F.lit(True))
+    out = log.join(misses.withColumnRenamed("id", rid), ["_key", rid], "left")
+    return out.withColumn("hit", F.col("_miss").isNull()).select(*[c for c in log.columns if c != "_key"], "hit")

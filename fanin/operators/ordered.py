@@ -13,9 +13,11 @@ list:
 * ``next_after`` -- as-of lookup: for each probe, the first row strictly
   after a position ``(t, r)``; a descending running ``min`` inside each chunk,
   and the first row of the later chunks from the chunk table.
-* ``orbit`` -- the nodes reached from start nodes through a successor
-  column, by pointer doubling: ``O(log L)`` self-joins for orbits of length
-  ``L``, each level checkpointed to cut lineage.
+* ``orbit`` -- the nodes ``(key, id)`` reached from start nodes through a
+  successor column, by pointer doubling: ``O(log L)`` self-joins for orbits of
+  length ``L``, each level checkpointed to cut lineage.
+
+Keys must not be NULL here; callers use ``safe_key``.
 """
 
 from __future__ import annotations
@@ -89,45 +91,48 @@ def next_after(rows: DataFrame, probes: DataFrame, key: str, chunks) -> DataFram
     return out.select(key, "pid", F.coalesce(F.col("_in"), F.col("_later"))["r"].alias("nxt"))
 
 
-def orbit(succ: DataFrame, starts: DataFrame, max_levels: int = 64) -> DataFrame:
-    """Ids reached from ``starts(id)`` by repeatedly following ``succ(id, nxt)`` (starts included).
+def safe_key(key: str) -> Column:
+    """The key as text that is never NULL, so that rows without a key form one history of their own."""
+    c = F.col(key)
+    return F.when(c.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), c.cast("string")))
+
+
+def previous_ts(rows: DataFrame, key: str, chunks) -> DataFrame:
+    """``(key, ts, rid)`` with ``prev``, the time of the row before it in its key (NULL for the first)."""
+    c = attach_chunk(rows, key, F.col("ts"), chunks)
+    inside = c.withColumn("_p", F.lag("ts").over(Window.partitionBy(key, "_c").orderBy("ts", "rid")))
+    ends = c.groupBy(key, "_c").agg(F.max("ts").alias("_e"))
+    before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(key, "_c", F.max("_e").over(before).alias("_b"))
+    return inside.join(carry, [key, "_c"]).select(key, "ts", "rid", F.coalesce("_p", "_b").alias("prev"))
 
-    Level k holds ``id -> nxt^(2^k)(id)``; levels are built until no jump is
-    left, then walked back down: after level k the set holds every orbit
-    position that is a multiple of 2^k.  Orbits of different starts must not
-    meet (true here: one start per key, successors stay in the key).
+
+def orbit(succ: DataFrame, starts: DataFrame, key: str, max_levels: int = 64) -> DataFrame:
+    """``(key, id)`` reached from ``starts(key, id)`` by repeatedly following ``succ(key, id, nxt)`` (starts included).
+
+    Nodes are identified by key and id together.  Level k holds
+    ``id -> nxt^(2^k)(id)``; levels are built until no jump is left, then
+    walked back down: after level k the set holds every orbit position that is
+    a multiple of 2^k.  Orbits of different starts must not meet.
     """
     spark = succ.sparkSession
     ensure_checkpoint_dir(spark)
 
-    def materialise(df: DataFrame, first: bool = False) -> tuple[DataFrame, dict]:
+    def materialise(df: DataFrame) -> tuple[DataFrame, int]:
         # one job per level: the checkpoint write also counts the jumps left
         obs = Observation()
-        metrics = [F.count("j").alias("jumps")]
-        if first:
-            metrics += [F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("j").alias("targets")]
-        out = df.observe(obs, *metrics).checkpoint(eager=True)
-        return out, obs.get
-
-    level, m = materialise(succ.select("id", F.col("nxt").alias("j")), first=True)
-    if m["targets"] * 2 < m["rows"]:
-        # Only starts and nodes that are some node's successor can lie on a chain.  When
-        # those are few (many rows share a successor, as in dense keys) the doubling runs
-        # over that set alone, which is closed under succ.
-        domain = (level.filter(F.col("j").isNotNull()).select(F.col("j").alias("id"))
-                  .unionByName(starts.select("id")).distinct())
-        level, m = materialise(level.join(domain, "id", "left_semi"))
-    jumps = m["jumps"]
+        out = df.observe(obs, F.count("j").alias("jumps")).checkpoint(eager=True)
+        return out, obs.get["jumps"]
+
+    level, jumps = materialise(succ.select(key, "id", F.col("nxt").alias("j")).filter("j IS NOT NULL"))
     levels = [level]
     while jumps and len(levels) < max_levels:
-        a, b = level.alias("a"), level.alias("b")
-        nxt = (a.join(b, F.col("a.j") == F.col("b.id"), "left")
-               .select(F.col("a.id").alias("id"), F.col("b.j").alias("j")))
-        level, m = materialise(nxt)
-        jumps = m["jumps"]
+        b = level.select(F.col(key).alias("_bk"), F.col("id").alias("_bi"), F.col("j").alias("_bj"))
+        nxt = level.join(b, (F.col(key) == F.col("_bk")) & (F.col("j") == F.col("_bi"))).select(key, "id", F.col("_bj").alias("j"))
+        level, jumps = materialise(nxt)
         levels.append(level)
-    reached = starts.select("id")
+    reached = starts.select(key, "id")
     for lvl in reversed(levels[:-1] if len(levels) > 1 else levels):
-        jumped = reached.join(lvl, "id").filter(F.col("j").isNotNull()).select(F.col("j").alias("id"))
+        jumped = reached.join(lvl, [key, "id"]).select(key, F.col("j").alias("id"))
         reached = reached.unionByName(jumped).checkpoint(eager=True)
     return reached

@@ -5,6 +5,8 @@ import pytest
 from fanin.operators import health as HE
 from fanin.operators import memo as ME
 from fanin.params import BreakerParams
+from pyspark.sql import functions as F
+
 from pyref import breaker as ref_breaker
 from pyref import polite as ref_polite
 from pyref import ttl_hits as ref_ttl
@@ -109,10 +111,10 @@ def test_retry_frontier(spark):
 def test_orbit_dense_and_sparse_graphs(spark):
     from fanin.operators.ordered import orbit
     # dense: ids 0..299, every id jumps to the next multiple of 10 (few distinct targets)
-    dense = spark.createDataFrame([(i, (i // 10 + 1) * 10 if i < 290 else None) for i in range(300)], "id long, nxt long")
-    got = sorted(r.id for r in orbit(dense, spark.createDataFrame([(3,)], "id long")).collect())
+    dense = spark.createDataFrame([(i, (i // 10 + 1) * 10 if i < 290 else None) for i in range(300)], "id long, nxt long").withColumn("k", F.lit("x"))
+    got = sorted(r.id for r in orbit(dense, spark.createDataFrame([(3, "x")], "id long, k string"), "k").collect())
     assert got == [3] + list(range(10, 300, 10))
     # sparse: a plain chain 0 -> 1 -> ... -> 99, started in the middle
-    chain = spark.createDataFrame([(i, i + 1 if i < 99 else None) for i in range(100)], "id long, nxt long")
-    got = sorted(r.id for r in orbit(chain, spark.createDataFrame([(40,)], "id long")).collect())
+    chain = spark.createDataFrame([(i, i + 1 if i < 99 else None) for i in range(100)], "id long, nxt long").withColumn("k", F.lit("x"))
+    got = sorted(r.id for r in orbit(chain, spark.createDataFrame([(40, "x")], "id long, k string"), "k").collect())
     assert got == list(range(40, 100))
