@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fanin.functions.text import WS_CLASS, col_, collapse_ws, nullif_empty, pystrip, unescape_entities
-from fanin.params import BLOCK_TAGS, STRIPPED_TAGS
+from fanin.params import BLOCK_TAGS, MD_MARKS_RE, STRIPPED_TAGS, TITLE_RE
 
 SP = r"[ \t\r\n\f]"           # HTML white space, same set in Java and RE2
 ATTRS = rf"(?:{SP}[^>]*|/[^>]*)?"
@@ -60,7 +60,7 @@ def _java_forms() -> dict[str, tuple[str, str]]:
 
 JAVA_FORM = _java_forms()
 # Markdown marks at line starts, dropped in text mode (may eat the newline).
-MD_NOISE_RE2 = r"(?m)^[#>*_`~\-]{1,6}" + WS_CLASS + "*"
+MD_NOISE_RE2 = MD_MARKS_RE + WS_CLASS + "*"
 MD_NOISE_JAVA = "(?d)" + MD_NOISE_RE2
 
 
@@ -108,8 +108,6 @@ def markdown_to_text(md: Column | str) -> Column:
 
 
 # ---- metadata ---------------------------------------------------------------
-TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
-
 
 def _meta_re(attr: str, value: str) -> tuple[str, ...]:
     """One pattern per attribute order and kind of quote; a value ends at its own quote only."""

@@ -49,6 +49,10 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
 BLOCK_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr",
               "table", "article", "section", "blockquote", "pre", "title", "body", "html")
 
+# Where a title is read, and the marks that text mode drops at a line's start.
+TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
+MD_MARKS_RE = r"(?m)^[#>*_`~\-]{1,6}"
+
 # Python's str.isspace() set; Spark's trim() only removes spaces.
 PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                  + "".join(chr(c) for c in range(0x2000, 0x200B))

@@ -11,8 +11,9 @@ from fanin.operators import normalise as NO
 from fanin.params import MAX_PAGES, SOURCE_B_MAX, FusionParams, PagingParams
 from fanin.plans import sqlx as X
 from fanin.plans.registry import register
+from fanin.session import scratch_path
 from fanin.sources import fixtures as fx
-from fanin.sources.tables import conform_captures, flatten_pages
+from fanin.sources.tables import conform_captures, flatten_pages, read_captures, read_result_pages
 
 PER_PAGE = 5                      # raw_a holds 5 items per page
 REQUESTED = ("a", "b", "unlisted")  # the order the sources were asked in
@@ -51,6 +52,13 @@ def items_a(c: Ctx) -> DataFrame:
     return flatten_pages(pages_a(c))
 
 
+def recorded(c: Ctx, df: DataFrame, label: str) -> str:
+    """The path of ``df`` as a recording: a Parquet folder under the session's shared folder."""
+    path = scratch_path(c.spark, label)
+    df.write.parquet(path)
+    return path
+
+
 def in_range(c: Ctx, items: DataFrame) -> DataFrame:
     return IN.time_range_filter(items, c.v("search_requests"), fx.SEARCH_AS_OF_US)
 
@@ -164,14 +172,17 @@ def search_sql(upto: str, final: str) -> str:
 
 @register("scan_results", search_sql("a_items", "SELECT query_id, page_no, pos, raw_pos, url, title FROM a_items"))
 def q_scan_results(spark, sf):
-    return items_a(Ctx(spark, sf)).select("query_id", "page_no", "pos", "raw_pos", "url", "title")
+    c = Ctx(spark, sf)
+    pages = read_result_pages(spark, recorded(c, pages_a(c), "result-pages"))
+    return flatten_pages(pages).select("query_id", "page_no", "pos", "raw_pos", "url", "title")
 
 
 @register("scan_captures", fx.duckdb_with("captures") +
           "SELECT url, tier, status, lower(content_type) AS content_type, CAST(length(html) AS BIGINT) AS html_chars, "
           "CAST(NULL AS BLOB) IS NULL AS no_body FROM captures")
 def q_scan_captures(spark, sf):
-    caps = conform_captures(Ctx(spark, sf).v("captures"))
+    c = Ctx(spark, sf)
+    caps = read_captures(spark, recorded(c, conform_captures(c.v("captures")), "captures"))
     return caps.select("url", "tier", "status", F.lower("content_type").alias("content_type"),
                        F.length("html").cast("bigint").alias("html_chars"), F.col("body").isNull().alias("no_body"))
 

@@ -28,31 +28,31 @@ MEMO_AS_OF_US = 1705276800000000     # 2024-01-15 00:00:00
 VIEWS: dict[str, str | dict[str, str]] = {
     "pg": """
 SELECT page_id, url, html, regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang,
+       concat(regexp_extract(url, '/(en|fr|de|es)/', 1), '-', CAST(CAST(floor(page_id / 60.0) AS INT) AS STRING)) AS topic,
        regexp_extract(html, '<title>(.*?)</title>', 1) AS title
 FROM {pages}""",
     "raw_a": """
-SELECT lang AS query_id, CAST(floor((rn - 1) / 5.0) AS INT) + 1 AS page_no, CAST((rn - 1) % 5 AS INT) AS pos,
+SELECT topic AS query_id, CAST(floor((rn - 1) / 5.0) AS INT) + 1 AS page_no, CAST((rn - 1) % 5 AS INT) AS pos,
        CASE WHEN page_id % 31 = 0 THEN '  ' WHEN page_id % 7 = 0 THEN concat(' ', url, ' ') ELSE url END AS url,
        CASE WHEN page_id % 17 = 0 THEN NULL ELSE title END AS title,
        title AS content, CAST(page_id % 10 AS DOUBLE) AS score,
        CASE WHEN page_id % 6 = 0 THEN NULL ELSE 1704067200000000 + page_id * 3600000000 END AS published_us
-FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(url, 'a', k)), page_id) AS rn
-      FROM (SELECT *, '0' AS k FROM {pg} UNION ALL SELECT *, '1' AS k FROM {pg} WHERE page_id % 9 = 0) u) r
-WHERE NOT (lang = 'es' AND rn BETWEEN 16 AND 25)""",
+FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5(concat(url, 'a', k)), page_id) AS rn
+      FROM (SELECT *, '0' AS k FROM {pg} UNION ALL SELECT *, '1' AS k FROM {pg} WHERE page_id % 9 = 0) u) r""",
     "raw_b": """
-SELECT lang AS query_id, CAST(rn - 1 AS INT) AS pos,
+SELECT topic AS query_id, CAST(rn - 1 AS INT) AS pos,
        CASE WHEN page_id % 10 = 0 THEN NULL ELSE v END AS href, CASE WHEN page_id % 10 = 0 THEN v ELSE NULL END AS url,
        title, title AS body, 1704067200000000 + page_id * 3600000000 AS published_us
-FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(url, 'b')), page_id) AS rn,
+FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5(concat(url, 'b')), page_id) AS rn,
              concat(regexp_replace(regexp_replace(url, '#.*$', ''), '^https:', 'HTTPS:'),
                     CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'UTM_Medium=alt') AS v
-      FROM {pg} WHERE page_id % 3 <> 0) r""",
+      FROM {pg}) r""",
     "source_outcomes": """
 SELECT query_id, source,
-       CASE WHEN query_id = 'fr' AND source = 'b' THEN 'error' WHEN query_id = 'de' AND source = 'a' THEN 'skipped' ELSE 'ok' END AS outcome
-FROM (SELECT query_id, 'a' AS source FROM (SELECT DISTINCT lang AS query_id FROM {pg}) l
-      UNION ALL SELECT query_id, 'b' FROM (SELECT DISTINCT lang AS query_id FROM {pg}) l
-      UNION ALL SELECT query_id, 'unlisted' FROM (SELECT DISTINCT lang AS query_id FROM {pg}) l) s""",
+       CASE WHEN query_id LIKE 'fr%' AND source = 'b' THEN 'error' WHEN query_id LIKE 'de%' AND source = 'a' THEN 'skipped' ELSE 'ok' END AS outcome
+FROM (SELECT query_id, 'a' AS source FROM (SELECT DISTINCT topic AS query_id FROM {pg}) l
+      UNION ALL SELECT query_id, 'b' FROM (SELECT DISTINCT topic AS query_id FROM {pg}) l
+      UNION ALL SELECT query_id, 'unlisted' FROM (SELECT DISTINCT topic AS query_id FROM {pg}) l) s""",
     "captures": """
 SELECT page_id, url, 'static' AS tier, CASE WHEN page_id % 11 = 0 THEN 403 ELSE 200 END AS status,
        CASE WHEN page_id % 13 = 0 THEN 'Application/PDF' ELSE 'text/html; charset=utf-8' END AS content_type,
@@ -90,13 +90,13 @@ FROM {lineitem}""",
     # Per-query search parameters for the raw_a / raw_b queries.
     "search_requests": """
 SELECT query_id,
-       CASE query_id WHEN 'en' THEN 40 WHEN 'fr' THEN 12 WHEN 'de' THEN 200 ELSE 30 END AS num_results,
-       CASE query_id WHEN 'en' THEN 'w' WHEN 'de' THEN 'd' WHEN 'es' THEN 'm' ELSE '' END AS time_range
-FROM (SELECT DISTINCT lang AS query_id FROM {pg}) q""",
-    # The four search queries as raw research requests (numbers as text; one length invalid, one absent).
+       CASE substring(query_id, 1, 2) WHEN 'en' THEN 25 WHEN 'fr' THEN 6 WHEN 'de' THEN 200 ELSE 30 END AS num_results,
+       CASE substring(query_id, 1, 2) WHEN 'en' THEN 'w' WHEN 'de' THEN 'd' WHEN 'es' THEN 'm' ELSE '' END AS time_range
+FROM (SELECT DISTINCT topic AS query_id FROM {pg}) q""",
+    # The search queries as raw research requests (numbers as text; one length invalid, one absent).
     "research_requests": """
 SELECT query_id, concat(' ', query_id, ' ') AS query, CAST(num_results AS STRING) AS num_results,
-       CASE query_id WHEN 'en' THEN '600' WHEN 'de' THEN '100' WHEN 'es' THEN 'x' ELSE NULL END AS max_content_length,
+       CASE substring(query_id, 1, 2) WHEN 'en' THEN '600' WHEN 'de' THEN '100' WHEN 'es' THEN 'x' ELSE NULL END AS max_content_length,
        time_range
 FROM {search_requests}""",
     # Raw tool requests, numbers as the text that arrived.
