@@ -1,51 +1,64 @@
 """Exact dedup by deterministic block naming.
 
-Each text is normalised and cut into blocks of ``block`` code points.  Equal blocks get one integer
+Each text is normalised and cut into blocks of ``block`` bytes.  Equal blocks get one integer
 name (the smallest id of their occurrences), then adjacent pairs of names are named in the same way,
 level by level, until each document is one name.  Two documents have the same (level, name) exactly if
 their texts are equal: a name stands for one block or one pair, never for a hash.
 
-One level costs one aggregate (map-side combined) and one join back; hot blocks and hot pairs do not meet
-in one task (``common.join_back``).  Rows shrink by half from level to level, and a document leaves as soon
+One level shuffles its blocks or pairs once; hot blocks and hot pairs do not meet in one task
+(``common.grouped``).  Rows shrink by half from level to level, and a document leaves as soon
 as it is one name, so the levels are as many as log2 of the longest document's blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanin.llm.common import SPACE_RE, documents, join_back, materialise
+from fanin.llm.common import documents, grouped, map_text, materialise, ship
 
-BLOCK = 1024
+BLOCK = 1024             # bytes
 
 
-def normalised(text):
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RE, " ")
+def normalised(text: str | None) -> bytes:
+    """The text in UTF-8 with every run of white space as one space (a null text is empty)."""
+    raw = (text or "").encode("utf-8", "replace")
+    words = b" ".join(raw.split())
+    if not words:
+        return b" " if raw else b""
+    return b" " * raw[:1].isspace() + words + b" " * raw[-1:].isspace()
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
     """One row per block: rid (the row), bid (the block, unique), pos, n (the row's blocks), doc, sha (at pos 0).
     The ids follow the input's partitions, which must be those of a stable scan such as Parquet files."""
-    norm = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"),
-                       normalised(F.col(text_col)).alias("norm"))
-    cut = norm.select("rid", "doc", F.sha2("norm", 256).alias("sha"),
-                      F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("parts"))
-    cut = cut.withColumn("parts", F.when(F.size("parts") == 0, F.array(F.lit(""))).otherwise(F.col("parts")))
-    rows = cut.select("rid", "doc", "sha", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "block"))
-    return rows.select("rid", "doc", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), "n", "pos", "block",
-                       F.monotonically_increasing_id().alias("bid"))
+    def make():
+        def run(texts):
+            index, sha, n, pos, blocks = [], [], [], [], []
+            for i, text in enumerate(texts):
+                raw = normalised(text)
+                parts = [raw[at:at + block] for at in range(0, len(raw), block)] or [b""]
+                index += [i] * len(parts)
+                sha += [hashlib.sha256(raw).hexdigest()] + [None] * (len(parts) - 1)
+                n += [len(parts)] * len(parts)
+                pos += range(len(parts))
+                blocks += parts
+            return index, [sha, n, pos, blocks]
+        return run
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = map_text(rows, "text", make, "sha string, n int, pos int, block binary", ["rid", "doc"])
+    return rows.withColumn("bid", F.monotonically_increasing_id())
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(rid, doc, sha, level, name) per input row; rows with equal normalised texts share (level, name)."""
-    rows = _blocks(docs, id_col, text_col, block)
-    names = rows.groupBy("block").agg(F.min("bid").alias("name"), F.count(F.lit(1)).alias("w"))
-    nodes = join_back(rows, names, ["block"], "w", F.col("bid").cast("string")).drop("block")
-    nodes = materialise(nodes, "names")
+    rows = materialise(_blocks(docs, id_col, text_col, block), "blocks")
+    nodes = materialise(grouped(rows, ["block"], {"name": F.min("bid")}).drop("block"), "names")
     most = nodes.agg(F.max("n")).first()[0] or 1
-    done, level = nodes.filter("n = 1"), 0
-    done = done.select("rid", "doc", "sha", F.lit(0).alias("level"), "name")
+    done, level = nodes.filter("n = 1").select("rid", "doc", "sha", F.lit(0).alias("level"), "name"), 0
     while most > 1:
         level += 1
         pairs = (nodes.filter("n > 1").groupBy("rid", F.shiftright("pos", 1).alias("pos"))
@@ -53,8 +66,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"),
                       F.min("bid").alias("bid"), F.first("doc").alias("doc"), F.max("sha").alias("sha"),
                       F.ceil(F.first("n") / 2).cast("int").alias("n")))
-        names = pairs.groupBy("l", "r").agg(F.min("bid").alias("name"), F.count(F.lit(1)).alias("w"))
-        nodes = materialise(join_back(pairs, names, ["l", "r"], "w", -2 - F.col("bid")).drop("l", "r"), f"names{level}")
+        pairs = materialise(pairs, f"pairs{level}")
+        nodes = materialise(grouped(pairs, ["l", "r"], {"name": F.min("bid")}).drop("l", "r"), f"names{level}")
         done = done.unionByName(nodes.filter("n = 1").select("rid", "doc", "sha", F.lit(level).alias("level"), "name"))
         most = (most + 1) // 2
     return done
@@ -66,9 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, and of repeated rows with that id exactly one.  An empty table gives an empty result."""
     ident = identities(docs, id_col, text_col, block)
     first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "rid"))
-    groups = ident.groupBy("name", "level").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.withColumn("w", F.col("group_size"))
-    out = join_back(ident, groups, ["name", "level"], "w", -2 - F.col("rid"))
+    out = grouped(ident, ["level", "name"], {"f": first, "group_size": F.count(F.lit(1))})
     return out.select("rid", "doc", "sha", F.col("f.doc").alias("keep"), "group_size",
                       (F.col("rid") == F.col("f.rid")).alias("kept"))
 
@@ -92,3 +103,5 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
 """
+
+ship(__name__)
