@@ -7,6 +7,9 @@
 ``web_research``    fused rows + captures + memo -> report rows, memo hits
                     served from the memo and only misses resolved
 ``deep_research``   raw requests -> validated, clamped, searched, reported
+``reports``         the same, as one row per request: status, error, sources
+                    used, count and the nested rows (also without results)
+``remember``        resolved pages -> the next snapshot of the fetch memo
 ``engine_status``   memo -> entries, size, oldest / newest age
 ==================  ===========================================================
 """
@@ -24,7 +27,7 @@ from fanin.operators import intake as IN
 from fanin.operators import memo as ME
 from fanin.operators import normalise as NO
 from fanin.operators import report as RE
-from fanin.params import FETCH_TTL_S, FusionParams, PagingParams
+from fanin.params import FETCH_TTL_S, MAX_MEMO_ENTRIES, FusionParams, PagingParams
 from fanin.session import ensure_checkpoint_dir
 from fanin.sources.tables import flatten_pages
 
@@ -150,6 +153,47 @@ def deep_research(requests_raw: DataFrame, pages_a: DataFrame, items_b: DataFram
                         params=resolve_params, requests=accepted.select("query_id", "max_content_length"))
 
 
+def reports(requests_raw: DataFrame, pages_a: DataFrame, items_b: DataFrame, captures: DataFrame, memo: DataFrame,
+            as_of_us: int, outcomes: DataFrame, requested: tuple[str, ...], pdf_pages: DataFrame | None = None,
+            fusion: FusionParams = FusionParams(), resolve_params: CA.ResolveParams = CA.ResolveParams(),
+            paging: PagingParams = PagingParams(), ttl_s: int = FETCH_TTL_S, with_content: bool = False) -> DataFrame:
+    """Rows 5-6, 17-18, 47 around the research call: one row for every raw request.
+
+    ``query_id, query, status, error, sources_used, num_results, sources``:
+    status is 'rejected' (with the reason), 'error' (no rows and a source
+    failed), 'empty' or 'ok'; a request without rows has count 0 and an empty
+    list.  ``requested`` are the source names in the order they were asked.
+    """
+    require(outcomes, "outcomes", "query_id", "source", "outcome")
+    checked = IN.validate(requests_raw)
+    accepted = IN.clamp(checked.filter("accepted"), "research")
+    fused = search_urls(pages_a, items_b, accepted.select("query_id", "num_results", "time_range"), as_of_us,
+                        outcomes=outcomes, params=fusion, paging=paging)
+    rows = web_research(fused, captures, memo, as_of_us, pdf_pages=pdf_pages, ttl_s=ttl_s, params=resolve_params,
+                        requests=accepted.select("query_id", "max_content_length"))
+    nested = RE.report_nested(rows, FU.sources_used(outcomes, requested), with_content, queries=requests_raw)
+    failed = (outcomes.filter(F.col("outcome") != "ok").groupBy("query_id")
+              .agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("_failed")))
+    out = checked.select("query_id", "query", "reject_reason").join(nested, "query_id").join(failed, "query_id", "left")
+    status = (F.when(F.col("reject_reason").isNotNull(), F.lit("rejected")).when(F.col("num_results") > 0, F.lit("ok"))
+              .when(F.col("_failed").isNotNull(), F.lit("error")).otherwise(F.lit("empty")))
+    error = F.coalesce("reject_reason", F.when(status == "error", F.concat(F.lit("all search sources failed: "), F.col("_failed"))))
+    used = F.when(F.col("reject_reason").isNull(), F.coalesce("sources_used", F.lit(""))).otherwise(F.lit(""))
+    return out.select("query_id", "query", status.alias("status"), error.alias("error"), used.alias("sources_used"),
+                      "num_results", "sources")
+
+
+def remember(memo: DataFrame, resolved: DataFrame, as_of_us: int, params: CA.ResolveParams = CA.ResolveParams(),
+             max_entries: int = MAX_MEMO_ENTRIES) -> DataFrame:
+    """Rows 36-38: the memo's next snapshot after a scrape: successful pages admitted under their fetch key at
+    ``as_of``, the newest ``max_entries`` kept.  Columns are the memo's own."""
+    require(memo, "memo", "key", "ts_us", "status", "content")
+    new = ME.admit_fetches(resolved).withColumn("key", ME.fetch_key(F.col("url"), F.lit(params.fmt), F.lit(params.max_len)))
+    new = new.withColumn("ts_us", F.lit(as_of_us).cast("bigint"))
+    cols = [F.col(c) if c in new.columns else F.lit(None).cast(memo.schema[c].dataType).alias(c) for c in memo.columns]
+    return ME.prune(ME.upsert(memo, new.select(*cols)), max_entries)
+
+
 def engine_status(memo: DataFrame, as_of_us: int) -> DataFrame:
     """Row 40: the memo part of the status call."""
     require(memo, "memo", "ts_us", "content")

@@ -159,7 +159,7 @@ def q_research_report(spark, sf):
 
 # ---- the research call from raw requests (intake, search, memo, per-query lengths) ----
 
-def _deep_research_sql() -> str:
+def _deep_research_sql() -> tuple[str, str]:
     from dataclasses import replace
 
     from fanin.params import MAX_CONTENT_LENGTH
@@ -181,7 +181,7 @@ FROM resolved r JOIN miss m ON m.url = r.url
 UNION ALL SELECT url, ml, status, content, content_length, method, error, true
 FROM hit"""),
     ]
-    return fx.duckdb_with(*SEARCH_VIEWS, "captures", "pdf_capture_pages", "memo", "research_requests", ctes=ctes) + """
+    return fx.duckdb_with(*SEARCH_VIEWS, "captures", "pdf_capture_pages", "memo", "research_requests", ctes=ctes), """
 SELECT f.query_id, f.rank, coalesce(f.title, '') AS title, coalesce(f.href, '') AS url, coalesce(f.body, '') AS snippet,
   coalesce(f.source, '') AS source, f.published_us, CAST(coalesce(p.status, 0) AS INT) AS status, p.method AS fetch_method,
   coalesce(p.cached, false) AS cached, CAST(coalesce(p.content_length, 0) AS BIGINT) AS content_length,
@@ -189,7 +189,7 @@ SELECT f.query_id, f.rank, coalesce(f.title, '') AS title, coalesce(f.href, '')
 FROM fq f LEFT JOIN pages p ON p.url = f.href AND p.ml = f.ml"""
 
 
-@register("deep_research", _deep_research_sql())
+@register("deep_research", "".join(_deep_research_sql()))
 def q_deep_research(spark, sf):
     """Raw requests -> validate, clamp -> search -> memo split -> misses resolved -> report rows."""
     from fanin import api
@@ -200,3 +200,47 @@ def q_deep_research(spark, sf):
     return api.deep_research(c.v("research_requests"), pages_a(c), c.v("raw_b"), c.v("captures"), memo_whole(c), AS_OF,
                              outcomes=c.v("source_outcomes"), pdf_pages=c.v("pdf_capture_pages"), fusion=PARAMS,
                              resolve_params=P, paging=PAGING, ttl_s=TTL)
+
+
+def _reports_sql() -> str:
+    head, final = _deep_research_sql()
+    return f"""{head.rstrip()},
+drows AS ({final})
+SELECT r.query_id, {X.strip("r.query")} AS query,
+       CASE WHEN d.n > 0 THEN 'ok' WHEN b.failed IS NOT NULL THEN 'error' ELSE 'empty' END AS status,
+       CASE WHEN d.n IS NULL AND b.failed IS NOT NULL THEN 'all search sources failed: ' || b.failed END AS error,
+       coalesce(u.used, '') AS sources_used, coalesce(d.n, 0) AS num_results, coalesce(d.urls, '') AS urls
+FROM research_requests r
+LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(url, ' ' ORDER BY rank) AS urls FROM drows GROUP BY query_id) d ON d.query_id = r.query_id
+LEFT JOIN (SELECT query_id, string_agg(DISTINCT source, ', ' ORDER BY source) AS failed FROM source_outcomes WHERE outcome <> 'ok'
+           GROUP BY query_id) b ON b.query_id = r.query_id
+LEFT JOIN (SELECT query_id, string_agg(source, ',' ORDER BY array_position({list(REQUESTED)}, source)) AS used FROM source_outcomes
+           WHERE outcome = 'ok' GROUP BY query_id) u ON u.query_id = r.query_id"""
+
+
+@register("research_reports", _reports_sql())
+def q_research_reports(spark, sf):
+    """One row per raw request: status, error, sources used, count and URLs in rank order."""
+    from fanin import api
+    from fanin.plans.q_capture import P
+    from fanin.plans.q_memo import AS_OF, TTL, memo_whole
+    from fanin.plans.q_search import PAGING, PARAMS, pages_a
+    c = Ctx(spark, sf)
+    out = api.reports(c.v("research_requests"), pages_a(c), c.v("raw_b"), c.v("captures"), memo_whole(c), AS_OF,
+                      c.v("source_outcomes"), REQUESTED, pdf_pages=c.v("pdf_capture_pages"), fusion=PARAMS,
+                      resolve_params=P, paging=PAGING, ttl_s=TTL)
+    return out.withColumn("urls", F.array_join(F.transform("sources", lambda x: x["url"]), " ")).drop("sources")
+
+
+@register("memo_next", fx.duckdb_with("captures", "pdf_capture_pages", "memo", ctes=resolve_ctes() + [
+    ("mk", "SELECT sha256(concat_ws('|', 'fetch', url, fmt, CAST(max_len AS VARCHAR))) AS key, ts_us, status, content_length, method FROM memo"),
+    ("fresh", """SELECT sha256(concat_ws('|', 'fetch', url, 'markdown', '20000')) AS key, CAST(1705276800000001 AS BIGINT) AS ts_us,
+  status, content_length, method FROM resolved WHERE status = 200 AND content <> ''""")]) + """
+SELECT * FROM fresh UNION ALL SELECT * FROM mk WHERE key NOT IN (SELECT key FROM fresh)""")
+def q_memo_next(spark, sf):
+    """The fetch memo after a scrape of all captures."""
+    from fanin import api
+    from fanin.plans.q_capture import P, resolved
+    from fanin.plans.q_memo import AS_OF, memo_whole
+    c = Ctx(spark, sf)
+    return api.remember(memo_whole(c), resolved(c), AS_OF + 1, P).select("key", "ts_us", "status", "content_length", "method")

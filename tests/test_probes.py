@@ -143,3 +143,32 @@ def test_no_job_runs_while_a_frame_is_built(spark):
     jobs = tracker.getJobIdsForGroup("build")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert list(jobs) == []
+
+
+def test_reports_have_a_row_for_every_request(spark):
+    item = lambda u: (u, u, u, [], 1.0, None)
+    pages_a = spark.createDataFrame([("ok", "a", 1, [item("https://e.com/a")]), ("bad", "a", 1, [item("https://e.com/a")])], schemas.RESULT_PAGES)
+    raw = spark.createDataFrame([("ok", " x ", "5", None, ""), ("bad", "  ", "5", None, ""), ("range", "x", "5", None, "q"),
+                                 ("failed", "x", "5", None, None), ("none", "x", "5", None, "")],
+                                "query_id string, query string, num_results string, max_content_length string, time_range string")
+    outcomes = spark.createDataFrame([("ok", "a", "ok"), ("failed", "a", "error"), ("failed", "b", "skipped"), ("none", "a", "ok"), ("none", "b", "ok")],
+                                     "query_id string, source string, outcome string")
+    caps = spark.createDataFrame([("https://e.com/a", "static", 200, "text/html", page("data " * 100), None, None)], CAP)
+    out = {r.query_id: r for r in api.reports(raw, pages_a, spark.createDataFrame([], schemas.RAW_B), caps, spark.createDataFrame([], MEMO), AS_OF,
+                                              outcomes, ("a", "b"), with_content=True).collect()}
+    assert {k: (r.status, r.num_results, len(r.sources), r.sources_used) for k, r in out.items()} == {
+        "ok": ("ok", 1, 1, "a"), "bad": ("rejected", 0, 0, ""), "range": ("rejected", 0, 0, ""), "failed": ("error", 0, 0, ""),
+        "none": ("empty", 0, 0, "a,b")}
+    assert out["failed"].error == "all search sources failed: a, b" and out["bad"].error and out["none"].error is None
+    assert "data" in out["ok"].sources[0].content
+
+
+def test_remembered_pages_are_served_next_time(spark):
+    caps = spark.createDataFrame([("u", "static", 200, "text/html", page("data " * 100), None, None),
+                                  ("v", "static", 500, "text/html", "", "boom", None)], CAP)
+    memo = api.remember(spark.createDataFrame([("old", 1, 200, "t", "c", 1, "static", None)], MEMO), api.scrape(caps), AS_OF)
+    assert memo.count() == 2 and memo.columns == spark.createDataFrame([], MEMO).columns
+    fused = spark.createDataFrame([("q", 1, "u", "T", "", "a", None), ("q", 2, "v", "T", "", "a", None)], FUSED)
+    rows = {r.url: r for r in api.web_research(fused, caps.limit(0), memo, AS_OF + 1).collect()}
+    assert (rows["u"].cached, rows["u"].fetch_method, rows["v"].cached) == (True, "static", False)
+    assert api.remember(memo, api.scrape(caps.limit(0)), AS_OF, max_entries=1).count() == 1
