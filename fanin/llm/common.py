@@ -72,7 +72,7 @@ def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight:
                                        for v in values])
 
 
-def grouped(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Column], hot: int = 1024, full: int = 10_000) -> DataFrame:
+def grouped(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Column], hot: int = 1024, full: int = 1_000) -> DataFrame:
     """Every row with aggregates over its key's rows, although one key may hold a third of all rows.
 
     ``rows`` should be a written table; it is read a few times, but its wide columns are shuffled once.  Keys that

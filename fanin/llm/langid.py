@@ -9,7 +9,6 @@ the training counts, and picks the language with the least loss.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -24,7 +23,6 @@ FEATURES = 1 << 14
 FOLDS = 5
 AMBIGUOUS = 0.6          # a best language with less than this share of the belief is flagged
 EXHAUSTIVE = 6           # up to so many languages have every distinct bit; more have random codewords
-LETTER = re.compile(r"[^\W\d_]")
 PACE = 40                # trigrams of evidence after which belief no longer sharpens
 
 
@@ -123,7 +121,7 @@ def fit(counts: list[tuple[str, int, int]]) -> Model:
 
 def decode(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[bool]]:
     """Language, score (the best language's share of the belief, 0 to 1) and whether it is ambiguous."""
-    readable = [t is not None and LETTER.search(t) is not None for t in texts]
+    readable = [any(map(str.isalpha, t or "")) for t in texts]
     n, bits = len(texts), model.code.shape[1]
     if not model.languages:
         return ["und"] * n, [0.0] * n, [True] * n
