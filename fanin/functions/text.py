@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from fanin.params import ENTITIES, PY_WHITESPACE
 
+DECIMAL_RE = r"^0*([0-9]{1,7});"
+HEXADECIMAL_RE = r"^[xX]0*([0-9a-fA-F]{1,6});"
+
 # Regex character class of Python's whitespace set, written with \x{..} escapes
 # that Java regex and RE2 read alike.
 WS_CLASS = "[" + "".join(
@@ -33,8 +36,21 @@ def collapse_ws(c: Column | str) -> Column:
     return pystrip(F.regexp_replace(col_(c), WS_CLASS + "+", " "))
 
 
+def numeric_entities(c: Column | str) -> Column:
+    """``&#8217;`` and ``&#x2019;`` as their characters; other ``&#`` text stays.  The input is read once."""
+    def part(x: Column, i: Column) -> Column:
+        dec = F.regexp_extract(x, DECIMAL_RE, 1)
+        hexa = F.regexp_extract(x, HEXADECIMAL_RE, 1)
+        code = F.coalesce(F.when(dec != "", dec.cast("int")), F.when(hexa != "", F.conv(hexa, 16, 10).cast("int")))
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (F.when(i == 0, x).when(known, F.concat(char, F.regexp_replace(x, "^[^;]*;", "")))
+                .otherwise(F.concat(F.lit("&#"), x)))
+    return F.array_join(F.transform(F.split(col_(c), "&#"), part), "")
+
+
 def unescape_entities(c: Column | str) -> Column:
-    out = col_(c)
+    out = numeric_entities(c)
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))

@@ -45,7 +45,13 @@ BREAKER_COOLDOWN_S = 30.0
 # (``&amp;`` last so that ``&amp;lt;`` stays ``&lt;``).
 STRIPPED_TAGS = ("script", "style", "nav", "footer", "header", "aside", "form")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"))
+            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
+            ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+            ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&euro;", "€"),
+            ("&pound;", "£"), ("&deg;", "°"), ("&reg;", "®"), ("&trade;", "™"), ("&times;", "×"), ("&szlig;", "ß"),
+            ("&agrave;", "à"), ("&aacute;", "á"), ("&acirc;", "â"), ("&auml;", "ä"), ("&ccedil;", "ç"), ("&egrave;", "è"),
+            ("&eacute;", "é"), ("&ecirc;", "ê"), ("&iacute;", "í"), ("&ntilde;", "ñ"), ("&oacute;", "ó"), ("&ocirc;", "ô"),
+            ("&ouml;", "ö"), ("&uacute;", "ú"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Eacute;", "É"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"))
 BLOCK_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr",
               "table", "article", "section", "blockquote", "pre", "title", "body", "html")
 

@@ -53,7 +53,17 @@ def nullif_empty(x: str) -> str:
     return f"nullif({x}, '')"
 
 
+def numeric_entities(x: str) -> str:
+    dec = r"regexp_extract(p, '^0*([0-9]{1,7});', 1)"
+    hexa = r"regexp_extract(p, '^[xX]0*([0-9a-fA-F]{1,6});', 1)"
+    code = f"coalesce(TRY_CAST(nullif({dec}, '') AS INTEGER), TRY_CAST('0x' || nullif({hexa}, '') AS INTEGER))"
+    ok = f"({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111)"
+    return (f"array_to_string(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN {ok} THEN chr({code}) || regexp_replace(p, '^[^;]*;', '') ELSE '&#' || p END), '')")
+
+
 def unescape(x: str) -> str:
+    x = numeric_entities(x)
     for ent, ch in ENTITIES:
         x = f"replace({x}, {lit(ent)}, {lit(ch)})"
     return f"replace({x}, '&amp;', '&')"

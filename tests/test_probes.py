@@ -172,3 +172,9 @@ def test_remembered_pages_are_served_next_time(spark):
     rows = {r.url: r for r in api.web_research(fused, caps.limit(0), memo, AS_OF + 1).collect()}
     assert (rows["u"].cached, rows["u"].fetch_method, rows["v"].cached) == (True, "static", False)
     assert api.remember(memo, api.scrape(caps.limit(0)), AS_OF, max_entries=1).count() == 1
+
+
+def test_entities_are_decoded_once(spark):
+    h = "<p>a&#8217;b&#x27;c&mdash;d&eacute;e&hellip; &amp;#39; &amp;eacute; &#0; &#xD800; &#128512; &#; &# &#12 &#x1F600;&#00065;</p>"
+    r = spark.range(1).select(H.extract_text(F.lit(h)).alias("t")).first()
+    assert r.t == "a’b'c—dée… &#39; &eacute; &#0; &#xD800; 😀 &#; &# &#12 😀A"
