@@ -33,7 +33,8 @@ newsletter subscribe subscription signup login paywall nav navbar navigation men
 pagination pager toolbar topbar masthead footer copyright colophon sidebar aside widget widgets related recommended
 recommendations trending popular share sharing social comment comments commentlist respond reply replies disqus discussion
 search skip tags disclaimer""".split())
-WRAPPERS = frozenset("has no with without hide show page layout two one left right".split())
+WRAPPERS = frozenset("has no with without".split())       # beside them a hint says what a wrapper holds, not what it is
+OWN_HEADERS = frozenset("article entry post content story section title".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
@@ -67,7 +68,7 @@ class Page:
     regions: dict = field(default_factory=dict)      # element number -> "article" or "main"
 
 
-def _hint(attrs: str) -> tuple[bool, str]:
+def _hint(attrs: str, in_article: bool) -> tuple[bool, str]:
     """Whether an element's attributes mark it as apart from the article, and its role."""
     hinted, role = False, ""
     for name, *values in ATTRIBUTE.findall(attrs):
@@ -80,8 +81,9 @@ def _hint(attrs: str) -> tuple[bool, str]:
             hinted |= bool(re.search(r"display\s*:\s*none", value, re.I))
         elif name in ("class", "id"):
             for one in value.split():
-                words = [w.lower() for w in WORDS.findall(one)]
-                hinted |= any(w in HINTS for w in words) and not any(w in WRAPPERS for w in words)
+                words = {w.lower() for w in WORDS.findall(one)}
+                apart = words & HINTS or "header" in words and not in_article and not words & OWN_HEADERS
+                hinted |= bool(apart) and not words & WRAPPERS
     return hinted or role in ROLES, role
 
 
@@ -176,12 +178,12 @@ def parse(html: str) -> Page:
                 elif name not in SIBLINGS or tag in SCOPE[name] or tag not in ("div", "address"):
                     break
             del stack[cut:]
-        apart, role = _hint(attrs) if attrs else (False, "")
-        if name in ("html", "body", "main"):
-            apart = False
+        in_article = any(s[0] in ("article", "main") for s in stack)
+        apart, role = _hint(attrs, in_article) if attrs else (False, "")
         number += 1
         above = stack[-1] if stack else ("", 0, False, False)
-        in_article = any(s[0] in ("article", "main") for s in stack)
+        if name in ("html", "body", "main"):        # never apart, whatever a wrapper's class says
+            apart, above = False, (*above[:3], False)
         drop = above[2] or name in APART or name == "header" and not in_article
         stack.append((name, number, drop, above[3] or apart))
         if not drop and not stack[-1][3]:

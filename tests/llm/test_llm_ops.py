@@ -356,3 +356,16 @@ def test_pipeline_keeps_what_its_rules_say(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) <= set(firsts.values())
     assert json.loads(out.groupby("sequence_id").length.sum().to_json()) and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize("part, kept", [('<div class="left-menu"><p>Menu, here.</p></div>', False), ('<div id="header"><p>Site, name.</p></div>', False),
+                                        ('<div class="page-footer"><p>All, rights.</p></div>', False), ('<div class="no-ads"><p>More, text.</p></div>', True),
+                                        ('<section class="post-header"><h2>Part, two.</h2></section>', True), ('<p>More, text.</p>', True),
+                                        ('<div role="complementary"><p>Aside, text.</p></div>', False), ('<noscript><p>Enable, it.</p></noscript>', False),
+                                        ('<div hidden><p>Hidden, text.</p></div>', False), ('<ul class="shareButtons"><li>Share, it</li></ul>', False)])
+def test_parts_by_class_and_role(part, kept):
+    body = "<p>The article says much, in several words, over and over.</p>" * 4
+    page = f'<html><body class="left-sidebar"><div class="with-sidebar"><div class="text">{body}{part}</div></div></body></html>'
+    text = re.sub(r"<[^>]*>", "", part)
+    assert (text in H.extract(page).split("\n")) is kept
+    assert H.extract(page).count("The article says") == 4
