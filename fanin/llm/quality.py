@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from fanin.llm.common import documents, map_text, ship
 
 SAMPLE = 1500            # labelled documents of each class that the field is fitted on
+SAMPLE_CHARS = 50_000    # longer documents are not among them, so that the sample is bounded in bytes as well
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5               # words of a repeated passage
@@ -186,11 +187,12 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
                     text_col: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``sample`` documents of each quality, those whose id has the smallest hash."""
+    """At most ``sample`` documents of each quality, those whose id has the smallest hash, without those of over
+    ``SAMPLE_CHARS`` characters.  All lines of a sampled document are used."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).filter("_id is not null and _q in (0, 1)")
     known = known.withColumn("_h", F.md5(F.concat(F.lit("crf"), F.col("_id").cast("string"))))
     picked = known.filter("_q = 0").orderBy("_h").limit(sample).unionAll(known.filter("_q = 1").orderBy("_h").limit(sample))
-    rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).filter("_t is not null")
+    rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).filter(F.length("_t") <= SAMPLE_CHARS)
     rows = rows.join(F.broadcast(picked.dropDuplicates(["_id"])), F.col("_d") == F.col("_id")).select("_t", "_q", "_h")
     rows = rows.orderBy("_h", "_t").limit(2 * sample).collect()
     return [r["_t"] for r in rows], [r["_q"] for r in rows]
