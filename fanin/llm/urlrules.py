@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents
+from fanin.llm.common import documents, materialise
 
 #: The stated rules: host, path, verdict.
 RULES = (
@@ -80,15 +80,15 @@ def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confide
     min_support = min(1.0, max(min_support, min_count / n))
     items = baskets.select(F.array_append("tokens", F.when(F.col("blocked"), F.lit(BLOCK_ITEM)).otherwise(F.lit(ALLOW_ITEM))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    freq = model.freqItemsets
+    freq = materialise(model.freqItemsets, "itemsets")       # else each use would mine again
     block = freq.filter(F.array_contains("items", BLOCK_ITEM)).select(
         F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("items"), F.col("freq").alias("hits"))
     block = block.filter((F.size("items") > 0) & (F.size("items") <= max_tokens))
     rest = freq.select(F.array_sort("items").alias("items"), "freq")
     rules = block.join(rest, "items").withColumn("confidence", F.col("hits") / F.col("freq"))
     rules = rules.filter(F.col("confidence") >= min_confidence)
-    return rules.select(F.sha2(F.concat_ws("\u0001", "items"), 256).alias("rule_id"), "items", "confidence",
-                        F.col("hits").alias("support"))
+    return materialise(rules.select(F.sha2(F.concat_ws("\u0001", "items"), 256).alias("rule_id"), "items", "confidence",
+                                    F.col("hits").alias("support")), "rules")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
