@@ -115,6 +115,7 @@ def map_text(df: DataFrame, text_col: str, make: Callable, new: str, keep: Seque
     """``df``'s columns ``keep`` (default: all) with the columns of the DDL ``new``, computed from a text column in
     bounded slices.  ``make()`` is called once per task and gives a function from a list of texts (None for
     null) to (index, columns): index names the slice's row of each output row, None meaning one each in order.
+    If the function has a ``done``, it is called at the task's end.
     Kept columns pass as Arrow arrays, untouched; those named like a new one are replaced."""
     new_type = StructType.fromDDL(new)
     keep = [c for c in (df.columns if keep is None else keep) if c not in new_type.names]
@@ -134,6 +135,7 @@ def map_text(df: DataFrame, text_col: str, make: Callable, new: str, keep: Seque
                     kept = [k.take(at) for k in kept]
                 made = [pa.array(c, type=x.type, from_pandas=False) for c, x in zip(cols, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=schema)
+        getattr(f, "done", lambda: None)()
 
     small_batches(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))

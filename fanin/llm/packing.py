@@ -9,10 +9,12 @@ sees lengths only, so the ids never travel with the shuffle.
 from __future__ import annotations
 
 import json
-import re
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ END_ID = 1
 GROUP_DOCS = 4096
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 500_000     # words whose ids a task remembers, in each of two generations
+KEPT_WORDS = 100_000      # of them, those learned first and hence mostly frequent, that its worker keeps for the next task
 
 #: The pre-tokeniser's pattern and normalisation for which words are encoded one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -36,7 +39,7 @@ split = regex.compile(WORD_PATTERN).findall
 LATIN_END = "\u0250"      # below it no character composes with a neighbour or changes its case by context
 #: Byte-level tokenisers show a byte beyond ASCII as the character of that number, or from 256 up if that is not printable.
 SHOWN = {b: 256 + 33 + i for i, b in enumerate([*range(127, 161), 173])}
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")       # white space to Python only
+ODD_SPACE = "\x1c\x1d\x1e\x1f"         # white space to Python only
 
 
 def _by_words(path: str) -> bool:
@@ -50,10 +53,18 @@ def _by_words(path: str) -> bool:
 
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (little-endian unsigned 32-bit bytes), equal to the tokenizer's own.
+    A worker process keeps it, with the ``KEPT_WORDS`` that ``forget`` leaves at a task's end, for later tasks.
 
     Where the tokenizer splits at white space first, a text's ids are its words' ids in a row; frequent words are
     encoded once, and a new word of printable Latin letters and signs by its pieces, which are remembered as well.  Other words, and
     all texts under other tokenizers, go through the tokenizer whole."""
+    kept = sys.modules.setdefault("_fanin_encoders", types.ModuleType("_fanin_encoders")).__dict__
+    if (path, CACHE_WORDS) not in kept:
+        kept[path, CACHE_WORDS] = _new_encoder(path)
+    return kept[path, CACHE_WORDS]
+
+
+def _new_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -63,6 +74,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         return [array("I", tok.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
     if not _by_words(path):
+        whole.forget = lambda: None
         return whole
 
     pieces: dict[str, bytes] = {}
@@ -84,7 +96,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         def __missing__(self, word: str) -> bytes:
             ids = self.older.get(word)
             if ids is None:
-                if word.isprintable() and max(word) < LATIN_END and "<|" not in word:
+                if word.isprintable() and (word.isascii() or max(word) < LATIN_END) and "<|" not in word:
                     ids = plain(word)
                 else:
                     ids = whole([word])[0]
@@ -97,7 +109,10 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         nonlocal known
         out = []
         for t in texts:
-            out.append(whole([t])[0] if ODD_SPACE.search(t) else b"".join(map(known.__getitem__, t.split())))
+            if any(c in t for c in ODD_SPACE):
+                out.append(whole([t])[0])
+                continue
+            out.append(b"".join(map(known.__getitem__, t.split())))
             if len(known) > CACHE_WORDS:
                 fresh = Known()
                 fresh.older, known = dict(known), fresh
@@ -105,6 +120,15 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 pieces.clear()
         return out
 
+    def forget() -> None:
+        nonlocal known
+        fresh = Known(islice(known.items(), KEPT_WORDS))
+        fresh.older, known = {}, fresh
+        few = dict(islice(pieces.items(), KEPT_WORDS))
+        pieces.clear()
+        pieces.update(few)
+
+    encode.forget = forget
     return encode
 
 
@@ -126,6 +150,8 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out += [(at, min(length, n - at), n, ids[4 * at:4 * (at + length)]) for at in range(0, n, length)]
                 index += [i] * (-(-n // length))
             return index, list(zip(*out, strict=True))
+
+        run.done = encode.forget
         return run
 
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))

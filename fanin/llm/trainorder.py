@@ -96,6 +96,8 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 lengths += [min(length, n - a) for a in range(0, n, length)]
                 records += [r.tobytes() for r in rows]
             return index, [starts, lengths, records]
+
+        run.done = encode.forget
         return run
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
