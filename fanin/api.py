@@ -4,6 +4,8 @@
 ``search_urls``     recorded result pages of source A + items of source B +
                     per-query requests -> fused, ranked result rows
 ``scrape``          captures (+ PDF page texts) -> one resolved page per URL
+``scrape_requests`` the same, one row per request with its own URL, format, length and
+                    rendering mode
 ``web_research``    fused rows + captures + memo -> report rows, memo hits
                     served from the memo and only misses resolved
 ``deep_research``   raw requests -> validated, clamped, searched, reported
@@ -17,17 +19,19 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fanin.functions.text import pystrip
 from fanin.operators import capture as CA
 from fanin.operators import fuse as FU
 from fanin.operators import intake as IN
 from fanin.operators import memo as ME
 from fanin.operators import normalise as NO
 from fanin.operators import report as RE
-from fanin.params import FETCH_TTL_S, MAX_MEMO_ENTRIES, FusionParams, PagingParams
+from fanin.params import FETCH_TTL_S, MAX_MEMO_ENTRIES, URL_ERROR, FusionParams, PagingParams
 from fanin.session import ensure_checkpoint_dir
 from fanin.sources.tables import flatten_pages
 
@@ -75,6 +79,44 @@ def scrape(captures: DataFrame, pdf_pages: DataFrame | None = None,
     return CA.resolve(captures, pdf_pages, params)
 
 
+def scrape_requests(requests: DataFrame, captures: DataFrame, pdf_pages: DataFrame | None = None,
+                    params: CA.ResolveParams = CA.ResolveParams()) -> DataFrame:
+    """Rows 19-23 per request ``(request_id, url, format, max_content_length, js_render)``, values as text.
+
+    The length is clamped as at intake; format is 'text' or else markdown;
+    js_render 'always' forces the browser tier.  A blank URL is refused with a
+    reason, a URL without a capture is an empty page of unknown method; every
+    request has its row.  Each URL is resolved once per format and mode, at the
+    largest length asked for it.
+    """
+    require(requests, "requests", "request_id", "url", "format", "max_content_length", "js_render")
+    fmt = F.when(F.lower(pystrip(F.coalesce("format", F.lit("")))) == "text", F.lit("text")).otherwise(F.lit("markdown"))
+    js = F.when(F.lower(pystrip(F.coalesce("js_render", F.lit("")))) == "always", F.lit("always")).otherwise(F.lit("auto"))
+    asked = IN.clamp(requests.withColumn("num_results", F.lit(None).cast("string"))).select(
+        "request_id", "url", fmt.alias("_fmt"), js.alias("_js"), F.col("max_content_length").alias("_ml"),
+        (pystrip(F.coalesce("url", F.lit(""))) == "").alias("_blank"))
+    parts = []
+    for f in ("markdown", "text"):
+        for j in ("auto", "always"):
+            mine = asked.filter(~F.col("_blank") & (F.col("_fmt") == f) & (F.col("_js") == j))
+            most = mine.groupBy("url").agg(F.max("_ml").alias("cut_len"))
+            pdfs = pdf_pages.join(most.select("url"), "url", "left_semi") if pdf_pages is not None else None
+            pages = CA.resolve(captures.join(most, "url"), pdfs, replace(params, fmt=f, js_render=j, max_len=0))
+            parts.append(mine.join(pages.select(*PAGE_COLUMNS, "title"), "url", "left"))
+    found = reduce(DataFrame.unionByName, parts)
+    ml = F.col("_ml")
+    found = found.select(
+        "request_id", "url", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce(F.col("content").substr(F.lit(1), ml), F.lit("")).alias("content"),
+        F.coalesce(F.least("content_length", ml.cast("bigint")), F.lit(0)).alias("content_length"),
+        F.coalesce("method", F.lit("unknown")).alias("method"),
+        F.coalesce("error", F.when(F.col("status").isNull(), F.lit(CA.EMPTY_CONTENT))).alias("error"))
+    refused = asked.filter("_blank").select(
+        "request_id", "url", F.lit(0).alias("status"), F.lit("").alias("title"), F.lit("").alias("content"),
+        F.lit(0).cast("bigint").alias("content_length"), F.lit("unknown").alias("method"), F.lit(URL_ERROR).alias("error"))
+    return found.unionByName(refused)
+
+
 def web_research(fused: DataFrame, captures: DataFrame, memo: DataFrame, as_of_us: int,
                  pdf_pages: DataFrame | None = None, ttl_s: int = FETCH_TTL_S,
                  params: CA.ResolveParams = CA.ResolveParams(), requests: DataFrame | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ DEFAULT_MAX_CONTENT_LENGTH = 20000
 VALID_TIME_RANGES = ("", "d", "w", "m", "y")
 TIME_RANGE_UNITS = {"d": "DAY", "w": "WEEK", "m": "MONTH", "y": "YEAR"}
 QUERY_ERROR = "query must be a non-empty string"
+URL_ERROR = "url must be a non-empty string"
 TIME_RANGE_ERROR = "time_range must be one of: '', 'd', 'w', 'm', 'y'"
 
 RESULTS_PER_PAGE = 20

@@ -244,3 +244,34 @@ def q_memo_next(spark, sf):
     from fanin.plans.q_memo import AS_OF, memo_whole
     c = Ctx(spark, sf)
     return api.remember(memo_whole(c), resolved(c), AS_OF + 1, P).select("key", "ts_us", "status", "content_length", "method")
+
+
+def _scrape_requests_sql() -> str:
+    from dataclasses import replace
+
+    from fanin.plans.q_capture import P
+    from fanin.plans.q_search import _clamp_sql
+    ask = (f"SELECT request_id, url, CASE WHEN lower({X.strip('format')}) = 'text' THEN 'text' ELSE 'markdown' END AS fmt, "
+           f"CASE WHEN lower({X.strip('js_render')}) = 'always' THEN 'always' ELSE 'auto' END AS js, "
+           f"{_clamp_sql('max_content_length', 500, 500000, 20000, 20000)} AS ml FROM scrape_asks")
+    parts = []
+    for f in ("markdown", "text"):
+        for j in ("auto", "always"):
+            ctes = resolve_ctes(replace(P, fmt=f, js_render=j, max_len=0))
+            parts.append("SELECT * FROM (" + fx.duckdb_with("captures", "pdf_capture_pages", "scrape_asks", ctes=ctes) + f"""
+SELECT a.request_id, a.url, CAST(coalesce(r.status, 0) AS INT) AS status, coalesce(r.title, '') AS title,
+  coalesce(substring(r.content, 1, a.ml), '') AS content, CAST(coalesce(least(r.content_length, a.ml), 0) AS BIGINT) AS content_length,
+  coalesce(r.method, 'unknown') AS method, coalesce(r.error, CASE WHEN r.url IS NULL THEN 'empty content' END) AS error
+FROM ({ask}) a LEFT JOIN resolved r ON r.url = a.url WHERE trim(a.url) <> '' AND a.fmt = '{f}' AND a.js = '{j}')""")
+    blank = ("SELECT * FROM (" + fx.duckdb_with("scrape_asks") + """
+SELECT request_id, url, 0 AS status, '' AS title, '' AS content, CAST(0 AS BIGINT) AS content_length, 'unknown' AS method,
+  'url must be a non-empty string' AS error FROM scrape_asks WHERE trim(url) = '')""")
+    return " UNION ALL ".join([*parts, blank])
+
+
+@register("scrape_requests", _scrape_requests_sql())
+def q_scrape_requests(spark, sf):
+    """One row per scrape request, each with its own format, length and rendering mode."""
+    from fanin import api
+    c = Ctx(spark, sf)
+    return api.scrape_requests(c.v("scrape_asks"), c.v("captures"), c.v("pdf_capture_pages"))

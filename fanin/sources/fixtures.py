@@ -99,6 +99,13 @@ SELECT query_id, concat(' ', query_id, ' ') AS query, CAST(num_results AS STRING
        CASE substring(query_id, 1, 2) WHEN 'en' THEN '600' WHEN 'de' THEN '100' WHEN 'es' THEN 'x' ELSE NULL END AS max_content_length,
        time_range
 FROM {search_requests}""",
+    # A scrape request for every page, some for a URL that has no capture or none at all.
+    "scrape_asks": """
+SELECT page_id AS request_id, CASE WHEN page_id % 31 = 0 THEN '  ' WHEN page_id % 29 = 0 THEN concat(url, '&none') ELSE url END AS url,
+       CASE page_id % 3 WHEN 0 THEN ' Text' WHEN 1 THEN 'markdown' ELSE NULL END AS format,
+       CASE page_id % 5 WHEN 0 THEN '700' WHEN 1 THEN '100' WHEN 2 THEN 'x' WHEN 3 THEN NULL ELSE '1000000' END AS max_content_length,
+       CASE page_id % 4 WHEN 0 THEN 'Always ' WHEN 1 THEN 'auto' ELSE NULL END AS js_render
+FROM {pg}""",
     # Raw tool requests, numbers as the text that arrived.
     "requests": """
 SELECT CAST(event_id AS STRING) AS query_id,

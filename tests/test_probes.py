@@ -178,3 +178,19 @@ def test_entities_are_decoded_once(spark):
     h = "<p>a&#8217;b&#x27;c&mdash;d&eacute;e&hellip; &amp;#39; &amp;eacute; &#0; &#xD800; &#128512; &#; &# &#12 &#x1F600;&#00065;</p>"
     r = spark.range(1).select(H.extract_text(F.lit(h)).alias("t")).first()
     assert r.t == "a’b'c—dée… &#39; &eacute; &#0; &#xD800; 😀 &#; &# &#12 😀A"
+
+
+def test_scrape_requests_have_their_own_format_length_and_mode(spark):
+    head = "<html><body><h2>Head</h2><p>" + "word " * 300 + "</p></body></html>"
+    caps = spark.createDataFrame([("u", "static", 200, "text/html", head, None, None),
+                                  ("u", "browser", 200, "text/html", head.replace("</p>", "more</p>"), None, None)], CAP)
+    asks = spark.createDataFrame([(1, "u", None, "600", None), (2, "u", "TEXT ", "700", ""), (3, "u", "markdown", None, " Always"),
+                                  (4, " ", None, None, None), (5, "v", None, None, None), (6, None, "text", "x", "always")],
+                                 "request_id long, url string, format string, max_content_length string, js_render string")
+    got = {r.request_id: r for r in api.scrape_requests(asks, caps).collect()}
+    assert len(got) == 6
+    assert got[1].content.startswith("## Head") and len(got[1].content) == got[1].content_length == 600 and got[1].method == "static"
+    assert got[2].content.startswith("Head") and len(got[2].content) == 700
+    assert got[3].method == "browser" and got[3].content.endswith("more") and got[3].content_length == len(got[3].content)
+    assert got[4].error == got[6].error == "url must be a non-empty string"
+    assert (got[5].status, got[5].method, got[5].content, got[5].error) == (0, "unknown", "", CA.EMPTY_CONTENT)
