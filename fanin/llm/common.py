@@ -27,11 +27,17 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+ROWS_A_FILE = 250_000      # of a narrow table
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to a fresh folder under the cluster's shared checkpoint folder and read it
     back: cuts the lineage, survives lost executors, and fixes what is not deterministic.  The shuffle files of
-    the write are dropped once it is done, as nothing reads them any more."""
+    the write are dropped once it is done, as nothing reads them any more.  ``rows``, a bound on the rows of a
+    narrow table, keeps it from being many tiny files: it is written by one task per ``ROWS_A_FILE`` at most."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")

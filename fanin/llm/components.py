@@ -31,9 +31,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long, u <> v); root is the component's smallest node."""
     edges = materialise(edges.select("u", "v").distinct(), "edges")
-    state = None
+    state, rows = None, edges.count()
     while True:
-        edges = materialise(_small_star(_large_star(edges).distinct()).filter("u <> v").distinct(), "stars")
+        # a star has no more edges than there were
+        edges = materialise(_small_star(_large_star(edges).distinct()).filter("u <> v").distinct(), "stars", rows)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break

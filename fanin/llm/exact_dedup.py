@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fanin.llm.common import documents, grouped, map_text, materialise, ship
 
-BLOCK = 1024             # bytes
+BLOCK = 4096             # bytes
 
 
 def normalised(text: str | None) -> bytes:
@@ -57,7 +57,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(rid, doc, sha, level, name) per input row; rows with equal normalised texts share (level, name)."""
     rows = materialise(_blocks(docs, id_col, text_col, block), "blocks")
     nodes = materialise(grouped(rows, ["block"], {"name": F.min("bid")}).drop("block"), "names")
-    most = nodes.agg(F.max("n")).first()[0] or 1
+    most, left = nodes.agg(F.coalesce(F.max("n"), F.lit(1)), F.count_if(F.col("n") > 1)).first()
     done, level = nodes.filter("n = 1").select("rid", "doc", "sha", F.lit(0).alias("level"), "name"), 0
     while most > 1:
         level += 1
@@ -66,8 +66,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"),
                       F.min("bid").alias("bid"), F.first("doc").alias("doc"), F.max("sha").alias("sha"),
                       F.ceil(F.first("n") / 2).cast("int").alias("n")))
-        pairs = materialise(pairs, f"pairs{level}")
-        nodes = materialise(grouped(pairs, ["l", "r"], {"name": F.min("bid")}).drop("l", "r"), f"names{level}")
+        pairs = materialise(pairs, f"pairs{level}", left)
+        nodes = materialise(grouped(pairs, ["l", "r"], {"name": F.min("bid")}).drop("l", "r"), f"names{level}", left)
         done = done.unionByName(nodes.filter("n = 1").select("rid", "doc", "sha", F.lit(level).alias("level"), "name"))
         most = (most + 1) // 2
     return done

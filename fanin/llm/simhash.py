@@ -120,7 +120,7 @@ def _pairs(cells: DataFrame, distance: int) -> DataFrame:
 def linked(fps: DataFrame, distance: int = MAX_DISTANCE, max_cell: int = MAX_CELL, depth: int = 3) -> DataFrame:
     """(u, v), u < v: the pairs of distinct fingerprints ``fp`` within ``distance`` bits."""
     masks = grid_masks(0, distance)
-    cells = materialise(_cells(fps.select("fp"), masks), "cells")
+    cells = materialise(_cells(fps.select("fp"), masks), "cells", len(masks) * fps.count())
     out = _pairs(cells.filter(F.col("n") <= max_cell), distance)
     for level in range(1, depth):
         # a full cell's members, cut again by its own remaining bits; three levels leave eight free bits
@@ -149,6 +149,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = materialise(with_fingerprints(rows, "text", shingle, ["rid", "doc"]), "fingerprints")
     first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "rid"))
     nodes = rows.groupBy("fp").agg(first.alias("f"), F.count(F.lit(1)).alias("w"))
+    nodes = materialise(nodes, "nodes", rows.count())
     roots = components(linked(nodes, distance))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     nodes = nodes.select("fp", "f", "w", "root")
