@@ -95,12 +95,17 @@ def segments(buf: bytes, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM)
     return first, runs, anchor - first, key
 
 
+def _planes(a: np.ndarray, kind: str) -> bytes:
+    """The array's bytes, all lowest ones first: the high bytes of small numbers pack to nothing."""
+    a = a.astype(kind)
+    return a.view("u1").reshape(len(a), a.itemsize).T.tobytes()
+
+
 def _blob(compress, seg_bytes, runs, offset, mem_seg, mem_rid, mem_doc, mem_at, cov_rid, cov_at, cov_runs) -> bytes:
-    """One slice's share of a shard: its distinct segments, who holds them, and what is covered already."""
-    raw = b"".join([struct.pack(HEAD, len(runs), len(mem_seg), len(cov_rid), 0), runs.astype("u1").tobytes(), offset.astype("u1").tobytes(),
-                    mem_seg.astype("<u4").tobytes(), mem_rid.astype("<i8").tobytes(), mem_doc.astype("<i8").tobytes(),
-                    mem_at.astype("<u4").tobytes(), cov_rid.astype("<i8").tobytes(), cov_at.astype("<u4").tobytes(),
-                    cov_runs.astype("u1").tobytes(), seg_bytes])
+    """One slice's share of a shard: its distinct segments, who holds them (in rising order), and what is covered already."""
+    raw = b"".join([struct.pack(HEAD, len(runs), len(mem_seg), len(cov_rid), 0), _planes(runs, "u1"), _planes(offset, "u1"),
+                    _planes(np.diff(mem_seg, prepend=0), "<u4"), _planes(mem_rid, "<i8"), _planes(mem_doc, "<i8"), _planes(mem_at, "<u4"),
+                    _planes(cov_rid, "<i8"), _planes(cov_at, "<u4"), _planes(cov_runs, "u1"), seg_bytes])
     return compress(raw)
 
 
@@ -108,8 +113,11 @@ def _unblob(raw: bytes):
     n, m, c, _ = struct.unpack_from(HEAD, raw)
     at, out = struct.calcsize(HEAD), []
     for kind, count in (("u1", n), ("u1", n), ("<u4", m), ("<i8", m), ("<i8", m), ("<u4", m), ("<i8", c), ("<u4", c), ("u1", c)):
-        out.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, dtype="u1", count=count * width, offset=at).reshape(width, count)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += count * width
+    out[2] = np.cumsum(out[2], dtype=np.int64)
     return out, at
 
 
@@ -135,7 +143,7 @@ def slice_blobs(texts: list[bytes], rids: np.ndarray, docs: np.ndarray, shards:
     shard = ((key >> np.uint64(11)) % np.uint64(shards)).astype(np.int64)
     held = doc == least[which]
     seg_shard = shard[rep]
-    seg_order = np.argsort(seg_shard, kind="stable")
+    seg_order = np.lexsort((key[rep], seg_shard))          # like anchors side by side
     place = np.empty(len(pieces), dtype=np.int64)
     place[seg_order] = np.arange(len(pieces))
     mem = np.flatnonzero(held)
@@ -339,7 +347,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(batches):
         import zstandard
 
-        compress = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part in slices(batch, batch.column(2), shard_bytes):
                 rids = part.column(0).to_numpy(zero_copy_only=False)
