@@ -2,8 +2,8 @@
 
 A page is read into text nodes with their root-to-leaf tag path.  Per path, text length and punctuation are
 aggregated over its nodes and divided by their number; both ratios are smoothed along the page, fused into one
-score, and the paths above a threshold are content.  The content's region is the article (or main) element that
-holds most of the score, else the deepest element that holds nearly all of it; the region's other nodes, such as
+score, and the paths above a threshold are content.  The content's region is all article and main elements if they
+hold half of the score, else the deepest container that holds all content; the region's other nodes, such as
 headings and short paragraphs, belong to the text unless they are mostly links.  Parts that are not the article by
 their element, role or class (menus, forms, adverts, comments and the like) take no part.
 """
@@ -39,6 +39,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
          "tbody": {"table"}, "tfoot": {"table"}}
+CONTAINERS = frozenset("body div section article main center form".split())     # may be the region; a paragraph, item or cell is part of one
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?>"[^"<]*"|'[^'<]*'|[^>"'])*+(?=>)|[^>]*))""")
@@ -47,7 +48,7 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 SMOOTH = np.array([0.06, 0.24, 0.4, 0.24, 0.06])     # Gaussian weights along the page
 THRESHOLD = 0.25          # of the mean score, for a path to be content
-REGION_SHARE = 0.8        # of the score, for an element to hold the content where no article is marked
+MARKED_SHARE = 0.5        # of the score, for the marked articles to be the region
 MOST_LINKS = 0.6          # link share of the characters from which a path of the region is left out
 
 
@@ -219,27 +220,27 @@ def scores(nodes: list[Node]) -> np.ndarray:
     return np.array([mean[n.path] for n in nodes])
 
 
+def _container(nodes: list[Node]) -> int | None:
+    """The deepest container that holds all ``nodes``; None for the whole page."""
+    low, high = min(n.inside for n in nodes), max(n.inside for n in nodes)
+    shared = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+    tags = nodes[0].path
+    return next((low[i] for i in range(shared - 1, -1, -1) if tags[i] in CONTAINERS), None)
+
+
 def content_nodes(page: Page) -> list[Node]:
     nodes = [n for n in page.nodes if not n.hinted] or page.nodes
     if not nodes:
         return []
     score = scores(nodes)
     content = score >= THRESHOLD * score.mean()
-    mass: dict[int, float] = {}
-    for n, s, c in zip(nodes, score, content, strict=True):
-        if c:
-            for e in n.inside:
-                mass[e] = mass.get(e, 0) + float(s) * len(n.text)
-    whole = sum(float(s) * len(n.text) for n, s, c in zip(nodes, score, content, strict=True) if c)
-    best = {kind: max((e for e, k in page.regions.items() if k == kind and mass.get(e, 0) > 0), key=mass.get, default=None)
-            for kind in ("article", "main")}
-    region = best["article"] or best["main"]
-    if best["article"] and best["main"] and mass[best["article"]] < 0.5 * mass[best["main"]]:
-        region = best["main"]
-    if region is None:
-        held = [e for e, m in mass.items() if m >= REGION_SHARE * whole]
-        region = max(held, default=None)          # numbers rise with depth along a path
-    inside = [n for n in nodes if region is None or region in n.inside]
+    marked = np.array([not page.regions.keys().isdisjoint(n.inside) for n in nodes])
+    mass = np.where(content, score * [len(n.text) for n in nodes], 0)
+    if marked.any() and mass[marked].sum() >= MARKED_SHARE * mass.sum():
+        inside = [n for n, m in zip(nodes, marked, strict=True) if m]
+    else:
+        region = _container([n for n, c in zip(nodes, content, strict=True) if c])
+        inside = [n for n in nodes if region is None or region in n.inside]
     links: dict[tuple, list[int]] = {}
     for n in inside:
         own = links.setdefault(n.path, [0, 0])

@@ -246,6 +246,19 @@ def test_extract_odd_pages(page, text):
     assert H.extract(page) == text
 
 
+def test_extract_region_holds_all_content():
+    text = lambda n: ("Words, and more of them. " * n).strip()
+    want = ["Title", text(4), text(80)]
+    assert H.extract(f"<div><h2>Title</h2><p>{text(4)}</p><p>{text(80)}</p></div>").split("\n") == want
+    assert H.extract(f"<body><div><h2>Title</h2><ul><li>{text(80)}</li></ul></div></body>").split("\n") == ["Title", text(80)]
+    parts = f"<div><p>{text(90)}</p></div><div><blockquote>{text(10)}</blockquote></div>"
+    assert H.extract(f"<body>{parts}</body>").split("\n") == [text(90), text(10)]
+    main = f"<body><main><article><p>{text(60)}</p></article><section><p>{text(40)}</p></section></main></body>"
+    assert H.extract(main).split("\n") == [text(60), text(40)]
+    teaser = f"<body><article><p>{text(4)}</p></article><div><p>{text(90)}</p></div></body>"
+    assert H.extract(teaser).split("\n") == [text(4), text(90)]
+
+
 def test_extract_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in H.with_main_text(pages.withColumn("text", F.lit(1))).collect():
