@@ -5,7 +5,8 @@ aggregated over its nodes and divided by their number; both ratios are smoothed
 score, and the paths above a threshold are content.  The content's region is all article and main elements if they
 hold half of the score, else the deepest container that holds all content; the region's other nodes, such as
 headings and short paragraphs, belong to the text unless they are mostly links.  Parts that are not the article by
-their element, role or class (menus, forms, adverts, comments and the like) take no part.
+their element, role or class (menus, forms, adverts, comments and the like) take no part; a form that wraps an
+article, headings or most of the page's text is a container like any other.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pr
 th thead tr ul""".split())
 RAW = frozenset("script style textarea xmp iframe noembed noframes noscript title template svg".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-APART = frozenset("nav aside footer form button select dialog menu head object audio video canvas fieldset map".split())
+APART = frozenset("nav aside footer button select dialog menu head object audio video canvas fieldset map".split())
 ROLES = frozenset("""navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar
 tablist status""".split())
 HINTS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored sponsors
@@ -59,6 +60,7 @@ class Node:
     inside: tuple          # the open elements' numbers
     heading: bool
     hinted: bool
+    forms: tuple           # the numbers of those elements that are forms
     text: str = ""
     linked: int = 0
 
@@ -67,6 +69,7 @@ class Node:
 class Page:
     nodes: list = field(default_factory=list)
     regions: dict = field(default_factory=dict)      # element number -> "article" or "main"
+    wrappers: set = field(default_factory=set)       # numbers of forms around an article, main or heading
 
 
 def _hint(attrs: str, in_article: bool) -> tuple[bool, str]:
@@ -95,12 +98,13 @@ def parse(html: str) -> Page:
     stack: list[tuple[str, int, bool, bool]] = []     # tag, number, dropped, hinted
     number = block = 0
     link = 0
-    path, inside, dropped, hinted = (), (), False, False
+    path, inside, forms, dropped, hinted = (), (), (), False, False
     current: Node | None = None
 
     def reset() -> None:
-        nonlocal path, inside, dropped, hinted, current
+        nonlocal path, inside, forms, dropped, hinted, current
         path, inside = tuple(s[0] for s in stack), tuple(s[1] for s in stack)
+        forms = tuple(s[1] for s in stack if s[0] == "form") if "form" in path else ()
         dropped, hinted = (stack[-1][2], stack[-1][3]) if stack else (False, False)
         current = None
 
@@ -115,7 +119,7 @@ def parse(html: str) -> Page:
             heading = any(p in HEADINGS for p in path[-2:])
             if "header" in path and not heading:
                 return
-            current = Node(path, block, inside, heading, hinted)
+            current = Node(path, block, inside, heading, hinted, forms)
             page.nodes.append(current)
         current.text += raw
         if link:
@@ -192,6 +196,8 @@ def parse(html: str) -> Page:
                 page.regions[number] = "article"
             elif name == "main" or role == "main":
                 page.regions[number] = "main"
+            if number in page.regions or name in HEADINGS:
+                page.wrappers.update(s[1] for s in stack if s[0] == "form")
         block += 1
         link = 0
         reset()
@@ -228,8 +234,24 @@ def _container(nodes: list[Node]) -> int | None:
     return next((low[i] for i in range(shared - 1, -1, -1) if tags[i] in CONTAINERS), None)
 
 
+def _without_forms(page: Page) -> list[Node]:
+    """The page's nodes but those in forms that wrap neither an article or heading nor most of the unlinked text."""
+    if not any(n.forms for n in page.nodes):
+        return page.nodes
+    own: dict[int, int] = {}
+    whole = 0
+    for n in [n for n in page.nodes if not n.hinted] or page.nodes:
+        words = max(0, len(n.text.strip()) - n.linked)
+        whole += words
+        for f in n.forms:
+            own[f] = own.get(f, 0) + words
+    wrappers = page.wrappers | {f for f, words in own.items() if 2 * words > whole}
+    return [n for n in page.nodes if wrappers.issuperset(n.forms)]
+
+
 def content_nodes(page: Page) -> list[Node]:
-    nodes = [n for n in page.nodes if not n.hinted] or page.nodes
+    every = _without_forms(page)
+    nodes = [n for n in every if not n.hinted] or every
     if not nodes:
         return []
     score = scores(nodes)

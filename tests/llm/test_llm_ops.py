@@ -259,6 +259,16 @@ def test_extract_region_holds_all_content():
     assert H.extract(teaser).split("\n") == [text(4), text(90)]
 
 
+def test_extract_forms():
+    text = ("Words, and more of them. " * 20).strip()
+    form = '<body><form id="aspnetForm"><input name=v><select><option>no</option></select>{}<button>Go</button></form></body>'
+    for part in (f"<article><p>{text}</p></article>", f"<main><p>{text}</p></main>", f"<div><p>{text}</p></div>", f"<div>{text}</div>"):
+        assert H.extract(form.format(part)) == text
+    assert H.extract(form.format(f"<h1>T</h1><p>{text}</p><form><p>Sign up</p></form>")) == f"T\n{text}"
+    assert H.extract(f"<body><form><h1>T</h1><p>In it, too.</p></form><p>{text}</p></body>").split("\n") == ["T", "In it, too.", text]
+    assert H.extract(f"<body><div><p>{text}</p><form><p>Sign up, now.</p></form></div></body>") == text
+
+
 def test_extract_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in H.with_main_text(pages.withColumn("text", F.lit(1))).collect():
