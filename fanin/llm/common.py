@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,6 +53,24 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(docs: DataFrame, name: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs``' columns ``keep`` (default: all) and a row number ``name`` that every later scan gives again, however its
+    splits are cut: a Parquet table's rows are numbered by file and place in it, any others written once with their number."""
+    keep = [F.col(f"`{c}`") for c in (docs.columns if keep is None else dict.fromkeys(keep))]
+    place = None
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            meta = docs.metadataColumn("_metadata")
+            place = docs.select(*keep, meta.getField("file_path").alias("_file"), meta.getField("row_index").alias("_at"))
+        except AnalysisException:         # not Parquet files
+            place = None
+    if place is None:
+        return materialise(docs.select(*keep, F.monotonically_increasing_id().alias(name)), "numbered")
+    files = sorted(r[0] for r in place.select("_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_file string, _from long")
+    return place.join(F.broadcast(files), "_file").select(*keep, (F.col("_from") + F.col("_at")).alias(name))
+
+
 def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight: str, spread: Column,
               hot: int = 1024) -> DataFrame:
     """Join every row to its key's aggregate although one key may hold a third of all rows.

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, grouped, map_text, materialise, ship
+from fanin.llm.common import documents, grouped, map_text, materialise, numbered, ship
 
 BLOCK = 4096             # bytes
 
@@ -31,9 +31,9 @@ def normalised(text: str | None) -> bytes:
     return b" " * raw[:1].isspace() + words + b" " * raw[-1:].isspace()
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int, row: str | None) -> DataFrame:
     """One row per block: rid (the row), bid (the block, unique), pos, n (the row's blocks), doc, sha (at pos 0).
-    The ids follow the input's partitions, which must be those of a stable scan such as Parquet files."""
+    Rows without a number in a column ``row`` get one that is fixed once the blocks are written."""
     def make():
         def run(texts):
             index, sha, n, pos, blocks = [], [], [], [], []
@@ -48,14 +48,15 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFram
             return index, [sha, n, pos, blocks]
         return run
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rid = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(rid.alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rows = map_text(rows, "text", make, "sha string, n int, pos int, block binary", ["rid", "doc"])
     return rows.withColumn("bid", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, row: str | None = None) -> DataFrame:
     """(rid, doc, sha, level, name) per input row; rows with equal normalised texts share (level, name)."""
-    rows = materialise(_blocks(docs, id_col, text_col, block), "blocks")
+    rows = materialise(_blocks(docs, id_col, text_col, block, row), "blocks")
     nodes = materialise(grouped(rows, ["block"], {"name": F.min("bid")}).drop("block"), "names")
     most, left = nodes.agg(F.coalesce(F.max("n"), F.lit(1)), F.count_if(F.col("n") > 1)).first()
     done, level = nodes.filter("n = 1").select("rid", "doc", "sha", F.lit(0).alias("level"), "name"), 0
@@ -73,11 +74,11 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, row: str | None = None) -> DataFrame:
     """One row per input row: rid, doc, sha (of the normalised text), keep (doc of the row that stays),
     group_size, kept.  A null text counts as empty; of equal texts the row with the smallest non-null id
     stays, and of repeated rows with that id exactly one.  An empty table gives an empty result."""
-    ident = identities(docs, id_col, text_col, block)
+    ident = identities(docs, id_col, text_col, block, row)
     first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "rid"))
     out = grouped(ident, ["level", "name"], {"f": first, "group_size": F.count(F.lit(1))})
     return out.select("rid", "doc", "sha", F.col("f.doc").alias("keep"), "group_size",
@@ -86,8 +87,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows that stay, with the input's columns."""
-    kept = exact_dedup(docs, id_col, text_col, block).filter("kept").select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs, "_row")
+    kept = exact_dedup(rows, id_col, text_col, block, "_row").filter("kept").select(F.col("rid").alias("_rid"))
     return rows.join(kept, F.col("_row") == F.col("_rid"), "left_semi").select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, join_back, map_text, materialise, ship
+from fanin.llm.common import documents, join_back, map_text, materialise, numbered, ship
 from fanin.llm.components import components
 
 SHINGLE = 3
@@ -139,13 +139,14 @@ def linked(fps: DataFrame, distance: int = MAX_DISTANCE, max_cell: int = MAX_CEL
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-              distance: int = MAX_DISTANCE) -> DataFrame:
-    """One row per input row: rid, doc, fp, component (smallest id reachable over links), kept.
+              distance: int = MAX_DISTANCE, row: str | None = None) -> DataFrame:
+    """One row per input row: rid (its number in a column ``row``, if that is given), doc, fp, component (smallest id reachable over links), kept.
 
     A null or empty text has fingerprint zero and is linked like any other; null ids take part and are never a
     component's id unless all its ids are null; of repeated rows exactly one is kept; an empty table gives an
     empty result."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rid = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(rid.alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rows = materialise(with_fingerprints(rows, "text", shingle, ["rid", "doc"]), "fingerprints")
     first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "rid"))
     nodes = rows.groupBy("fp").agg(first.alias("f"), F.count(F.lit(1)).alias("w"))
@@ -162,8 +163,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of each group stays, with the input's columns."""
-    kept = near_dups(docs, id_col, text_col, shingle, distance).filter("kept").select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs, "_row")
+    kept = near_dups(rows, id_col, text_col, shingle, distance, "_row").filter("kept").select(F.col("rid").alias("_rid"))
     return rows.join(kept, F.col("_row") == F.col("_rid"), "left_semi").select(*docs.columns)
 
 

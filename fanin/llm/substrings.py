@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, materialise, ship, slices, small_batches
+from fanin.llm.common import documents, materialise, numbered, ship, slices, small_batches
 
 WIDTH = 50                # bytes of a string
 GRAM = 12                 # bytes of an anchor
@@ -338,8 +338,8 @@ def _union(spans):
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-               shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(rid, spans): covered byte ranges of rows, as little-endian 64-bit pairs, in one or more parts a row."""
+               shard_bytes: int = SHARD_BYTES, row: str = "row") -> DataFrame:
+    """(rid, spans): covered byte ranges of the rows numbered in the column ``row``, as little-endian 64-bit pairs, in one or more parts a row."""
     small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // shard_bytes))
@@ -366,7 +366,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts = [p.tobytes() for p in np.split(pairs, at[1:])] if len(at) else []
         return pa.table({"rid": pa.array(rid[at], pa.int64()), "spans": pa.array(parts, pa.binary())})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(row).alias("rid"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     blobs = rows.mapInArrow(cut, "shard long, blob binary")
     return materialise(blobs.groupBy("shard").applyInArrow(merge, "rid long, spans binary"), "spans")
 
@@ -377,8 +377,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text is empty; a text shorter than ``width`` keeps all; a null id is above all others, and rows of one id
     cover nothing of each other; an empty table gives an empty result."""
-    spans = find_spans(docs, id_col, text_col, width).groupBy("rid").agg(F.collect_list("spans").alias("parts"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    docs = numbered(docs, "_row", [id_col, text_col])
+    spans = find_spans(docs, id_col, text_col, width, row="_row").groupBy("rid").agg(F.collect_list("spans").alias("parts"))
+    rows = docs.select(F.col("_row").alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rows = rows.join(spans, F.col("row") == F.col("rid"), "left").select("doc", "parts", "text")
 
     def run(batches):

@@ -152,6 +152,34 @@ def test_substrings_match_brute_force_in_spark(spark, tmp_path):
     assert got == sorted(brute_spans([(d, (t or "").encode()) for d, t in rows], 50))
 
 
+@pytest.mark.parametrize("written", [True, False])
+def test_rows_keep_their_numbers_when_scans_are_split_otherwise(spark, tmp_path, written):
+    rng = random.Random(3)
+    copies = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(6)]
+    rows = [(i, copies[i % 6] if i % 4 else copies[0] + "".join(rng.choice("abcdefgh ") for _ in range(90))) for i in range(60)]
+    docs = table(spark, tmp_path, rows, "doc_id long, text string")
+    docs = docs if written else docs.filter("doc_id >= 0")
+    first = {}
+    for d, t in rows:
+        first.setdefault(norm(t), d)
+    spans = sorted(brute_spans([(d, t.encode()) for d, t in rows], 50))
+    run = {"exact": X.drop_copies(docs), "near": S.drop_near_copies(docs), "spans": U.dedup_substrings(docs)}
+    alone = {fp: d for d, fp in sorted(((d, S.fingerprint(t)) for d, t in rows), reverse=True)}
+    conf = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert docs.rdd.getNumPartitions() == 1
+        assert sorted(r.doc_id for r in run["exact"].collect()) == sorted(first.values())
+        near = {r.doc_id for r in run["near"].collect()}
+        assert near and near <= set(alone.values())
+        assert sorted((r.doc, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in run["spans"].collect()) == spans
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_substrings_over_slices_and_shards(seed):
     rng = random.Random(seed)
