@@ -3,8 +3,8 @@
 Shards hold strings, not documents, so that no shard has to meet every other.  The least hash among the short grams
 of a 50-byte window (its anchor) is the same wherever the window occurs; runs of windows with one anchor travel as
 one segment to the shard of that anchor's hash.  A task sends each distinct segment of its slice once, under the
-smallest id that holds it (every other holder is known to be covered), so a passage that a third of all
-documents share reaches its shard once per slice.
+smallest id that holds it, so a passage that a third of all documents share reaches its shard once per slice.
+Every other holder is known to be covered: those spans go past the shards in a group of the slice's own.
 
 In a shard the slices' sorted anchor keys are merged by binary search, which leaves the segments that some other
 segment can match.  Their text gets a suffix array by Larsson-Sadakane refinement (only groups that are
@@ -102,7 +102,7 @@ def _planes(a: np.ndarray, kind: str) -> bytes:
 
 
 def _blob(compress, seg_bytes, runs, offset, mem_seg, mem_rid, mem_doc, mem_at, cov_rid, cov_at, cov_runs) -> bytes:
-    """One slice's share of a shard: its distinct segments, who holds them (in rising order), and what is covered already."""
+    """One slice's share of a shard: its distinct segments and who holds them (in rising order); or what it knows to be covered."""
     raw = b"".join([struct.pack(HEAD, len(runs), len(mem_seg), len(cov_rid), 0), _planes(runs, "u1"), _planes(offset, "u1"),
                     _planes(np.diff(mem_seg, prepend=0), "<u4"), _planes(mem_rid, "<i8"), _planes(mem_doc, "<i8"), _planes(mem_at, "<u4"),
                     _planes(cov_rid, "<i8"), _planes(cov_at, "<u4"), _planes(cov_runs, "u1"), seg_bytes])
@@ -122,7 +122,7 @@ def _unblob(raw: bytes):
 
 
 def slice_blobs(texts: list[bytes], rids: np.ndarray, docs: np.ndarray, shards: int, compress, width: int = WIDTH):
-    """(shard, blob) of one slice of documents."""
+    """(shard, blob) of one slice of documents; what the slice covers itself is in a blob under a negative number of its own."""
     buf = b"".join(texts)
     size = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(size)
@@ -149,16 +149,17 @@ def slice_blobs(texts: list[bytes], rids: np.ndarray, docs: np.ndarray, shards:
     mem = np.flatnonzero(held)
     mem = mem[np.argsort(place[which[mem]], kind="stable")]
     cov = np.flatnonzero(~held)
-    cov = cov[np.argsort(shard[cov], kind="stable")]
     used, seg_lo = np.unique(seg_shard[seg_order], return_index=True)
     seg_hi = np.append(seg_lo[1:], len(pieces))
     mem_lo, mem_hi = np.searchsorted(shard[mem], used, "left"), np.searchsorted(shard[mem], used, "right")
-    cov_lo, cov_hi = np.searchsorted(shard[cov], used, "left"), np.searchsorted(shard[cov], used, "right")
-    for s, a, b, c, d, e, f in zip(used.tolist(), seg_lo, seg_hi, mem_lo, mem_hi, cov_lo, cov_hi, strict=True):
+    none = np.zeros(0, dtype=np.int64)
+    for s, a, b, c, d in zip(used.tolist(), seg_lo, seg_hi, mem_lo, mem_hi, strict=True):
         own = seg_order[a:b]
-        mm, cc = mem[c:d], cov[e:f]
+        mm = mem[c:d]
         yield s, _blob(compress, b"".join([pieces[i] for i in own.tolist()]), runs[rep[own]], offset[rep[own]],
-                       place[which[mm]] - a, rids[owner[mm]], doc[mm], at[mm], rids[owner[cc]], at[cc], runs[cc])
+                       place[which[mm]] - a, rids[owner[mm]], doc[mm], at[mm], none, none, none)
+    if len(cov):
+        yield -1 - int(rids[0]), _blob(compress, b"", none, none, none, none, none, none, rids[owner[cov]], at[cov], runs[cov])
 
 
 def suffix_array(buf: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,10 +329,13 @@ def _union(spans):
     rid, start, end = rid[order], start[order], end[order]
     if not len(rid):
         return rid, start, end
-    base = np.cumsum(np.concatenate([[0], (rid[1:] != rid[:-1]).astype(np.int64)])) * (1 << 40)   # rows apart
+    border = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+    most = np.maximum.reduceat(end, border)
+    base = np.repeat(np.cumsum(most) - most, np.diff(np.append(border, len(rid))))     # rows laid end to end
     reach = np.maximum.accumulate(end + base)
     new = np.ones(len(rid), dtype=bool)
     new[1:] = (start + base)[1:] > reach[:-1]
+    new[border] = True
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(rid)) - 1
     return rid[at], start[at], (reach - base)[last]

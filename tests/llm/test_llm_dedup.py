@@ -197,6 +197,28 @@ def test_substrings_over_slices_and_shards(seed):
     assert got == brute_spans(rows, 50)
 
 
+def test_spans_of_very_many_rows():
+    n = (1 << 23) + 4
+    rid = np.arange(n)
+    got = U._union([(rid, np.zeros(n, np.int64), np.full(n, 50)), (rid[-3:], np.full(3, 40), np.full(3, 70)), (rid[:1], np.array([60]), np.array([80]))])
+    assert len(got[0]) == n + 1 and (np.diff(got[0][1:]) == 1).all()
+    assert [x[:3].tolist() for x in got] == [[0, 0, 1], [0, 60, 0], [50, 80, 50]]
+    assert got[2][-4:].tolist() == [50, 70, 70, 70]
+
+
+def test_copies_known_to_a_slice_stay_out_of_the_shards():
+    passage = ("One passage that very many documents share, word by word. " * 3).encode()
+    texts = [passage] * 400
+    sizes = {}
+    for s, blob in U.slice_blobs(texts, np.arange(1000, 1400), np.arange(400), 3, bytes):
+        (_, _, seg, _, _, _, covered, _, _), _ = U._unblob(blob)
+        sizes[s] = len(seg), len(covered)
+    assert all(c == 0 for s, (_, c) in sizes.items() if s >= 0)
+    assert [s for s in sizes if s < 0] == [-1001] and sizes[-1001][0] == 0
+    rid, start, end = U.covered_spans([b for s, b in U.slice_blobs(texts, np.arange(1000, 1400), np.arange(400), 3, bytes) if s < 0])
+    assert rid.tolist() == list(range(1001, 1400)) and set(start) == {0} and set(end) == {len(passage)}
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(2)
     for _ in range(30):
