@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, materialise
+from fanin.llm.common import documents, materialise, numbered
 
 #: The stated rules: host, path, verdict.
 RULES = (
@@ -26,10 +26,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-MIN_SUPPORT = 0.002       # of the labelled pages
-MIN_COUNT = 20            # labelled pages, where that is the larger share
+MIN_COUNT = 20            # labelled pages that show a rule, however many there are in all
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 4            # of a rule
 BLOCK_ITEM, ALLOW_ITEM = "label=block", "label=allow"       # tokens begin with their kind, so none equals a label
 INDEX_BYTES = 4 << 20     # a rule index estimated below this is broadcast; a larger one is joined by shuffle
 
@@ -68,9 +66,10 @@ def tokens():
                                        for kind, xs in (("host:", labels), ("path:", parts), ("word:", words))]))
 
 
-def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               max_tokens: int = MAX_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
-    """(rule_id, items, confidence, support) from rows (tokens, blocked boolean).
+def mine_rules(baskets: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE,
+               min_count: int = MIN_COUNT) -> DataFrame:
+    """(rule_id, items, confidence, support) from rows (tokens, blocked boolean).  ``min_support`` is a share that a caller
+    may ask for above ``min_count``.
 
     Support is pruned inside FP-growth, which runs distributed over item groups.  Confidence is the count of a
     combination with the block item over its count in all, both from the same run."""
@@ -83,7 +82,7 @@ def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confide
     freq = materialise(model.freqItemsets, "itemsets")       # else each use would mine again
     block = freq.filter(F.array_contains("items", BLOCK_ITEM)).select(
         F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("items"), F.col("freq").alias("hits"))
-    block = block.filter((F.size("items") > 0) & (F.size("items") <= max_tokens))
+    block = block.filter(F.size("items") > 0)
     rest = freq.select(F.array_sort("items").alias("items"), "freq")
     rules = block.join(rest, "items").withColumn("confidence", F.col("hits") / F.col("freq"))
     rules = rules.filter(F.col("confidence") >= min_confidence)
@@ -114,7 +113,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
     A labelled page is one whose id is a label's doc_id; it counts as blocked if its quality is 0 or it is toxic, a null
     label counting as neither; labels of one id that disagree block.  A null URL has no tokens and is allowed;
     repeated rows are judged one by one; without labels no rule is mined; an empty table gives an empty result."""
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"))
+    rows = numbered(pages, "_row", [id_col, url_col]).select(F.col("_row").alias("rid"), F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"))
     rows = url_parts(rows).drop("url").withColumn("stated", stated_verdict(rules)).withColumn("tokens", tokens())
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("blocked"))

@@ -316,6 +316,14 @@ def test_mined_rules(spark):
     assert mined == {("a",): (pytest.approx(2 / 3), 2), ("b",): (1.0, 2), ("a", "b"): (1.0, 2)}
 
 
+def test_rules_need_the_same_evidence_at_every_size(spark):
+    tokens = F.when(F.col("id") < 30, F.array(*[F.lit(x) for x in "abcde"])).otherwise(F.array(F.lit("x")))
+    for n in (1_000, 20_000):
+        baskets = spark.range(n).select(tokens.alias("tokens"), (F.col("id") < 30).alias("blocked"))
+        mined = {"".join(r["items"]): (r.confidence, r.support) for r in U.mine_rules(baskets).collect()}
+        assert len(mined) == 31 and mined["a"] == mined["abcde"] == (1.0, 30)
+
+
 # --- training order --------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 4097])
