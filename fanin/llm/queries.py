@@ -5,6 +5,7 @@ from __future__ import annotations
 from fanin.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from fanin.llm.htmltext import op3_html_extraction
 from fanin.llm.langid import op8_language_id
+from fanin.llm.manifest import OP12_SQL, op12_merkle_manifest
 from fanin.llm.mixing import OP6_SQL, op6_mix_sources
 from fanin.llm.packing import op10_packing
 from fanin.llm.quality import op9_quality_rules
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES = {"op6_mix_sources": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES = {"op6_mix_sources": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
 
 
 def queries():
