@@ -9,6 +9,7 @@ from fanin.llm.manifest import OP12_SQL, op12_merkle_manifest
 from fanin.llm.mixing import OP6_SQL, op6_mix_sources
 from fanin.llm.packing import op10_packing
 from fanin.llm.quality import op9_quality_rules
+from fanin.llm.repair import OP13_SQL, op13_conversation_repair
 from fanin.llm.simhash import op5_simhash_near_dedup
 from fanin.llm.substrings import op1_suffix_dedup
 from fanin.llm.trainorder import op4_training_order
@@ -26,8 +27,10 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op6_mix_sources": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {"op6_mix_sources": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op12_merkle_manifest": OP12_SQL,
+           "op13_conversation_repair": OP13_SQL}
 
 
 def queries():
