@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fanin.llm.descent import OP11_SQL, op11_embedding_near_dedup
 from fanin.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from fanin.llm.htmltext import op3_html_extraction
 from fanin.llm.langid import op8_language_id
@@ -26,10 +27,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op6_mix_sources": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op12_merkle_manifest": OP12_SQL,
+ORACLES = {"op6_mix_sources": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op11_embedding_near_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL,
            "op13_conversation_repair": OP13_SQL}
 
 
