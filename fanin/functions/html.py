@@ -1,90 +1,72 @@
-"""HTML -> readable text, markdown and metadata as chains of regex replaces.
+"""HTML -> readable text, markdown and metadata as Column expressions.
 
-One regex per removed region (the oracle's RE2 has no back-references), no
-nested quantifiers.  The steps are data: ``text_steps`` / ``markdown_steps``
-are applied by Spark here and rendered to DuckDB SQL by the oracles, so the
-two stay in lock-step.  Java-only flags (``(?d)``: only '\\n' ends a line) are
-kept apart from the RE2 pattern text.
+Comments, scripts and styles go first, then boilerplate regions by the balance of their tags (``regions``); what is
+left is a chain of regex replaces without nested quantifiers and, for markdown, one fold over the tags of block
+structure (``markdown``).  The steps are linear on Java's backtracking engine.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fanin.functions import markdown as M
+from fanin.functions.folds import only_if
+from fanin.functions.regions import drop_regions
 from fanin.functions.text import WS_CLASS, col_, collapse_ws, nullif_empty, pystrip, unescape_entities
-from fanin.params import BLOCK_TAGS, MD_MARKS_RE, STRIPPED_TAGS, TITLE_RE
+from fanin.params import BLOCK_TAGS, MD_MARKS_RE, TITLE_RE
 
-SP = r"[ \t\r\n\f]"           # HTML white space, same set in Java and RE2
+SP = r"[ \t\r\n\f]"           # HTML white space
 ATTRS = rf"(?:{SP}[^>]*|/[^>]*)?"
+#: Control characters, comments and elements of raw text.  Without an end, the rest of the text is taken in one match and
+#: put back, so that it is not searched again from every later opener.
+RAW_STEP = (rf"(?is){M.CONTROLS}|(?=<)(?:<!--.*?-->|<script{ATTRS}>.*?</script{SP}*>|<style{ATTRS}>.*?</style{SP}*>"
+            rf"|(<!--.*+|<(?:script|style){ATTRS}>.*+)|(<(?:script|style)(?:{SP}|/)[^>]*+\z))", "$1$2")
+TAG_STEP = (r"<[^>]*>|(<[^>]*+)", "$1")
 
 
-def _region(tag: str) -> str:
-    return rf"(?is)<{tag}{ATTRS}>.*?</{tag}{SP}*>"
-
-
-def _steps(markdown: bool) -> list[tuple[str, str]]:
-    steps = [(r"(?s)<!--.*?-->", ""), (_region("head"), "")]
-    steps += [(_region(t), "") for t in STRIPPED_TAGS]
-    if markdown:
-        steps += [(rf"(?i)<h{n}{ATTRS}>", "\n" + "#" * n + " ") for n in range(1, 7)]
-        steps.append((rf"(?i)<li{ATTRS}>", "\n- "))
-    steps.append((rf"(?i)<br{SP}*/?>", "\n"))
-    steps.append((rf"(?i)</t[dh]{SP}*>", " "))
-    steps.append((r"(?i)</(?:" + "|".join(BLOCK_TAGS) + rf"){SP}*>", "\n"))
-    steps.append((r"<[^>]*>", ""))
-    return steps
-
-
-TIDY_STEPS = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")]
-
-
-def _java_forms() -> dict[str, tuple[str, str]]:
-    """Linear forms of the steps for Java's backtracking engine (RE2, the oracle's, is linear as is).
-
-    * A run of blanks not followed by a newline would be rescanned from every
-      position in it: the pattern may only start where a run starts.
-    * A removal whose opener has no closer (or no '>') scans to the end of the
-      text, and so would every later opener: an alternative takes that unclosed
-      tail in one match and puts it back (``$1``), so the text is scanned once.
-    Same output as the plain patterns.
-    """
-    forms = {r"[ \t]+\n": (r"(?<![ \t])[ \t]+\n", "\n"), r"\n{3,}": (r"(?<!\n)\n{3,}", "\n\n")}
-    forms[r"(?s)<!--.*?-->"] = (r"(?s)<!--.*?-->|(<!--.*+)", "$1")
-    for tag in ("head",) + STRIPPED_TAGS:
-        # closed region | opener without a closer | opener without its '>' (both to the end)
-        forms[_region(tag)] = (_region(tag) + rf"|(<{tag}{ATTRS}>.*+)|(?i)(<{tag}(?:{SP}|/)[^>]*+\z)", "$1$2")
-    forms[r"<[^>]*>"] = (r"<[^>]*>|(<[^>]*+)", "$1")
-    return forms
-
-
-JAVA_FORM = _java_forms()
+#: What tags become in a text; in one whose marks at line starts are dropped again; and in markdown before its fold.
+TEXT_TAGS = {"br": "\n", "/td": " ", "/th": " ", **{"/" + t: "\n" for t in BLOCK_TAGS}}
+NOISY_TAGS = {**TEXT_TAGS, **M.HEADINGS, "li": "\n- "}
+MARKDOWN_TAGS = {"br": "\n", **M.HEADINGS, **M.INLINE, **{"/" + t: "\n" for t in BLOCK_TAGS if t not in M.STRUCTURE}}
 # Markdown marks at line starts, dropped in text mode (may eat the newline).
 MD_NOISE_RE2 = MD_MARKS_RE + WS_CLASS + "*"
 MD_NOISE_JAVA = "(?d)" + MD_NOISE_RE2
 
 
-def text_steps() -> list[tuple[str, str]]:
-    return _steps(markdown=False)
+def tidy(c: Column) -> Column:
+    """Blanks at the ends of lines go, and runs of line feeds become two."""
+    trimmed = F.array_join(F.transform(F.split(c, "\n"), lambda line: F.btrim(line, F.lit(" \t"))), "\n")
+    return only_if(trimmed, lambda x: x.contains("\n\n\n"), lambda x: F.regexp_replace(x, r"(?<!\n)\n{3,}", "\n\n"))
 
 
-def markdown_steps() -> list[tuple[str, str]]:
-    return _steps(markdown=True)
-
-
-def _apply(c: Column, steps: list[tuple[str, str]]) -> Column:
-    for pat, rep in steps:
-        java_pat, java_rep = JAVA_FORM.get(pat, (pat, rep))
-        c = F.regexp_replace(c, java_pat, java_rep)
-    return c
+@lru_cache(maxsize=64)
+def _built(jvm: int, html: str, markdown: bool, text_mode: bool) -> Column:
+    return _extraction(F.col(html), markdown, text_mode)
 
 
 def _extract(html: Column | str, markdown: bool, text_mode: bool) -> Column:
-    h = col_(html)
-    body = _apply(h, _steps(markdown))
-    body = _apply(unescape_entities(body), TIDY_STEPS)
+    """The expression is large; of a named column it is built once per JVM."""
+    if isinstance(html, str):
+        return _built(id(SparkContext._gateway), html, markdown, text_mode)
+    return _extraction(html, markdown, text_mode)
+
+
+def _extraction(h: Column, markdown: bool, text_mode: bool) -> Column:
+    body = drop_regions(M.steps(h, [RAW_STEP]))
+    if markdown and not text_mode:
+        body = M.mark_structure(M.written_as(M.steps(body, M.LINK_STEPS), MARKDOWN_TAGS))
+        body = M.finish(M.fold_structure(M.steps(body, [TAG_STEP])))
+    else:
+        body = M.steps(M.written_as(body, NOISY_TAGS if text_mode else TEXT_TAGS), [TAG_STEP])
+    body = tidy(unescape_entities(body))
     if text_mode:
         body = F.regexp_replace(body, MD_NOISE_JAVA, "")
+    elif markdown:
+        body = M.unfix(body)
     return F.when(pystrip(F.coalesce(h, F.lit(""))) == "", F.lit("")).otherwise(pystrip(body))
 
 
@@ -94,12 +76,12 @@ def extract_text(html: Column | str) -> Column:
 
 
 def extract_markdown(html: Column | str) -> Column:
-    """As ``extract_text`` with ATX headings and '- ' list items."""
+    """As ``extract_text`` with ATX headings, links, emphasis, code, nested lists, quotes, tables and fenced text."""
     return _extract(html, markdown=True, text_mode=False)
 
 
 def extract_content(html: Column | str, fmt: str = "markdown") -> Column:
-    """The reference's fallback path: markdown, or markdown with line-start marks dropped."""
+    """Markdown, or its text without marks at line starts."""
     return _extract(html, markdown=True, text_mode=(fmt == "text"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fanin.functions.folds import let, only_if
 from fanin.params import ENTITIES, PY_WHITESPACE
 
-DECIMAL_RE = r"^0*([0-9]{1,7});"
-HEXADECIMAL_RE = r"^[xX]0*([0-9a-fA-F]{1,6});"
+#: A reference after its ``&``: a name, or a decimal or hexadecimal number.
+REFERENCE_RE = r"^(?:([A-Za-z]+)|#0*([0-9]{1,7})|#[xX]0*([0-9a-fA-F]{1,6}));"
 
 # Regex character class of Python's whitespace set, written with \x{..} escapes
 # that Java regex and RE2 read alike.
@@ -36,24 +37,24 @@ def collapse_ws(c: Column | str) -> Column:
     return pystrip(F.regexp_replace(col_(c), WS_CLASS + "+", " "))
 
 
-def numeric_entities(c: Column | str) -> Column:
-    """``&#8217;`` and ``&#x2019;`` as their characters; other ``&#`` text stays.  The input is read once."""
-    def part(x: Column, i: Column) -> Column:
-        dec = F.regexp_extract(x, DECIMAL_RE, 1)
-        hexa = F.regexp_extract(x, HEXADECIMAL_RE, 1)
-        code = F.coalesce(F.when(dec != "", dec.cast("int")), F.when(hexa != "", F.conv(hexa, 16, 10).cast("int")))
-        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return (F.when(i == 0, x).when(known, F.concat(char, F.regexp_replace(x, "^[^;]*;", "")))
-                .otherwise(F.concat(F.lit("&#"), x)))
-    return F.array_join(F.transform(F.split(col_(c), "&#"), part), "")
+def unescape_entities(c: Column | str) -> Column:
+    """Named (``ENTITIES``) and numeric references as their characters; any other ``&`` stays.
 
+    The text is cut at ``&`` and each reference is looked up once, so what it stands for is never read as a reference
+    again.  A text without ``&`` is left alone."""
+    names = F.create_map(*[F.lit(x) for ent, ch in (*ENTITIES, ("&amp;", "&")) for x in (ent[1:-1], ch)])
 
-def unescape_entities(c: Column | str) -> Column:
-    out = numeric_entities(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    def char(x: Column) -> Column:
+        name, dec, hexa = (F.regexp_extract(x, REFERENCE_RE, k) for k in (1, 2, 3))
+        code = F.when(dec != "", dec.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+        number = let(code, lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        return let(name, lambda n: F.when(n != "", F.try_element_at(names, n)).otherwise(number))
+
+    def part(x: Column, i: Column) -> Column:
+        known = let(char(x), lambda ch: F.when(ch.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(ch, F.substr(x, F.instr(x, ";") + 1))))
+        return F.when(i == 0, x).otherwise(known)
+
+    return only_if(col_(c), lambda x: x.contains("&"), lambda x: F.array_join(F.transform(F.split(x, "&"), part), ""))
 
 
 def nullif_empty(c: Column | str) -> Column:

@@ -131,6 +131,19 @@ def q_markdown_to_text(spark, sf):
     return Ctx(spark, sf).v("pg").select("page_id", H.markdown_to_text(H.extract_markdown("html")).alias("text"))
 
 
+FORMS = """concat('<h2>', role, '</h2><ul><li><b>turn</b> <a href="/c/', conv_id, '?t=', turn, '&amp;v=1">', turn, '</a><ol start="', turn, '"><li>', text,
+  '</li><li><code>', role, '</code></li></ol></li><li>last</ul><blockquote><p>', text, '</p><em>', role, '</em></blockquote><nav>a<nav>b</nav>c</nav>',
+  '<table><tr><th>conv</th><th>text</th></tr><tr><td>', conv_id, '<td>', text, '</table><pre>  ', text, '</pre><i>open')"""
+
+
+@register("markdown_forms", f"""SELECT conv_id, turn, {X.extract_markdown('html')} AS markdown, {X.extract_text('html')} AS text
+FROM (SELECT conv_id, turn, {FORMS} AS html FROM conversations) f""")
+def q_markdown_forms(spark, sf):
+    """Row 27 over pages of every form: nested and numbered lists, links, quotes, tables, code, nested regions."""
+    pages = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("conv_id", "turn", FORMS + " AS html")
+    return pages.select("conv_id", "turn", H.extract_markdown("html").alias("markdown"), H.extract_text("html").alias("text"))
+
+
 @register("page_metadata", fx.duckdb_with("captures") + f"""
 SELECT url, tier, {X.meta_title('html')} AS title, {X.meta_field('html', 'author')} AS author,
        {X.meta_field('html', 'description')} AS description, {X.meta_field('html', 'sitename')} AS sitename,

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from fanin.functions import html as H
 from fanin.functions import urls as U
-from fanin.params import ENTITIES, PY_WHITESPACE, TRACKING_KEYS, USES_NETLOC
+from fanin.params import PY_WHITESPACE, TRACKING_KEYS, USES_NETLOC
+from fanin.plans import sqlhtml as SH
 
 
 def lit(s: str) -> str:
@@ -53,20 +54,8 @@ def nullif_empty(x: str) -> str:
     return f"nullif({x}, '')"
 
 
-def numeric_entities(x: str) -> str:
-    dec = r"regexp_extract(p, '^0*([0-9]{1,7});', 1)"
-    hexa = r"regexp_extract(p, '^[xX]0*([0-9a-fA-F]{1,6});', 1)"
-    code = f"coalesce(TRY_CAST(nullif({dec}, '') AS INTEGER), TRY_CAST('0x' || nullif({hexa}, '') AS INTEGER))"
-    ok = f"({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111)"
-    return (f"array_to_string(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p "
-            f"WHEN {ok} THEN chr({code}) || regexp_replace(p, '^[^;]*;', '') ELSE '&#' || p END), '')")
-
-
 def unescape(x: str) -> str:
-    x = numeric_entities(x)
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
-    return f"replace({x}, '&amp;', '&')"
+    return SH.unescape(x)
 
 
 def collapse_ws(x: str) -> str:
@@ -151,16 +140,8 @@ def looks_like_pdf_expr(path: str) -> str:
 
 # ---- HTML -------------------------------------------------------------------
 
-def _chain(x: str, steps) -> str:
-    for pat, rep in steps:
-        x = rr(x, pat, rep)
-    return x
-
-
 def extract_expr(html: str, markdown: bool, text_mode: bool = False) -> str:
-    body = _chain(unescape(_chain(html, H._steps(markdown))), H.TIDY_STEPS)
-    if text_mode:
-        body = rr(body, H.MD_NOISE_RE2, "")
+    body = SH.markdown(html) if markdown and not text_mode else rr(SH.noisy(html), H.MD_NOISE_RE2, "") if text_mode else SH.text(html)
     blank = strip(f"coalesce({html}, '')")
     return f"CASE WHEN {blank} = '' THEN '' ELSE {strip(body)} END"
 

@@ -67,21 +67,96 @@ def test_long_blank_runs(spark):
     assert _one(spark, html, H.extract_text) == "a" + " " * 50000 + "b\n\nc"
 
 
-def test_linear_java_forms_agree_with_plain_patterns(spark):
+def _cases(seed, n, most):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["<p>", "</p>", "x", " y ", "\n", "&lt;", "&#38;lt;", "<b>", "</b>", "<i>", " </i>", "<a href='u'>", "<a name=q href=\"v w\">", "</a>", "<code>", "</code>",
+             "<ul>", "</ul>", "<ol start=3>", "<ol>", "</ol>", "<li>", "</li>", "<blockquote>", "</blockquote>", "<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>",
+             "<th>", "|", "<pre>", "</pre>", "  ", "\t", "<br>", "<h2>", "</h2>", "<hr>", "<nav>", "</nav>", "<form a='1'>", "<form ", "</form>", "<header>", "</header>",
+             "<!--", "-->", "<script>", "</script>", "<head>", "</head>", "<div>", "</div>", " < ", " > ", "</td x>", "<br/>", "<p <br>", "é", "\x02", "\x1e"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, most))) for _ in range(n)]
+
+
+def test_random_markup_agrees_with_the_sql_rules(spark):
+    """The oracles' rules are written on their own: windows for nested regions, a reduce for markdown."""
+    import duckdb
+    import pandas as pd
+
+    from fanin.plans import sqlx as X
+
+    cases = _cases(4, 600, 30)
+    df = spark.createDataFrame(list(enumerate(cases)), "n long, h string")
+    got = df.select("n", H.extract_text("h").alias("t"), H.extract_markdown("h").alias("m"), H.extract_content("h", "text").alias("c")).toPandas().sort_values("n")
+    db = duckdb.connect()
+    db.register("d", pd.DataFrame({"n": range(len(cases)), "h": cases}))
+    want = db.sql(f"SELECT n, {X.extract_text('h')} AS t, {X.extract_markdown('h')} AS m, {X.extract_expr('h', True, True)} AS c FROM d ORDER BY n").df()
+    for k, c in enumerate(cases):
+        assert tuple(got.iloc[k]) == tuple(want.iloc[k]), repr(c)
+
+
+def test_nested_regions_by_counting_depth(spark):
     import random
     import re
 
-    rng = random.Random(4)
-    parts = ["<p>", "</p>", "<script>", "</script>", "<form a='1'>", "<form ", "</form>", "<!--", "-->", "<nav>",
-             "</nav>", "<head>", "</head>", " < ", " > ", "x", "  \n", "<br>", "<div>", "</div>", "\t"]
-    cases = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    from fanin.functions.regions import REGION_TAGS, drop_regions
+
+    rng = random.Random(9)
+    tags = [t for name in REGION_TAGS for t in (f"<{name}>", f"<{name} class='a'>", f"</{name}>", f"</{name.upper()} >")]
+    cases = ["<nav>a<nav>b</nav>LEAK</nav>k", "<nav>a<form>b</nav>k", "</nav>k<nav>l"]
+    cases += ["".join(rng.choice(tags) if rng.random() < .5 else rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(400)]
     df = spark.createDataFrame([(c,) for c in cases], "h string")
-    got = [r.x for r in df.select(H._apply(F.col("h"), H._steps(False) + H.TIDY_STEPS).alias("x")).collect()]
-    for c, g in zip(cases, got):
-        e = c
-        for pat, rep in H._steps(False) + H.TIDY_STEPS:
-            e = re.sub(pat, rep, e)
-        assert g == e, repr(c)
+    got = [r.x for r in df.select(drop_regions(F.col("h")).alias("x")).collect()]
+    for c, g in zip(cases, got, strict=True):
+        pieces, keep = re.split(r"(<[^>]*>)", c), None
+        keep = [True] * len(pieces)
+        for name in REGION_TAGS:
+            depths, depth = [], 0
+            for x in pieces:
+                m = re.match(rf"(?i)<(/?){name}[ >]", x)
+                depth = depth if not m else depth + 1 if not m[1] else max(depth - 1, 0)
+                depths.append(depth)
+            keep = [k and d <= min(depths[i:]) for i, (k, d) in enumerate(zip(keep, depths, strict=True))]
+        assert g == "".join(x for x, k in zip(pieces, keep, strict=True) if k and not x.startswith("<")), c
+
+
+MARKDOWN = [
+    ("<p>a <b>bold</b> <i> it </i> <a href='http://x/?a=1&amp;b=2'>to <em>x</em></a> <code>c&lt;d</code></p>", "a **bold**  *it*  [to *x*](http://x/?a=1&b=2) `c<d`"),
+    ("<a href=q>one</a> <a name=z>two</a> <A HREF=\"r\"></A><strong></strong>.", "[one](q) two ."),
+    ("<p><b>never closed<br>next</p><i>x", "never closed\nnext\nx"),
+    ("<ul><li>one<ul><li>in<ol start=3><li>n<li>m</ol></ul><li>two</ul>after", "- one\n  - in\n    3. n\n    4. m\n- two\nafter"),
+    ("<ol><li><p>p1</p><p>p2</p></li><li>q</li></ol>", "1. p1\n   p2\n2. q"),
+    ("<blockquote><p>a</p><blockquote>b<ul><li>x</ul></blockquote>c</blockquote>tail", "> a\n> > b\n> > - x\n> c\ntail"),
+    ("<table><thead><tr><th>A<th>B|C</thead><tr><td>1<br>2</td><td><p>x</p><ul><li>y</ul></td></tr><tr><td>3<td><table><tr><td>4</table></table>end",
+     "| A | B\\|C |\n| --- | --- |\n| 1 2 | x y |\n| 3 |  4 |\nend"),
+    ("<p>code:</p><pre><code>def f(x):\n    return <b>x</b>\n\n\n\n# end  \n</code></pre><p>z</p>", "code:\n\n```\ndef f(x):\n    return x\n\n\n\n# end  \n```\nz"),
+    ("<ul><li><pre>a\n b</pre></ul>", "-\n  ```\n  a\n   b\n  ```"),
+    ("<h1>T</h1><hr><p>&#38;lt; &amp;lt; &nope; &#x41; &eacute;</p>", "# T\n\n---\n&lt; &lt; &nope; A é"),
+]
+
+
+def test_markdown_forms(spark):
+    df = spark.createDataFrame([(h,) for h, _ in MARKDOWN], "h string")
+    got = [r.x for r in df.select(H.extract_markdown("h").alias("x")).collect()]
+    for (h, want), g in zip(MARKDOWN, got, strict=True):
+        assert g == want, h
+
+
+def test_long_structures_take_linear_time(spark):
+    import time
+
+    def seconds(html):
+        df = spark.createDataFrame([(html,)], "h string").select(F.length(H.extract_markdown("h")).alias("n"))
+        began = time.time()
+        assert df.first().n > 0
+        return time.time() - began
+
+    for unit in ("<p>w <b>x</b> <a href='u'>l</a></p><ul><li>a<li>b</ul>", "<nav>x", "<table><tr><td>x", "<!-- <b>"):
+        seconds(unit * 100)
+        small, large = seconds(unit * 2_000), seconds(unit * 16_000)
+        assert large < 16 * max(small, 1.0), unit
+    deep = seconds("<ul><li>x" * 3_000) + seconds("<blockquote>x" * 3_000)
+    assert deep < 60
 
 
 def test_unclosed_tags_are_linear(spark):
