@@ -57,7 +57,7 @@ def test_manifest_is_the_tree(spark, sizes):
     rows = [(None if rng.random() < .01 else len(sizes) * k + n, None if n == 0 else "s" * n + "é", None if rng.random() < .05 else f"text {k}\n" * rng.randint(0, 3))
             for n, size in enumerate(sizes) for k in range(size)]
     rng.shuffle(rows)
-    seen = [t.replace("\n", "") if t and i and i % 3 == 0 else t for i, _, t in rows]
+    seen = [t.replace("\n", "") if t and i is not None and i % 3 == 0 else t for i, _, t in rows]
     df = spark.createDataFrame(rows, "id long, src string, body string").repartition(5).withColumn("g", F.lit("x")).withColumn("pos", F.lit(0))
     new = F.when(F.col("id") % 3 == 0, F.replace("body", F.lit("\n"), F.lit(""))).otherwise(F.col("body"))
     out = M.merkle_manifest(df, ("id", "src", "body"), "id", "src", {"body": new}).collect()
