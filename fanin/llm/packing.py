@@ -188,7 +188,8 @@ def pack(pieces: DataFrame, n_docs: int, length: int = LENGTH, group_docs: int =
     Sequence ids are unique, not consecutive; every sequence is gapless from offset 0."""
     groups = max(1, -(-n_docs // group_docs))
     others = [c for c in pieces.columns if c != "_group"]
-    rows = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc", "start", "length"), F.lit(groups)))
+    # dealt by the row as well: any number of rows may share an id, start and length, as empty texts of null ids do
+    rows = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc", "start", "length", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc", "start"], ascending=[False, True, True], kind="stable")

@@ -74,13 +74,13 @@ def mine_rules(baskets: DataFrame, min_support: float = 0.0, min_confidence: flo
     Support is pruned inside FP-growth, which runs distributed over item groups.  Confidence is the count of a
     combination with the block item over its count in all, both from the same run."""
     n = baskets.count()
-    if not n:
+    if n < min_count:
         return baskets.sparkSession.createDataFrame([], "rule_id string, items array<string>, confidence double, support long")
     min_support = min(1.0, max(min_support, min_count / n))
     items = baskets.select(F.array_append("tokens", F.when(F.col("blocked"), F.lit(BLOCK_ITEM)).otherwise(F.lit(ALLOW_ITEM))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     freq = materialise(model.freqItemsets, "itemsets")       # else each use would mine again
-    block = freq.filter(F.array_contains("items", BLOCK_ITEM)).select(
+    block = freq.filter(F.array_contains("items", BLOCK_ITEM) & (F.col("freq") >= min_count)).select(
         F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("items"), F.col("freq").alias("hits"))
     block = block.filter(F.size("items") > 0)
     rest = freq.select(F.array_sort("items").alias("items"), "freq")

@@ -311,3 +311,27 @@ def test_full_lists_are_doubled(spark):
     out = D.merged(None, found, 0.9, 4).collect()
     assert {(r.u, r.v) for r in out} == {(1, v) for v in range(2, 6)} | {(2, v) for v in range(3, 7)}
     assert {r.u: r.k for r in out} == {1: 8, 2: 4}
+
+
+# --- hot groups and small samples of earlier operators ------------------------------------------------------
+
+def test_packing_spreads_rows_of_one_id(spark):
+    from fanin.llm import packing as P
+    rows = spark.range(20_000, numPartitions=8).select(F.lit(None).cast("long").alias("doc"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"))
+    out = P.pack(rows, 20_000, 64, 1_000).select(F.shiftright("sequence_id", 32).alias("g"), "sequence_id", "offset")
+    sizes = [r["count"] for r in out.groupBy("g").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1_300 and sum(sizes) == 20_000
+    assert out.select("sequence_id", "offset").distinct().count() == 20_000
+
+
+def test_few_labels_mine_no_rule(spark):
+    from fanin.llm import urlrules as U
+    pages = [(k, f"https://{h}.org/spam/{k}") for k, h in enumerate("abc")] + [(9, "https://d.org/clean")]
+    labels = [(k, 0, 0) for k in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in U.filter_urls(df, known).collect()} == {"allow"}
+    baskets = spark.createDataFrame([(["x", f"y{k}"], True) for k in range(19)], "tokens array<string>, blocked boolean")
+    assert U.mine_rules(baskets).count() == 0
+    more = baskets.unionAll(spark.createDataFrame([(["x"], True), (["z"], False)], "tokens array<string>, blocked boolean"))
+    assert [(r["items"], r["support"]) for r in U.mine_rules(more).collect()] == [(["x"], 20)]
