@@ -3,6 +3,8 @@
 ==================  ===========================================================
 ``search_urls``     recorded result pages of source A + items of source B +
                     per-query requests -> fused, ranked result rows
+``search_cached``   the same behind the search memo: fresh sets are served, only the
+                    rest is searched; also the memo's next snapshot
 ``scrape``          captures (+ PDF page texts) -> one resolved page per URL
 ``scrape_requests`` the same, one row per request with its own URL, format, length and
                     rendering mode
@@ -31,7 +33,7 @@ from fanin.operators import intake as IN
 from fanin.operators import memo as ME
 from fanin.operators import normalise as NO
 from fanin.operators import report as RE
-from fanin.params import FETCH_TTL_S, MAX_MEMO_ENTRIES, URL_ERROR, FusionParams, PagingParams
+from fanin.params import FETCH_TTL_S, MAX_MEMO_ENTRIES, SEARCH_TTL_S, URL_ERROR, FusionParams, PagingParams
 from fanin.session import ensure_checkpoint_dir
 from fanin.sources.tables import flatten_pages
 
@@ -70,6 +72,40 @@ def search_urls(pages_a: DataFrame, items_b: DataFrame, requests: DataFrame, as_
     return FU.fuse(results, requests=requests, outcomes=outcomes, params=params)
 
 
+def search_cached(pages_a: DataFrame, items_b: DataFrame, requests: DataFrame, memo: DataFrame, as_of_us: int, outcomes: DataFrame,
+                  requested: tuple[str, ...], ttl_s: int = SEARCH_TTL_S, params: FusionParams = FusionParams(),
+                  paging: PagingParams = PagingParams(), max_entries: int = MAX_MEMO_ENTRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows 34-38 around the search call: ``(rows, queries, next memo)``.
+
+    ``memo(key, ts_us, results, sources_used)`` holds whole result sets under the key of a search (its text -- ``query``
+    if the requests have it, else ``query_id`` -- count, time range and sources).  A fresh set is served as it is, empty
+    and partial ones too, with ``cached = true``; the recorded pages of the other queries alone are searched.
+    ``queries`` has one row per request: cached, status, sources used and count.  Every searched set that did not error
+    enters the next memo at ``as_of``.  The looked-up requests and the searched rows are written once, as each feeds
+    several results."""
+    require(memo, "memo", "key", "ts_us", "results", "sources_used")
+    require(outcomes, "outcomes", "query_id", "source", "outcome")
+    ensure_checkpoint_dir(memo.sparkSession)
+    text = "query" if "query" in requests.columns else "query_id"
+    keyed = requests.select("query_id", "num_results", "time_range", ME.search_key(text, "num_results", "time_range", params.sources).alias("key"))
+    found = ME.split(keyed, memo, as_of_us, ttl_s, ("results", "sources_used")).checkpoint(eager=True)
+    misses = found.filter(~F.col("cached")).select("query_id", "num_results", "time_range", "key")
+    asked = lambda df: df.join(misses.select("query_id"), "query_id", "left_semi")
+    fused = search_urls(asked(pages_a), asked(items_b), misses.drop("key"), as_of_us, asked(outcomes), params, paging).checkpoint(eager=True)
+    fields = [f for f in ME.RESULT_FIELDS if f in fused.columns]
+    served = found.filter("cached").select("query_id", F.explode("memo_results").alias("_r")).select("query_id", *[F.col(f"_r.{f}").alias(f) for f in fields], F.lit(True).alias("cached"))
+    rows = fused.select("query_id", *fields, F.lit(False).alias("cached")).unionByName(served)
+    status = FU.all_failed(fused, asked(outcomes))
+    sets = ME.result_sets(fused, ME.admit_searches(status), FU.sources_used(outcomes, requested))
+    new = sets.join(misses.select("query_id", "key"), "query_id").select("key", F.lit(as_of_us).cast("bigint").alias("ts_us"), F.col("results").cast(memo.schema["results"].dataType).alias("results"), "sources_used")
+    counts = fused.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    done = found.join(status.select("query_id", "status"), "query_id", "left").join(counts, "query_id", "left").join(FU.sources_used(outcomes, requested).select("query_id", F.col("sources_used").alias("_used")), "query_id", "left")
+    hit, n = F.col("cached"), F.when(F.col("cached"), F.size("memo_results")).otherwise(F.coalesce("_n", F.lit(0)))
+    queries = done.select("query_id", "cached", F.when(hit, F.when(n > 0, "ok").otherwise("empty")).otherwise(F.coalesce("status", F.lit("empty"))).alias("status"),
+                          F.when(hit, F.col("memo_sources_used")).otherwise(F.coalesce("_used", F.lit(""))).alias("sources_used"), n.cast("bigint").alias("num_results"))
+    return rows, queries, ME.prune(ME.upsert(memo.select("key", "ts_us", "results", "sources_used"), new), max_entries)
+
+
 def scrape(captures: DataFrame, pdf_pages: DataFrame | None = None,
            params: CA.ResolveParams = CA.ResolveParams()) -> DataFrame:
     """Rows 19-23: one resolved page per URL (status, title, content, content_length, method, error)."""
@@ -216,7 +252,9 @@ def reports(requests_raw: DataFrame, pages_a: DataFrame, items_b: DataFrame, cap
     nested = RE.report_nested(rows, FU.sources_used(outcomes, requested), with_content, queries=requests_raw)
     failed = (outcomes.filter(F.col("outcome") != "ok").groupBy("query_id")
               .agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("_failed")))
-    out = checked.select("query_id", "query", "reject_reason").join(nested, "query_id").join(failed, "query_id", "left")
+    asked = checked.select("query_id", "query", "reject_reason")      # a request without an id has its row too
+    nested = nested.withColumnRenamed("query_id", "_nid")
+    out = asked.join(nested, asked["query_id"].eqNullSafe(nested["_nid"])).drop("_nid").join(failed, "query_id", "left")
     status = (F.when(F.col("reject_reason").isNotNull(), F.lit("rejected")).when(F.col("num_results") > 0, F.lit("ok"))
               .when(F.col("_failed").isNotNull(), F.lit("error")).otherwise(F.lit("empty")))
     error = F.coalesce("reject_reason", F.when(status == "error", F.concat(F.lit("all search sources failed: "), F.col("_failed"))))
@@ -236,7 +274,12 @@ def remember(memo: DataFrame, resolved: DataFrame, as_of_us: int, params: CA.Res
     return ME.prune(ME.upsert(memo, new.select(*cols)), max_entries)
 
 
-def engine_status(memo: DataFrame, as_of_us: int) -> DataFrame:
-    """Row 40: the memo part of the status call."""
+def engine_status(memo: DataFrame, as_of_us: int, search_memo: DataFrame | None = None) -> DataFrame:
+    """Row 40: the memo part of the status call; with the search memo, a row for each of the two (``memo``)."""
     require(memo, "memo", "ts_us", "content")
-    return ME.stats(memo, as_of_us)
+    fetched = ME.stats(memo, as_of_us)
+    if search_memo is None:
+        return fetched
+    require(search_memo, "search_memo", "ts_us", "results")
+    searched = ME.stats(search_memo, as_of_us, F.octet_length(F.to_json(F.struct("results"))))
+    return fetched.select(F.lit("fetch").alias("memo"), "*").unionByName(searched.select(F.lit("search").alias("memo"), "*"))

@@ -16,30 +16,32 @@ from fanin.functions.urls import with_result_domain
 from fanin.session import ensure_checkpoint_dir
 
 
-def blocks(pages: DataFrame, text: str = "text") -> DataFrame:
-    """``page_id, host, pos, block, h1, h2`` for the non-blank lines of each page.
-
-    Blocks are compared by two independent 64/32-bit hashes (96 bits), so the
-    shuffles below carry 12 bytes per block instead of its text.
-    """
+def blocks(pages: DataFrame, text: str = "text", block_hash=F.xxhash64) -> DataFrame:
+    """``page_id, host, pos, block, h`` for the non-blank lines of each page."""
     b = pages.select("page_id", "host", F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "block"))
-    return (b.filter(pystrip("block") != "")
-            .withColumn("h1", F.xxhash64("block")).withColumn("h2", F.hash("block")))
+    return b.filter(pystrip("block") != "").withColumn("h", block_hash("block"))
+
+
+def boilerplate_blocks(b: DataFrame, k: int) -> DataFrame:
+    """``host, block`` of the blocks on at least ``k`` distinct pages of their host.
+
+    Pages are counted per hash first, with eight bytes a block; the texts themselves are counted only where a hash has
+    enough pages, so that two texts of one hash are told apart."""
+    often = b.select("host", "h", "page_id").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+    texts = b.join(often.select("host", "h"), ["host", "h"], "left_semi").select("host", "h", "block", "page_id").distinct()
+    return texts.groupBy("host", "h", "block").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select("host", "h", "block")
 
 
-def host_boilerplate(pages: DataFrame, k: int = 3) -> DataFrame:
+def host_boilerplate(pages: DataFrame, k: int = 3, block_hash=F.xxhash64) -> DataFrame:
     """``page_id, host, main_text, n_blocks, n_kept`` for every page of ``(page_id, url, html)``."""
     p = with_result_domain(pages.select("page_id", "url", "html"), "url", "host").select(
         "page_id", "host", extract_text("html").alias("text"))
-    # the blocks feed two shuffles (the per-host statistics and the final join); the
-    # extracted text is written once so the regex chain runs once per page
+    # the blocks feed the per-host counts and the final join; the text is extracted once per page and written
     ensure_checkpoint_dir(p.sparkSession)
     p = p.checkpoint(eager=True)
-    b = blocks(p)
-    seen = b.select("host", "h1", "h2", "page_id").distinct()
-    boiler = (seen.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("_pages"))
-              .filter(F.col("_pages") >= k).select("host", "h1", "h2"))
-    flagged = b.join(boiler.withColumn("_boiler", F.lit(True)), ["host", "h1", "h2"], "left")
+    b = blocks(p, "text", block_hash)
+    boiler = boilerplate_blocks(b, k).withColumn("_boiler", F.lit(True))
+    flagged = b.join(boiler, ["host", "h", "block"], "left")
     kept_item = F.when(F.col("_boiler").isNull(), F.struct("pos", "block"))
     per_page = flagged.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_blocks"),

@@ -60,6 +60,21 @@ def admit_searches(fused_status: DataFrame) -> DataFrame:
     return fused_status.filter(F.col("status") != "error")
 
 
+RESULT_FIELDS = ("rank", "title", "href", "body", "source", "published_us")
+
+
+def result_sets(fused: DataFrame, admitted: DataFrame, used: DataFrame) -> DataFrame:
+    """Row 36, searches: ``(query_id, results, sources_used)``, one set per admitted query, its rows in rank order.
+
+    ``admitted(query_id)`` may hold queries without rows (an empty set is remembered too), ``used`` the sources that
+    answered.  A set is bounded by its query's number of results."""
+    fields = [f for f in RESULT_FIELDS if f in fused.columns]
+    sets = fused.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("results"))
+    none = F.array().cast(sets.schema["results"].dataType)
+    return (admitted.select("query_id").join(sets, "query_id", "left").join(used.select("query_id", "sources_used"), "query_id", "left")
+            .select("query_id", F.coalesce("results", none).alias("results"), F.coalesce("sources_used", F.lit("")).alias("sources_used")))
+
+
 def upsert(memo: DataFrame, new: DataFrame) -> DataFrame:
     """Row 37: last write per key wins (by ts, then new over old).
 

@@ -145,3 +145,23 @@ def result_set_diff(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
     a = run_a.select("query_id", "rank", F.col("href").alias("href_a"))
     b = run_b.select("query_id", "rank", F.col("href").alias("href_b"))
     return a.join(b, ["query_id", "rank"], "full").filter(~F.col("href_a").eqNullSafe(F.col("href_b")))
+
+
+def result_set_changes(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
+    """Row 53 set-wise: ``query_id, href, n_a, n_b`` where two runs hold an href unequally often, whatever its rank.
+
+    A digest that no order changes (count, sum and xor of two hashes of the hrefs) is built per query with map-side
+    aggregates; only queries whose digests differ go on to be compared row by row."""
+    def digest(run, side):
+        h, g = F.xxhash64("href"), F.xxhash64(F.lit(7), "href")
+        return run.groupBy("query_id").agg(F.struct(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(g)).alias(f"_d{side}"))
+
+    a, b = digest(run_a, 0), digest(run_b, 1)
+    b = b.withColumnRenamed("query_id", "_q")
+    unequal = a.join(b, a["query_id"].eqNullSafe(b["_q"]), "full").filter(~F.col("_d0").eqNullSafe(F.col("_d1")))
+    unequal = unequal.select(F.coalesce("query_id", "_q").alias("_q"))
+    both = (run_a.select("query_id", "href", F.lit(1).alias("a"), F.lit(0).alias("b"))
+            .unionByName(run_b.select("query_id", "href", F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    kept = both.join(unequal, both["query_id"].eqNullSafe(unequal["_q"]), "left_semi")
+    return (kept.groupBy("query_id", "href").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+            .filter(F.col("n_a") != F.col("n_b")))

@@ -6,21 +6,28 @@ from pyspark.sql import functions as F
 
 from fanin.operators import fuse as FU
 from fanin.operators import report as RE
-from fanin.params import FusionParams
+from fanin.params import SEARCH_TTL_S, FusionParams
 from fanin.plans import sqlx as X
 from fanin.plans.q_capture import resolve_ctes
-from fanin.plans.q_search import REQUESTED, SEARCH_VIEWS, Ctx, search_ctes, searched, serp_ctes, serp_fused
+from fanin.plans.q_search import PARAMS, REQUESTED, SEARCH_VIEWS, Ctx, search_ctes, searched, serp_ctes, serp_fused
 from fanin.plans.registry import register
+from fanin.session import ensure_checkpoint_dir
 from fanin.sources import fixtures as fx
 
 REVERSED = FusionParams(sources=("b", "a"))
 
 
+def fused_once(c: Ctx):
+    """The fused lists, written once: they name the captures to resolve, join the pages and tell each query's status."""
+    ensure_checkpoint_dir(c.spark)
+    return searched(c).checkpoint(eager=True)
+
+
 def rows(c: Ctx, fused=None):
     """Report rows: only captures of URLs that some result names are extracted."""
     from fanin import api
     from fanin.plans.q_capture import P
-    fused = searched(c) if fused is None else fused
+    fused = fused_once(c) if fused is None else fused
     named = fused.select(F.col("href").alias("url")).distinct()
     pages = api.scrape(c.v("captures").join(named, "url", "left_semi"),
                        c.v("pdf_capture_pages").join(named, "url", "left_semi"), P)
@@ -81,7 +88,7 @@ FROM (SELECT count(*) FILTER (WHERE status <> 'error') AS queries_ok, count(*) A
                                       extra=[QSTATUS_CTE]))
 def q_scrape_scorecard(spark, sf):
     c = Ctx(spark, sf)
-    fused = searched(c)        # one search plan for both inputs (shared exchanges)
+    fused = fused_once(c)
     status = FU.all_failed(fused, c.v("source_outcomes"))
     return RE.scrape_scorecard(rows(c, fused), status)
 
@@ -123,6 +130,69 @@ def q_result_set_diff(spark, sf):
     return RE.result_set_diff(serp_fused(spark, sf, n=20), serp_fused(spark, sf, n=20, params=REVERSED))
 
 
+@register("result_set_changes", _serp_with(*serp_ctes("20"), *serp_ctes("20", REVERSED, "_r"), final="""
+SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.href, b.href) AS href, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b
+FROM (SELECT query_id, href, count(*) AS n FROM fused GROUP BY query_id, href) a
+FULL OUTER JOIN (SELECT query_id, href, count(*) AS n FROM fused_r GROUP BY query_id, href) b ON a.query_id = b.query_id AND a.href IS NOT DISTINCT FROM b.href
+WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""))
+def q_result_set_changes(spark, sf):
+    return RE.result_set_changes(serp_fused(spark, sf, n=20), serp_fused(spark, sf, n=20, params=REVERSED))
+
+
+# ---- the search call behind its memo -------------------------------------------
+
+def _search_memo_sql(final: str) -> str:
+    return fx.duckdb_with(*SEARCH_VIEWS, ctes=search_ctes("fused") + [
+        QSTATUS_CTE, ("asked", "SELECT q.*, query_id LIKE 'en%' AS hit FROM search_requests q"),
+        ("used", f"""SELECT query_id, string_agg(source, ',' ORDER BY array_position({list(REQUESTED)}, source)) AS used
+FROM source_outcomes WHERE outcome = 'ok' GROUP BY query_id""")]) + final
+
+
+def search_memo(c: Ctx, fused):
+    """Earlier result sets: of the English queries (fresh) and the Spanish ones (expired), with three rows each."""
+    from fanin.operators import memo as ME
+    from fanin.plans.q_search import PARAMS
+    kept = c.v("search_requests").filter("query_id LIKE 'en%' OR query_id LIKE 'es%'")
+    sets = ME.result_sets(fused.filter("rank <= 3"), kept, FU.sources_used(c.v("source_outcomes"), REQUESTED))
+    age = F.when(F.col("query_id").startswith("en"), SEARCH_TTL_S).otherwise(SEARCH_TTL_S + 1)
+    return (sets.join(kept, "query_id").select(ME.search_key("query_id", "num_results", "time_range", PARAMS.sources).alias("key"),
+                                               (F.lit(fx.SEARCH_AS_OF_US) - age * 1_000_000).cast("bigint").alias("ts_us"), "results", "sources_used"))
+
+
+def search_cached(c: Ctx):
+    from fanin import api
+    from fanin.plans.q_search import PAGING, PARAMS, pages_a
+    memo = search_memo(c, fused_once(c))
+    return api.search_cached(pages_a(c), c.v("raw_b"), c.v("search_requests"), memo, fx.SEARCH_AS_OF_US, c.v("source_outcomes"),
+                             REQUESTED, params=PARAMS, paging=PAGING)
+
+
+@register("search_cached", _search_memo_sql("""SELECT f.query_id, f.rank, f.title, f.href, f.body, f.source, f.published_us, a.hit AS cached
+FROM fused f JOIN asked a ON a.query_id = f.query_id WHERE NOT a.hit OR f.rank <= 3"""))
+def q_search_cached(spark, sf):
+    return search_cached(Ctx(spark, sf))[0]
+
+
+@register("search_cached_queries", _search_memo_sql("""SELECT a.query_id, a.hit AS cached,
+  CASE WHEN NOT a.hit THEN coalesce(s.status, 'empty') WHEN f.n > 0 THEN 'ok' ELSE 'empty' END AS status, coalesce(u.used, '') AS sources_used,
+  CAST(coalesce(CASE WHEN a.hit THEN least(f.n, 3) ELSE f.n END, 0) AS BIGINT) AS num_results
+FROM asked a LEFT JOIN qstatus s ON s.query_id = a.query_id LEFT JOIN used u ON u.query_id = a.query_id
+LEFT JOIN (SELECT query_id, count(*) AS n FROM fused GROUP BY query_id) f ON f.query_id = a.query_id"""))
+def q_search_cached_queries(spark, sf):
+    return search_cached(Ctx(spark, sf))[1]
+
+
+@register("search_memo_next", _search_memo_sql(f"""SELECT sha256(concat_ws('|', 'search', a.query_id, CAST(a.num_results AS VARCHAR), a.time_range, '{",".join(PARAMS.sources)}')) AS key,
+  CAST({fx.SEARCH_AS_OF_US} - CASE WHEN a.hit THEN {SEARCH_TTL_S * 1_000_000} WHEN s.status = 'error' THEN {(SEARCH_TTL_S + 1) * 1_000_000} ELSE 0 END AS BIGINT) AS ts_us,
+  CAST(coalesce(CASE WHEN a.hit OR s.status = 'error' THEN least(f.n, 3) ELSE f.n END, 0) AS INT) AS n_results, coalesce(u.used, '') AS sources_used
+FROM asked a JOIN qstatus s ON s.query_id = a.query_id LEFT JOIN used u ON u.query_id = a.query_id
+LEFT JOIN (SELECT query_id, count(*) AS n FROM fused GROUP BY query_id) f ON f.query_id = a.query_id
+WHERE s.status <> 'error' OR a.query_id LIKE 'en%' OR a.query_id LIKE 'es%'"""))
+def q_search_memo_next(spark, sf):
+    """Fresh sets stay, expired and missing ones are replaced by what was searched; an errored search leaves the old set."""
+    return search_cached(Ctx(spark, sf))[2].select("key", "ts_us", F.size("results").alias("n_results"), "sources_used")
+
+
 # ---- the whole research call: search, memo before work, resolve misses, report ----
 
 def research(c: Ctx):
