@@ -1,18 +1,16 @@
 """Streaming forms of the TTL replay and the circuit breaker.
 
-Both are per-key folds over event time with a small state per key:
-``transformWithStateInPandas`` (value state; the TTL entry is dropped by an
-event-time timer at ``stamp + ttl``), or ``applyInPandasWithState`` with
-``api="apply"``.  Inside a micro-batch a key's rows are sorted
-by ``(ts, id)`` before the fold; across batches the fold continues from the
-stored state.  For input that arrives in event-time order this equals the
-batch replays in ``fanin.operators.memo.ttl_replay`` and
-``fanin.operators.health.breaker_replay``.  A key's rows in one micro-batch
-are bounded by the trigger size, never by the key's history.
-
-State is dropped by an event-time timeout once the watermark passes the
-point where it can no longer change a result (TTL: ``stamp + ttl``; breaker:
-a closed breaker with no failures left to count keeps no state at all).
+The TTL fold is a ``transformWithStateInPandas`` processor with one value per key, the stamp of its last miss.  The
+caller names the watermark's delay.  A row that comes when the watermark has passed its time is late: it is not folded
+but given out with ``late = true``, so that every input row is in one of the two outputs of ``run_to_tables``.  Spark
+drops late rows before a processor only where the watermarked column reaches it; it does not here, and the processor
+reads the watermark itself.  An event-time timer drops the stamp once the watermark is past ``stamp + ttl``, when no
+on-time request can hit it.
+
+Inside a micro-batch a key's rows are folded in order of ``(ts, id)`` whatever batches they come in: only their times and
+ids are held, 16 bytes a row, the fold jumps from miss to miss by binary search, and rows go out in slices.  For input in
+event-time order this equals the batch replay in ``fanin.operators.memo.ttl_replay``.  A micro-batch is bounded by the
+source's ``maxFilesPerTrigger`` (``file_stream``), which bounds a hot key's rows in it.
 """
 
 from __future__ import annotations
@@ -20,6 +18,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +31,7 @@ from fanin.session import scratch_path
 
 US = 1_000_000
 
-TTL_OUT = "event_id long, req_key string, ts_us long, hit boolean"
+TTL_OUT = "event_id long, req_key string, ts_us long, hit boolean, late boolean"
 TTL_STATE = "stamp_us long"
 BREAKER_OUT = "event_id long, source string, ts_us long, allowed boolean, opened boolean"
 BREAKER_STATE = "fails long, open_until_us long"
@@ -42,14 +41,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _ttl_fold(pdf: pd.DataFrame, stamp: int | None, ttl_us: int) -> tuple[list[bool], int | None]:
-    hits = []
-    for t in pdf["ts_us"].to_numpy():
-        if stamp is not None and not (t - stamp > ttl_us):
-            hits.append(True)
-        else:
-            stamp = int(t)
-            hits.append(False)
+SLICE = 50_000                       # rows given out at once
+
+
+def ttl_hits(times: np.ndarray, stamp: int | None, ttl_us: int) -> tuple[np.ndarray, int | None]:
+    """Which of a key's sorted requests hit, and its stamp after them: from each miss straight to the next."""
+    hits = np.ones(len(times), dtype=bool)
+    at = 0 if stamp is None else int(np.searchsorted(times, stamp + ttl_us, side="right"))
+    while at < len(times):
+        hits[at], stamp = False, int(times[at])
+        at = max(at + 1, int(np.searchsorted(times, stamp + ttl_us, side="right")))
     return hits, stamp
 
 
@@ -73,7 +74,7 @@ def _breaker_fold(pdf: pd.DataFrame, fails: int, until: int | None, th: int, cd_
 
 
 class TtlProcessor(StatefulProcessor):
-    """Value state: the stamp of the last miss; a timer at ``stamp + ttl`` clears it."""
+    """Value state: the stamp of the last miss.  Late rows pass by it."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
@@ -83,15 +84,26 @@ class TtlProcessor(StatefulProcessor):
         self.stamp = handle.getValueState("stamp", TTL_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stamp = self.stamp.get()[0] if self.stamp.exists() else None
-        pdf = pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="stable")
-        hits, stamp = _ttl_fold(pdf, stamp, self.ttl_us)
-        self.stamp.update((stamp,))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((stamp + self.ttl_us) // 1000 + 1)
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "req_key": key[0],
-                            "ts_us": pdf["ts_us"].to_numpy(), "hit": hits})
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        times, ids = [], []
+        for pdf in rows:
+            times.append(pdf["ts_us"].to_numpy(np.int64))
+            ids.append(pdf["event_id"].to_numpy(np.int64))
+        times, ids = np.concatenate(times), np.concatenate(ids)
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        first = int(np.searchsorted(times, passed, side="left"))          # rows before the watermark are late
+        hits = np.zeros(len(times), dtype=bool)
+        if first < len(times):
+            stamp = self.stamp.get()[0] if self.stamp.exists() else None
+            hits[first:], stamp = ttl_hits(times[first:], stamp, self.ttl_us)
+            self.stamp.update((stamp,))
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((stamp + self.ttl_us) // 1000 + 1)
+        for a in range(0, len(times), SLICE):
+            b = min(a + SLICE, len(times))
+            yield pd.DataFrame({"event_id": ids[a:b], "req_key": key[0], "ts_us": times[a:b], "hit": hits[a:b], "late": np.arange(a, b) < first})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.stamp.clear()      # no on-time request can hit this entry any more
@@ -125,35 +137,15 @@ class BreakerProcessor(StatefulProcessor):
         pass
 
 
-def ttl_dedupe_stream(log: DataFrame, ttl_s: int, watermark: str = "1 day", api: str = "transform") -> DataFrame:
-    """Row 42: streaming ``(event_id, req_key, ts_us, ts)`` -> the same rows with ``hit``."""
-    ttl_us = ttl_s * US
-    if api == "transform":
-        return (log.withWatermark("ts", watermark).groupBy("req_key")
-                .transformWithStateInPandas(TtlProcessor(ttl_us), TTL_OUT, "Append", "EventTime"))
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stamp = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["ts_us", "event_id"], kind="stable")
-        hits, stamp = _ttl_fold(pdf, stamp, ttl_us)
-        expiry_ms = (stamp + ttl_us) // 1000 + 1
-        if expiry_ms > state.getCurrentWatermarkMs():
-            state.update((stamp,))
-            state.setTimeoutTimestamp(expiry_ms)
-        else:   # no on-time request can hit this entry any more
-            state.remove()
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "req_key": key[0],
-                            "ts_us": pdf["ts_us"].to_numpy(), "hit": hits})
+def ttl_dedupe_stream(log: DataFrame, ttl_s: int, watermark: str) -> DataFrame:
+    """Row 42: streaming ``(event_id, req_key, ts_us, ts)`` -> the same rows with ``hit`` and ``late``.
 
-    return (log.withWatermark("ts", watermark).groupBy("req_key")
-            .applyInPandasWithState(fold, TTL_OUT, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    ``watermark`` is how far behind the latest row seen a row may come and still be folded."""
+    return (log.withWatermark("ts", watermark).select("event_id", "req_key", "ts_us").groupBy("req_key")
+            .transformWithStateInPandas(TtlProcessor(ttl_s * US), TTL_OUT, "Append", "EventTime"))
 
 
-def breaker_stream(attempts: DataFrame, params: BreakerParams = BreakerParams(), watermark: str = "1 day",
-                   api: str = "transform") -> DataFrame:
+def breaker_stream(attempts: DataFrame, params: BreakerParams, watermark: str, api: str = "transform") -> DataFrame:
     """Row 45: streaming ``(event_id, source, ts_us, ok, ts)`` -> ``allowed`` / ``opened`` per attempt."""
     th, cd_us = params.threshold, int(params.cooldown_s * US)
     if api == "transform":
@@ -178,7 +170,13 @@ def breaker_stream(attempts: DataFrame, params: BreakerParams = BreakerParams(),
             .applyInPandasWithState(fold, BREAKER_OUT, BREAKER_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def run_to_tables(spark: SparkSession, stream: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """As ``run_to_table`` for a stream with a column ``late``: the rows that came in time, and the late ones."""
+    out = run_to_table(spark, stream, name, ("late",))
+    return out.filter("not late").drop("late"), out.filter("late").drop("late", "hit")
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over everything available now into a Parquet table in the shared
     checkpoint folder (fresh sink and checkpoint per run) and read it back.
 
@@ -191,7 +189,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame
     if before is None:
         spark.conf.set(PROVIDER_CONF, ROCKSDB)
     try:
-        q = (stream.writeStream.format("parquet").outputMode("append")
+        q = (stream.writeStream.format("parquet").outputMode("append").partitionBy(*partition_by)
              .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
              .trigger(availableNow=True).start())
     finally:
@@ -202,13 +200,24 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A driver table as a file stream (the glob form: the stream source wants a folder or a pattern)."""
-    static = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    r = spark.readStream.schema(static.schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet")
+def file_stream(spark: SparkSession, path: str, schema, max_files: int) -> DataFrame:
+    """A folder of Parquet files as a stream; ``max_files`` bounds a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
+def in_time_slices(df: DataFrame, ts: str, slices: int, name: str, files: int = 2) -> str:
+    """Write a table as a log that grew: ``slices`` appends of equal spans of time, of ``files`` files each; its folder."""
+    path = scratch_path(df.sparkSession, name)
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    if lo is None:
+        df.write.parquet(path)
+        return path
+    edges = [lo + (hi - lo) * k / slices for k in range(1, slices)]
+    for k in range(slices):
+        part = df if slices == 1 else df.filter(F.col(ts) < edges[k]) if k == 0 else df.filter(F.col(ts) >= edges[k - 1])
+        part = part if k in (0, slices - 1) else part.filter(F.col(ts) < edges[k])
+        part.repartition(files, ts).write.mode("append").parquet(path)
+    return path
 
 
 def with_ts(df: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def test_multi_batch_parity_with_batch_replays(spark, api):
     src = flat
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     log = ST.with_ts(stream.select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type").alias("req_key"), "ts"))
-    got = ST.run_to_table(spark, ST.ttl_dedupe_stream(log, 21600, api=api), "t-ttl")
+    got = ST.run_to_tables(spark, ST.ttl_dedupe_stream(log, 21600, "1 day"), "t-ttl")[0]
     batch_log = ST.with_ts(ev.select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type").alias("req_key"), "ts"))
     exp = ME.ttl_replay(batch_log.select("event_id", "req_key", "ts_us"), 21600)
     assert got.select("event_id", "hit").exceptAll(exp.select("event_id", "hit")).count() == 0
@@ -46,10 +46,70 @@ def test_multi_batch_parity_with_batch_replays(spark, api):
     att_stream = ST.with_ts(stream.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"),
                                           "ts", (F.col("event_type") != "error").alias("ok")))
     p = BreakerParams(threshold=2, cooldown_s=86400)
-    got_b = ST.run_to_table(spark, ST.breaker_stream(att_stream, p, api=api), "t-br")
+    got_b = ST.run_to_table(spark, ST.breaker_stream(att_stream, p, "1 day", api=api), "t-br")
     att = ST.with_ts(ev.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), "ts",
                                (F.col("event_type") != "error").alias("ok")))
     exp_b = HE.breaker_replay(att.select("event_id", "source", "ts_us", "ok"), params=p)
     cols = ["event_id", "allowed", "opened"]
     assert got_b.select(*cols).exceptAll(exp_b.select(*cols)).count() == 0
     assert os.path.isdir(src)
+
+
+def _log_files(rows_by_batch):
+    """One Parquet file per micro-batch, in this order."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    src = tempfile.mkdtemp(prefix="fanin-late-")
+    for i, rows in enumerate(rows_by_batch):
+        ids, keys, ts = (list(c) for c in zip(*rows, strict=True))
+        path = os.path.join(src, f"b{i}.parquet")
+        pq.write_table(pa.table({"event_id": pa.array(ids, pa.int64()), "req_key": keys, "ts": pa.array([t * 1_000_000 for t in ts], pa.timestamp("us", "UTC"))}), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    return src
+
+
+def test_every_row_is_in_time_or_late(spark):
+    import random
+
+    rng, day, delay, ttl = random.Random(2), 1_704_067_200, 600, 300
+    batches, n = [], 0
+    for b in range(5):
+        rows = []
+        for _ in range(120):
+            back = rng.choice([0, 0, 0, 0, 200, 500, 900, 5000])        # some within the delay, some beyond
+            rows.append((n, rng.choice("abc"), day + b * 1000 + rng.randint(0, 999) - back))
+            n += 1
+        batches.append(rows)
+    stream = spark.readStream.schema("event_id long, req_key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(_log_files(batches))
+    in_time, late = ST.run_to_tables(spark, ST.ttl_dedupe_stream(ST.with_ts(stream), ttl, f"{delay} seconds"), "t-late")
+    got = {r.event_id: r.hit for r in in_time.collect()}
+    gone = {r.event_id for r in late.collect()}
+    # the watermark of a micro-batch is the latest time of all batches before it, less the delay
+    want, want_late, stamps, top = {}, set(), {}, None
+    for rows in batches:
+        mark = 0 if top is None else top - delay
+        for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+            if t < mark:
+                want_late.add(i)
+                continue
+            want[i] = key in stamps and t - stamps[key] <= ttl
+            if not want[i]:
+                stamps[key] = t
+        top = max([top or 0, *(r[2] for r in rows)])
+    assert len(want_late) > 20 and gone == want_late and got == want
+    assert len(got) + len(gone) == n
+
+
+def test_a_hot_key_is_folded_by_its_times_alone():
+    import tracemalloc
+
+    import numpy as np
+
+    times = np.arange(2_000_000, dtype=np.int64) * 700
+    tracemalloc.start()
+    hits, stamp = ST.ttl_hits(times, None, 1_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(times) and not hits[0] and (~hits).sum() == 1 + (len(times) - 1) // 1429 and stamp == times[~hits][-1]
+    assert ST.ttl_hits(np.array([5, 6]), 100, 10)[0].all()              # a stamp ahead of a request still serves it
