@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanin.operators.ordered import (DEFAULT_TARGET_ROWS, LONG_MIN, attach_chunk, chunk_table, chunked_index,
-                                     next_after, orbit, safe_key)
+                                     equal_rows, next_after, orbit, safe_key)
 from fanin.params import FETCH_RETRIES, RETRY_BACKOFF_S, BreakerParams
 from fanin.session import ensure_checkpoint_dir
 
@@ -21,8 +21,8 @@ US = 1_000_000
 
 
 def _chunks(df: DataFrame, key: str, ts: str, chunk_us: int | None, target_rows: int):
-    """A fixed width when given, else per-key slices of about ``target_rows`` rows."""
-    return chunk_us if chunk_us is not None else chunk_table(df, key, ts, target_rows)
+    """A fixed width of time when given, else ranges of about ``target_rows`` rows."""
+    return chunk_us if chunk_us is not None else equal_rows(df, target_rows)
 
 
 def failure_streaks(attempts: DataFrame, key: str = "source", ts: str = "ts_us", rid: str = "event_id",
@@ -31,9 +31,10 @@ def failure_streaks(attempts: DataFrame, key: str = "source", ts: str = "ts_us",
     """Row 43: ``streak`` = consecutive failures ending at each attempt (0 on a success).
 
     streak = index - index of the last success at or before the row.  The
-    last-success index is a running max inside each (key, chunk) and a carry
-    from the per-chunk table, so no window spans a whole key.  Attempts without
-    a key form one history.  ``chunks`` must be per ``_key`` (``safe_key``).
+    last-success index is a running max inside each (key, range) and a carry of
+    one row per range, so no window spans a whole key, and ranges hold equal
+    rows whatever the times.  Attempts without a key form one history.
+    ``chunks`` must be per ``_key`` (``safe_key``).
     """
     columns = attempts.columns
     attempts, key = attempts.withColumn("_key", safe_key(key)), "_key"
@@ -62,6 +63,7 @@ def polite_schedule(calls: DataFrame, key: str = "host", arrival: str = "arrival
     with the local index and carried across chunks from the chunk table.
     """
     d_ = interval_us
+    columns, calls, key = calls.columns, calls.withColumn("_key", safe_key(key)), "_key"
     x = chunked_index(calls, key, arrival, rid, _chunks(calls, key, arrival, chunk_us, target_rows))
     x = x.withColumn("_v", F.col(arrival) - F.col("_l") * F.lit(d_))
     run = (Window.partitionBy(key, "_c").orderBy(arrival, rid)
@@ -74,7 +76,7 @@ def polite_schedule(calls: DataFrame, key: str = "host", arrival: str = "arrival
     n = F.col("_off") + F.col("_l")
     start = n * F.lit(d_) + F.greatest(F.col("_m") - F.col("_off") * F.lit(d_), F.col("_carry"))
     return (x.withColumn("start_us", start.cast("bigint")).withColumn("wait_us", (F.col("start_us") - F.col(arrival)))
-            .drop("_c", "_l", "_off", "_v", "_m", "_carry"))
+            .select(*columns, "start_us", "wait_us"))
 
 
 def retry_frontier(attempts: DataFrame, key: str = "url", ts: str = "ts_us", rid: str = "event_id",

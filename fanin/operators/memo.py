@@ -144,7 +144,7 @@ def ttl_replay(log: DataFrame, ttl_s: int, key: str = "req_key", ts: str = "ts_u
     list, no sequential loop); every other request is a hit.  Rows are told
     apart by key and id together; rows without a key form one history.
     """
-    from fanin.operators.ordered import (DEFAULT_TARGET_ROWS, LONG_MAX, chunk_table, next_after, orbit,
+    from fanin.operators.ordered import (DEFAULT_TARGET_ROWS, LONG_MAX, equal_rows, next_after, orbit,
                                          previous_ts, safe_key)
 
     if ttl_s < 0:   # every request is older than the entry it would read
@@ -152,7 +152,7 @@ def ttl_replay(log: DataFrame, ttl_s: int, key: str = "req_key", ts: str = "ts_u
     ttl_us = ttl_s * US
     log = log.withColumn("_key", safe_key(key))
     rows = log.select("_key", F.col(ts).alias("ts"), F.col(rid).alias("rid"))
-    chunk = chunk_us if chunk_us is not None else chunk_table(rows, "_key", "ts", target_rows or DEFAULT_TARGET_ROWS)
+    chunk = chunk_us if chunk_us is not None else equal_rows(rows, target_rows or DEFAULT_TARGET_ROWS)
     gaps = previous_ts(rows, "_key", chunk)
     starts = gaps.filter(F.col("prev").isNull() | (F.col("ts") - F.col("prev") > ttl_us)).select("_key", F.col("rid").alias("id"))
     probes = rows.select("_key", F.col("rid").alias("pid"), (F.col("ts") + F.lit(ttl_us)).alias("t"),

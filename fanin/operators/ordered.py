@@ -4,9 +4,10 @@ Histories are ordered per key by ``(ts, id)``.  A key may hold a large share
 of all rows, so nothing here gathers a key's history into one task or one
 list:
 
-* ``chunk_table`` / ``attach_chunk`` -- each key's time line cut into slices
-  of about ``target_rows`` rows (a hot key gets many slices, a cold key one),
-  or a fixed width.
+* ``equal_rows`` / ``attach_chunk`` -- the rows in order of key, time and id cut
+  into ranges of about ``target_rows`` rows each, so that a burst of one key in
+  one second is cut like any other rows; or a fixed width of time, or
+  ``chunk_table``'s slices of equal time per key.
 * ``chunked_index`` -- per-row position within the key, from windows over
   ``(key, chunk)`` plus a running sum over the small per-chunk count table
   (the carry).
@@ -22,6 +23,8 @@ Keys must not be NULL here; callers use ``safe_key``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +52,32 @@ def chunk_table(rows: DataFrame, key: str, ts: str, target_rows: int = DEFAULT_T
     return st.select(key, "_t0", width.alias("_w"))
 
 
-def attach_chunk(df: DataFrame, key: str, t: Column, chunks) -> DataFrame:
-    """Add ``_c``, the chunk of time ``t`` (fixed width, or the key's own width from ``chunk_table``)."""
+@dataclass(frozen=True)
+class EqualRows:
+    """Ranges of equal rows; ``parts`` of them over the log."""
+    parts: int
+
+
+def equal_rows(rows: DataFrame, target_rows: int = DEFAULT_TARGET_ROWS) -> EqualRows:
+    """As many ranges as hold about ``target_rows`` rows each (one job counts the rows)."""
+    return EqualRows(max(1, -(-rows.count() // target_rows)))
+
+
+def ranged(df: DataFrame, order: tuple[str, ...], parts: int) -> DataFrame:
+    """Add ``_c``, the range of a row among ``parts`` ranges of equal rows in this order (rows equal in all of ``order`` share
+    one).  The ranges come from a sample, so the rows are written once with their range."""
+    if parts == 1:
+        return df.withColumn("_c", F.lit(0).cast("bigint"))
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
+    return out.withColumn("_c", F.spark_partition_id().cast("bigint")).checkpoint(eager=True)
+
+
+def attach_chunk(df: DataFrame, key: str, t: Column, chunks, order: tuple[str, ...] = (), more: int = 1) -> DataFrame:
+    """Add ``_c``, the chunk of a row: of time ``t`` (fixed width, or the key's own width from ``chunk_table``), or its range
+    by key and ``order`` (``EqualRows``; ``more`` times as many rows as the log has)."""
+    if isinstance(chunks, EqualRows):
+        return ranged(df, (key, *order), chunks.parts * more if chunks.parts > 1 else 1)
     if isinstance(chunks, int):
         return df.withColumn("_c", F.floor(t / F.lit(chunks)).cast("bigint"))
     j = df.join(chunks, key)
@@ -60,7 +87,7 @@ def attach_chunk(df: DataFrame, key: str, t: Column, chunks) -> DataFrame:
 def chunked_index(df: DataFrame, key: str, ts: str, rid: str, chunks) -> DataFrame:
     """Add ``_c`` (chunk), ``_l`` (0-based index in key and chunk), ``_off`` (rows of the key in
     earlier chunks); the global index is ``_off + _l``."""
-    c = attach_chunk(df, key, F.col(ts), chunks)
+    c = attach_chunk(df, key, F.col(ts), chunks, (ts, rid))
     local = c.withColumn("_l", (F.row_number().over(Window.partitionBy(key, "_c").orderBy(ts, rid)) - 1).cast("bigint"))
     counts = c.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +104,7 @@ def next_after(rows: DataFrame, probes: DataFrame, key: str, chunks) -> DataFram
     real = rows.select(key, F.col("ts").alias("_t"), F.col("rid").alias("_r"), F.lit(0).alias("_k"),
                        F.lit(None).cast("bigint").alias("pid"))
     prb = probes.select(key, F.col("t").alias("_t"), F.col("r").alias("_r"), F.lit(1).alias("_k"), "pid")
-    both = attach_chunk(real.unionByName(prb), key, F.col("_t"), chunks)
+    both = attach_chunk(real.unionByName(prb), key, F.col("_t"), chunks, ("_t", "_r", "_k"), 2)
     desc = (Window.partitionBy(key, "_c").orderBy(F.col("_t").desc(), F.col("_r").desc(), F.col("_k").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pos = F.struct(F.col("_t").alias("t"), F.col("_r").alias("r"))
@@ -99,7 +126,7 @@ def safe_key(key: str) -> Column:
 
 def previous_ts(rows: DataFrame, key: str, chunks) -> DataFrame:
     """``(key, ts, rid)`` with ``prev``, the time of the row before it in its key (NULL for the first)."""
-    c = attach_chunk(rows, key, F.col("ts"), chunks)
+    c = attach_chunk(rows, key, F.col("ts"), chunks, ("ts", "rid"))
     inside = c.withColumn("_p", F.lag("ts").over(Window.partitionBy(key, "_c").orderBy("ts", "rid")))
     ends = c.groupBy(key, "_c").agg(F.max("ts").alias("_e"))
     before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)

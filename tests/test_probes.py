@@ -194,3 +194,21 @@ def test_scrape_requests_have_their_own_format_length_and_mode(spark):
     assert got[3].method == "browser" and got[3].content.endswith("more") and got[3].content_length == len(got[3].content)
     assert got[4].error == got[6].error == "url must be a non-empty string"
     assert (got[5].status, got[5].method, got[5].content, got[5].error) == (0, "unknown", "", CA.EMPTY_CONTENT)
+
+
+def test_a_burst_is_cut_into_equal_ranges(spark):
+    from fanin.operators import ordered as OR
+    year = 365 * 86_400 * 1_000_000
+    df = spark.createDataFrame([("k", 0, 0)] + [("k", year + i // 500, i) for i in range(1, 4000)], "_key string, ts long, rid long").repartition(6)
+    n = OR.equal_rows(df, 200)
+    sizes = [r["count"] for r in OR.attach_chunk(df, "_key", F.col("ts"), n, ("ts", "rid")).groupBy("_c").count().collect()]
+    assert n.parts == 20 and sum(sizes) == 4000 and max(sizes) <= 500
+    log = df.select(F.col("_key").alias("source"), F.col("rid").alias("event_id"), F.col("ts").alias("ts_us"), (F.col("rid") % 97 == 0).alias("ok"))
+    got = {r.event_id: r.streak for r in HE.failure_streaks(log, target_rows=200).collect()}
+    assert got == {i: i % 97 for i in range(4000)}
+
+
+def test_calls_without_a_host_have_their_schedule(spark):
+    df = spark.createDataFrame([(None, 1, 0), (None, 2, 10), ("h", 3, 5)], "host string, event_id long, arrival_us long")
+    got = {r.event_id: r.start_us for r in HE.polite_schedule(df, interval_us=100).collect()}
+    assert got == {1: 0, 2: 100, 3: 5}
