@@ -68,15 +68,16 @@ def lower_bounds(rows: list[tuple[str, int]]) -> list[int]:
     return [a + b for a, b in zip(out, pairs, strict=True)]
 
 
-def search(rows: list[tuple[str, int]], start: int = 0, goal: int | None = None) -> str | None:
+def search(rows: list[tuple[str, int]], start: int = 0, goal: int | None = None, failed: dict[tuple[int, int], int] | None = None) -> str | None:
     """The cheapest, then ASCII-least edits from state ``start`` to state ``goal`` after the last row, or, without a goal, to
-    the end of the conversation, with inserts after the last row.  None if there are none."""
+    the end of the conversation, with inserts after the last row.  None if there are none.  ``failed``, the table of failed
+    states, holds for any start and may be shared by the searches for one goal over the same rows."""
     n, least = len(rows), lower_bounds(rows)
     if goal == 1 and start == 0 and not any(i == "s" and f != MUST_GO for i, f in rows):
         return None
     if goal is not None and (goal, start) in {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)}:
         return None
-    failed: dict[tuple[int, int], int] = {}
+    failed = {} if failed is None else failed
 
     def moves(i: int, q: int):
         if i == n:
@@ -144,9 +145,10 @@ def segments(rows: list[tuple[str, int]], size: int) -> list[tuple[list, dict[tu
     out = []
     for at in range(0, len(rows), size):
         part, table = rows[at:at + size], {}
-        for a in range(4):
-            for b in range(4):
-                audit = search(part, a, b)
+        for b in range(4):
+            failed: dict[tuple[int, int], int] = {}
+            for a in range(4):
+                audit = search(part, a, b, failed)
                 if audit is not None:
                     table[a, b] = (apply(part, audit, a)[0], audit)
         out.append((part, table))
