@@ -4,6 +4,7 @@ import html
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -269,6 +270,57 @@ def test_extract_forms():
     assert H.extract(f"<body><div><p>{text}</p><form><p>Sign up, now.</p></form></div></body>") == text
 
 
+LONG = "Words, and more of them in a row. " * 6
+
+
+@pytest.mark.parametrize("page, word, kept", [
+    (f'<article><p>{LONG}<span style="display:none">HIDDEN</span></p></article>', "HIDDEN", False),
+    (f'<article><p>{LONG}<span class="advert">BUY <span>NOW</span></span> end.</p></article>', "NOW", False),
+    (f'<article><p>{LONG}<span class="advert">BUY <span>NOW</span></span> end.</p></article>', "end.", True),
+    (f'<article><p>{LONG}</p><my-comments class="comments">Nice post!</my-comments></article>', "Nice", False),
+    (f'<div data-x="<b>junk</b>"><p>{LONG}</p></div>', "junk", False),
+    (f'<article><p>{LONG}</p><div id="market-share"><p>Alpha, it is. {LONG}</p></div></article>', "Alpha", True),
+    (f'<article><p>{LONG}</p><section class="search-and-rescue"><p>Alpha, it is. {LONG}</p></section></article>', "Alpha", True),
+    (f'<article><p class="tags-explained">Alpha, it is. {LONG}</p><p>{LONG}</p></article>', "Alpha", True),
+    (f'<article><header><h1>T</h1><p>Alpha, it is. {LONG}</p></header><p>{LONG}</p></article>', "Alpha", True),
+    (f'<article><p>Short, it is.</p></article><div class="comments">{"<p>" + LONG * 5 + "</p>"}</div>', "Short", True),
+    (f'<article><p>Short, it is.</p></article><div class="comments">{"<p>" + LONG * 5 + "</p>"}</div>', "Words", False),
+    (f'<div class="widget"><h1>Title</h1><p>{LONG}</p></div><div>Small print</div>', "Words", True),
+    (f'<div>Cheap shoes here.</div><div><h1>T</h1><p>{LONG}</p><ul><li>one</li></ul><p>{LONG}</p></div><div>All rights</div>', "one", True),
+    (f'<div>Cheap shoes here.</div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div>All rights</div>', "Cheap", False),
+    (f'<div>Cheap shoes here.</div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div>All rights</div>', "rights", False)])
+def test_extract_parts(page, word, kept):
+    assert (word in H.extract(page)) is kept
+
+
+def test_extract_score_decides():
+    """Pages without telling elements or names: the ratios leave menus, adverts and small print out, a constant leaves all in."""
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    said = lambda n: " ".join(rng.choice(words) + ("," if i % 7 == 6 else "") for i in range(n)) + "."
+    changed = 0
+    for _ in range(40):
+        body = [said(rng.randrange(40, 90)) for _ in range(rng.randrange(3, 8))]
+        menu = "".join(f"<li>{rng.choice(words)}</li>" for _ in range(rng.randrange(3, 30)))
+        page = f"<div><ul>{menu}</ul></div><div>{said(4)}</div><div><h1>{said(5)}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div><div>{said(5)}</div>"
+        got = H.extract(page).split("\n")
+        assert got[1:] == body
+        scores, H.scores = H.scores, lambda page, nodes: np.ones(len(nodes))
+        try:
+            changed += H.extract(page).split("\n") != got
+        finally:
+            H.scores = scores
+    assert changed == 40
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50000 + "x", "<div>" * 20000 + "<li>a</li>" * 20000, '<a x="' * 50000, "<b y='>" * 50000,
+                                  "<p>" * 30000 + "</section>" * 30000, '<span class="ad">' * 30000 + "t", '<div class="ad">' * 30000 + "x", "<div>x" * 30000])
+def test_extract_is_linear(page):
+    start = time.perf_counter()
+    H.extract(page)
+    assert time.perf_counter() - start < 10      # quadratic readings take minutes
+
+
 def test_extract_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in H.with_main_text(pages.withColumn("text", F.lit(1))).collect():
