@@ -1,15 +1,16 @@
 """URL filters: association rules over URL tokens, mined by FP-growth and matched by an inverted index.
 
 A labelled page is a basket of its URL's tokens and its label; FP-growth finds the token combinations that occur
-with the block label, and those with enough support and confidence become rules.  A URL is blocked if it
-holds all tokens of some rule.  Matching goes through an index on each rule's rarest token: only URLs that hold it
-are compared.  Stated host and path rules stand above the mined ones; the longest that fits decides.
+with the block label, and those with enough support and confidence become rules.  Tokens of exactly the same
+labelled pages are mined as one item, which any of them stands for.  A URL is blocked if it holds all items of some
+rule.  Matching goes through an index on each rule's rarest item: only URLs that hold it are compared.  Stated host and path rules stand above the mined ones; the longest that fits decides.
 
 DataFrame functions only: mining, matching and verdicts run in the JVM.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -66,43 +67,73 @@ def tokens():
                                        for kind, xs in (("host:", labels), ("path:", parts), ("word:", words))]))
 
 
+def token_classes(baskets: DataFrame, min_count: int) -> DataFrame:
+    """(rep, members, n): the tokens that at least ``min_count`` baskets (basket, tokens) hold, those of exactly the same n
+    baskets as one class.  Sets that look equal by count and two hashes are compared basket by basket; a class that
+    turns out unequal falls into single tokens."""
+    each = baskets.select("basket", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("basket")).alias("h"),
+                                     F.bit_xor(F.xxhash64(F.lit("second"), "basket")).alias("g")).filter(F.col("n") >= min_count)
+    alike = held.groupBy("n", "h", "g").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    alike = materialise(alike.select(F.col("members")[0].alias("rep"), "members", "n"), "classes")
+    several = alike.filter(F.size("members") > 1).select("rep", F.size("members").alias("size"), F.explode("members").alias("token"))
+    seen = each.join(several, "token").groupBy("rep", "basket").agg(F.count(F.lit(1)).alias("held"), F.first("size").alias("size"))
+    unequal = seen.filter(F.col("held") != F.col("size")).select("rep").distinct().withColumn("apart", F.lit(True))
+    parts = F.when(F.col("apart"), F.transform("members", lambda x: F.array(x))).otherwise(F.array("members"))
+    out = alike.join(unequal, "rep", "left").select(F.explode(parts).alias("members"), "n")
+    return materialise(out.select(F.col("members")[0].alias("rep"), "members", "n"), "classes")
+
+
 def mine_rules(baskets: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE,
                min_count: int = MIN_COUNT) -> DataFrame:
     """(rule_id, items, confidence, support) from rows (tokens, blocked boolean).  ``min_support`` is a share that a caller
     may ask for above ``min_count``.
 
-    Support is pruned inside FP-growth, which runs distributed over item groups.  Confidence is the count of a
-    combination with the block item over its count in all, both from the same run."""
+    Tokens of exactly the same baskets are one item, as every combination of them has the same counts: pages that share
+    a long template are mined like pages that share one token.  An item of a rule is the array of its tokens, any of
+    which stands for it; the rarest item comes first.  Support is pruned inside FP-growth, which runs distributed over
+    item groups.  Confidence is the count of a combination with the block item over its count in all, both from the
+    same run."""
+    spark = baskets.sparkSession
+    baskets = materialise(baskets.select(F.array_distinct("tokens").alias("tokens"), "blocked", F.monotonically_increasing_id().alias("basket")), "baskets")
     n = baskets.count()
+    min_count = max(1, min_count, math.ceil(min_support * n))
+    none = spark.createDataFrame([], "rule_id string, items array<array<string>>, confidence double, support long")
+    if n < min_count:
+        return none
+    classes = token_classes(baskets, min_count)
+    names = classes.select("rep", F.explode("members").alias("token"))
+    label = F.when(F.col("blocked"), F.lit(BLOCK_ITEM)).otherwise(F.lit(ALLOW_ITEM))
+    items = baskets.select("basket", label.alias("label"), F.explode("tokens").alias("token")).join(names, "token")
+    items = items.groupBy("basket", "label").agg(F.collect_set("rep").alias("items"))
+    items = materialise(items.select(F.array_append("items", F.col("label")).alias("items")), "baskets")
+    n = items.count()
     if n < min_count:
-        return baskets.sparkSession.createDataFrame([], "rule_id string, items array<string>, confidence double, support long")
-    min_support = min(1.0, max(min_support, min_count / n))
-    items = baskets.select(F.array_append("tokens", F.when(F.col("blocked"), F.lit(BLOCK_ITEM)).otherwise(F.lit(ALLOW_ITEM))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+        return none
+    # half a basket below, so that rounding moves no count over the bound
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=min_confidence).fit(items)
     freq = materialise(model.freqItemsets, "itemsets")       # else each use would mine again
     block = freq.filter(F.array_contains("items", BLOCK_ITEM) & (F.col("freq") >= min_count)).select(
-        F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("items"), F.col("freq").alias("hits"))
-    block = block.filter(F.size("items") > 0)
-    rest = freq.select(F.array_sort("items").alias("items"), "freq")
-    rules = block.join(rest, "items").withColumn("confidence", F.col("hits") / F.col("freq"))
-    rules = rules.filter(F.col("confidence") >= min_confidence)
-    return materialise(rules.select(F.sha2(F.concat_ws("\u0001", "items"), 256).alias("rule_id"), "items", "confidence",
-                                    F.col("hits").alias("support")), "rules")
+        F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("reps"), F.col("freq").alias("hits"))
+    block = block.filter(F.size("reps") > 0)
+    rest = freq.select(F.array_sort("items").alias("reps"), "freq")
+    rules = block.join(rest, "reps").withColumn("confidence", F.col("hits") / F.col("freq")).filter(F.col("confidence") >= min_confidence)
+    rules = rules.select(F.sha2(F.concat_ws("\u0001", "reps"), 256).alias("rule_id"), "reps", "confidence", F.col("hits").alias("support"))
+    each = rules.select("rule_id", "confidence", "support", F.explode("reps").alias("rep")).join(classes, "rep")
+    each = each.groupBy("rule_id", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("n", "members"))).alias("items"))
+    return materialise(each.select("rule_id", F.col("items.members").alias("items"), "confidence", "support"), "rules")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
-    """(id, confidence) of the URLs (id, tokens) that hold all items of some rule: an inverted index from each rule's
-    rarest token to the rule, so a URL meets only rules whose index token it has."""
-    each = rules.select("rule_id", "items", "confidence", F.explode("items").alias("token"))
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    rare = Window.partitionBy("rule_id").orderBy("uses", "token")
-    index = each.join(often, "token").withColumn("r", F.row_number().over(rare)).filter("r = 1")
-    index = index.select("token", "items", "confidence")
+    """(id, confidence) of the URLs (id, tokens) that hold a token of each item of some rule: an inverted index from the
+    tokens of each rule's first item, its rarest among the labelled pages, to the rule, so a URL meets only rules whose
+    rarest item it has."""
+    index = rules.select(F.explode(F.col("items")[0]).alias("token"), "items", "confidence")
     held = urls.select(F.col(id_col).alias("id"), "tokens", F.explode("tokens").alias("token"))
-    size = index.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "items")) + 64), F.lit(0))).first()[0]
+    size = index.agg(F.coalesce(F.sum(F.length(F.to_json("items")) + 64), F.lit(0))).first()[0]
     if size <= INDEX_BYTES:
         index = F.broadcast(index)
-    found = held.join(index, "token").filter(F.size(F.array_except("items", "tokens")) == 0)
+    found = held.join(index, "token").filter(F.forall("items", lambda x: F.arrays_overlap(x, F.col("tokens"))))
     return found.groupBy("id").agg(F.max("confidence").alias("confidence"))
 
 

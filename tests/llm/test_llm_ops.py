@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -364,7 +365,7 @@ def test_mined_rules(spark):
     out = {r.page: r for r in U.filter_urls(pages, labels, rules=()).collect()}
     assert all((out[i].verdict == "block") == (i % 8 == 0) for i in range(200))
     baskets = spark.createDataFrame([(["a", "b"], True), (["a"], False), (["a", "b"], True)], "tokens array<string>, blocked boolean")
-    mined = {tuple(r["items"]): (r.confidence, r.support) for r in U.mine_rules(baskets, 0.1, 0.5, min_count=1).collect()}
+    mined = {tuple(sorted(t for x in r["items"] for t in x)): (r.confidence, r.support) for r in U.mine_rules(baskets, 0.1, 0.5, min_count=1).collect()}
     assert mined == {("a",): (pytest.approx(2 / 3), 2), ("b",): (1.0, 2), ("a", "b"): (1.0, 2)}
 
 
@@ -372,8 +373,48 @@ def test_rules_need_the_same_evidence_at_every_size(spark):
     tokens = F.when(F.col("id") < 30, F.array(*[F.lit(x) for x in "abcde"])).otherwise(F.array(F.lit("x")))
     for n in (1_000, 20_000):
         baskets = spark.range(n).select(tokens.alias("tokens"), (F.col("id") < 30).alias("blocked"))
-        mined = {"".join(r["items"]): (r.confidence, r.support) for r in U.mine_rules(baskets).collect()}
-        assert len(mined) == 31 and mined["a"] == mined["abcde"] == (1.0, 30)
+        mined = [(r["items"], r.confidence, r.support) for r in U.mine_rules(baskets).collect()]
+        assert mined == [([list("abcde")], 1.0, 30)]       # five tokens of the same baskets are one item
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mined_rules_against_brute_force(spark, seed):
+    """Every combination of up to all tokens that enough baskets hold with confidence: the same URLs are blocked."""
+    rng = random.Random(seed)
+    names = list("abcdef") + ["g1", "g2", "g3"]
+    rows = []
+    for _ in range(80):
+        own = {x for x in "abcdef" if rng.random() < 0.35} | ({"g1", "g2", "g3"} if rng.random() < 0.4 else set())
+        rows.append((sorted(own), bool({"a", "b"} <= own or {"c", "g2"} <= own or rng.random() < 0.1)))
+    sets = [frozenset(c) for k in range(1, len(names) + 1) for c in combinations(names, k)]
+    rules = {}
+    for one in sets:
+        has = [blocked for own, blocked in rows if one <= set(own)]
+        if sum(has) >= 5 and sum(has) / len(has) >= 0.8:
+            rules[one] = sum(has) / len(has)
+    urls = [(i, sorted(x for x in names if rng.random() < 0.4)) for i in range(200)]
+    want = {}
+    for i, own in urls:
+        found = [c for one, c in rules.items() if one <= set(own)]
+        if found:
+            want[i] = pytest.approx(max(found))
+    mined = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_count=5)
+    got = U.match_rules(spark.createDataFrame(urls, "id long, tokens array<string>"), mined, "id")
+    assert want and {r.id: r.confidence for r in got.collect()} == want
+
+
+def test_long_templates_and_few_labels(spark):
+    """40 shared segments are mined in seconds; labels below the support mine nothing."""
+    long = "/".join(f"s{i}" for i in range(40))
+    urls = [(i, f"https://a.org/{long}/{i}" if i % 2 else f"https://b.org/p{i}") for i in range(60)] + [(60, f"https://c.org/{long}"), (61, None)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    start = time.perf_counter()
+    out = {r.page: r.verdict for r in U.filter_urls(pages, labels, rules=()).collect()}
+    assert time.perf_counter() - start < 60
+    assert {i for i, v in out.items() if v == "block"} == {i for i in range(60) if i % 2} | {60}
+    few = U.filter_urls(pages, labels.filter("doc_id < 6"), rules=())
+    assert {r.verdict for r in few.collect()} == {"allow"}
 
 
 # --- training order --------------------------------------------------------------------------------------
