@@ -53,22 +53,31 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, name: str, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs``' columns ``keep`` (default: all) and a row number ``name`` that every later scan gives again, however its
     splits are cut: a Parquet table's rows are numbered by file and place in it, any others written once with their number."""
     keep = [F.col(f"`{c}`") for c in (docs.columns if keep is None else dict.fromkeys(keep))]
+    in_file, at, start = (fresh(docs, x) for x in ("_file", "_at", "_from"))
     place = None
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         try:
             meta = docs.metadataColumn("_metadata")
-            place = docs.select(*keep, meta.getField("file_path").alias("_file"), meta.getField("row_index").alias("_at"))
+            place = docs.select(*keep, meta.getField("file_path").alias(in_file), meta.getField("row_index").alias(at))
         except AnalysisException:         # not Parquet files
             place = None
     if place is None:
         return materialise(docs.select(*keep, F.monotonically_increasing_id().alias(name)), "numbered")
-    files = sorted(r[0] for r in place.select("_file").distinct().collect())
-    files = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_file string, _from long")
-    return place.join(F.broadcast(files), "_file").select(*keep, (F.col("_from") + F.col("_at")).alias(name))
+    files = sorted(r[0] for r in place.select(in_file).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], f"{in_file} string, {start} long")
+    return place.join(F.broadcast(files), in_file).select(*keep, (F.col(start) + F.col(at)).alias(name))
 
 
 def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight: str, spread: Column,

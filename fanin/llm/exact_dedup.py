@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, grouped, map_text, materialise, numbered, ship
+from fanin.llm.common import documents, fresh, grouped, map_text, materialise, numbered, ship
 
 BLOCK = 4096             # bytes
 
@@ -87,9 +87,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows that stay, with the input's columns."""
-    rows = numbered(docs, "_row")
-    kept = exact_dedup(rows, id_col, text_col, block, "_row").filter("kept").select(F.col("rid").alias("_rid"))
-    return rows.join(kept, F.col("_row") == F.col("_rid"), "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    kept = exact_dedup(rows, id_col, text_col, block, row).filter("kept").select("rid")
+    return rows.join(kept, rows[row] == kept["rid"], "left_semi").select(*docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir):

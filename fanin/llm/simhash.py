@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanin.llm.common import documents, join_back, map_text, materialise, numbered, ship
+from fanin.llm.common import documents, fresh, join_back, map_text, materialise, numbered, ship
 from fanin.llm.components import components
 
 SHINGLE = 3
@@ -163,9 +163,10 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of each group stays, with the input's columns."""
-    rows = numbered(docs, "_row")
-    kept = near_dups(rows, id_col, text_col, shingle, distance, "_row").filter("kept").select(F.col("rid").alias("_rid"))
-    return rows.join(kept, F.col("_row") == F.col("_rid"), "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    kept = near_dups(rows, id_col, text_col, shingle, distance, row).filter("kept").select("rid")
+    return rows.join(kept, rows[row] == kept["rid"], "left_semi").select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark, sf_dir):

@@ -1,15 +1,16 @@
 """Training-order materialisation: fixed-stride shards in a keyed random order.
 
-Sequences are numbered 0 to n - 1 in the order of the written sequence table; a keyed Feistel permutation, walked
+Sequences are numbered 0 to n - 1 in the order of the documents' files and places, however scans are split; a keyed Feistel permutation, walked
 along its cycle until it falls below n, gives each number its slot.  Slots map to shards of ``SHARD_SLOTS`` records
 of one stride, so that a reader finds slot s at byte (s mod SHARD_SLOTS) * stride of shard s div SHARD_SLOTS and
-can resume anywhere.  The permutation needs no shuffle and no state: any slot's number, and the reverse, is
+can resume anywhere; beside its payload a shard holds the index of its slots (document, start, length).  The permutation needs no shuffle and no state: any slot's number, and the reverse, is
 computed from key and n alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from fanin.llm.common import documents, map_text, materialise, ship
+from fanin.llm.common import documents, fresh, map_text, materialise, ship, small_batches
+from fanin.llm.common import numbered as number_rows
 from fanin.llm.packing import END_ID, TOKENIZER, word_encoder
+from fanin.session import ensure_checkpoint_dir
 
 LENGTH = 512
 PAD_ID = 0
@@ -73,9 +77,10 @@ def numbers_of(slots: np.ndarray, n: int, key: str = KEY) -> np.ndarray:
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID,
               pad_id: int = PAD_ID, tokenizer: str | None = None) -> DataFrame:
-    """(doc, start, length, record, seq): each document's ids and ``end_id`` in records of ``length`` ids, the last
-    one padded; a record is little-endian, of 16 bits an id if the vocabulary allows, else 32.  seq numbers the
-    records with gaps, in the order of a stable scan."""
+    """(doc, rid, start, length, record, seq): each document's ids and ``end_id`` in records of ``length`` ids, the last
+    one padded; a record is little-endian, of 16 bits an id if the vocabulary allows, else 32.  rid is the document's
+    file and place, seq holds the writing task and the row in it.  A task holds the ids of one slice of documents (4 MB
+    of text) at a time; a longer text is encoded alone, with memory in proportion to it."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     kind = id_type(path)
 
@@ -100,8 +105,10 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         run.done = encode.forget
         return run
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    rows = map_text(rows, "text", make, "start long, length int, record binary", ["doc"])
+    row = fresh(docs, "_row")
+    rows = number_rows(docs, row, [id_col, text_col])
+    rows = rows.select(F.col(f"`{id_col}`").alias("doc"), F.col(row).alias("rid"), F.col(f"`{text_col}`").alias("text"))
+    rows = map_text(rows, "text", make, "start long, length int, record binary", ["doc", "rid"])
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -113,15 +120,16 @@ def id_type(path: str) -> str:
 
 
 def numbered(table: DataFrame) -> tuple[DataFrame, int]:
-    """Adds number, dense from 0 in the order of seq, and gives the count.  seq holds the writing task and the row in it,
-    so a prefix sum over one row per task is all that is gathered."""
-    task = F.shiftright("seq", 33)
-    per_task = table.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("rows"))
-    first = F.sum("rows").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    per_task = per_task.select("task", "rows", F.coalesce(first, F.lit(0)).alias("first"))
-    n = per_task.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    out = table.join(F.broadcast(per_task.select("task", "first")), task == F.col("task"))
-    return out.withColumn("number", F.col("first") + F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))).drop("task", "first", "seq"), n
+    """Adds number, dense from 0 in the order of rid and start, and gives the count.  A task reads a run of rows of each of
+    its files in order, so a prefix sum over one row per task and file, in the order of their rows, is all that is gathered."""
+    task, file, place = F.shiftright("seq", 33), F.shiftright("rid", 33), F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
+    runs = table.groupBy(task.alias("task"), file.alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min("rid").alias("least"), F.min(place).alias("before"))
+    first = F.sum("rows").over(Window.orderBy("least", "task").rowsBetween(Window.unboundedPreceding, -1))
+    # a written table, so that its size decides whether it is broadcast
+    runs = materialise(runs.select("task", "file", "rows", (F.coalesce(first, F.lit(0)) - F.col("before")).alias("shift")), "runs")
+    n = runs.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    out = table.join(runs.drop("rows"), (task == F.col("task")) & (file == F.col("file")))
+    return out.withColumn("number", F.col("shift") + place).drop("task", "file", "shift", "seq", "rid"), n
 
 
 def in_training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, length: int = LENGTH,
@@ -146,30 +154,57 @@ def in_training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def as_shards(ordered: DataFrame) -> DataFrame:
-    """(shard, first_slot, n_slots, payload): the records of each shard one after another."""
+    """(shard, first_slot, n_slots, docs, starts, lengths, payload): the records of each shard one after another and, in
+    the same order, what they hold.  A task holds one shard at a time."""
+    rows = ordered.select("shard", "slot", "doc", "start", "length", "record")
+    kind = rows.schema["doc"].dataType
+    out_type = StructType([StructField("shard", LongType()), StructField("first_slot", LongType()), StructField("n_slots", LongType()),
+                           StructField("docs", ArrayType(kind)), StructField("starts", ArrayType(LongType())),
+                           StructField("lengths", ArrayType(IntegerType())), StructField("payload", BinaryType())])
+
     def run(batches):
-        now, first, parts = None, 0, []
+        now, parts = None, []
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([first], pa.int64()), pa.array([len(parts)], pa.int64()),
-                                               pa.array([b"".join(parts)], pa.binary())], names=["shard", "first_slot", "n_slots", "payload"])
+            table = pa.Table.from_batches(parts).combine_chunks()
+            one = lambda name: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), pa.concat_arrays(table.column(name).chunks))
+            payload = b"".join(table.column("record").to_pylist())
+            arrays = [pa.array([now], pa.int64()), table.column("slot").chunk(0)[:1], pa.array([table.num_rows], pa.int64()),
+                      one("doc"), one("start"), one("length"), pa.array([payload], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=out_type.names)
 
         for batch in batches:
-            for shard, at, record in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if shard != now:
-                    if parts:
-                        yield flush()
-                    now, first, parts = shard, at, []
-                parts.append(record)
+            shards = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if shards[a] != now and parts:
+                    yield flush()
+                    parts = []
+                now = int(shards[a])
+                parts.append(batch.slice(a, b - a))
         if parts:
             yield flush()
 
-    return ordered.select("shard", "slot", "record").mapInArrow(run, "shard long, first_slot long, n_slots long, payload binary")
+    small_batches(ordered.sparkSession)
+    return rows.mapInArrow(run, out_type)
 
 
 def write_shards(docs: DataFrame, path: str, **named) -> None:
     """Write the shards of ``docs`` as a table at ``path``, one row a shard, by Spark's committer."""
-    as_shards(in_training_order(docs, **named)).write.parquet(path)
+    as_shards(in_training_order(docs, **named)).write.option("compression", "zstd").parquet(path)
+
+
+def read_index(spark, path: str, length: int = LENGTH, id_bytes: int = 2) -> DataFrame:
+    """(doc, start, length, slot, shard, byte_offset, record_crc32) of every slot of the shards at ``path``, from what is
+    written there: the checksum is of the payload's bytes at the slot's offset."""
+    stride = length * id_bytes
+    each = F.transform(F.sequence(F.lit(0), F.col("n_slots").cast("int") - 1), lambda i: F.struct(
+        F.get("docs", i).alias("doc"), F.get("starts", i).alias("start"), F.get("lengths", i).alias("length"), (F.col("first_slot") + i).alias("slot"),
+        F.col("shard").alias("shard"), (i * F.lit(stride)).cast("long").alias("byte_offset"),
+        F.crc32(F.substring(F.col("payload"), i * F.lit(stride) + 1, F.lit(stride))).alias("record_crc32")))
+    return spark.read.parquet(path).select(F.inline(each))
 
 
 def read_slots(spark, path: str, first: int, last: int, length: int = LENGTH, id_bytes: int = 2,
@@ -183,9 +218,10 @@ def read_slots(spark, path: str, first: int, last: int, length: int = LENGTH, id
 
 
 def op4_training_order(spark, sf_dir):
-    rows = in_training_order(documents(spark, sf_dir))
-    return rows.select(F.col("doc").alias("doc_id"), "start", "length", "slot", "shard",
-                       F.expr(f"(slot % {SHARD_SLOTS}) * octet_length(record)").alias("byte_offset"), F.crc32("record").alias("record_crc32"))
+    """Writes the shards under the session's checkpoint folder; the rows come from the written payloads and index."""
+    path = f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(documents(spark, sf_dir), path)
+    return read_index(spark, path).withColumnRenamed("doc", "doc_id")
 
 
 ship(__name__)

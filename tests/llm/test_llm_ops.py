@@ -451,6 +451,38 @@ def test_shards_round_trip(spark, tmp_path):
     assert T.in_training_order(docs.limit(0)).count() == 0
 
 
+def test_shards_slot_by_slot(spark, tmp_path):
+    """Records against a plain reading: numbered by file, place and start, at the permutation's slot, whatever the splits."""
+    tok = Tokenizer.from_file(PATH)
+    texts = [("word " * (7 * i % 50) + str(i)) if i % 9 else None for i in range(300)]
+    for part in range(3):
+        rows = [(i if i % 5 else None, t, "x") for i, t in enumerate(texts)][part * 100:part * 100 + 100]
+        spark.createDataFrame(rows, "doc_id long, text string, _row string").coalesce(1).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "docs" / f"p={part}"))
+    docs = spark.read.parquet(*[str(tmp_path / "docs" / f"p={part}") for part in range(3)])
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(i if i % 5 else None, a, len(ids[a:a + 8]), np.array((ids[a:a + 8] + [0] * 8)[:8], dtype="<u2").tobytes()) for a in range(0, len(ids), 8)]
+    slots = T.slots_of(np.arange(len(want)), len(want))
+    want = {int(s): w for s, w in zip(slots, want, strict=True)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for i, size in enumerate((before, "1500", "4000")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            path = str(tmp_path / f"shards{i}")
+            T.write_shards(docs, path, length=8, shard_slots=64)
+            index = {r.slot: r for r in T.read_index(spark, path, length=8).collect()}
+            assert index.keys() == want.keys()
+            for s, (doc, start, length, record) in want.items():
+                r = index[s]
+                assert (r.doc, r.start, r.length, r.shard, r.byte_offset, r.record_crc32) == (doc, start, length, s // 64, s % 64 * 16, zlib.crc32(record))
+            assert {r.slot: bytes(r.record) for r in T.read_slots(spark, path, 60, 200, length=8, shard_slots=64).collect()} == {s: want[s][3] for s in range(60, 201)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    T.write_shards(docs.limit(0), str(tmp_path / "none"))
+    assert T.read_index(spark, str(tmp_path / "none")).count() == 0
+
+
 # --- queries ---------------------------------------------------------------------------------------------
 
 def test_queries_with_sql(spark):
