@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -198,13 +199,26 @@ def write_shards(docs: DataFrame, path: str, **named) -> None:
 
 def read_index(spark, path: str, length: int = LENGTH, id_bytes: int = 2) -> DataFrame:
     """(doc, start, length, slot, shard, byte_offset, record_crc32) of every slot of the shards at ``path``, from what is
-    written there: the checksum is of the payload's bytes at the slot's offset."""
+    written there: the checksum is of the payload's bytes at the slot's offset.  A task holds one shard at a time; in an
+    SQL expression each slot would copy the whole payload."""
     stride = length * id_bytes
-    each = F.transform(F.sequence(F.lit(0), F.col("n_slots").cast("int") - 1), lambda i: F.struct(
-        F.get("docs", i).alias("doc"), F.get("starts", i).alias("start"), F.get("lengths", i).alias("length"), (F.col("first_slot") + i).alias("slot"),
-        F.col("shard").alias("shard"), (i * F.lit(stride)).cast("long").alias("byte_offset"),
-        F.crc32(F.substring(F.col("payload"), i * F.lit(stride) + 1, F.lit(stride))).alias("record_crc32")))
-    return spark.read.parquet(path).select(F.inline(each))
+    shards = spark.read.parquet(path).select("shard", "first_slot", "n_slots", "docs", "starts", "lengths", "payload")
+    names = ["doc", "start", "length", "slot", "shard", "byte_offset", "record_crc32"]
+    kinds = [shards.schema["docs"].dataType.elementType, LongType(), IntegerType(), *[LongType()] * 4]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, first, n = (batch.column(c)[i].as_py() for c in range(3))
+                payload = memoryview(batch.column(6)[i].as_buffer())
+                held = [batch.column(c)[i].values for c in (3, 4, 5)]
+                at = np.arange(n, dtype=np.int64)
+                sums = [zlib.crc32(payload[a:a + stride]) for a in range(0, n * stride, stride)]
+                arrays = [*held, pa.array(first + at), pa.array(np.full(n, shard, dtype=np.int64)), pa.array(at * stride), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    small_batches(spark)
+    return shards.mapInArrow(run, StructType([StructField(x, k) for x, k in zip(names, kinds, strict=True)]))
 
 
 def read_slots(spark, path: str, first: int, last: int, length: int = LENGTH, id_bytes: int = 2,
@@ -212,9 +226,18 @@ def read_slots(spark, path: str, first: int, last: int, length: int = LENGTH, id
     """(slot, record) of slots ``first`` to ``last`` inclusive: only the shards that hold them are read."""
     shards = spark.read.parquet(path).filter(F.col("shard").between(first // shard_slots, last // shard_slots))
     stride = length * id_bytes
-    rows = shards.select("first_slot", "payload", F.posexplode(F.expr("sequence(0, int(n_slots) - 1)")).alias("i", "_"))
-    rows = rows.withColumn("slot", F.col("first_slot") + F.col("i")).filter(F.col("slot").between(first, last))
-    return rows.select("slot", F.expr(f"substring(payload, i * {stride} + 1, {stride})").alias("record"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                start, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                payload = memoryview(batch.column(2)[i].as_buffer())
+                slots = range(max(first, start), min(last, start + n - 1) + 1)
+                records = [bytes(payload[(s - start) * stride:(s - start + 1) * stride]) for s in slots]
+                yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), pa.array(records, pa.binary())], names=["slot", "record"])
+
+    small_batches(spark)
+    return shards.select("first_slot", "n_slots", "payload").mapInArrow(run, "slot long, record binary")
 
 
 def op4_training_order(spark, sf_dir):
