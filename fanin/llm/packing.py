@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Callable
 from itertools import islice
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ split = regex.compile(WORD_PATTERN).findall
 LATIN_END = "\u0250"      # below it no character composes with a neighbour or changes its case by context
 #: Byte-level tokenisers show a byte beyond ASCII as the character of that number, or from 256 up if that is not printable.
 SHOWN = {b: 256 + 33 + i for i, b in enumerate([*range(127, 161), 173])}
+#: As shown, every character that a word of characters below ``LATIN_END`` holds in lower case, some of them beyond it.
+LATIN_SHOWN = {ord(c): c.encode().decode("latin-1").translate(SHOWN) for i in range(ord(LATIN_END)) for c in chr(i).lower()}
 ODD_SPACE = "\x1c\x1d\x1e\x1f"         # white space to Python only
 
 
@@ -79,16 +82,21 @@ def _new_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     pieces: dict[str, bytes] = {}
 
+    def piece(part: str) -> bytes:
+        ids = pieces.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.translate(LATIN_SHOWN)
+            ids = pieces[part] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+        return ids
+
     def plain(word: str) -> bytes:
         low = word.lower()
-        out = []
-        for part in (low,) if low.isalpha() else split(low):
-            ids = pieces.get(part)
-            if ids is None:
-                shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
-                ids = pieces[part] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if low.isalpha():
+            return piece(low)
+        head = low.rstrip(punctuation)
+        if head.isalpha():                # letters and then signs are two pieces, as nearly all other words are
+            return piece(head) + piece(low[len(head):])
+        return b"".join(map(piece, split(low)))
 
     class Known(dict):
         older: dict = {}

@@ -89,19 +89,20 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         encode = word_encoder(path)
 
         def run(texts):
-            index, starts, lengths, records = [], [], [], []
-            for i, raw in enumerate(encode([t or "" for t in texts])):
-                ids = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)).astype(kind)
-                n = len(ids)
-                room = -(-n // length)
-                full = np.full(room * length, pad_id, dtype=kind)
-                full[:n] = ids
-                rows = full.reshape(room, length)
-                index += [i] * room
-                starts += range(0, n, length)
-                lengths += [min(length, n - a) for a in range(0, n, length)]
-                records += [r.tobytes() for r in rows]
-            return index, [starts, lengths, records]
+            raws = encode([t or "" for t in texts])
+            sizes = np.array([len(raw) // 4 + 1 for raw in raws], dtype=np.int64)
+            rooms = -(-sizes // length)
+            firsts = np.cumsum(rooms) - rooms
+            full = np.full(int(rooms.sum()) * length, pad_id, dtype=kind)
+            for raw, a in zip(raws, (firsts * length).tolist(), strict=True):
+                b = a + len(raw) // 4
+                full[a:b] = np.frombuffer(raw, dtype="<u4")
+                full[b] = end_id
+            starts = (np.arange(rooms.sum()) - np.repeat(firsts, rooms)) * length
+            lengths = np.minimum(length, np.repeat(sizes, rooms) - starts).astype(np.int32)
+            cuts = pa.array(np.arange(len(starts) + 1, dtype=np.int64) * length * full.itemsize).cast(pa.int32())
+            records = pa.Array.from_buffers(pa.binary(), len(starts), [None, cuts.buffers()[1], pa.py_buffer(full)])
+            return np.repeat(np.arange(len(raws)), rooms), [starts, lengths, records]
 
         run.done = encode.forget
         return run

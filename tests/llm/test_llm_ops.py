@@ -483,6 +483,17 @@ def test_shards_slot_by_slot(spark, tmp_path):
     assert T.read_index(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_words_before_signs_take_no_pattern(monkeypatch):
+    """Letters followed by signs, most words that are not letters alone, are cut without the pre-tokeniser's pattern."""
+    cut = []
+    monkeypatch.setattr(P, "split", lambda word, f=P.split: cut.append(word) or f(word))
+    tok = Tokenizer.from_file(PATH)
+    words = ["word.", "Größe,", "naïve?!", "it's", "'s", "don't,", "a1.", "x_y", "end'", "é###", "ñ", "###", "İst.", "ab'sc", "a\u00ad."]
+    for word, ids in zip(words, P._new_encoder(PATH)(words), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tok.encode(word, add_special_tokens=False).ids, word
+    assert not {"word.", "größe,", "naïve?!", "end'", "é###"} & set(cut) and {"it's", "a1.", "ab'sc"} <= set(cut)
+
+
 # --- queries ---------------------------------------------------------------------------------------------
 
 def test_queries_with_sql(spark):
